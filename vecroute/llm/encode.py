@@ -25,11 +25,13 @@ _SEAM = r"([A-Za-z])([!-&(-/:-@\[-`{-~])"
 class PieceStore:
     """Ids of pieces seen so far; when it holds ``most`` pieces, further ones live for a batch only."""
 
-    def __init__(self, tokenizer_path: str, most: int = 800_000):
+    def __init__(self, tokenizer_path: str, plain_specials: bool = False, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        if plain_specials:  # special tokens' strings in a text are then ordinary text
+            self.tokenizer.encode_special_tokens = True
         self.most = most
         self.index: dict[str, int] = {}
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -70,11 +72,12 @@ class PieceStore:
         return out, offsets
 
 
-def worker_store(tokenizer_path: str) -> PieceStore:
+def worker_store(tokenizer_path: str, plain_specials: bool = False) -> PieceStore:
     """The store of this worker process, which lives on between its tasks."""
     cache = sys.modules.setdefault("_vecroute_stores", ModuleType("_vecroute_stores"))
     if not hasattr(cache, "stores"):
         cache.stores = {}
-    if tokenizer_path not in cache.stores:
-        cache.stores[tokenizer_path] = PieceStore(tokenizer_path)
-    return cache.stores[tokenizer_path]
+    key = (tokenizer_path, plain_specials)
+    if key not in cache.stores:
+        cache.stores[key] = PieceStore(tokenizer_path, plain_specials)
+    return cache.stores[key]

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecroute.llm.common import bound_batches, materialise, shared_dir, table
+from vecroute.llm import token_counts
+from vecroute.llm.common import bound_batches, shared_dir, table
 from vecroute.llm.token_files import read_digests, write_token_files
 
 END_ID = 2
+#: Of the flat files: the tokenizer's own end-of-text id, which no text can produce.
+SEPARATOR = 49407
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,5 +31,16 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op4_token_output": op4_token_output}
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat token files of all documents, then the length and place of each from the files alone."""
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    path = shared_dir(spark, "flat-tokens")
+    token_counts.write_token_files(docs, path, tokenizer_file("word_bpe_49k.json"), SEPARATOR)
+    counts = token_counts.scan_token_files(spark, path, SEPARATOR)
+    places = token_counts.row_places(docs.select("doc_id"))
+    return places.join(counts, ["file_no", "row_no"]).select("doc_id", "start", "n_tokens")
+
+
+QUERIES = {"op1_token_counts": op1_token_counts, "op4_token_output": op4_token_output}
 SQL: dict[str, str] = {}
