@@ -3,11 +3,73 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vecroute.llm.common import materialise, table
+from vecroute.llm.common import bound_batches, materialise, table
+from vecroute.llm.decontaminate import leaks
+from vecroute.llm.language_id import identify, train
+from vecroute.llm.mixing import copies, fit_rates, memberships, rate_column, train_domains
+from vecroute.llm.prob_minhash import near_duplicates
+from vecroute.llm.q_mixing import labelled_docs
+from vecroute.llm.q_tokens import token_output
 
-STAGES: list = []
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; those without a letter and those with a narrow margin go."""
+    bound_batches(spark)
+    model = train(docs)
+    found = identify(docs, model, into="__language")
+    return found.where(~F.col("__language.rejected")).select(*docs.columns)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one with the least id.
+
+    A document without an id can't be told from another one, so those stay.
+    """
+    bound_batches(spark)
+    classes = materialise(near_duplicates(docs), "classes")
+    first = classes.where("id = class_id").select(F.col("id").alias("doc_id"))
+    repeated = first.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    kept = docs.join(first.distinct(), "doc_id", "left_semi")
+    if repeated:  # rows that repeat an id are copies of the class too
+        kept = kept.dropDuplicates(["doc_id"])
+    if not classes.where("id is null").limit(1).count():
+        return kept.select(*docs.columns)
+    return kept.union(docs.where("doc_id is null").select(*kept.columns)).select(*docs.columns)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaked."""
+    bound_batches(spark)
+    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says; no domain loses tokens, so no document does."""
+    bound_batches(spark)
+    model = train_domains(labelled_docs(spark, sf_dir, docs), "lang")
+    members = materialise(memberships(docs, model, tuple(docs.columns)), "memberships")
+    steps, _, _ = fit_rates(members.select("n_tokens", "posterior"), model.domains, never_less=True)
+    rated = members.withColumn("__rate", rate_column(F.col("posterior"), steps))
+    return copies(rated, F.greatest(F.lit(1.0), F.col("__rate"))).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left: doc_id, start, n_tokens, ids_crc32."""
+    return token_output(spark, docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("language", language_stage),
+    ("near_dedup", dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("mixing", mixing_stage),
+    ("tokens", token_stage),
+]
+
+#: Models are trained on the way, so SQL can't express the stages; tests hold them to brute force.
 ORACLE_SQL = None
 
 
@@ -16,4 +78,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -121,14 +121,14 @@ def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...], text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.domains)
         for b in batches:
-            x, counts = features(b.column("__text"))
+            x, counts = features(b.column(text_col))
             p = posteriors(model, x)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(p) * k + 1, k), pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in keep), pa.array(counts, pa.int64()), lists], names=[*keep, "n_tokens", "posterior"]
             )
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 
 
 def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
