@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: list[str] = []
+MODULES = ["q_vectors"]
 FLAGSHIP = "knn_euclidean"
 
 _loaded = [import_module(f"vecroute.plans.{m}") for m in MODULES]
