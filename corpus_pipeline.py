@@ -51,8 +51,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     bound_batches(spark)
     model = train_domains(labelled_docs(spark, sf_dir, docs), "lang")
     members = materialise(memberships(docs, model, tuple(docs.columns)), "memberships")
-    steps, _, _ = fit_rates(members.select("n_tokens", "posterior"), model.domains, never_less=True)
-    rated = members.withColumn("__rate", rate_column(F.col("posterior"), steps))
+    steps, _, _ = fit_rates(members, model.domains, never_less=True)
+    rated = members.withColumn("__rate", rate_column(F.col("__posterior"), steps))
     return copies(rated, F.greatest(F.lit(1.0), F.col("__rate"))).select(*docs.columns)
 
 

@@ -113,8 +113,8 @@ def train_domains(
 
 
 def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """``keep`` columns of ``docs`` with ``n_tokens`` (words) and ``posterior`` (array of double)."""
-    schema = docs.select(*keep, F.lit(0).cast("long").alias("n_tokens"), F.array(F.lit(0.0)).alias("posterior")).schema
+    """``keep`` columns of ``docs`` with ``__n_tokens`` (words) and ``__posterior`` (array of double)."""
+    schema = docs.select(*keep, F.lit(0).cast("long").alias("__n_tokens"), F.array(F.lit(0.0)).alias("__posterior")).schema
     for f in schema:
         f.nullable = True
 
@@ -125,7 +125,7 @@ def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...], text
             p = posteriors(model, x)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(p) * k + 1, k), pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in keep), pa.array(counts, pa.int64()), lists], names=[*keep, "n_tokens", "posterior"]
+                [*(b.column(c) for c in keep), pa.array(counts, pa.int64()), lists], names=[*keep, "__n_tokens", "__posterior"]
             )
 
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
@@ -145,14 +145,14 @@ def _sum_up(members: DataFrame, k: int, steps: list[np.ndarray]) -> tuple[np.nda
         total, gram = np.zeros(k), np.zeros((k, k))
         for pdf in batches:
             if len(pdf):
-                p, n = np.stack(pdf["posterior"].to_numpy()), pdf["n_tokens"].to_numpy(float)
+                p, n = np.stack(pdf["__posterior"].to_numpy()), pdf["__n_tokens"].to_numpy(float)
                 r = rates_of(p, steps)
                 total += (r * n) @ p
                 gram += (p * (n * (r > 0))[:, None]).T @ p
         both = np.concatenate([total, gram.ravel()])
         yield pd.DataFrame({"i": np.arange(len(both)), "v": both})
 
-    sums = members.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    sums = members.select("__posterior", "__n_tokens").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     both = np.zeros(k + k * k)
     for r in sums:
         both[r["i"]] = r["v"]
@@ -179,7 +179,7 @@ def fit_rates(
     tolerance: float = 1e-6,
     most_steps: int = 40,
 ) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(steps, targets, totals reached) for ``members`` (posterior, n_tokens).
+    """(steps, targets, totals reached) for the rows of ``memberships``.
 
     ``weights`` are the wanted shares by domain; without them, totals are tempered by ``exponent``.
     """
@@ -227,10 +227,17 @@ def mix(
     """(``keep`` columns, n_tokens, posterior, domain, rate) of every row, the model and the steps."""
     model = train_domains(labelled, label_col, id_col, text_col)
     members = materialise(memberships(docs, model, keep, text_col), "memberships")
-    steps, _, _ = fit_rates(members.select("n_tokens", "posterior"), model.domains, **settings)
+    steps, _, _ = fit_rates(members, model.domains, **settings)
     names = F.array(*(F.lit(d) for d in model.domains))
-    out = members.withColumn("domain", F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1))
-    return out.withColumn("rate", rate_column(F.col("posterior"), steps)), model, steps
+    p = F.col("__posterior")
+    out = members.select(
+        *keep,
+        F.col("__n_tokens").alias("n_tokens"),
+        p.alias("posterior"),
+        F.get(names, F.array_position(p, F.array_max(p)).cast("int") - 1).alias("domain"),
+        rate_column(p, steps).alias("rate"),
+    )
+    return out, model, steps
 
 
 def copies(docs: DataFrame, rate: Column, id_col: str = "doc_id") -> DataFrame:
