@@ -9,9 +9,9 @@ texts: a link is an exact Jaccard similarity of the distinct shingles of ``thres
 
 Groups stay cheap and whole: equal texts are one node; in a bucket each node is compared with the least
 node (a star), never all with all; links are joined into components. Then, only in buckets that still
-hold more than one component, all pairs of nodes from different components are compared by their
-registers inside bounded blocks, and likely ones are verified: no link between different texts of a
-bucket is lost, and what is already connected isn't compared again.
+hold more than one component (each set of nodes once), nodes of different components are compared inside
+bounded blocks by the exact similarity of their texts, and a block emits only links that join components,
+fewer than it has nodes: no link between different texts of a bucket is lost, and no pairs are written.
 
 Defined cases: words are white-space runs as they stand; a text of one to four words is one shingle; a
 text without a word (or null) is in no bucket and is a class of its own; repeated rows and equal texts
@@ -37,9 +37,6 @@ from vecroute.llm.words import split_words
 WORDS = 5
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Share of equal registers from which a pair in an open bucket is verified: four standard errors
-#: below the threshold of 0.8.
-LIKELY = 0.65
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,22 +120,21 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sigs[i] = signature(elements, 1 + np.log(counts))
         keys = band_keys(sigs)[has]
         offsets = np.concatenate([[0], np.cumsum(has * BANDS)])
-        small = _mix(sigs).astype(np.uint32)
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("id"),
                 b.column("node"),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel(), pa.int64())),
-                pa.array([s.tobytes() if f else None for s, f in zip(small, has, strict=True)], pa.binary()),
+                pa.array(has),
             ],
-            names=["id", "node", "bands", "registers"],
+            names=["id", "node", "bands", "worded"],
         )
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, bands, registers); ``node`` is the MD5 of the text, null if it is null."""
+    """(id, node, bands, worded); ``node`` is the MD5 of the text, null if it is null."""
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("node"), F.col(text_col).cast("string").alias("text"))
-    schema = rows.select("id", "node", F.array(F.lit(0).cast("long")).alias("bands"), F.lit(b"").alias("registers")).schema
+    schema = rows.select("id", "node", F.array(F.lit(0).cast("long")).alias("bands"), F.lit(True).alias("worded")).schema
     for f in schema:
         f.nullable = True
     return rows.mapInArrow(_sign, schema)
@@ -182,64 +178,87 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, members: DataFrame, id_col: str
     return hashed.join(one, ["id", "node"], "left_semi").select("node", "text")
 
 
-def _likely_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components within each block (rows of a block follow each other)."""
-    held: pd.DataFrame | None = None
-
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
-        node, comp = block["node"].to_numpy(object), block["comp"].to_numpy(object)
-        regs = np.stack([np.frombuffer(r, np.uint32) for r in block["registers"]])
-        side, mixed = block["side"].to_numpy(), block["own"].iloc[0]
-        out = set()
-        for i in range(len(block)):
-            near = np.flatnonzero((regs[i + 1 :] == regs[i]).mean(axis=1) >= LIKELY) + i + 1
-            for j in near:
-                if comp[i] != comp[j] and (mixed or side[i] != side[j]):
-                    out.add((max(node[i], node[j]), min(node[i], node[j])))
-        return pd.DataFrame(sorted(out), columns=["a", "b"])
-
-    for pdf in batches:
-        rows = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        keys = rows[["bucket", "c", "d"]].astype(str).agg("/".join, axis=1).to_numpy()
-        cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        bounds = [0, *cut, len(rows)]
-        for a, b in zip(bounds[:-2], bounds[1:-1], strict=False):
-            if b - a > 1:
-                yield pairs(rows.iloc[a:b])
-        held = rows.iloc[bounds[-2] :].reset_index(drop=True)
-    if held is not None and len(held) > 1:
-        yield pairs(held)
-
-
-def _open_pairs(buckets: DataFrame, comps: DataFrame, nodes: DataFrame, block: int = 512) -> DataFrame:
-    """Likely pairs of different components that share a bucket.
+def _shared(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Number of values that each two of ``n`` sets have in common; (value, owner) pairs are distinct."""
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    number = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]]))
+    often = np.bincount(number)[number] > 1
+    number, owner = np.unique(number[often], return_inverse=True)[1], owner[often]
+    both = np.zeros((n, n), np.float32)
+    for low in range(0, int(number.max(initial=-1)) + 1, 4096):  # by columns, so memory stays bounded
+        a, z = np.searchsorted(number, [low, low + 4096])
+        x = np.zeros((n, 4096), np.float32)
+        x[owner[a:z], number[a:z] - low] = 1
+        both += x @ x.T
+    return both
+
+
+def _block_links(threshold: float):
+    """Links between different components within each block (rows of a block follow each other)."""
+
+    def links(block: pd.DataFrame) -> pd.DataFrame:
+        values, ends = shingles(pa.Array.from_pandas(block["text"], type=pa.large_string()))
+        sets = [np.unique(values[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
+        sizes = np.array([len(x) for x in sets], np.float32)
+        both = _shared(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets))
+        near = both >= threshold * (sizes[:, None] + sizes[None, :] - both)
+        comp = pd.factorize(block["comp"])[0]
+        node, out = block["node"].to_numpy(object), []
+        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+            if comp[i] != comp[j]:
+                comp[comp == comp[j]] = comp[i]
+                out.append((node[i], node[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            keys = pdf[["bucket", "c", "d"]].to_numpy(np.int64)
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            bounds = [0, *cut, len(pdf)]
+            for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+                part = pdf.iloc[a:z]
+                if held and tuple(held[0][["bucket", "c", "d"]].iloc[0]) != tuple(keys[a]):
+                    yield links(pd.concat(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield links(pd.concat(held))
+
+    return run
+
+
+def _open_links(buckets: DataFrame, comps: DataFrame, texts: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+    """Links between different components that share a bucket.
 
     The nodes of a bucket are dealt into as many parts as keep each below about ``block``; every two
-    parts meet in one task as a block.
+    parts meet in one task as a block. Buckets with the same nodes are taken once.
     """
     known = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = (
         known.groupBy("bucket")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
+        .agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"),
+            F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        )
         .where("lo <> hi")
+        .groupBy("n", "x", "y")
+        .agg(F.min("bucket").alias("bucket"))
         .select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    )
+    )
     dealt = (
         known.join(sizes, "bucket")
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(
-            "bucket", "node", "comp",
-            F.least("part", "other").alias("c"), F.greatest("part", "other").alias("d"),
-            F.col("part").alias("side"), (F.col("part") == F.col("other")).alias("own"),
-        )
-    )
-    placed = dealt.join(nodes.select("node", "registers"), "node")
+        .where((F.col("parts") == 1) | (F.col("part") != F.col("other")))  # a part meets itself in any block
+        .select("bucket", "node", "comp", F.least("part", "other").alias("c"), F.greatest("part", "other").alias("d"))
+    )
     return (
-        placed.repartition("bucket", "c", "d")
+        dealt.join(texts, "node")
+        .repartition("bucket", "c", "d")
         .sortWithinPartitions("bucket", "c", "d", "node")
-        .mapInPandas(_likely_pairs, "a binary, b binary")
-        .distinct()
+        .mapInPandas(_block_links(threshold), "a binary, b binary")
     )
 
 
@@ -248,8 +267,8 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, class_id): every row of ``docs`` with the least id of its class of near-duplicates."""
     members = materialise(signatures(docs, id_col, text_col), "signatures")
-    worded = members.where("registers is not null")
-    nodes = worded.groupBy("node").agg(F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.min("id").alias("id"))
+    worded = members.where("worded")
+    nodes = worded.groupBy("node").agg(F.first("bands").alias("bands"), F.min("id").alias("id"))
     nodes = materialise(nodes, "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -258,12 +277,11 @@ def near_duplicates(
     texts = materialise(_texts_of(docs, ends, nodes.select("node", "id"), id_col, text_col), "texts")
     links = materialise(verify(stars, texts, threshold), "links")
     comps = components(links)
-    left = materialise(_open_pairs(buckets, comps, nodes), "open").join(stars, ["a", "b"], "left_anti")
-    more = materialise(verify(left, texts, threshold), "links")
+    more = materialise(_open_links(buckets, comps, texts, threshold), "links")
     if more.limit(1).count():
         comps = components(links.union(more))
     named = nodes.select("node", "id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("id").alias("class_id"))
     classes = named.join(least, "comp").select("node", "class_id")
-    single = members.where("registers is null").select("id", F.col("id").alias("class_id"))
+    single = members.where("not worded").select("id", F.col("id").alias("class_id"))
     return worded.select("id", "node").join(classes, "node").select("id", "class_id").union(single)
