@@ -208,10 +208,11 @@ def latent_basis(found: DataFrame, parts: Parts, idf: np.ndarray, k: int = 64, e
         z = np.zeros((n_terms, width))
         rows = 0
         for pdf in batches:
-            sparse = tfidf([np.asarray(x) for x in pdf["ids"]], idf)
+            row, term, w = sparse = tfidf([np.asarray(x) for x in pdf["ids"]], idf)
             y = _project(sparse, omega, len(pdf))
-            for j in range(width):
-                z[:, j] += np.bincount(sparse[1], weights=sparse[2] * y[sparse[0], j], minlength=n_terms)
+            order = np.argsort(term, kind="stable")
+            turned = (term[order], row[order], w[order])  # the transpose, by term
+            z += _project(turned, y, n_terms)
             rows += len(pdf)
         used = np.flatnonzero(np.abs(z).sum(axis=1))
         out = pd.DataFrame(z[used], columns=names)
@@ -227,9 +228,8 @@ def latent_basis(found: DataFrame, parts: Parts, idf: np.ndarray, k: int = 64, e
     count = max(1, int(sums["n"].sum()))
     own = tfidf(parts.words, idf)
     y = _project(own, omega, len(parts.words))
-    weight = max(1.0, count / len(parts.words))
-    for j in range(width):
-        z[:, j] += weight * np.bincount(own[1], weights=own[2] * y[own[0], j], minlength=n_terms)
+    order = np.argsort(own[1], kind="stable")
+    z += max(1.0, count / len(parts.words)) * _project((own[1][order], own[0][order], own[2][order]), y, n_terms)
     core = omega.T @ z
     value, vector = np.linalg.eigh((core + core.T) / 2)
     good = value > value.max() * 1e-10
@@ -263,17 +263,30 @@ def search(
     def unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
+    n_terms, n_parts = len(idf), len(parts.words)
+    asked = np.concatenate(answers)  # answer terms and the parts that ask for them, by term
+    by = np.argsort(asked, kind="stable")
+    part_of = np.repeat(np.arange(n_parts), [len(a) for a in answers])[by]
+    first = np.searchsorted(asked[by], np.arange(n_terms + 1))
+    wanted = np.array([len(a) for a in answers])
+
+    def answered_share(row: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """Share of each part's answer terms in each passage; (row, term) pairs are distinct."""
+        size = first[term + 1] - first[term]
+        at = np.repeat(first[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        cell = np.repeat(row, size) * n_parts + part_of[at]
+        return np.bincount(cell, minlength=n * n_parts).reshape(n, n_parts) / wanted
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        goal = unit(_project(tfidf(parts.words, idf), basis, len(parts.words)))
-        masks: list[dict[int, int] | None] = [None] * len(parts.words)
+        goal = unit(_project(tfidf(parts.words, idf), basis, n_parts))
+        masks: list[dict[int, int] | None] = [None] * n_parts
         for pdf in batches:
             lists = [np.asarray(x) for x in pdf["ids"]]
-            near = unit(_project(tfidf(lists, idf), basis, len(lists))) @ goal.T
+            sparse = tfidf(lists, idf)
+            near = unit(_project(sparse, basis, len(lists))) @ goal.T
+            answered = answered_share(sparse[0], sparse[1], len(lists))
             out = []
-            for i, j in zip(*np.nonzero(near >= min_cosine), strict=True):
-                answered = np.isin(answers[j], lists[i]).mean()
-                if answered < min_answer:
-                    continue
+            for i, j in zip(*np.nonzero((near >= min_cosine) & (answered >= min_answer)), strict=True):
                 n = len(parts.words[j])
                 if masks[j] is None:
                     places: dict[int, int] = {}
@@ -282,7 +295,7 @@ def search(
                     masks[j] = places
                 common = common_length(lists[i], masks[j], n) / n
                 if common >= min_common:
-                    out.append((pdf["doc_id"].iloc[i], parts.items[j], float(near[i, j]), common, float(answered)))
+                    out.append((pdf["doc_id"].iloc[i], parts.items[j], float(near[i, j]), common, float(answered[i, j])))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "common", "answered"])
 
     return found.mapInPandas(run, schema)
