@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import sys
-from itertools import chain
+from itertools import chain, repeat
 from types import ModuleType
 
 import numpy as np
@@ -38,16 +38,22 @@ class PieceStore:
         self.flat = np.zeros(0, np.int32)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not any("<|" in p for p in pieces):
+            # the pieces as the words of one text: a single result instead of one a piece
+            found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+            return np.array(found.ids, np.int32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces))
+        # special tokens are only told from text in a text of its own
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by ``end_id``; offsets of the texts)."""
-        plain = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-        rows, codes, names = split_words(pc.replace_substring_regex(plain, pattern=_SEAM, replacement=r"\1 \2"))
-        get = self.index.get
-        places = np.fromiter((get(w, -1) for w in names), np.int64, len(names))
+        whole = pc.fill_null(texts.cast(pa.large_string()), "")
+        plain = pc.ascii_lower(whole)
+        parted = pc.replace_substring_regex(plain, pattern=_SEAM, replacement=r"\1 \2")
+        special = pc.match_substring_regex(plain, pattern=r"<\|[a-z_0-9]+\|>")  # such strings stay in one piece, as they are
+        rows, codes, names = split_words(pc.if_else(special, whole, parted))
+        places = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
         start, size, flat = self.start, self.size, self.flat
         if (new := np.flatnonzero(places < 0)).size:
             pieces = [names[i] for i in new]

@@ -89,13 +89,14 @@ def file_order() -> list[Column]:
     ]
 
 
-def with_start(rows: DataFrame, size_col: str, start_col: str) -> DataFrame:
+def with_start(rows: DataFrame, size_col: str, start_col: str, sizes: DataFrame | None = None) -> DataFrame:
     """Add the sum of ``size_col`` over all rows before, by (file_no, row_no).
 
     Two levels: a running sum within each file, and the sums of all files before; only the latter, one
-    row per file, pass through a single task.
+    row per file, pass through a single task. ``sizes``: (file_no, size_col), where that is cheaper to
+    read than ``rows``.
     """
-    files = rows.groupBy("file_no").agg(F.sum(size_col).alias("__sum"))
+    files = (rows if sizes is None else sizes).groupBy("file_no").agg(F.sum(size_col).alias("__sum"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     base = files.select("file_no", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
     inside = Window.partitionBy("file_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,7 +106,9 @@ def with_start(rows: DataFrame, size_col: str, start_col: str) -> DataFrame:
 
 def read_digests(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Read the files back: id, start, n_tokens, ids_crc32 of every document."""
-    rows = spark.read.parquet(path).select(
+    files = spark.read.parquet(path)
+    rows = files.select(
         id_col, F.size("ids").cast("long").alias("n_tokens"), ids_crc32(F.col("ids")).alias("ids_crc32"), *file_order()
     )
-    return with_start(rows, "n_tokens", "start").select(id_col, "start", "n_tokens", "ids_crc32")
+    sizes = files.select("n_tokens", *file_order())  # the column of counts alone
+    return with_start(rows, "n_tokens", "start", sizes).select(id_col, "start", "n_tokens", "ids_crc32")
