@@ -6,8 +6,9 @@ the longest part, half overlapping, so that each part lies whole in some passage
 their frequency in the passage and their rarity over all documents. A randomised SVD of the passages'
 TF-IDF matrix (one pass of a Gaussian sketch, summed up by Spark, then solved as a Nystroem problem of
 the sketch's size) gives latent vectors; passages whose cosine to a part reaches ``min_cosine`` are its
-candidates. A candidate is a leak if the longest common subsequence covers ``min_common`` of the part's
-words, and ``min_answer`` of its answer terms, the rarest third, are in the passage.
+candidates. A candidate is a leak if in some stretch of it, of twice the part's length, the longest common
+subsequence covers ``min_common`` of the part's words, and ``min_answer`` of its answer terms, the rarest
+third, are there.
 
 A passage that holds fewer answer terms than a part's check demands of the least demanding part can't
 pass, and is left out before the SVD. Nothing else is: all documents and whole texts take part in the
@@ -293,9 +294,14 @@ def search(
                     for p, t in enumerate(parts.words[j].tolist()):
                         places[t] = places.get(t, 0) | 1 << p
                     masks[j] = places
-                common = common_length(lists[i], masks[j], n) / n
-                if common >= min_common:
-                    out.append((pdf["doc_id"].iloc[i], parts.items[j], float(near[i, j]), common, float(answered[i, j])))
+                # within stretches of twice the part's length, half overlapping
+                best = (0.0, 0.0)
+                for at in range(0, max(1, len(lists[i]) - n), n):
+                    stretch = lists[i][at : at + 2 * n]
+                    if (share := np.isin(answers[j], stretch).mean()) >= min_answer:
+                        best = max(best, (common_length(stretch, masks[j], n) / n, share))
+                if best[0] >= min_common:
+                    out.append((pdf["doc_id"].iloc[i], parts.items[j], float(near[i, j]), best[0], float(best[1])))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "common", "answered"])
 
     return found.mapInPandas(run, schema)
