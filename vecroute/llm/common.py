@@ -35,7 +35,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
+def bound_batches(spark: SparkSession, rows: int = 500, megabytes: int = 4) -> None:
     """Keep Arrow batches small, so that a worker's memory follows neither text length nor file size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))

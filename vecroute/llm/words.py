@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def give_back() -> None:
+    """Return memory that earlier batches freed to the system, so that workers of many stages stay small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def split_words(texts: pa.Array, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(row of each word, code of each word, the distinct words); nulls count as empty.
 
     Words are runs without ASCII white space; with ``letters_only``, runs of letters in lower case.
     """
+    give_back()
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
