@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def _fold(pairs: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
