@@ -30,6 +30,14 @@ def test_pages_of_both_kinds(spark):
     assert df.limit(0).select(extract(tree, F.col("html"))).count() == 0
 
 
+def test_hints_on_containers(spark):
+    tree = train_tree(spark)
+    page = """<body class="has-ads"><main class="page-with-sidebar" data-id="ad-1"><article class="long-form related-none"><p>kept</p></article>
+<article class="post has-comments" data-id="comment 7"><p>kept too</p><div class="noSidebar">and this</div></article>
+<article class="comment"><p>reader words</p></article><div id="respond" role="complementary">not this</div></main>"""
+    assert main_text(page.replace("related-none", ""), tree) == "kept kept too and this"
+
+
 def test_very_long_page(spark):
     body = "".join(f"<p>paragraph number {i} with some words" for i in range(20_000))
     text = main_text(f"<article>{body}</article>", train_tree(spark))

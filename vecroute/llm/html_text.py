@@ -38,11 +38,14 @@ HINTS = set(
     "notice notices alert sidebar aside widget menu navbar nav navigation breadcrumb breadcrumbs footer header masthead "
     "topbar comment comments reply replies discussion disqus share sharing social related recommended newsletter "
     "subscribe signup login popup modal overlay paywall skip search toolbar pagination pager complementary contentinfo "
-    "form legal copyright disclaimer outbrain taboola teaser".split()
+    "copyright disclaimer outbrain taboola".split()
 )
+# Hints that hold for an article element too; words that turn a hint round ("has-sidebar").
+ARTICLE_HINTS = set("ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split())
+TURNED = set("has with without no non".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)""", re.S)
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -58,10 +61,13 @@ def is_boilerplate(tag: str, attributes: str) -> bool:
         return True
     if not attributes:
         return False
-    if tag not in ("body", "html") and "=" in attributes:
+    hints = set() if tag in ("body", "html", "main") else ARTICLE_HINTS if tag == "article" else HINTS
+    if hints and "=" in attributes:
         for groups in _MARKS.findall(attributes):
-            if HINTS.intersection(_PART.findall(_CAMEL.sub("-", "".join(groups)).lower())):
-                return True
+            for name in "".join(groups).split():
+                words = _PART.findall(_CAMEL.sub("-", name).lower())
+                if hints.intersection(words) and not TURNED.intersection(words):
+                    return True
     return bool(_HIDDEN.search(attributes))
 
 
