@@ -28,3 +28,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_intermediates(spark: SparkSession) -> bool:
+    """Delete all tables that this library has written to the shared folder; results that still read
+    from them are lost. True if there was something."""
+    base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    if not base:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/vecroute")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
