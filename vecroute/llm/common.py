@@ -1,38 +1,12 @@
-"""Helpers that the operators of this subpackage share: table access and the shared folder."""
+"""What the operators of this subpackage share: table access, the shared folder, Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from vecroute.functions.storage import materialise, shared_dir, table
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A whole input table; Spark's reader opens the path, so any Hadoop store will do."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is absent (local tests) is a folder of this machine taken.
-    """
-    base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not base:
-        base = tempfile.mkdtemp(prefix="vecroute-")
-        spark.conf.set(CHECKPOINT_CONF, base)
-    return f"{base.rstrip('/')}/vecroute/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor
-    costs nothing that was written."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bound_batches", "materialise", "shared_dir", "table"]
 
 
 def bound_batches(spark: SparkSession, rows: int = 500, megabytes: int = 4) -> None:

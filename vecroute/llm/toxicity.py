@@ -93,9 +93,8 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
         .orderBy(F.xxhash64(F.col("__id").cast("string"), F.lit("toxicity")), "__id")
         .limit(max_rows)
     )
-    return docs.join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select(
-        "__id", F.col(text_col).cast("string").alias("text"), "y"
-    )
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
+    return texts.join(F.broadcast(picked), F.col("__doc") == F.col("__id")).select("__id", "text", "y")
 
 
 def _count_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
