@@ -90,3 +90,13 @@ def mine_labels(
     if subset_size is not None and subset_size < vectors.count():
         vectors = sample_ids(vectors, subset_size, seed)
     return exact_knn(queries, vectors, top_k, metric)
+
+
+def linspace_sample(rows: DataFrame, n: int, index_col: str = "i") -> DataFrame:
+    """``n`` rows evenly spaced by an index 0..m-1 (all, if there are no more): the i-th at
+    floor(i (m - 1) / (n - 1))."""
+    m = rows.count()
+    if n >= m:
+        return rows
+    wanted = rows.sparkSession.range(n).select(F.expr(f"cast(floor(id * {m - 1}D / {max(1, n - 1)}D) as long)").alias(index_col))
+    return rows.join(wanted.distinct(), index_col, "left_semi")

@@ -103,3 +103,15 @@ def sweep_rows(probes: DataFrame, tree_paths: DataFrame, queries: DataFrame, vec
         row = recall.withColumn("num_leaves", F.lit(m)).join(mean.withColumn("num_leaves", F.lit(m)), "num_leaves")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def repetition_summary(times: DataFrame, by: list[str], value: str = "seconds") -> DataFrame:
+    """(by, repetitions, median, min, max) of repeated timings."""
+    return times.groupBy(*by).agg(
+        F.count(value).alias("repetitions"), F.median(value).alias("median"), F.min(value).alias("min"), F.max(value).alias("max")
+    )
+
+
+def weighted_loss(batches: DataFrame, loss: str = "loss", size: str = "n") -> DataFrame:
+    """Mean of per-batch losses, weighted by the batches' sizes; null without rows."""
+    return batches.agg((F.sum(F.col(loss) * F.col(size)) / F.sum(size)).alias("loss"))

@@ -366,6 +366,23 @@ def qps_by_machine(spark, sf):
     return rounded(analysis.qps_by_machine(rows), "best_qps", "median_qps", "best_candidates_per_second")
 
 
+def repetition_summary(spark, sf):
+    """The report over values of ``lineitem``, as if they were timings of machines."""
+    times = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("machine"), F.col("l_extendedprice").cast("double").alias("seconds"))
+    return rounded(metrics.repetition_summary(times, ["machine"]), "median", "min", "max")
+
+
+def weighted_loss(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_discount").cast("double").alias("loss"), F.col("l_quantity").cast("double").alias("n"))
+    return rounded(metrics.weighted_loss(rows), "loss")
+
+
+def linspace_sample(spark, sf):
+    """101 vectors, evenly spaced by their id: a sampling operator."""
+    rows = vectors(spark, sf).select(F.col("vec_id").alias("i"), "label")
+    return knn.linspace_sample(rows, 101)
+
+
 # --- without SQL -----------------------------------------------------------------------------------
 
 
@@ -407,6 +424,7 @@ QUERIES = {
     "recall_at_10": recall_at_10, "recall_stats": recall_stats, "sweep_num_leaves": sweep_num_leaves, "routing_evals": routing_evals,
     "candidate_set_estimate": candidate_set_estimate, "leaf_divergence": leaf_divergence, "merge_trees": merge_trees,
     "curve_interpolation": curve_interpolation, "balance_warnings": balance_warnings, "qps_by_machine": qps_by_machine,
+    "repetition_summary": repetition_summary, "weighted_loss": weighted_loss, "linspace_sample": linspace_sample,
     "train_router_ml": train_router_ml, "ivf_baseline": ivf_baseline, "source_roundtrip": source_roundtrip,
 }
 

@@ -232,5 +232,10 @@ FROM curve a JOIN curve b ON a.leaves = b.leaves AND a.label = 'union' AND b.lab
     "qps_by_machine": """SELECT 'host' || (l_suppkey % 7) AS host, l_returnflag AS gpu, count(*) AS n_points, round(max(l_extendedprice::DOUBLE), 6) AS best_qps,
   round(median(l_extendedprice::DOUBLE), 6) AS median_qps, round(max(CASE WHEN l_quantity > 0 THEN l_extendedprice::DOUBLE * l_quantity::DOUBLE END), 6) AS best_candidates_per_second
 FROM lineitem GROUP BY ALL""",
+    "repetition_summary": """SELECT l_linestatus AS machine, count(l_extendedprice) AS repetitions, round(median(l_extendedprice::DOUBLE), 6) AS median,
+  round(min(l_extendedprice::DOUBLE), 6) AS min, round(max(l_extendedprice::DOUBLE), 6) AS max FROM lineitem GROUP BY ALL""",
+    "weighted_loss": "SELECT round(sum(l_discount::DOUBLE * l_quantity::DOUBLE) / sum(l_quantity::DOUBLE), 6) AS loss FROM lineitem",
+    "linspace_sample": """SELECT vec_id AS i, label FROM embeddings WHERE vec_id IN (
+  SELECT floor(x * ((SELECT count(*) FROM embeddings) - 1)::DOUBLE / 100)::BIGINT FROM range(101) t(x))""",
     "source_roundtrip": f"WITH {V} SELECT vec_id, len(e)::INT AS width, round(list_sum(e), 6) AS total FROM v",
 }

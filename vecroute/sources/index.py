@@ -74,3 +74,9 @@ def merge_indexes(spark: SparkSession, inputs: list[str], output: str) -> IndexM
     meta = IndexMeta(k, h, alpha, n, sum(m.n_trees for _, _, m in loaded))
     save_index(merge_trees([p for p, _, _ in loaded]), merge_trees([r for _, r, _ in loaded]), meta, output)
     return meta
+
+
+def index_size_mb(spark: SparkSession, path: str) -> float:
+    """Size of an index's files in MB, from their listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+    return (files.agg(F.sum("length")).first()[0] or 0) / 1e6
