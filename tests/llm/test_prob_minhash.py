@@ -53,7 +53,9 @@ def corpus():
         at = rng.randrange(180)
         chain[at : at + 4] = [word() for _ in range(4)]
     rows += ["", None, "  ", "one", "one", "a b c d", "a b c d e", "x " * 30_000, "x " * 200, None]
-    return list(enumerate(rows)) + [(None, rows[0]), (None, "single text without an id at all"), (3, rows[3])]
+    return list(enumerate(rows)) + [(None, rows[0]), (None, "single text without an id at all"), (3, rows[3])] + [
+        (None, " ".join(f"n{i}" for i in range(60)) + end) for end in ("", " more", " other")
+    ]
 
 
 def test_classes_equal_brute_force(spark):

@@ -174,8 +174,12 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, members: DataFrame, id_col: str
     with_id = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(
         one.select("id"), "id", "left_semi"
     )
-    hashed = with_id.withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
-    return hashed.join(one, ["id", "node"], "left_semi").select("node", "text")
+    of_text = F.unhex(F.md5(F.col("text").cast("binary")))
+    found = with_id.withColumn("node", of_text).join(one, ["id", "node"], "left_semi").select("node", "text")
+    # texts that only rows without an id have
+    bare = docs.where(F.col(id_col).isNull()).select(F.col(text_col).cast("string").alias("text")).withColumn("node", of_text)
+    bare = bare.join(one.where("id is null"), "node", "left_semi").select("node", "text")
+    return found.union(bare).dropDuplicates(["node"])
 
 
 def _shared(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
