@@ -12,17 +12,36 @@ from pyspark.sql import functions as F
 from vecroute.functions.distance import DENSE
 
 
-def block_distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of all pairs of two matrices, in double precision."""
+def pair_distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of each row of one matrix to the same row of the other, in double precision."""
     if metric == "inner_product":
-        return -(queries @ vectors.T)
+        return -(queries * vectors).sum(axis=1)
+    if metric in ("angular", "cosine"):
+        length = np.linalg.norm(queries, axis=1) * np.linalg.norm(vectors, axis=1)
+        dots = (queries * vectors).sum(axis=1)
+        return 1 - np.divide(dots, length, out=np.zeros_like(length), where=length > 0)
+    return np.sqrt(((vectors - queries) ** 2).sum(axis=1))
+
+
+def block_top_k(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, distance) of each query's nearest ``k`` of a block; ties go to the lower id.
+
+    One matrix product ranks all pairs up to rounding; those within reach of the k-th are measured anew.
+    """
+    rough = -(queries @ vectors.T)
     if metric in ("angular", "cosine"):
         length = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(vectors, axis=1)[None, :]
-        return 1 - np.divide(queries @ vectors.T, length, out=np.zeros_like(length), where=length > 0)
-    out = np.empty((len(queries), len(vectors)))
-    for i, q in enumerate(queries):
-        out[i] = np.sqrt(((vectors - q) ** 2).sum(axis=1))
-    return out
+        rough = np.divide(rough, length, out=np.zeros_like(length), where=length > 0)
+    elif metric == "euclidean":
+        rough = (vectors**2).sum(axis=1)[None, :] + 2 * rough
+    reach = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
+    row, col = np.nonzero(rough <= (reach + 1e-9 * (1 + np.abs(rough).max()))[:, None])
+    exact = pair_distances(queries[row], vectors[col], metric)
+    order = np.lexsort((ids[col], np.round(exact, 9), row))
+    row, col, exact = row[order], col[order], exact[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < k
+    return row[keep], ids[col[keep]], exact[keep]
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,15 +78,9 @@ def exact_knn(
             for ids, width, data, asked in zip(pdf["ids"], pdf["width"], pdf["data"], pdf["asked"], strict=True):
                 m = np.frombuffer(data, "<f8").reshape(-1, width)
                 q = np.stack([np.asarray(a["embedding"], float) for a in asked])
-                d = block_distances(q, m, metric)
-                ids = np.asarray(ids)
-                for row, a in zip(d, asked, strict=True):
-                    if k < len(row):  # all that tie with the k-th stay
-                        near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-                    else:
-                        near = np.arange(len(row))
-                    near = near[np.lexsort((ids[near], row[near]))[:k]]
-                    yield pd.DataFrame({"query_id": a["query_id"], "vec_id": ids[near], "distance": row[near]})
+                names = np.array([a["query_id"] for a in asked])
+                row, near, distance = block_top_k(q, m, np.asarray(ids), k, metric)
+                yield pd.DataFrame({"query_id": names[row], "vec_id": near, "distance": distance})
 
     found = pairs.mapInPandas(best, "query_id long, vec_id long, distance double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id"))
