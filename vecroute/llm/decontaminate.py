@@ -187,15 +187,18 @@ def tfidf(lists: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _project(sparse: tuple, basis: np.ndarray, n: int) -> np.ndarray:
+    """Sparse rows times ``basis``; the rows of the sparse form follow each other."""
     row, term, w = sparse
     out = np.zeros((n, basis.shape[1]))
     if len(row):
         cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        out[row[cut]] = np.add.reduceat(basis[term] * w[:, None], cut, axis=0)
+        parts = basis.astype(np.float32)[term]  # single precision: half the memory to pass through
+        parts *= w.astype(np.float32)[:, None]
+        out[row[cut]] = np.add.reduceat(parts, cut, axis=0)
     return out
 
 
-def latent_basis(found: DataFrame, parts: Parts, idf: np.ndarray, k: int = 64, extra: int = 16, seed: int = 7) -> np.ndarray:
+def latent_basis(found: DataFrame, parts: Parts, idf: np.ndarray, k: int = 32, extra: int = 8, seed: int = 7) -> np.ndarray:
     """Right singular vectors (terms x k) of the passages' TF-IDF matrix, with the parts as rows too.
 
     The sketch of A'A is summed over all passages by Spark; the parts weigh as much as the passages.
