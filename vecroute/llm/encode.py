@@ -25,7 +25,7 @@ _SEAM = r"([A-Za-z])([!-&(-/:-@\[-`{-~])"
 class PieceStore:
     """Ids of pieces seen so far; when it holds ``most`` pieces, further ones live for a batch only."""
 
-    def __init__(self, tokenizer_path: str, plain_specials: bool = False, most: int = 200_000):
+    def __init__(self, tokenizer_path: str, plain_specials: bool = False, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

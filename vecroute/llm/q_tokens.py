@@ -9,6 +9,8 @@ from vecroute.llm.common import bound_batches, shared_dir, table
 from vecroute.llm.token_files import read_digests, write_token_files
 
 END_ID = 2
+#: Rows an Arrow batch: the more, the fewer distinct pieces a text costs.
+BATCH = 1500
 #: Of the flat files: the tokenizer's own end-of-text id, which no text can produce.
 SEPARATOR = 49407
 
@@ -21,7 +23,7 @@ def tokenizer_file(name: str) -> str:
 
 def token_output(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder and digest what they hold."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH, 8)
     path = shared_dir(spark, "tokens")
     write_token_files(docs, path, tokenizer_file("word_bpe_49k.json"), END_ID)
     return read_digests(spark, path)
@@ -33,7 +35,7 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat token files of all documents, then the length and place of each from the files alone."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH, 8)
     docs = table(spark, sf_dir, "documents")
     path = shared_dir(spark, "flat-tokens")
     token_counts.write_token_files(docs, path, tokenizer_file("word_bpe_49k.json"), SEPARATOR)
