@@ -82,3 +82,48 @@ def test_table_against_exact_containment(spark):
     items = {r["item_id"]: " ".join(normal_words(r["text"])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     want = {(d, i) for d, t in docs.items() for i, x in items.items() if f" {x} " in f" {t} "}
     assert {(r["doc_id"], r["item_id"]) for r in op2_decontaminate(spark, SF).collect()} >= want
+
+
+def mixed_lengths():
+    """Short items beside items of 250 words, whole and paraphrased copies of the short ones in long hosts of the same words."""
+    rng = random.Random(12)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    pick = lambda n: rng.choices(names, [1 / (i + 1) for i in range(len(names))], k=n)
+    items = [(i, pick(rng.randrange(8, 20))) for i in range(30)] + [(100 + i, pick(250)) for i in range(5)]
+    docs = []
+    for d in range(240):
+        text, (_, w) = pick(500), items[d % 30]
+        w = [x if d % 2 or rng.random() > 0.25 else rng.choice(names) for x in w]
+        at = rng.randrange(len(text))
+        docs.append((d, text[:at] + w + text[at:]))
+    return docs, items
+
+
+def by_the_rule(docs, items, min_common=0.6, min_answer=0.5):
+    """Pairs of which a stretch of twice the item's length has enough of it in common, at any place of the document."""
+    df = {}
+    for _, w in docs:
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    want = set()
+    for i, x in items:
+        rare = sorted(set(x), key=lambda t: (df.get(t, 0), t))[: max(2, len(set(x)) // 3)]
+        for d, w in docs:
+            for a in range(0, max(1, len(w) - len(x)), len(x)):
+                stretch = w[a : a + 2 * len(x)]
+                if sum(t in stretch for t in rare) >= min_answer * len(rare) and lcs(stretch, x) >= min_common * len(x):
+                    want.add((d, i))
+                    break
+    return want
+
+
+def test_short_items_beside_long_ones(spark):
+    docs, items = mixed_lengths()
+    text = [(d, " ".join(w)) for d, w in docs]
+    bench = [(i, " ".join(w)) for i, w in items]
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(text, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    whole = {(d, d % 30) for d, _ in docs if d % 2}
+    want = by_the_rule(docs, items[:30])
+    print("whole lost", len(whole - got), "of", len(whole), "rule lost", len(want - got), "of", len(want))
+    assert whole <= got
+    assert len(got & want) >= 0.95 * len(want)

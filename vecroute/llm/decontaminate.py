@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into parts of at most ``PART`` words; their words are the terms. Every document
-becomes the sequence of its terms (other words keep their place as a blank), read as passages of twice
-the longest part, half overlapping, so that each part lies whole in some passage. Terms are weighted by
-their frequency in the passage and their rarity over all documents. A randomised SVD of the passages'
+becomes the sequence of its terms (other words keep their place as a blank). Parts are searched by length
+class, each with the terms of its own parts and in passages of twice its longest part, half overlapping, so
+that each part lies whole in some passage and no passage is much longer than the part it is compared with.
+Terms are weighted by their frequency in the passage and their rarity over all documents. A randomised SVD of the passages'
 TF-IDF matrix (one pass of a Gaussian sketch, summed up by Spark, then solved as a Nystroem problem of
 the sketch's size) gives latent vectors; passages whose cosine to a part reaches ``min_cosine`` are its
 candidates. A candidate is a leak if in some stretch of it, of twice the part's length, the longest common
@@ -53,6 +54,17 @@ class Parts:
     def window(self) -> int:
         return 2 * max(len(w) for w in self.words)
 
+    def classes(self) -> list[tuple[Parts, np.ndarray]]:
+        """The parts by length class, lengths up to 8, 16, 32, ...; with the numbers here of each class's terms."""
+        level = np.array([max(3, (len(w) - 1).bit_length()) for w in self.words])
+        out = []
+        for x in np.unique(level):
+            own = np.flatnonzero(level == x)
+            terms = np.unique(np.concatenate([self.words[j] for j in own]))
+            words = [np.searchsorted(terms, self.words[j]) for j in own]
+            out.append((Parts([self.items[j] for j in own], [self.terms[t] for t in terms], words), terms))
+        return out
+
 
 def normal_words(text: str | None) -> list[str]:
     """Lower-case words without anything but letters and digits."""
@@ -133,8 +145,13 @@ def answer_terms(parts: Parts, df: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def passages(sequences: DataFrame, parts: Parts, answers: list[np.ndarray], min_answer: float) -> DataFrame:
-    """(doc_id, at, ids) of the passages that hold as many answer terms as some part demands."""
+def passages(
+    sequences: DataFrame, parts: Parts, number: np.ndarray, answers: list[np.ndarray], min_answer: float
+) -> DataFrame:
+    """(doc_id, at, ids) of the passages that hold as many answer terms as some part demands.
+
+    ``number`` has the term of ``parts`` of each term of the sequences, -1 for others and as its last value.
+    """
     window = parts.window
     step = window // 2
     marked = np.zeros(len(parts.terms) + 1, bool)  # the last stands for -1
@@ -147,7 +164,7 @@ def passages(sequences: DataFrame, parts: Parts, answers: list[np.ndarray], min_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("ids")
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            flat = number[lists.flatten().to_numpy(zero_copy_only=False)]
             ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
             hits = np.concatenate([[0], np.cumsum(marked[flat])])
             row, at, out = [], [], []
@@ -335,11 +352,14 @@ def leaks(
         sequences = materialise(term_sequences(docs, parts.terms, id_col, text_col), "terms")
         df, n = document_frequency(sequences, len(parts.terms))
         idf = np.log((n + 1) / (df + 0.5)).clip(min=0.05)
-        answers = answer_terms(parts, df)
-        found = materialise(passages(sequences, parts, answers, min_answer), "passages")
-        basis = latent_basis(found, parts, idf)
-        hits = search(found, parts, idf, answers, basis, min_cosine, min_common, min_answer)
-        out = hits if out is None else out.union(hits)
+        for group, terms in parts.classes():
+            number = np.full(len(parts.terms) + 1, -1, np.int32)
+            number[terms] = np.arange(len(terms))
+            answers = answer_terms(group, df[terms])
+            found = materialise(passages(sequences, group, number, answers, min_answer), "passages")
+            basis = latent_basis(found, group, idf[terms])
+            hits = search(found, group, idf[terms], answers, basis, min_cosine, min_common, min_answer)
+            out = hits if out is None else out.union(hits)
     if out is None:
         return docs.select(
             F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("item_id"), *(F.lit(0.0).alias(c) for c in ("cosine", "common", "answered"))
