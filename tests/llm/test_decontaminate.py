@@ -1,6 +1,8 @@
 import random
 
-from vecroute.llm.decontaminate import leaks, normal_words
+import numpy as np
+
+from vecroute.llm.decontaminate import Parts, latent_basis, leaks, normal_words
 from vecroute.llm.q_decontaminate import op2_decontaminate
 
 SF = "/root/testdata/sf0.001"
@@ -124,6 +126,13 @@ def test_short_items_beside_long_ones(spark):
     got = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(text, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
     whole = {(d, d % 30) for d, _ in docs if d % 2}
     want = by_the_rule(docs, items[:30])
-    print("whole lost", len(whole - got), "of", len(whole), "rule lost", len(want - got), "of", len(want))
     assert whole <= got
     assert len(got & want) >= 0.95 * len(want)
+
+
+def test_latent_space_keeps_its_dimensions(spark):
+    rng = np.random.default_rng(4)
+    words = [rng.integers(0, 300, 40) for _ in range(150)]
+    parts = Parts(list(range(150)), [f"w{t:03}" for t in range(300)], words)
+    found = spark.createDataFrame([(w.tolist(),) for w in words], "ids array<int>")
+    assert latent_basis(found, parts, np.ones(300)).shape == (300, 64)

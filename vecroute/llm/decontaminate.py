@@ -2,8 +2,8 @@
 
 Benchmark items are cut into parts of at most ``PART`` words; their words are the terms. Every document
 becomes the sequence of its terms (other words keep their place as a blank). Parts are searched by length
-class, each with the terms of its own parts and in passages of twice its longest part, half overlapping, so
-that each part lies whole in some passage and no passage is much longer than the part it is compared with.
+class, each with the terms of its own parts and in passages of three times its longest part, a third apart, so
+that each stretch of twice a part's length lies whole in some passage and none is much longer than the part.
 Terms are weighted by their frequency in the passage and their rarity over all documents. A randomised SVD of the passages'
 TF-IDF matrix (one pass of a Gaussian sketch, summed up by Spark, then solved as a Nystroem problem of
 the sketch's size) gives latent vectors; passages whose cosine to a part reaches ``min_cosine`` are its
@@ -52,7 +52,7 @@ class Parts:
 
     @property
     def window(self) -> int:
-        return 2 * max(len(w) for w in self.words)
+        return 3 * max(len(w) for w in self.words)
 
     def classes(self) -> list[tuple[Parts, np.ndarray]]:
         """The parts by length class, lengths up to 8, 16, 32, ...; with the numbers here of each class's terms."""
@@ -153,7 +153,7 @@ def passages(
     ``number`` has the term of ``parts`` of each term of the sequences, -1 for others and as its last value.
     """
     window = parts.window
-    step = window // 2
+    step = window // 3
     marked = np.zeros(len(parts.terms) + 1, bool)  # the last stands for -1
     marked[np.unique(np.concatenate(answers))] = True
     need = max(1, min(int(np.ceil(min_answer * len(a))) for a in answers))
@@ -170,7 +170,7 @@ def passages(
             row, at, out = [], [], []
             for i in np.flatnonzero(hits[ends[1:]] - hits[ends[:-1]] >= need):
                 a, z = ends[i], ends[i + 1]
-                starts = np.arange(a, max(a + 1, z - step), step)
+                starts = np.arange(a, max(a + 1, z - 2 * step), step)
                 stops = np.minimum(starts + window, z)
                 for s, e in zip(starts, stops, strict=True):
                     if hits[e] - hits[s] >= need:
@@ -215,7 +215,7 @@ def _project(sparse: tuple, basis: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def latent_basis(found: DataFrame, parts: Parts, idf: np.ndarray, k: int = 32, extra: int = 8, seed: int = 7) -> np.ndarray:
+def latent_basis(found: DataFrame, parts: Parts, idf: np.ndarray, k: int = 64, extra: int = 16, seed: int = 7) -> np.ndarray:
     """Right singular vectors (terms x k) of the passages' TF-IDF matrix, with the parts as rows too.
 
     The sketch of A'A is summed over all passages by Spark; the parts weigh as much as the passages.
@@ -314,9 +314,9 @@ def search(
                     for p, t in enumerate(parts.words[j].tolist()):
                         places[t] = places.get(t, 0) | 1 << p
                     masks[j] = places
-                # within stretches of twice the part's length, half overlapping
+                # within stretches of twice the part's length, an eighth of it apart
                 best = (0.0, 0.0)
-                for at in range(0, max(1, len(lists[i]) - n), n):
+                for at in range(0, max(1, len(lists[i]) - 2 * n + n // 4), max(1, n // 4)):
                     stretch = lists[i][at : at + 2 * n]
                     if (share := np.isin(answers[j], stretch).mean()) >= min_answer:
                         best = max(best, (common_length(stretch, masks[j], n) / n, share))
