@@ -105,3 +105,14 @@ def test_shingles_of_short_texts():
 def test_all_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in op3_prob_minhash(spark, SF).collect()), key=str) == brute(rows)
+
+
+def test_repeated_lines_do_not_hide_copies(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for i in range(24):
+        article, line = [word() for _ in range(100)], [word() for _ in range(18)]
+        rows += [(2 * i, " ".join(article)), (2 * i + 1, " ".join(article + line * (10, 30, 100)[i % 3]))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r["id"], r["class_id"]) for r in got.collect()), key=str) == brute(rows)

@@ -5,7 +5,9 @@ Poisson process whose rate is its weight: its arrivals, drawn from a hash of the
 registers, and a register keeps the shingle that arrived first. A text's processes end early, once they
 have passed the latest first arrival. The share of registers on which two texts agree estimates their
 probability Jaccard similarity. Bands of registers give buckets, and candidates are verified on their
-texts: a link is an exact Jaccard similarity of the distinct shingles of ``threshold`` or more.
+texts: a link is an exact Jaccard similarity of the distinct shingles of ``threshold`` or more. A text that
+repeats shingles is in the buckets of its unit-weight signature, too, as what it repeats would push a
+near-copy without the repeats far below that similarity; for other texts the two signatures are one.
 
 Groups stay cheap and whole: equal texts are one node; in a bucket each node is compared with the least
 node (a star), never all with all; links are joined into components. Then, only in buckets that still
@@ -114,17 +116,25 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         values, ends = shingles(b.column("text"))
         sigs = np.zeros((b.num_rows, REGISTERS), np.uint64)
+        again, plain = [], []
         has = ends[1:] > ends[:-1]
         for i in np.flatnonzero(has):
             elements, counts = np.unique(values[ends[i] : ends[i + 1]], return_counts=True)
             sigs[i] = signature(elements, 1 + np.log(counts))
-        keys = band_keys(sigs)[has]
-        offsets = np.concatenate([[0], np.cumsum(has * BANDS)])
+            if len(elements) > 1 and counts.max() > 1:
+                again.append(i)
+                plain.append(signature(elements, np.ones(len(elements))))
+        keys = [k if x else k[:0] for k, x in zip(band_keys(sigs), has, strict=True)]
+        if again:
+            for i, k in zip(again, band_keys(np.array(plain)), strict=True):
+                keys[i] = np.union1d(keys[i], k)
+        offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("id"),
                 b.column("node"),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel(), pa.int64())),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
                 pa.array(has),
             ],
             names=["id", "node", "bands", "worded"],
