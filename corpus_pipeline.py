@@ -9,7 +9,7 @@ from vecroute.llm.common import bound_batches, materialise, table
 from vecroute.llm.decontaminate import leaks
 from vecroute.llm.language_id import identify, train
 from vecroute.llm.mixing import copies, fit_rates, memberships, rate_column, train_domains
-from vecroute.llm.prob_minhash import near_duplicates
+from vecroute.llm.prob_minhash import text_classes
 from vecroute.llm.q_mixing import labelled_docs
 from vecroute.llm.q_tokens import token_output
 
@@ -23,20 +23,25 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the least id.
+    """One row of each class of near-duplicates: that with the least id, then the least text by its MD5.
 
-    A document without an id can't be told from another one, so those stay.
+    Rows are told apart by id and text, so rows that share an id, or have none, go only as copies of a row
+    that stays; a row with an id goes before one without. Texts without a word are no copies, unless their
+    rows repeat an id as well.
     """
     bound_batches(spark)
-    classes = materialise(near_duplicates(docs), "classes")
-    first = classes.where("id = class_id").select(F.col("id").alias("doc_id"))
-    repeated = first.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    kept = docs.join(first.distinct(), "doc_id", "left_semi")
-    if repeated:  # rows that repeat an id are copies of the class too
-        kept = kept.dropDuplicates(["doc_id"])
-    if not classes.where("id is null").limit(1).count():
-        return kept.select(*docs.columns)
-    return kept.union(docs.where("doc_id is null").select(*kept.columns)).select(*docs.columns)
+    rows = materialise(text_classes(docs).groupBy("id", "node", "comp").agg(F.count("*").alias("n")), "classes")
+    own = F.struct(F.col("id").isNull().alias("bare"), "id", "node", "n")
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(own).alias("x")).select("x.*")
+    wordless = rows.where("comp is null").select(F.lit(False).alias("bare"), "id", "node", F.when(F.col("id").isNull(), 1).otherwise(F.col("n")).alias("n"))
+    first = first.union(wordless).select(F.col("id").alias("__id"), F.col("node").alias("__of"), "n")
+    keyed = docs.withColumn("__node", F.unhex(F.md5(F.col("text").cast("binary"))))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__node").eqNullSafe(F.col("__of"))
+    if not first.where("n > 1").limit(1).count():
+        return keyed.join(first, same, "left_semi").select(*docs.columns)
+    once = keyed.join(first.where("n = 1"), same, "left_semi")
+    repeated = keyed.join(first.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id", "__node"])
+    return once.union(repeated).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

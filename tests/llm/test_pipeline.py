@@ -88,3 +88,16 @@ def test_null_values_pass(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, SF), name)
     assert docs.count() >= 1
+
+
+def test_dedup_drops_copies_only(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows_in = [(0, text(k)) for k in range(6)] + [(0, text(0)), (0, text(0))]  # a default id
+    rows_in += [(5, text(1) + " more"), (7, text(20)), (7, text(21)), (3, text(21) + " more")]
+    rows_in += [(None, text(30)), (None, text(30)), (None, text(31)), (None, text(20)), (None, ""), (None, ""), (9, ""), (9, "")]
+    schema = table(spark, SF, "documents").schema
+    docs = spark.createDataFrame([(i, t, *[None] * (len(schema) - 2)) for i, t in rows_in], schema)
+    got = rows(corpus_pipeline.dedup_stage(spark, docs, SF))
+    want = [(0, text(k)) for k in range(6)] + [(7, text(20)), (3, text(21) + " more")]
+    want += [(None, text(30)), (None, text(31)), (None, ""), (None, ""), (9, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)

@@ -280,6 +280,14 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8
 ) -> DataFrame:
     """(id, class_id): every row of ``docs`` with the least id of its class of near-duplicates."""
+    return text_classes(docs, id_col, text_col, threshold).select("id", "class_id")
+
+
+def text_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8
+) -> DataFrame:
+    """(id, node, comp, class_id): every row with the MD5 of its text, and its class by a node that is the
+    same for all of the class (null for a text without a word) and by the least id."""
     members = materialise(signatures(docs, id_col, text_col), "signatures")
     worded = members.where("worded")
     nodes = worded.groupBy("node").agg(F.first("bands").alias("bands"), F.min("id").alias("id"))
@@ -296,6 +304,6 @@ def near_duplicates(
         comps = components(links.union(more))
     named = nodes.select("node", "id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("id").alias("class_id"))
-    classes = named.join(least, "comp").select("node", "class_id")
-    single = members.where("not worded").select("id", F.col("id").alias("class_id"))
-    return worded.select("id", "node").join(classes, "node").select("id", "class_id").union(single)
+    classes = named.join(least, "comp").select("node", "comp", "class_id")
+    single = members.where("not worded").select("id", "node", F.lit(None).cast("binary").alias("comp"), F.col("id").alias("class_id"))
+    return worded.select("id", "node").join(classes, "node").select("id", "node", "comp", "class_id").union(single)
