@@ -85,3 +85,24 @@ def test_capacity_and_balance(spark):
     got = placed(assign.assign_round(frame(spark, probs), 4, assign.capacity(61, 4, 0)))
     sizes = [sum(b == x for x, *_ in got) for b in range(4)]
     assert max(sizes) <= 16 and sum(sizes) == 61 and not any(f for *_, f in got)
+
+
+def plain_sequential(probs, k, cap, order):
+    score = {"confidence": max, "margin": lambda p: sorted(p)[-1] - sorted(p)[-2], "input": lambda p: 0}[order]
+    counts, out = [0] * k, {}
+    for i in sorted(range(len(probs)), key=lambda i: (-score(probs[i]), i)):
+        wanted = sorted(range(k), key=lambda b: (-probs[i][b], b))
+        free = [r for r, b in enumerate(wanted) if counts[b] < cap]
+        b = wanted[free[0]] if free else counts.index(min(counts))
+        counts[b] += 1
+        out[i] = (b, free[0] if free else k, not free)
+    return [out[i] for i in range(len(probs))]
+
+
+@pytest.mark.parametrize("n, k, cap, order", [(300, 4, 75, "confidence"), (200, 5, 30, "input"), (9000, 3, 3000, "confidence")])
+def test_sequential_equals_plain_version_without_a_serial_task(spark, n, k, cap, order):
+    rng = random.Random(n)
+    probs = [[rng.randrange(1, 9) * (3 if b == 0 else 1) / 32 for b in range(k)] for _ in range(n)]
+    done = assign.assign_sequential(frame(spark, probs), k, cap, order)
+    assert "FlatMapGroupsInPandas" not in done._jdf.queryExecution().toString()
+    assert placed(done) == plain_sequential(probs, k, cap, order)
