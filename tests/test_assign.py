@@ -1,8 +1,10 @@
 """Assignment against a plain, one-list-at-a-time version, with many ties."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from vecroute.operators import assign
 
@@ -40,7 +42,30 @@ def placed(df):
 def test_rounds_equal_plain_version(spark, k, cap, order, seed):
     rng = random.Random(seed)
     probs = [[rng.choice([0.1, 0.2, 0.3]) for _ in range(k)] for _ in range(11)]
-    assert placed(assign.assign_round(frame(spark, probs), k, cap, order)) == plain_rounds(probs, k, cap, order)
+    for few in (32_768, 0, 3):  # one task a node, no such task, and such tasks for the last rounds
+        assert placed(assign.assign_round(frame(spark, probs), k, cap, order, finish_rows=few)) == plain_rounds(probs, k, cap, order)
+
+
+def test_nodes_of_one_level_in_different_rounds(spark):
+    rng = random.Random(40)
+    size = {(): 30, (1,): 4, (2,): 13}
+    probs = {p: [[rng.choice([0.1, 0.2, 0.3]) for _ in range(4)] for _ in range(n)] for p, n in size.items()}
+    rows = [(0, list(p), i, x) for p, part in probs.items() for i, x in enumerate(part)]
+    done = assign.assign_round(spark.createDataFrame(rows, "tree_id int, prefix array<int>, vec_id long, probs array<double>"), 4, 4, finish_rows=5).collect()
+    for p, part in probs.items():
+        got = [(r["branch"], r["chosen_rank"], r["used_fallback"]) for r in sorted((r for r in done if tuple(r["prefix"]) == p), key=lambda r: r["vec_id"])]
+        assert got == plain_rounds(part, 4, 4, "confidence")
+    assert assign.assign_round(spark.createDataFrame([], "tree_id int, prefix array<int>, vec_id long, probs array<double>"), 4, 4).count() == 0
+
+
+def test_many_branches_and_rows(spark):
+    """256 branches, of which eight are asked for most: every vector placed, none over capacity."""
+    n, k = 100_000, 256
+    draw = lambda b: F.pmod(F.xxhash64("id", b), F.lit(1 << 20)) / float(1 << 20) * F.when(b < 8, F.lit(1.5)).otherwise(F.lit(1.0))
+    rows = spark.range(n).select(F.lit(0).alias("tree_id"), F.expr("cast(array() as array<int>)").alias("prefix"), F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(k - 1)), draw).alias("probs"))
+    began = time.perf_counter()
+    got = assign.assign_round(rows, k, -(-n // k)).groupBy("branch").count().agg(F.max("count"), F.sum("count"), F.count("*")).first()
+    assert tuple(got) == (391, n, k) and time.perf_counter() - began < 120
 
 
 def test_round_and_sequential_differ(spark):

@@ -1,11 +1,13 @@
 import json
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecroute import engine
 from vecroute.config import from_mapping
-from vecroute.operators import analysis, training
+from vecroute.operators import analysis, knn, training
 
 RAW = {
     "experiment": {"name": "small", "seed": 3, "output_dir": "out"},
@@ -27,8 +29,11 @@ def test_build_search_and_merge(spark, tmp_path):
     assert engine.build(spark, cfg, vectors, str(tmp_path))["trees"] == []  # all there already
     few, full = engine.sweep(spark, cfg, vectors, queries, None, f"{tmp_path}/index")
     assert full["recall@10"] == 1.0 and full["mean_distcomp"] == 120 and few["mean_distcomp"] < 120
-    engine.write_rows(str(tmp_path), "metrics", [few, full])
-    assert len(json.loads((tmp_path / "metrics.json").read_text())) == 2
+    engine.write_rows(spark, str(tmp_path), "metrics", [{**few, "n": np.int64(3)}, full])
+    engine.write_run(spark, cfg, str(tmp_path))
+    assert (tmp_path / "seed.txt").read_text() == "3\n" and json.loads((tmp_path / "config.json").read_text())["experiment"]["name"] == "small"
+    back = json.loads((tmp_path / "metrics.json").read_text())
+    assert len(back) == 2 and back[0]["n"] == 3 and back[1]["std_n_distcomp"] == 0 and back[1]["recall@10_p5_quantile"] == 1.0
     curve = analysis.read_curve(spark, str(tmp_path / "metrics.csv"), "x")
     assert sorted(r["leaves"] for r in curve.collect()) == [1, 9]
 
@@ -40,6 +45,12 @@ def test_balance_of_training(spark):
     _, paths, cycles = training.alternating_train(vectors, s)
     sizes = [r["count"] for r in paths.groupBy("leaf_id").count().collect()]
     assert sum(sizes) == 80 and max(sizes) <= 5 and 1 <= len(cycles) <= 2
+    assert cycles[0]["levels"][0]["rank_hist_0"] + cycles[0]["levels"][0]["rank_hist_1"] <= 80 and "recall" not in cycles[0]
+    asked = vectors.where("vec_id < 6").withColumnRenamed("vec_id", "query_id")
+    probe = training.Probe(asked, knn.exact_knn(asked, vectors, 3), 16, 16, 3)
+    few = training.TrainSettings(4, 2, query_fraction=0.3, top_k=4, max_cycles=1, loss_pairs=10)
+    _, _, cycles = training.alternating_train(vectors, few, probe=probe)
+    assert cycles[0]["recall"] == 1.0 and cycles[0]["mean_candidates"] == 80
     assert training.improvement(None, 1.0) is None and training.improvement(2.0, 1.0) == 0.5
 
 
@@ -67,27 +78,57 @@ def curve(spark, points):
 
 
 def test_interpolation_and_drift(spark):
-    c = curve(spark, [(0.5, 1000), (0.7, 2000)])
-    got = {r["target"]: r["candidates"] for r in analysis.candidates_at_recall(c, [0.1, 0.5, 0.6, 0.9]).collect()}
-    assert got[0.6] == pytest.approx(1500) and got[0.5] == 1000 and got[0.1] is None and got[0.9] is None
-    both = spark.createDataFrame(
-        [("a", 10, 0.5, 1000.0, 1.0), ("b", 10, 0.5, 1020.0, 1.0), ("a", 20, 0.7, 1000.0, 1.0), ("b", 20, 0.7, 1500.0, 1.0)], analysis.CURVE_SCHEMA
-    )
-    assert [r["leaves"] for r in analysis.balance_warnings(both, "a", "b").collect()] == [20]
-    rows = analysis.compare(both, "a", "b").orderBy("target").collect()
-    assert len(rows) == 5 and rows[0]["change"] == pytest.approx(0.02)
+    rng = random.Random(8)
+    points = sorted((rng.random(), 100 * rng.random()) for _ in range(9))
+    c = curve(spark, points)
+    goals = [points[0][0] / 2, *(rng.uniform(points[0][0], points[-1][0]) for _ in range(6)), points[4][0], 1.5]
+    got = {r["target"]: r["candidates"] for r in analysis.candidates_at_recall(c, goals).collect()}
+    for g in goals:
+        want = np.interp(g, *zip(*points, strict=True)) if points[0][0] <= g <= points[-1][0] else None
+        assert got[g] == (want if want is None else pytest.approx(want))
+    rows = [(x, leaves, 0.1 * leaves, 40.0 * leaves * (1 + (leaves > 3 and x == "b")), 1.0) for leaves in range(1, 7) for x in "ab"]
+    both = spark.createDataFrame(rows, analysis.CURVE_SCHEMA)
+    assert sorted(r["leaves"] for r in analysis.balance_warnings(both, "a", "b").collect()) == [4, 5, 6]
+    shifts = analysis.compare(both, "a", "b").orderBy("target").collect()
+    assert len(shifts) == 5 and shifts[0]["change"] == pytest.approx(0) and shifts[-1]["change"] == pytest.approx(1)
+    side = analysis.by_leaves(both, "a", "b").collect()
+    assert len(side) == 6 and all(r["delta"] == pytest.approx(0) for r in side)
+    apart = both.withColumn("recall", F.when(F.col("label") == "a", 0.2).otherwise(0.2))
+    assert analysis.recall_targets(apart, "a", "b") == []
+    with pytest.raises(ValueError):
+        analysis.recall_targets(both, "a", "c")
+
+
+def job(host, card, *points):
+    """A log as a batch job leaves it: its own line, the device table, progress, and a block a point."""
+    lines = [f"Job 77.queue on {host} at Monday", "copying", "+---+", f"|   0  {card}           On  |   0:61 Off |   0 |", "K4_H2: queries done 5/10, 31.5 q/s"]
+    return "\n".join([*lines, *(f"=== next ===\n{json.dumps(p, indent=2)}" for p in points), "Done."])
 
 
 def test_logs(spark, tmp_path):
-    (tmp_path / "run.log").write_text(
-        'Host: node7.example\nGPU: NVIDIA A40\n noise {not json} {"qps": 53.5, "recall@10": 0.9, "recall@10_zero_count": 4, "knob_value": 100, "mean_distcomp": 10}\n'
-        'more {"rows": [{"qps": 23.6, "recall@10_zero_count": 1, "recall@10": 0.95, "knob_value": 200}]} end {"other": 1}'
-    )
+    (tmp_path / "deep").mkdir()
+    one = {"config": "first", "beam_size": 7, "num_trees": 3, "knob_value": 5, "recall@10_zero_count": 2, "recall@10": 0.31, "mean_distcomp": 900.5, "qps": 12.5}
+    two = {"model_id": "second", "recall@100": 0.72, "qps": 8}
+    (tmp_path / "deep" / "a.log").write_text(job("node4.lab", "NVIDIA T1000", one, two))
+    (tmp_path / "b.out").write_text(job("node9.lab", "NVIDIA RTX 9 Ultra B...", {**one, "qps": 99.0}))
+    (tmp_path / "c.json").write_text(json.dumps({"rows": [{"qps": 4.0, "recall@10": 0.0, "knob_value": 1}], "note": {"x": 1}}))
+    (tmp_path / "cut.txt").write_text('{"qps": 1.5, "recall@10": 0.5}\n{"qps": 2.5, "recall@10":\n')
+    (tmp_path / "notes.md").write_text('{"qps": 1000}')
     rows = analysis.scan_logs(spark, str(tmp_path)).collect()
-    assert sorted((r["qps"], r["recall"], r["knob"]) for r in rows) == [(23.6, 0.95, 200), (53.5, 0.9, 100)]
-    assert {(r["host"], r["gpu"]) for r in rows} == {("node7.example", "NVIDIA A40")}
-    kept = analysis.filter_measurements(analysis.scan_logs(spark, str(tmp_path)), min_recall=0.92)
-    assert [r["best_qps"] for r in analysis.qps_by_machine(kept).collect()] == [23.6]
+    got = sorted((r["qps"], r["recall"], r["knob"], r["config"], r["host"], r["gpu"]) for r in rows)
+    assert got == sorted([
+        (12.5, 0.31, 5, "first", "node4.lab", "NVIDIA T1000"), (8.0, 0.72, None, "second", "node4.lab", "NVIDIA T1000"),
+        (99.0, 0.31, 5, "first", "node9.lab", "NVIDIA RTX 9 Ultra B..."), (4.0, 0.0, 1, "", None, None), (1.5, 0.5, None, "", None, None),
+    ])
+    kept = analysis.filter_measurements(analysis.scan_logs(spark, str(tmp_path)), min_recall=0.6)
+    assert [r["best_qps"] for r in analysis.qps_by_machine(kept).collect()] == [8.0]
+    best = {r["host"]: r["best_candidates_per_second"] for r in analysis.qps_by_machine(analysis.scan_logs(spark, str(tmp_path))).collect()}
+    assert best["node4.lab"] == pytest.approx(12.5 * 900.5)
+
+
+def test_objects_in_free_text():
+    assert analysis._objects('x {not json} {"a": 1, "b": {"c": "}"}} {"q": 2, "r":\n {"z": 3} "') == [{"a": 1, "b": {"c": "}"}}, {"z": 3}]
+    assert analysis._objects("") == analysis._objects("}{ [1]") == []
 
 
 def test_chart(spark):

@@ -1,61 +1,110 @@
-"""Search over small trees with a router of fixed probabilities."""
+"""Search over made trees against a plain search, and what search is made of against plain versions."""
 
+import hashlib
 import math
+import random
+import statistics
+import struct
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from vecroute.functions.paths import leaf_to_path, path_to_leaf, random_init
-from vecroute.operators import knn, metrics, search
+from vecroute.functions.paths import checked_path, leaf_to_path, path_to_leaf, random_init
+from vecroute.operators import knn, metrics, search, training
 
-K = 2
-FIXED = {(): (0.6, 0.4), (0,): (0.1, 0.9), (1,): (0.8, 0.2)}
+K, H = 3, 2
 
 
-def setup(spark, paths, values, asked):
-    """paths: per tree, a string of branches for each vector."""
-    router = [(t, list(p), b, [0.0], math.log(pr[b])) for t in range(len(paths)) for p, pr in FIXED.items() for b in range(K)]
-    trees = [(t, i, [int(c) for c in path], int(path, 2)) for t, tree in enumerate(paths) for i, path in enumerate(tree)]
+def made(seed, n=40, n_trees=2, width=3):
+    """(vectors, a path of each vector per tree, a linear router's weights by tree and prefix)."""
+    rng = random.Random(seed)
+    vectors = [[rng.gauss(0, 1) for _ in range(width)] for _ in range(n)]
+    paths = [[(rng.randrange(K), rng.randrange(K)) for _ in range(n)] for _ in range(n_trees)]
+    paths = [[p if p[0] != 2 else (0, 1) for p in tree] for tree in paths]  # three leaves of each tree stay empty
+    prefixes = [(), *((b,) for b in range(K))]
+    router = {(t, p): [([rng.gauss(0, 1) for _ in range(width)], rng.gauss(0, 0.5)) for _ in range(K)] for t in range(n_trees) for p in prefixes}
+    return vectors, paths, router
+
+
+def frames(spark, vectors, paths, router, asked):
+    rows = [(t, list(p), b, w, bias) for (t, p), branches in router.items() for b, (w, bias) in enumerate(branches)]
+    trees = [(t, i, list(p), p[0] * K + p[1]) for t, tree in enumerate(paths) for i, p in enumerate(tree)]
     return (
-        spark.createDataFrame(router, "tree_id int, prefix array<int>, branch int, weight array<double>, bias double"),
+        spark.createDataFrame(rows, "tree_id int, prefix array<int>, branch int, weight array<double>, bias double"),
         spark.createDataFrame(trees, "tree_id int, vec_id long, path array<int>, leaf_id long"),
-        spark.createDataFrame([(i, [float(v)]) for i, v in enumerate(values)], "vec_id long, embedding array<float>"),
-        spark.createDataFrame([(i, [float(v)]) for i, v in enumerate(asked)], "query_id long, embedding array<float>"),
+        spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"),
+        spark.createDataFrame(list(enumerate(asked)), "query_id long, embedding array<double>"),
     )
 
 
-def run(spark, paths, values, asked, beam, k, h=1, leaves=None, least=None):
-    router, trees, vectors, queries = setup(spark, paths, values, asked)
-    found, candidates = search.search(queries, router, trees, vectors, K, h, len(paths), beam, k, leaves, least)
-    wide = {r["query_id"]: r["ids"] for r in search.to_wide(found, queries, k).collect()}
-    counts = {r["query_id"]: r["n_candidates"] for r in metrics.candidate_counts(candidates, queries).collect()}
-    return [wide[i] for i in range(len(asked))], [counts[i] for i in range(len(asked))]
-
-
-@pytest.mark.parametrize(
-    "paths, values, asked, beam, k, h, leaves, least, ids, counts",
-    [
-        (["001"], [0, 10, 1], [0.2], 1, 2, 1, None, None, [[0, 1]], [2]),
-        (["0001", "0100"], [0, 100, 0.5, 50], [0.1], 1, 2, 1, None, None, [[0, 2]], [2]),
-        (["0001", "0100"], [0, 100, 0.5, 50], [0.1], 1, 4, 1, None, 1, [[0, 2, 3, 1]], [4]),
-        (["0001", "1110"], [0, 100, 0.5, 50], [0.1], 1, 4, 1, None, None, [[0, 2, 3, 1]], [4]),
-        (["1111"], [0, 100, 0.5, 50], [0.1], 1, 4, 1, None, None, [[-1, -1, -1, -1]], [0]),
-        (["0011", "0101"], [0, 10, 1, 11], [0.1], 1, 2, 1, None, None, [[0, -1]], [1]),
-        (["0011", "0011"], [0, 1, 2, 3], [0.1, 2.1], 1, 2, 1, None, None, [[0, 1], [1, 0]], [2, 2]),
-        (["0011", "0111"], [0, 10, 1, 2], [0.2], 1, 3, 1, None, None, [[0, -1, -1]], [1]),
-        ([["01", "10", "11", "00"]], [0, 10, 20, 30], [9.0], 4, 2, 2, None, None, [[1, 0]], [4]),
-        ([["01", "10", "11", "00"]], [0, 10, 20, 30], [0.1], 4, 4, 2, 2, None, [[0, 1, -1, -1]], [2]),
-    ],
-)
-def test_small_trees(spark, paths, values, asked, beam, k, h, leaves, least, ids, counts):
-    assert run(spark, paths, values, asked, beam, k, h, leaves, least) == (ids, counts)
+def plain_beam(router, t, q, beam):
+    """All partial paths by falling score, level by level."""
+    now = [((), 0.0)]
+    for _ in range(H):
+        grown = []
+        for prefix, score in now:
+            logit = [sum(x * y for x, y in zip(q, w, strict=True)) + bias for w, bias in router[t, prefix]]
+            total = math.log(sum(math.exp(x) for x in logit))
+            grown += [((*prefix, b), score + x - total) for b, x in enumerate(logit)]
+        now = sorted(grown, key=lambda x: (-x[1], x[0]))[:beam]
+    return now
+
+
+def plain_search(vectors, paths, router, q, beam, k, leaves, least):
+    counts = Counter()
+    for t, tree in enumerate(paths):
+        open_leaves = {p for p, _ in plain_beam(router, t, q, beam)[:leaves]}
+        counts.update(i for i, p in enumerate(tree) if p in open_leaves)
+    chosen = [i for i, n in counts.items() if n >= least] or list(counts)
+    near = sorted(chosen, key=lambda i: (math.dist(q, vectors[i]), i))
+    return [*near, *[-1] * k][:k], len(chosen)
+
+
+@pytest.mark.parametrize("seed, n_trees, beam, leaves, least", [(1, 1, 1, None, None), (2, 2, 2, None, None), (3, 2, 1, 1, 1), (4, 3, 4, 2, 3), (5, 2, 9, 3, 2), (6, 3, 9, 9, 2)])
+def test_search_equals_plain_search(spark, seed, n_trees, beam, leaves, least):
+    vectors, paths, router = made(seed, n_trees=n_trees)
+    asked = made(seed + 100, n=6)[0]
+    r, t, v, q = frames(spark, vectors, paths, router, asked)
+    found, candidates = search.search(q, r, t, v, K, H, n_trees, beam, 8, leaves, least)
+    wide = {x["query_id"]: x["ids"] for x in search.to_wide(found, q, 8).collect()}
+    counts = {x["query_id"]: x["n_candidates"] for x in metrics.candidate_counts(candidates, q).collect()}
+    for i, x in enumerate(asked):
+        assert (wide[i], counts[i]) == plain_search(vectors, paths, router, x, beam, 8, leaves or beam, least or min(2, n_trees))
 
 
 def test_beam_order(spark):
-    router, _, _, queries = setup(spark, [["01"]], [0], [0.1])
-    got = search.beam_search(queries, router, K, 2, 4).orderBy("leaf_rank").collect()
-    assert [r["path"] for r in got] == [[0, 1], [1, 0], [1, 1], [0, 0]]
-    assert [round(math.exp(r["score"]), 2) for r in got] == [0.54, 0.32, 0.08, 0.06]
+    vectors, paths, router = made(9, n_trees=1)
+    asked = made(10, n=4)[0]
+    r, _, _, q = frames(spark, vectors, paths, router, asked)
+    rows = search.beam_search(q, r, K, H, 9).orderBy("query_id", "leaf_rank").collect()
+    for i, x in enumerate(asked):
+        want = plain_beam(router, 0, x, 9)
+        got = [y for y in rows if y["query_id"] == i]
+        assert [tuple(y["path"]) for y in got] == [p for p, _ in want]
+        assert [y["score"] for y in got] == pytest.approx([s for _, s in want], abs=1e-5)
+
+
+def test_empty_leaves_pad_results(spark):
+    vectors, paths, router = made(11, n_trees=1)
+    router = {key: [(w, 50.0 if b == 2 and not key[1] else bias) for b, (w, bias) in enumerate(x)] for key, x in router.items()}
+    r, t, v, q = frames(spark, vectors, paths, router, [[0.0, 0.0, 0.0]])
+    found, _ = search.search(q, r, t, v, K, H, 1, 1, 4)
+    assert [x["ids"] for x in search.to_wide(found, q, 4).collect()] == [[-1] * 4]
+
+
+def test_widths_are_checked(spark):
+    vectors, paths, router = made(12, n_trees=1)
+    r, t, v, q = frames(spark, vectors, paths, router, [[0.1, 0.2]])
+    with pytest.raises(Exception, match="width"):
+        search.beam_search(q, r, K, H, 2).collect()
+    with pytest.raises(Exception, match="width"):
+        knn.exact_knn(q, v, 2).collect()
+    odd = v.union(spark.createDataFrame([(99, [1.0])], v.schema)).coalesce(1)
+    pairs = spark.createDataFrame([(0, i) for i in (0, 99)], "query_id long, vec_id long")
+    for broken in (lambda: knn.exact_knn(q, odd, 2), lambda: search.rerank(pairs, q, odd, 2), lambda: search.rerank(pairs, q, v.limit(1), 2)):
+        with pytest.raises(Exception, match="width"):
+            broken().collect()
 
 
 def test_bad_settings():
@@ -67,54 +116,76 @@ def test_bad_settings():
     assert search.check_min_trees(None, 1) == 1 and search.check_min_trees(None, 4) == 2
 
 
-def test_full_beam_is_exact(spark):
-    import random
-
-    rng = random.Random(3)
-    values = [rng.random() for _ in range(60)]
-    paths = [[format(rng.randrange(4), "02b") for _ in values] for _ in range(2)]
-    router, trees, vectors, queries = setup(spark, paths, values, [0.2, 0.7])
-    found, _ = search.search(queries, router, trees, vectors, K, 2, 2, 4, 5)
-    exact = knn.exact_knn(queries, vectors, 5)
-    assert metrics.recall_per_query(found, exact, 5).agg(F.min("recall")).first()[0] == 1.0
+@pytest.mark.parametrize("metric", ["euclidean", "angular", "cosine", "inner_product"])
+def test_exact_neighbours(spark, metric):
+    """Broadcast and salted query blocks, against all distances."""
+    vectors, asked = made(20, n=70)[0], made(21, n=9)[0]
+    vectors[5] = vectors[4]  # a tie
+    _, _, v, q = frames(spark, vectors, [], {(0, ()): [([0.0], 0.0)]}, asked)
+    length = lambda x: math.sqrt(sum(y * y for y in x))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    single = lambda x: [struct.unpack("f", struct.pack("f", y))[0] for y in x]
+    of = {"euclidean": math.dist, "inner_product": lambda a, b: -dot(a, b)}.get(metric, lambda a, b: 1 - dot(a, b) / (length(a) * length(b)))
+    want = []
+    for i, x in enumerate(asked):
+        near = sorted((round(of(single(x), single(y)), 9), j) for j, y in enumerate(vectors))[:4]
+        want += [(i, rank, j) for rank, (_, j) in enumerate(near)]
+    for settings in ({}, {"query_block": 2}, {"query_block": 3, "broadcast_bytes": 0, "salts": 3}):
+        got = knn.exact_knn(q, v.repartition(5), 4, metric, **settings).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == want
+    plan = knn.exact_knn(q, v, 4, metric, broadcast_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert "salt" in plan and "Cartesian" not in plan
+    with pytest.raises(ValueError):
+        knn.exact_knn(q, v, 2, "jaccard")
 
 
-@pytest.mark.parametrize("metric, want", [("euclidean", [(0, 0), (0, 1), (1, 2), (1, 3)])])
-def test_exact_neighbours(spark, metric, want):
-    _, _, vectors, queries = setup(spark, [["0"]], [0, 1, 10, 11], [0.2, 10.2])
-    for block in (1, 2048):
-        got = knn.exact_knn(queries, vectors, 2, metric, query_block=block).orderBy("query_id", "rank").collect()
-        assert [(r["query_id"], r["vec_id"]) for r in got] == want
-    with pytest.raises(ValueError):
-        knn.exact_knn(queries, vectors, 2, "jaccard")
+def test_sample_is_that_of_the_hash(spark):
+    _, _, v, _ = frames(spark, made(22)[0], [], {(0, ()): [([0.0], 0.0)]}, [[0.0]])
+    by_hash = sorted(range(40), key=lambda i: hashlib.md5(f"3-{i}".encode()).hexdigest())
+    assert sorted(r["vec_id"] for r in knn.sample_ids(v, 7, 3).collect()) == sorted(by_hash[:7])
+    assert knn.sample_ids(v, 100, 3).count() == 40
 
 
 def test_paths_and_first_trees(spark):
-    ids = spark.range(16).select(F.col("id").alias("leaf"), leaf_to_path(F.col("id"), 4, 2).alias("p"))
-    got = ids.select("leaf", "p", path_to_leaf(F.col("p"), 4).alias("back")).collect()
-    assert all(r["leaf"] == r["back"] for r in got) and got[1]["p"] == [0, 1]
-    trees = random_init(spark.range(18).withColumnRenamed("id", "vec_id"), 4, 2)
-    stats = metrics.leaf_size_stats(trees, 4, 2).first()
+    ids = spark.range(81).select(F.col("id").alias("leaf"), leaf_to_path(F.col("id"), 3, 4).alias("p"))
+    got = ids.select("leaf", "p", path_to_leaf(F.col("p"), 3).alias("back"), checked_path(F.col("p"), 3, 4).alias("same")).collect()
+    assert all(r["leaf"] == r["back"] and r["p"] == r["same"] for r in got) and got[5]["p"] == [0, 0, 1, 2]
+    for k, h in ((2, 4), (3, 3)):
+        with pytest.raises(Exception, match="no path"):
+            ids.select(checked_path(F.col("p"), k, h)).collect()
+    trees = random_init(spark.range(50).withColumnRenamed("id", "vec_id"), 3, 3)
+    stats = metrics.leaf_size_stats(trees, 3, 3).first()
     assert (stats["min"], stats["max"], stats["num_empty"]) == (1, 2, 0)
 
 
-def test_leaf_stats_and_gini(spark):
-    trees = spark.createDataFrame([(0, 0, [0, 0], 0), (0, 1, [0, 0], 0), (0, 2, [1, 0], 2)], "tree_id int, vec_id long, path array<int>, leaf_id long")
-    s = metrics.leaf_size_stats(trees, 2, 2).first()
-    assert (s["mean"], s["min"], s["max"], s["num_empty"]) == (0.75, 0, 2, 2)
-    assert s["gini"] == pytest.approx(7 / 12) and s["std"] == pytest.approx((11 / 16) ** 0.5)
+def test_unknown_neighbours_are_an_error(spark):
+    _, t, v, q = frames(spark, *made(23, n_trees=1), [[0.0, 0.0, 0.0]])
+    near = lambda i: spark.createDataFrame([(0, 0, i)], "query_id long, rank int, vec_id long")
+    assert training.training_pairs(q, near(3), t, K).count() == 1
+    with pytest.raises(Exception, match="isn't in the tree"):
+        training.training_pairs(q, near(400), t, K).collect()
+    with pytest.raises(Exception, match="no path"):
+        training.training_pairs(q, near(3), t, 1).collect()
 
 
-def test_recall(spark):
-    def long(lists):
-        return spark.createDataFrame([(q, r, v) for q, ids in enumerate(lists) for r, v in enumerate(ids)], "query_id long, rank int, vec_id long")
+def test_leaf_stats_and_gini(spark):
+    rng = random.Random(30)
+    leaves = [rng.choice([0, 0, 0, 3, 5]) for _ in range(30)]
+    trees = spark.createDataFrame([(0, i, [x // 3, x % 3], x) for i, x in enumerate(leaves)], "tree_id int, vec_id long, path array<int>, leaf_id long")
+    sizes = sorted(leaves.count(x) for x in range(9))
+    s = metrics.leaf_size_stats(trees, 3, 2).first()
+    assert (s["min"], s["max"], s["num_empty"]) == (sizes[0], sizes[-1], sizes.count(0))
+    assert s["mean"] == pytest.approx(30 / 9) and s["std"] == pytest.approx(statistics.pstdev(sizes))
+    assert s["gini"] == pytest.approx(sum(abs(a - b) for a in sizes for b in sizes) / (2 * 9 * 30))
 
-    def of(results, truth, k):
-        return [r["recall"] for r in metrics.recall_per_query(long(results), long(truth), k).orderBy("query_id").collect()]
 
-    assert of([[1, 2, 3], [4, 5, 6]], [[3, 2, 9], [4, 8, 9]], 2) == [0.5, 0.5]
-    assert of([[7, 8]], [[1, 2, 7, 8]], 2) == [0.0]
-    assert of([[-1, 2]], [[2, 3]], 2) == [0.5]
-    assert of([[1, 1, 2]], [[1, 2, 3]], 3) == [pytest.approx(2 / 3)]
+def test_recall(spark):
+    rng = random.Random(31)
+    results = [[rng.randrange(-1, 12) for _ in range(6)] for _ in range(20)]
+    truth = [rng.sample(range(12), 6) for _ in range(20)]
+    long = lambda lists: spark.createDataFrame([(q, r, v) for q, ids in enumerate(lists) for r, v in enumerate(ids)], "query_id long, rank int, vec_id long")
+    for k in (1, 4, 6):
+        got = [r["recall"] for r in metrics.recall_per_query(long(results), long(truth), k).orderBy("query_id").collect()]
+        assert got == pytest.approx([len({*a[:k]} & {*b[:k]}) / k for a, b in zip(results, truth, strict=True)])
     with pytest.raises(ValueError):
-        of([[1]], [[1]], 2)
+        metrics.recall_per_query(long(results), long(truth), 7)

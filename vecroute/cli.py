@@ -6,9 +6,11 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from vecroute import engine
 from vecroute.config import load_config
+from vecroute.functions.storage import write_text
 from vecroute.operators import analysis
 from vecroute.sources.index import merge_indexes
 
@@ -38,6 +40,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--min-recall", type=float)
     c.add_argument("--max-recall", type=float)
     c.add_argument("--config")
+    c.add_argument("--sort", choices=("qps", "recall", "candidates", "source"), default="source")
+    c.add_argument("--csv")
     c = sub.add_parser("plot")
     c.add_argument("curves", nargs="+")
     c.add_argument("--output", required=True)
@@ -51,11 +55,19 @@ def main(argv: list[str] | None = None) -> int:
         print(merge_indexes(spark, args.inputs, args.output))
     elif args.command == "compare":
         curves = analysis.read_curve(spark, args.baseline, "baseline").unionByName(analysis.read_curve(spark, args.treatment, "treatment"))
+        analysis.by_leaves(curves, "baseline", "treatment").orderBy("leaves").show(truncate=False)
         analysis.compare(curves, "baseline", "treatment").orderBy("target").show(truncate=False)
         analysis.balance_warnings(curves, "baseline", "treatment").show(truncate=False)
     elif args.command == "scan":
         rows = analysis.filter_measurements(analysis.scan_logs(spark, args.path), args.min_recall, args.max_recall, args.config)
+        points = rows.orderBy("host", "gpu", F.desc(args.sort) if args.sort != "source" else args.sort, "knob")
+        if args.csv:
+            points.coalesce(1).write.mode("overwrite").csv(args.csv, header=True)
+        else:
+            points.show(1000, truncate=False)
         report = analysis.qps_by_machine(rows).orderBy("host", "gpu").collect()
+        if len(report) > 1:
+            print("note: throughput of different machines is not comparable", file=sys.stderr)
         for r in report:
             print(r.asDict())
         return 0 if report else 1
@@ -64,8 +76,7 @@ def main(argv: list[str] | None = None) -> int:
         for path in args.curves:
             one = analysis.read_curve(spark, path, path)
             points = one if points is None else points.unionByName(one)
-        with open(args.output, "w") as f:
-            f.write(analysis.render_svg(points))
+        write_text(spark, args.output, analysis.render_svg(points))
     else:
         cfg = load_config(args.config).override(
             dataset__path=args.datapath, experiment__output_dir=args.result_dir,
@@ -76,10 +87,11 @@ def main(argv: list[str] | None = None) -> int:
         index = args.index_path or f"{cfg.experiment.output_dir}/index"
         vectors = engine.load_database(spark, cfg)
         if args.command == "build":
-            engine.write_rows(cfg.experiment.output_dir, "build", engine.build(spark, cfg, vectors, index, args.tree_index)["trees"])
+            engine.write_run(spark, cfg, cfg.experiment.output_dir)
+            engine.write_rows(spark, cfg.experiment.output_dir, "build", engine.build(spark, cfg, vectors, index, args.tree_index)["trees"])
         else:
             queries, truth = engine.load_queries(spark, cfg)
-            engine.write_rows(cfg.experiment.output_dir, "metrics", engine.sweep(spark, cfg, vectors, queries, truth, f"{index}/index"))
+            engine.write_rows(spark, cfg.experiment.output_dir, "metrics", engine.sweep(spark, cfg, vectors, queries, truth, f"{index}/index"))
     return 0
 
 

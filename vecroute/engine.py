@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 import time
+from dataclasses import asdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,40 +12,47 @@ from pyspark.sql import functions as F
 
 from vecroute.config import Config
 from vecroute.functions.distance import l2_normalize
-from vecroute.functions.storage import materialise
+from vecroute.functions.paths import leaf_to_path
+from vecroute.functions.storage import exists, materialise, write_text
 from vecroute.operators import knn, metrics
-from vecroute.operators.router import ROUTER_SCHEMA
-from vecroute.operators.search import beam_search
+from vecroute.operators.search import beam_search, leaf_lookup, rerank, select_candidates
 from vecroute.operators.training import MlRouter, alternating_train
 from vecroute.sources import index as index_io
-from vecroute.sources.vectors import first_existing, normalise_truth, read_vectors, truth_long
+from vecroute.sources.vectors import first_existing, normalise_truth, read_hdf5, read_vectors, truth_long
 
-SUFFIXES = (".fbin", ".f32bin", ".u8bin", ".i8bin", ".fvecs", ".npy", ".hdf5", ".h5")
+# Names under which data sets keep their files, in the order in which they are looked for.
+SUFFIXES = (".fvecs", ".fbin", ".f32bin", ".u8bin", ".i8bin", ".npy", ".hdf5", ".h5")
+QUERY_NAMES = ("queries", "query", "query.public.10K", "query.public.10k", "query.10K", "query.10k", "query.30K", "query.30k")
+TRUTH_NAMES = (
+    "groundtruth", "groundtruth.10K", "groundtruth.10k", "groundtruth.30K", "groundtruth.30k", "idx_100M", "idx_100m", "gnd/idx_100M", "gnd/idx_100m", "ground_truth", "gt",
+)
+TRUTH_SUFFIXES = (".ivecs", ".ibin", ".i32bin", ".npy")
+#: Data sets whose neighbour files may be transposed or count from 1.
+ODD_TRUTH = {"laion5b", "laion5b_subset"}
 
 
 def router_table(router: MlRouter, spark: SparkSession, tree_id: int) -> DataFrame:
-    """The fitted classifiers as rows of a linear router: a prefix's one-hot weights become its bias."""
-    rows = []
+    """The fitted classifiers as rows of a linear router: a prefix's one-hot weights become its bias.
+
+    The driver holds one row a branch and level; prefixes are made by Spark, and meet those rows."""
+    out, k = None, router.k
     for depth, model in enumerate(router.levels):
         w, b = np.array(model.coefficientMatrix.toArray()), np.array(model.interceptVector.toArray())
-        dim = w.shape[1] - depth * router.k
-        prefixes = [[]]
-        for _ in range(depth):
-            prefixes = [[*p, x] for p in prefixes for x in range(router.k)]
-        for prefix in prefixes:
-            hot = [dim + d * router.k + x for d, x in enumerate(prefix)]
-            bias = b + w[:, hot].sum(axis=1)
-            # a branch that no pair ever took is never better than one that some did
-            rows += [
-                (tree_id, prefix, x, w[x, :dim].tolist() if x < len(b) else [0.0] * dim, float(bias[x]) if x < len(b) else -1e9)
-                for x in range(router.k)
-            ]
-    return spark.createDataFrame(rows, ROUTER_SCHEMA)
+        dim = w.shape[1] - depth * k
+        # a branch that no pair ever took is never better than one that some did
+        known = [(x, w[x, :dim].tolist(), float(b[x]), w[x, dim:].tolist()) if x < len(b) else (x, [0.0] * dim, -1e9, [0.0] * (depth * k)) for x in range(k)]
+        branches = spark.createDataFrame(known, "branch int, weight array<double>, own double, hot array<double>")
+        prefixes = spark.range(k**depth).select(leaf_to_path(F.col("id"), k, depth).cast("array<int>").alias("prefix"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("branch"))
+        bias = F.aggregate(F.transform("prefix", lambda x, d: F.get("hot", d * k + x)), F.col("own"), lambda s, x: s + x)
+        rows = prefixes.join(F.broadcast(branches), "branch").select(F.lit(tree_id).alias("tree_id"), "prefix", "branch", "weight", bias.alias("bias"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def load_database(spark: SparkSession, cfg: Config) -> DataFrame:
     d = cfg.dataset
-    path = d.base_path or first_existing([d.path, *(f"{d.path}{s}" for s in SUFFIXES), *(f"{d.path}/{n}{s}" for n in ("base", d.split) for s in SUFFIXES)])
+    inside = [f"{d.path}/{n}{s}" for n in (d.split, "vectors", "base", "base.100M", "base.100m") for s in SUFFIXES]
+    path = d.base_path or (d.path if _is_file(d.path) else first_existing(spark, [*(f"{d.path}{s}" for s in SUFFIXES), *inside, d.path]))
     rows = spark.read.parquet(path) if path.endswith(".parquet") else read_vectors(spark, path, d.subset_size)
     return _prepared(rows.select("vec_id", "embedding"), cfg)
 
@@ -53,18 +60,27 @@ def load_database(spark: SparkSession, cfg: Config) -> DataFrame:
 def load_queries(spark: SparkSession, cfg: Config) -> tuple[DataFrame, DataFrame | None]:
     """(queries, ground truth or None): the first ``num_queries`` of the query file."""
     d, n = cfg.dataset, cfg.evaluation.num_queries
-    if not d.query_path:
-        raise ValueError("dataset.query_path is needed")
-    raw = spark.read.parquet(d.query_path) if d.query_path.endswith(".parquet") else read_vectors(spark, d.query_path)
+    both = d.path.endswith((".hdf5", ".h5")) and not d.query_path and not d.ground_truth_path
+    if both:  # one file with the data sets ``test`` and ``neighbors``
+        raw, near = read_hdf5(spark, d.path, "test"), read_hdf5(spark, d.path, "neighbors")
+    else:
+        asked = d.query_path or first_existing(spark, [f"{d.path}/{q}{s}" for q in QUERY_NAMES for s in SUFFIXES])
+        raw = spark.read.parquet(asked) if asked.endswith(".parquet") else read_vectors(spark, asked)
+        known = d.ground_truth_path or next((p for q in TRUTH_NAMES for s in TRUTH_SUFFIXES if exists(spark, p := f"{d.path}/{q}{s}")), None)
+        near = read_vectors(spark, known) if known else None
     queries = _prepared(raw.where(F.col("vec_id") < n).select("vec_id", "embedding"), cfg).withColumnRenamed("vec_id", "query_id")
-    if not d.ground_truth_path:
+    if near is None:
         return queries, None
-    truth = truth_long(read_vectors(spark, d.ground_truth_path))
-    if d.name.startswith("laion"):
+    truth = truth_long(near)
+    if d.name in ODD_TRUTH:
         truth = normalise_truth(truth, raw.count())
     return queries, truth.where(F.col("query_id") < n)
 
 
+def _is_file(path: str) -> bool:
+    return path.endswith((*SUFFIXES, ".parquet"))
+
+
 def _prepared(rows: DataFrame, cfg: Config) -> DataFrame:
     return rows.withColumn("embedding", l2_normalize(F.col("embedding")).cast("array<float>")) if cfg.dataset.normalize else rows
 
@@ -77,7 +93,7 @@ def build(spark: SparkSession, cfg: Config, vectors: DataFrame, index_path: str,
     log = []
     for t in wanted:
         path = f"{index_path}/tree-{t}"
-        if os.path.exists(f"{path}/meta.json"):
+        if exists(spark, f"{path}/meta.json"):
             continue
         began = time.perf_counter()
         router, paths, cycles = alternating_train(vectors, cfg.train_settings(), t)
@@ -85,7 +101,7 @@ def build(spark: SparkSession, cfg: Config, vectors: DataFrame, index_path: str,
         index_io.save_index(paths.withColumn("tree_id", F.lit(0)), router_table(router, spark, 0), meta, path)
         log.append({"tree": t, "seconds": time.perf_counter() - began, "cycles": cycles})
     ready = [f"{index_path}/tree-{t}" for t in range(cfg.model.num_trees)]
-    if tree_index is None and not os.path.exists(f"{index_path}/index"):
+    if tree_index is None and not exists(spark, f"{index_path}/index"):
         index_io.merge_indexes(spark, ready, f"{index_path}/index")
     return {"vectors": n, "trees": log}
 
@@ -100,36 +116,54 @@ def sweep(spark: SparkSession, cfg: Config, vectors: DataFrame, queries: DataFra
     for _ in range(e.search_repetitions):
         began = time.perf_counter()
         beam = materialise(beam_search(queries, router, meta.k, meta.h, e.beam_size, max(e.num_leaves)), "beam")
-        times.append(time.perf_counter() - began)
+        times.append((0, time.perf_counter() - began))
+    timed = metrics.repetition_summary(spark.createDataFrame(times, "point int, seconds double"), ["point"]).first()
     exact, bound = metrics.routing_evals(m.num_trees, meta.k, meta.h, e.beam_size)
     asked, rows = queries.count(), []
     for leaves in sorted(e.num_leaves):
         began = time.perf_counter()
-        row = metrics.sweep_rows(beam, paths, queries, vectors, real, [leaves], m.num_trees, top_k, e.min_trees, cfg.metric()).first()
-        seconds = time.perf_counter() - began + float(np.median(times))
+        found = materialise(select_candidates(leaf_lookup(beam.where(F.col("leaf_rank") < leaves), paths), m.num_trees, e.min_trees), "candidates")
+        per_query = materialise(metrics.recall_per_query(rerank(found, queries, vectors, top_k, cfg.metric()), real, top_k), "recall")
+        seconds = time.perf_counter() - began + timed["median"]
+        recall = metrics.recall_stats(per_query).first()
+        counts = metrics.candidate_counts(found, queries).agg(F.avg("n_candidates").alias("mean"), F.stddev_pop("n_candidates").alias("std")).first()
         one, all_ = metrics.candidate_bounds(meta.n, m.num_trees, meta.k, meta.h, leaves)
         rows.append({
-            "method": "vecroute", "dataset": cfg.dataset.name, "config": cfg.experiment.name, "seed": cfg.experiment.seed, "beam_size": e.beam_size,
-            "num_trees": m.num_trees, "min_trees": e.min_trees or min(2, m.num_trees), "knob_name": "num_leaves", "knob_value": leaves,
-            f"recall@{top_k}": row["recall"], "mean_distcomp": row["mean_candidates"], "n_queries": asked, "search_time_s": seconds,
-            "qps": asked / seconds, "routing_evals": exact, "routing_evals_bound": bound, "tree_candidate_bound": one, "candidate_bound": all_,
-            "beam_seconds": times,
+            "method": "vecroute", "dataset": cfg.dataset.name, "model_id": f"K{meta.k}_H{meta.h}", "config": cfg.experiment.name, "seed": cfg.experiment.seed,
+            "beam_size": e.beam_size, "num_trees": m.num_trees, "min_trees": e.min_trees or min(2, m.num_trees),
+            "tree_assignment_mode": cfg.experiment.tree_assignment_mode, "tree_assignment_order": cfg.experiment.tree_assignment_order,
+            "label_refresh": cfg.training.label_refresh, "knob_name": "num_leaves", "knob_value": leaves, f"recall@{top_k}": recall["mean"],
+            f"recall@{top_k}_zero_count": recall["zero_count"], f"recall@{top_k}_below_half_count": recall["below_half_count"],
+            **{f"recall@{top_k}_{p}_quantile": recall[p] for p in ("p5", "p25", "p50", "p75", "p95")},
+            "mean_distcomp": counts["mean"], "std_n_distcomp": counts["std"],
+            "estimated_candidate_set_size": metrics.candidate_set_estimate(paths, meta.k, meta.h, leaves).first()[0],
+            "routing_evals_exact": exact, "routing_evals_bound": bound, "mean_total_work_bound": counts["mean"] + bound, "n_queries": asked,
+            "search_time_s": seconds, "qps": asked / seconds, "index_size_mb": index_io.index_size_mb(spark, index_path), "index_path": index_path,
+            "tree_candidate_bound": one, "candidate_bound": all_, "beam_repetitions": timed["repetitions"], "beam_min_s": timed["min"], "beam_max_s": timed["max"],
         })
     return rows
 
 
-def write_rows(output_dir: str, stem: str, rows: list[dict]) -> None:
+def write_rows(spark: SparkSession, output_dir: str, stem: str, rows: list[dict]) -> None:
     """``stem.json``, and ``stem.csv`` unless there are no rows."""
     import csv
-
-    os.makedirs(output_dir, exist_ok=True)
-    with open(f"{output_dir}/{stem}.json", "w") as f:
-        json.dump(rows, f, indent=1, default=str)
-    if rows:
-        with open(f"{output_dir}/{stem}.csv", "w", newline="") as f:
-            out = csv.DictWriter(f, list(rows[0]))
-            out.writeheader()
-            out.writerows(rows)
+    import io
+
+    plain = [{k: v.item() if hasattr(v, "item") else v for k, v in r.items()} for r in rows]
+    write_text(spark, f"{output_dir}/{stem}.json", json.dumps(plain, indent=1, default=str))
+    if plain:
+        text = io.StringIO()
+        out = csv.DictWriter(text, list(plain[0]))
+        out.writeheader()
+        out.writerows(plain)
+        write_text(spark, f"{output_dir}/{stem}.csv", text.getvalue())
+
+
+def write_run(spark: SparkSession, cfg: Config, output_dir: str) -> None:
+    """What a run needs to be told from others: its settings, its seed, and where it ran."""
+    write_text(spark, f"{output_dir}/config.json", json.dumps(asdict(cfg), indent=1, default=str))
+    write_text(spark, f"{output_dir}/seed.txt", f"{cfg.experiment.seed}\n")
+    write_text(spark, f"{output_dir}/environment.json", json.dumps(run_metadata(spark), indent=1))
 
 
 def run_metadata(spark: SparkSession) -> dict:

@@ -12,8 +12,14 @@ def _fold(pairs: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
 
 
+def _same_width(a: Column, b: Column, value: Column) -> Column:
+    """``value``, or an error where the two vectors have different widths; null if either is null."""
+    wrong = F.raise_error(F.concat(F.lit("vectors of width "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string")))
+    return F.when(F.size(a) == F.size(b), value).when(a.isNotNull() & b.isNotNull(), wrong.cast("double"))
+
+
 def dot(a: Column, b: Column) -> Column:
-    return _fold(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
+    return _same_width(a, b, _fold(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))))
 
 
 def norm(a: Column) -> Column:
@@ -22,7 +28,7 @@ def norm(a: Column) -> Column:
 
 def euclidean(a: Column, b: Column) -> Column:
     """L2 norm of the difference, not squared."""
-    return F.sqrt(_fold(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0)))))
+    return F.sqrt(_same_width(a, b, _fold(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))))))
 
 
 def angular(a: Column, b: Column) -> Column:
@@ -39,12 +45,14 @@ def inner_product(a: Column, b: Column) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """Share of places where exactly one of the two is 0."""
     differ = F.zip_with(a, b, lambda x, y: ((x != 0) != (y != 0)).cast("double"))
-    return F.when(F.size(a) > 0, _fold(differ) / F.size(a))
+    return F.when(F.size(a) > 0, _same_width(a, b, _fold(differ) / F.size(a)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of id arrays: lengths count repeats, the intersection doesn't; 1 if both are empty."""
-    both = F.size(F.array_intersect(a, b))
+    """Of id arrays, not of floats: lengths count repeats, the intersection doesn't; 1 if both are empty."""
+    wrong = F.raise_error(F.lit("jaccard is for arrays of ids, not of floats"))
+    real = F.typeof(a).rlike("float|double|decimal") | F.typeof(b).rlike("float|double|decimal")
+    both = F.when(real, wrong.cast("int")).otherwise(F.size(F.array_intersect(a, b)))
     all_ = F.size(a) + F.size(b) - both
     return F.when(all_ > 0, 1 - both / all_).otherwise(F.lit(1.0))
 

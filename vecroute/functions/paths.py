@@ -15,6 +15,15 @@ def path_to_leaf(path: Column, k: int) -> Column:
     return F.aggregate(path, F.lit(0).cast("long"), lambda a, b: a * k + b)
 
 
+def checked_path(path: Column, k: int, h: int | None = None) -> Column:
+    """``path``, or an error where a branch lies outside 0..k-1 or the path hasn't ``h`` of them."""
+    bad = F.exists(path, lambda b: b.isNull() | (b < 0) | (b >= k))
+    if h is not None:
+        bad = bad | (F.size(path) != h)
+    what = F.concat(F.lit("no path of branches below "), F.lit(k), F.lit(": "), F.coalesce(path.cast("string"), F.lit("null")))
+    return F.when(F.coalesce(bad, F.lit(True)), F.raise_error(what).cast("array<int>")).otherwise(path)
+
+
 def shuffled_rank(vectors: DataFrame, seed: int, id_col: str = "vec_id", into: str = "rank") -> DataFrame:
     """``vectors`` with its place, from 0, in the order of a seeded hash of the id.
 

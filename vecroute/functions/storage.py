@@ -23,6 +23,27 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/vecroute/{name}-{uuid.uuid4().hex}"
 
 
+def _file(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, which knows every store that Spark does."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, where = _file(spark, path)
+    return store.exists(where)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, in place of what is there."""
+    store, where = _file(spark, path)
+    out = store.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write and read back: cuts lineage, and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
@@ -36,5 +57,5 @@ def remove_intermediates(spark: SparkSession) -> bool:
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not base:
         return False
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/vecroute")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    store, where = _file(spark, f"{base.rstrip('/')}/vecroute")
+    return store.delete(where, True)

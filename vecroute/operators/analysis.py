@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+_STEP = re.compile(r'"(?:\\.|[^"\\\n])*"|[{}]')
 CURVE_SCHEMA = "label string, leaves int, recall double, candidates double, qps double"
 
 
@@ -49,10 +51,12 @@ def candidates_at_recall(curve: DataFrame, targets: list[float]) -> DataFrame:
 
 
 def recall_targets(curve: DataFrame, baseline: str, treatment: str, n: int = 5) -> list[float]:
-    """Evenly spaced recalls over the range that both curves cover; none if they don't overlap."""
+    """Evenly spaced recalls over the range that both curves cover; none if that is no more than a point."""
     ends = {r["label"]: r for r in curve.groupBy("label").agg(F.min("recall").alias("lo"), F.max("recall").alias("hi")).collect()}
+    if not {baseline, treatment} <= set(ends):
+        raise ValueError(f"no points of {baseline if baseline not in ends else treatment}")
     lo, hi = max(ends[baseline]["lo"], ends[treatment]["lo"]), min(ends[baseline]["hi"], ends[treatment]["hi"])
-    return [lo + (hi - lo) * i / (n - 1) for i in range(n)] if lo <= hi else []
+    return [lo + (hi - lo) * i / (n - 1) for i in range(n)] if lo < hi else []
 
 
 def balance_warnings(curve: DataFrame, baseline: str, treatment: str, tolerance: float = 0.05) -> DataFrame:
@@ -70,18 +74,34 @@ def compare(curve: DataFrame, baseline: str, treatment: str, n: int = 5) -> Data
     return wide.withColumn("change", F.col(treatment) / F.col(baseline) - 1)
 
 
+def by_leaves(curve: DataFrame, baseline: str, treatment: str) -> DataFrame:
+    """(leaves, candidates, recall_a, recall_b, delta) at budgets that both curves have."""
+    a = curve.where(F.col("label") == baseline).select("leaves", "candidates", F.col("recall").alias("recall_a"))
+    b = curve.where(F.col("label") == treatment).select("leaves", F.col("recall").alias("recall_b"))
+    return a.join(b, "leaves").withColumn("delta", F.col("recall_b") - F.col("recall_a"))
+
+
 def _objects(text: str) -> list[dict]:
-    """Every JSON object at the top level of free text."""
-    decoder, at, out = json.JSONDecoder(), 0, []
-    while (at := text.find("{", at)) >= 0:
-        try:
-            value, end = decoder.raw_decode(text, at)
-        except ValueError:
-            at += 1
-            continue
-        if isinstance(value, dict):
-            out.append(value)
-        at = end
+    """The JSON objects of free text, without those inside others.
+
+    One pass over braces and strings pairs each closing brace with the last open one; pairs are then tried
+    from left to right, and those inside one that could be read are passed over. Braces without a partner,
+    as in a file that was cut off, open nothing.
+    """
+    waiting, pairs = [], []
+    for m in _STEP.finditer(text):
+        if m[0] == "{":
+            waiting.append(m.start())
+        elif m[0] == "}" and waiting:
+            pairs.append((waiting.pop(), m.end()))
+    out, done = [], 0
+    for a, z in sorted(pairs):
+        if a >= done:
+            try:
+                out.append(json.loads(text[a:z]))
+            except ValueError:
+                continue
+            done = z
     return out
 
 
@@ -103,22 +123,27 @@ class JsonMeasurements:
         for obj in _objects(text or ""):
             for m in _measurements(obj):
                 recall = next((m[k] for k in m if k.startswith("recall@") and not k.endswith("_count") and "_" not in k), None)
-                number = lambda v, f: None if v is None else f(v)
+                number = lambda v, f: f(v) if isinstance(v, (int, float)) else None
                 count = next((m[k] for k in ("mean_distcomp", "mean_n_distcomp") if k in m), None)
                 yield (
                     number(m["qps"], float), number(recall, float), number(count, float), number(m.get("beam_size"), int),
-                    number(m.get("knob_value"), int), number(m.get("num_trees"), int), number(m.get("config"), str),
+                    number(m.get("knob_value"), int), number(m.get("num_trees"), int), str(m.get("config", m.get("model_id", ""))),
                 )
 
 
-HOST = r"(?im)^\s*(?:host(?:name)?|node)\s*[:=]\s*(\S+)"
-GPU = r"(?i)((?:NVIDIA|AMD)[ \t][A-Za-z0-9 ]+[A-Za-z0-9])"
+# The line with which a batch job starts, the device row of nvidia-smi, and files that are read.
+HOST = r"(?m)^Job\s+\S+\s+on\s+(\S+)"
+GPU = r"\|\s+\d+\s+(NVIDIA \S+(?: \S+)*)\s{2,}(?:On|Off)\s*\|"
+SUFFIXES = "*.{log,json,out,txt}"
+
 
+def scan_logs(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """Measurements of all log files below ``path``, with the host and GPU the file names (null if it doesn't).
 
-def scan_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Measurements of all log files below ``path``, with the host and GPU the file names."""
+    A file is one job's log, unless ``separator`` parts several in one file."""
     spark.udtf.register("json_measurements", JsonMeasurements)
-    logs = spark.read.text(path, wholetext=True).select(
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", SUFFIXES)
+    logs = (files.text(path, lineSep=separator) if separator else files.text(path, wholetext=True)).select(
         F.col("_metadata.file_path").alias("source"), "value",
         F.nullif(F.regexp_extract("value", HOST, 1), F.lit("")).alias("host"), F.nullif(F.regexp_extract("value", GPU, 1), F.lit("")).alias("gpu"),
     )

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecroute.functions.storage import materialise
 
 ORDERS = ("confidence", "margin", "input")
+NODE = ["tree_id", "prefix"]
 
 
 def capacity(n: int, k: int, level: int, alpha: float = 1.0) -> int:
@@ -34,46 +36,119 @@ def visit_score(probs: Column, order: str) -> Column:
     return {"confidence": F.array_max(probs), "margin": margin(probs), "input": F.lit(0.0)}[order]
 
 
-def assign_round(scored: DataFrame, k: int, cap: int, order: str = "confidence") -> DataFrame:
+def _queue_step(order: str, t: int) -> Column:
+    """The start of the order in which a branch's askers stand: who has less comes before all who have more."""
+    if order != "input":
+        return F.floor(-F.col("__s") * 4096).cast("long")
+    return F.get("__ord", F.lit(t - 1)).cast("long") if t else F.shiftright("vec_id", 12).cast("long")
+
+
+def _one_round(left: DataFrame, filled: DataFrame, t: int, cap: int, order: str) -> DataFrame:
+    """``left`` with ``branch``: that of those who get a seat in round ``t``, null for the others.
+
+    Askers are counted by steps of their queue; running sums over the steps tell who is in and who is out.
+    Only the step in which a branch's last free seat lies is sorted, so no task sees all askers of a branch.
+    """
+    seat = [*NODE, "__key", "__step"]
+    asks = left.withColumn("__key", F.get("__ord", F.lit(t))).withColumn("__step", _queue_step(order, t))
+    before = Window.partitionBy(*NODE, "__key").orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = (
+        asks.groupBy(*seat)
+        .agg(F.count("*").alias("__n"))
+        .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        .join(filled, [*NODE, "__key"], "left")
+        .withColumn("__free", F.greatest(F.lit(0), F.lit(cap) - F.coalesce("__taken", F.lit(0))))
+    )
+    judged = asks.join(steps, seat)
+    inside = F.col("__before") + F.col("__n") <= F.col("__free")
+    outside = F.col("__before") >= F.col("__free")
+    tried = [F.get("__ord", F.lit(j)) for j in range(t - 1, -1, -1)]
+    place = F.row_number().over(Window.partitionBy(*seat).orderBy(F.desc("__s"), *tried, "vec_id"))
+    edge = judged.where(~inside & ~outside).withColumn("__in", F.col("__before") + place <= F.col("__free"))
+    clear = judged.where(inside | outside).withColumn("__in", inside)
+    return clear.unionByName(edge).select(*left.columns, F.when(F.col("__in"), F.col("__key")).alias("branch"))
+
+
+def _finish(columns: list[str], k: int, cap: int, t: int):
+    """Rounds from ``t`` on for one node whose rows are few."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        wanted, score = np.stack(rows["__ord"].to_numpy()), rows["__s"].to_numpy()
+        taken = np.array(rows["__seats"].iloc[0], np.int64)
+        queue = np.lexsort([rows["vec_id"].to_numpy(), *(wanted[:, j] for j in range(t)), -score])
+        branch, rank = np.full(len(rows), -1), np.full(len(rows), k)
+        for step in range(t, k):
+            if not len(queue):
+                break
+            asked = wanted[queue, step]
+            by = np.argsort(asked, kind="stable")
+            queue, asked = queue[by], asked[by]
+            takes = np.arange(len(queue)) - np.searchsorted(asked, asked) < (cap - taken)[asked]
+            branch[queue[takes]], rank[queue[takes]] = asked[takes], step
+            taken += np.bincount(asked[takes], minlength=k)
+            queue = queue[~takes]
+            queue = queue[np.argsort(-score[queue], kind="stable")]
+        branch[queue] = int(np.argmin(taken))
+        probs = np.stack(rows["probs"].to_numpy())[np.arange(len(rows)), branch]
+        fell = rank == k
+        return rows[columns].assign(branch=branch, chosen_rank=rank, used_fallback=fell, prob=pd.Series(np.where(fell, None, probs), rows.index, dtype=object))
+
+    return run
+
+
+def assign_round(scored: DataFrame, k: int, cap: int, order: str = "confidence", finish_rows: int = 32_768) -> DataFrame:
     """Round-based assignment of ``scored`` (tree_id, prefix, vec_id, probs) to branches.
 
-    In round t every vector not yet placed tries its t-th branch, in which those already placed come
-    first and the rest follow by falling score, then by the branches they tried before, latest first,
-    then by id; the first ``cap`` of a branch are placed. One window a round serves all nodes of a
-    level. What is left after ``k`` rounds goes to the node's least full branch.
+    In round t every vector not yet placed tries its t-th branch, in which those already placed keep their
+    seats and the rest follow by falling score, then by the branches they tried before, latest first, then by
+    id, until the branch holds ``cap``. What is left after ``k`` rounds goes to the node's least full branch.
+
+    A round handles all nodes of a level at once, reads only rows that are not placed, and is written before
+    the next. As soon as at most ``finish_rows`` rows of a node are left, one task does its other rounds.
 
     Adds branch, chosen_rank (``k`` for what was left), used_fallback and prob (null for those).
     """
-    now = scored.withColumns(
-        {"__ord": branch_order(F.col("probs")), "__s": visit_score(F.col("probs"), order), "branch": F.lit(None).cast("int"), "chosen_rank": F.lit(None).cast("int")}
-    )
-    for t in range(k):
-        key = F.coalesce("branch", F.get("__ord", F.lit(t)))
-        tried = [F.get("__ord", F.lit(j)) for j in range(t - 1, -1, -1)]
-        seat = F.row_number().over(
-            Window.partitionBy("tree_id", "prefix", "__key").orderBy(F.col("branch").isNull(), F.desc("__s"), *tried, "vec_id")
-        )
-        now = now.withColumn("__key", key).withColumn("__seat", seat)
-        takes = F.col("branch").isNull() & (F.col("__seat") <= cap)
-        now = now.withColumns(
-            {"chosen_rank": F.when(takes, F.lit(t)).otherwise(F.col("chosen_rank")), "branch": F.when(takes, F.col("__key")).otherwise(F.col("branch"))}
-        )
-    now = now.drop("__key", "__seat")
-    filled = now.where("branch is not null").groupBy("tree_id", "prefix", "branch").agg(F.count("*").alias("n"))
-    every = now.select("tree_id", "prefix").distinct().withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    least = (
-        every.join(filled, ["tree_id", "prefix", "branch"], "left")
-        .groupBy("tree_id", "prefix")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "branch"))["branch"].alias("__least"))
-    )
-    out = now.join(least, ["tree_id", "prefix"]).withColumn("used_fallback", F.col("branch").isNull())
-    return out.withColumns(
-        {
-            "prob": F.when(~F.col("used_fallback"), F.get("probs", F.col("branch"))),
-            "branch": F.coalesce("branch", "__least"),
-            "chosen_rank": F.coalesce("chosen_rank", F.lit(k)),
-        }
-    ).drop("__ord", "__s", "__least")
+    columns = scored.columns
+    left = materialise(scored.withColumns({"__ord": branch_order(F.col("probs")), "__s": visit_score(F.col("probs"), order).cast("double")}), "unplaced")
+    spark = scored.sparkSession
+    filled = spark.createDataFrame([], left.select(*NODE, F.lit(0).alias("__key"), F.lit(0).cast("long").alias("__taken")).schema)
+    out = left.limit(0).select(*columns, F.lit(0).alias("branch"), F.lit(0).alias("chosen_rank"), F.lit(False).alias("used_fallback"), F.lit(0.0).alias("prob"))
+    schema = out.schema
+    for f in schema:
+        f.nullable = True
+    parts = []
+    for t in range(k + 1):
+        sizes = left.groupBy(*NODE).agg(F.count("*").alias("__n"))
+        few = F.col("__n") <= finish_rows
+        small, large = sizes.agg(F.count_if(few), F.count_if(~few)).first()
+        if small and t < k:
+            seats = filled.groupBy(*NODE).agg(F.map_from_entries(F.collect_list(F.struct("__key", "__taken"))).alias("__m"))
+            ready = left.join(sizes.where(few).select(*NODE), NODE, "left_semi") if large else left
+            ready = ready.join(seats, NODE, "left").withColumn("__seats", F.expr(f"transform(sequence(0, {k - 1}), b -> coalesce(__m[b], 0L))")).drop("__m")
+            parts.append(ready.groupBy(*NODE).applyInPandas(_finish(columns, k, cap, t), schema))
+            left = left.join(sizes.where(~few).select(*NODE), NODE, "left_semi") if large else left.limit(0)
+        if not large and (small == 0 or t < k):
+            break
+        if t == k:
+            parts.append(_to_least_full(left, filled, k).select(*columns, "branch", F.lit(k).alias("chosen_rank"), F.lit(True).alias("used_fallback"), F.lit(None).cast("double").alias("prob")))
+            break
+        now = materialise(_one_round(left, filled, t, cap, order), "round")
+        won = now.where("branch is not null")
+        parts.append(won.select(*columns, "branch", F.lit(t).alias("chosen_rank"), F.lit(False).alias("used_fallback"), F.get("probs", F.col("branch")).alias("prob")))
+        more = won.groupBy(*NODE, F.col("branch").alias("__key")).agg(F.count("*").alias("__taken"))
+        filled = materialise(filled.union(more).groupBy(*NODE, "__key").agg(F.sum("__taken").alias("__taken")), "filled")
+        left = now.where("branch is null").drop("branch")
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def _to_least_full(left: DataFrame, filled: DataFrame, k: int) -> DataFrame:
+    """``left`` with the branch of its node that has the fewest rows."""
+    every = left.select(*NODE).distinct().withColumn("__key", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    taken = F.coalesce("__taken", F.lit(0)).alias("n")
+    least = every.join(filled, [*NODE, "__key"], "left").groupBy(*NODE).agg(F.min(F.struct(taken, "__key"))["__key"].alias("branch"))
+    return left.join(least, NODE)
 
 
 def assign_sequential(scored: DataFrame, k: int, cap: int, order: str = "confidence") -> DataFrame:
@@ -170,7 +245,23 @@ def level_diagnostics(assigned: DataFrame) -> DataFrame:
         F.count_if((F.col("branch") != first)).alias("denied_top_count"),
         F.max(F.when(~F.col("used_fallback"), F.col("chosen_rank"))).alias("max_chosen_rank"),
         F.avg("chosen_rank").alias("mean_chosen_rank"),
+        *(
+            (F.count_if(x) / F.greatest(F.count("*"), F.lit(1))).alias(name)
+            for name, x in (
+                ("second_choice_fraction", ~F.col("used_fallback") & (F.col("chosen_rank") == 1)),
+                ("third_or_later_choice_fraction", ~F.col("used_fallback") & (F.col("chosen_rank") >= 2)),
+                ("denied_top_fraction", F.col("branch") != first),
+                ("fallback_fraction", F.col("used_fallback")),
+            )
+        ),
         F.avg("prob").alias("mean_assigned_prob"),
         F.avg(F.array_max("probs")).alias("mean_confidence"),
         F.avg(margin(F.col("probs"))).alias("mean_margin"),
     )
+
+
+def level_report(assigned: DataFrame) -> dict:
+    """``level_diagnostics``, the rank histogram and the covering rank of one level as one row."""
+    hist = rank_histogram(assigned)
+    buckets = {f"rank_hist_{r['bucket'].removeprefix('rank_')}": r["n_vectors"] for r in hist.collect()}
+    return {**buckets, "min_top_r_covering_999": min_top_r(hist).first()[0], **level_diagnostics(assigned).first().asDict()}

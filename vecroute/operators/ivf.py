@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecroute.functions.distance import euclidean, inner_product
+from vecroute.operators.knn import exact_knn
 from vecroute.operators.search import rerank
 
 
@@ -21,11 +21,9 @@ def build_ivf(vectors: DataFrame, n_lists: int, seed: int = 0, max_iter: int = 1
 
 
 def search_ivf(queries: DataFrame, vectors: DataFrame, lists: DataFrame, centroids: DataFrame, n_probe: int, top_k: int, metric: str = "euclidean") -> tuple[DataFrame, DataFrame]:
-    """(results, probed members). Each query meets all centroids, a table of fixed size."""
-    near = inner_product if metric == "inner_product" else euclidean
-    table = F.array(*(F.struct(F.lit(r["list_id"]).alias("list_id"), F.array(*map(F.lit, r["centroid"])).alias("c")) for r in centroids.collect()))
-    measured = queries.withColumn("x", F.explode(table)).select("query_id", "x.list_id", near(F.col("embedding"), F.col("x.c")).alias("d"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "list_id"))
-    probes = measured.withColumn("n", place).where(F.col("n") <= n_probe).select("query_id", "list_id")
+    """(results, probed members). The nearest centroids of a query are found as its nearest vectors are."""
+    lists_as_vectors = centroids.select(F.col("list_id").cast("long").alias("vec_id"), F.col("centroid").alias("embedding"))
+    near = exact_knn(queries, lists_as_vectors, n_probe, "inner_product" if metric == "inner_product" else "euclidean")
+    probes = near.select("query_id", F.col("vec_id").cast("int").alias("list_id"))
     members = probes.join(lists, "list_id").select("query_id", "vec_id")
     return rerank(members, queries, vectors, top_k, metric), members

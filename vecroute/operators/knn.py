@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecroute.functions.distance import DENSE
+from vecroute.functions.paths import shuffled_rank
 
 
 def pair_distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
@@ -44,53 +45,96 @@ def block_top_k(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: in
     return row[keep], ids[col[keep]], exact[keep]
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        if len(pdf):
-            m = np.stack(pdf["embedding"].to_numpy()).astype("<f8")
-            yield pd.DataFrame({"ids": [pdf["id"].to_numpy(np.int64)], "width": [m.shape[1]], "data": [m.tobytes()]})
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each Arrow batch as one row: the ids, and the matrix as bytes in single precision."""
+    for b in batches:
+        if b.num_rows:
+            m = matrix_of(b.column(1))
+            ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0).cast(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([m.shape[1]], pa.int32()), pa.array([m.astype("<f4").tobytes()], pa.binary())], names=["ids", "width", "data"])
+
+
+def matrix_of(lists: pa.Array) -> np.ndarray:
+    """A column of equally long lists as a matrix in double precision; null or ragged vectors are an error."""
+    sizes = lists.value_lengths()
+    if lists.null_count or len(sizes.unique()) > 1:
+        raise ValueError("vectors must all have one width, and none may be null")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
 
 
 def exact_knn(
-    queries: DataFrame, vectors: DataFrame, k: int, metric: str = "euclidean", query_block: int = 2048
-) -> DataFrame:
+    queries: DataFrame, vectors: DataFrame, k: int, metric: str = "euclidean", query_block: int | None = None,
+    broadcast_bytes: int = 64 << 20, salts: int = 64,
+) -> DataFrame:
     """(query_id, rank from 0, vec_id, distance): ties go to the lower id.
 
     ``queries`` (query_id, embedding), ``vectors`` (vec_id, embedding). Vectors are packed into blocks;
-    each block meets each block of queries in one task, which keeps its own best ``k``, and a window
-    takes the best of those. The query blocks are dealt by a hash of the id.
+    each block meets each block of queries in one task, which keeps the best ``k`` of all that it sees, and a
+    window takes the best of those. Query blocks (of 16 MB unless ``query_block`` says how many rows) are
+    dealt by a hash of the id. Queries whose measured size is within ``broadcast_bytes`` are broadcast, so
+    vectors aren't shuffled; more are joined by block and salt, so that a block of queries meets the vectors
+    in ``salts`` tasks. Null vectors and differing widths are errors.
     """
     if metric not in DENSE:
         raise ValueError(f"{metric!r} can't be mined; one of {', '.join(DENSE)}")
     if k < 1:
         raise ValueError("k must be positive")
-    n = max(1, -(-queries.count() // query_block))
-    asked = (
-        queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))
-    )
-    packed = vectors.select(F.col("vec_id").alias("id"), "embedding").mapInPandas(_pack, "ids array<long>, width int, data binary")
-    pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(asked, "block")
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for ids, width, data, asked in zip(pdf["ids"], pdf["width"], pdf["data"], pdf["asked"], strict=True):
-                m = np.frombuffer(data, "<f8").reshape(-1, width)
-                q = np.stack([np.asarray(a["embedding"], float) for a in asked])
-                names = np.array([a["query_id"] for a in asked])
-                row, near, distance = block_top_k(q, m, np.asarray(ids), k, metric)
-                yield pd.DataFrame({"query_id": names[row], "vec_id": near, "distance": distance})
-
-    found = pairs.mapInPandas(best, "query_id long, vec_id long, distance double")
+    asked_rows, width = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    size = asked_rows * max(1, width or 1) * 4
+    n = max(1, -(-asked_rows // query_block) if query_block else -(-size // (16 << 20)))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("block")
+    asked = queries.select(block, "query_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    asked = asked.groupBy("block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))
+    packed = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(_pack, "ids array<long>, width int, data binary")
+    packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if size <= broadcast_bytes:
+        pairs = packed.join(F.broadcast(asked), "block")
+    else:
+        asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pairs = packed.withColumn("salt", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(salts)).cast("int")).join(asked, ["block", "salt"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def reduced() -> tuple:
+            q, v, d = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((v, np.round(d, 9), q))
+            q, v, d = q[order], v[order], d[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            return q[keep], v[keep], d[keep]
+
+        rows = 0
+        for b in batches:
+            for ids, wide, data, asked in zip(b.column("ids"), b.column("width"), b.column("data"), b.column("asked"), strict=True):
+                q, names = matrix_of(asked.values.field("embedding")), asked.values.field("query_id").to_numpy()
+                m = np.frombuffer(data.as_py(), "<f4").reshape(-1, wide.as_py()).astype(float)
+                if q.shape[1] != m.shape[1]:
+                    raise ValueError(f"queries of width {q.shape[1]}, vectors of width {m.shape[1]}")
+                near = ids.values.to_numpy()
+                for a in range(0, len(q), 1024):
+                    row, found, distance = block_top_k(q[a : a + 1024], m, near, k, metric)
+                    held.append((names[a + row], found, distance))
+                    rows += len(row)
+                if rows > 1 << 20:
+                    held[:] = [reduced()]
+                    rows = len(held[0][0]) // 2  # so that a large state isn't sorted at every step
+        if held:
+            q, v, d = reduced()
+            for a in range(0, len(q), 65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 65_536]) for x in (q, v, d)], names=["query_id", "vec_id", "distance"])
+
+    columns = ["ids", "width", "data", "asked"]
+    found = pairs.select(*columns).mapInArrow(best, "query_id long, vec_id long, distance double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id"))
     return found.withColumn("rank", (place - 1).cast("int")).where(F.col("rank") < k).select("query_id", "rank", "vec_id", "distance")
 
 
 def sample_ids(vectors: DataFrame, n: int, seed: int) -> DataFrame:
-    """Exactly ``n`` rows (all, if there are fewer), by the order of a seeded hash."""
-    h = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("vec_id").cast("string")))
-    return vectors.orderBy(h, "vec_id").limit(n)
+    """Exactly ``n`` rows (all, if there are fewer), by the order of a seeded hash of their ids.
+
+    Only ids are ranked, in 4,096 ranges of the hash; the rows themselves are then picked by a semi-join."""
+    picked = shuffled_rank(vectors.select("vec_id"), seed).where(F.col("rank") < n).select("vec_id")
+    return vectors.join(picked, "vec_id", "left_semi")
 
 
 def mine_labels(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,9 @@ def centroid_router(members: DataFrame, digits: int = 6) -> DataFrame:
     ``members``: (tree_id, prefix, branch, embedding). Means are rounded so that they don't depend on
     the order of summation.
     """
-    cells = members.select("tree_id", "prefix", "branch", F.posexplode("embedding").alias("d", "x"))
-    means = cells.groupBy("tree_id", "prefix", "branch", "d").agg(F.round(F.avg(F.col("x").cast("double")), digits).alias("m"))
-    rows = means.groupBy("tree_id", "prefix", "branch").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("c")
-    )
+    cells = members.select("tree_id", "prefix", "branch", array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
+    means = cells.groupBy("tree_id", "prefix", "branch").agg(Summarizer.mean(F.col("x")).alias("m"))
+    rows = means.select("tree_id", "prefix", "branch", F.transform(vector_to_array("m"), lambda x: F.round(x, digits)).alias("c"))
     return rows.select(
         "tree_id", "prefix", "branch", F.transform("c", lambda x: 2 * x).alias("weight"), (-dot(F.col("c"), F.col("c"))).alias("bias")
     )

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecroute.functions.distance import DENSE
 from vecroute.functions.distance import metric as metric_of
 from vecroute.functions.paths import path_to_leaf
+from vecroute.operators.knn import matrix_of, pair_distances
 from vecroute.operators.router import log_softmax, logits
 
 
@@ -59,16 +64,37 @@ def select_candidates(members: DataFrame, n_trees: int, min_trees: int | None =
     counted = members.groupBy("query_id", "vec_id").agg(F.count("*").cast("int").alias("n_trees"))
     if least == 1:
         return counted
-    top = counted.groupBy("query_id").agg(F.max("n_trees").alias("__top"))
-    return counted.join(top, "query_id").where((F.col("n_trees") >= least) | (F.col("__top") < least)).drop("__top")
+    top = F.max("n_trees").over(Window.partitionBy("query_id"))
+    return counted.withColumn("__top", top).where((F.col("n_trees") >= least) | (F.col("__top") < least)).drop("__top")
+
+
+def _measure(metric: str):
+    """Distances of the pairs of vectors in each Arrow batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                one, two = matrix_of(b.column(2)), matrix_of(b.column(3))
+                if one.shape[1] != two.shape[1]:
+                    raise ValueError(f"queries of width {two.shape[1]}, vectors of width {one.shape[1]}")
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pair_distances(two, one, metric))], names=["query_id", "vec_id", "distance"])
+
+    return run
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, top_k: int, metric: str = "euclidean") -> DataFrame:
-    """(query_id, rank, vec_id, distance): exact distances; ties go to the lower id."""
+    """(query_id, rank, vec_id, distance): exact distances; ties go to the lower id.
+
+    Pairs of dense vectors are measured by Arrow blocks, ids and bits by Spark expressions.
+    """
     d = metric_of(metric)
     asked = queries.select("query_id", F.col("embedding").alias("__q"))
-    full = candidates.join(vectors.select("vec_id", "embedding"), "vec_id").join(asked, "query_id")
-    measured = full.select("query_id", "vec_id", F.round(d(F.col("embedding"), F.col("__q")), 9).alias("distance"))
+    full = candidates.select("query_id", "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").join(asked, "query_id")
+    if metric in DENSE:
+        pairs = full.select("query_id", "vec_id", "embedding", "__q").mapInArrow(_measure(metric), "query_id long, vec_id long, distance double")
+        measured = pairs.withColumn("distance", F.round("distance", 9))
+    else:
+        measured = full.select("query_id", "vec_id", F.round(d(F.col("embedding"), F.col("__q")), 9).alias("distance"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return measured.withColumn("rank", (place - 1).cast("int")).where(F.col("rank") < top_k).select("query_id", "rank", "vec_id", "distance")
 

@@ -10,10 +10,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecroute.functions.paths import path_to_leaf, random_init
+from vecroute.functions.paths import checked_path, path_to_leaf, random_init, shuffled_rank
 from vecroute.functions.storage import materialise
-from vecroute.operators.assign import assign_round, assign_sequential, capacity, level_diagnostics, next_level
-from vecroute.operators.knn import mine_labels, sample_ids
+from vecroute.operators import metrics, search
+from vecroute.operators.assign import assign_round, assign_sequential, capacity, level_report, next_level
+from vecroute.operators.knn import linspace_sample, mine_labels, sample_ids
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,7 @@ class TrainSettings:
     label_refresh: str = "per_cycle"
     seed: int = 0
     max_iter: int = 20
+    loss_pairs: int = 1_000_000
 
     def __post_init__(self):
         if self.mode not in ("round", "sequential"):
@@ -67,9 +69,14 @@ class MlRouter:
         return scored.withColumn("probs", F.slice(F.concat(p, pad), 1, self.k)).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def training_pairs(queries: DataFrame, neighbours: DataFrame, tree_paths: DataFrame) -> DataFrame:
-    """(query_id, embedding, path): each query once per neighbour, with that neighbour's path as label."""
-    labels = neighbours.join(tree_paths.select("vec_id", "path"), "vec_id").select("query_id", "rank", "path")
+def training_pairs(queries: DataFrame, neighbours: DataFrame, tree_paths: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, embedding, path): each query once per neighbour, with that neighbour's path as label.
+
+    A neighbour that the tree doesn't hold is an error, and with ``k`` so is a path with a branch that is none."""
+    missing = F.raise_error(F.concat(F.lit("neighbour "), F.col("vec_id").cast("string"), F.lit(" isn't in the tree"))).cast("array<int>")
+    labels = neighbours.join(tree_paths.select("vec_id", "path"), "vec_id", "left").select("query_id", "rank", F.coalesce("path", missing).alias("path"))
+    if k is not None:
+        labels = labels.withColumn("path", checked_path(F.col("path"), k))
     return labels.join(queries, "query_id").select("query_id", "rank", "embedding", "path")
 
 
@@ -95,6 +102,34 @@ def training_loss(router: MlRouter, pairs: DataFrame, settings: TrainSettings) -
     return float(rows.select(F.avg(total)).first()[0])
 
 
+def sampled_loss(router: MlRouter, pairs: DataFrame, settings: TrainSettings) -> float:
+    """``training_loss`` over at most ``loss_pairs`` pairs, evenly spaced over all of them."""
+    if pairs.count() <= settings.loss_pairs:
+        return training_loss(router, pairs, settings)
+    ranked = shuffled_rank(pairs.select(F.struct("query_id", "rank").alias("pair"), "embedding", "path").withColumn("key", F.col("pair").cast("string")), settings.seed, "key", "i")
+    return training_loss(router, linspace_sample(ranked, settings.loss_pairs), settings)
+
+
+@dataclass(frozen=True)
+class Probe:
+    """Queries with their true neighbours, on which each cycle's tree is tried; a small set."""
+
+    queries: DataFrame
+    truth: DataFrame
+    beam_size: int
+    num_leaves: int
+    top_k: int = 10
+
+
+def probe_cycle(probe: Probe, router: MlRouter, paths: DataFrame, vectors: DataFrame, settings: TrainSettings, tree_id: int) -> dict:
+    """Recall and mean candidates of one tree as it is after a cycle."""
+    beam = router_beam(router, probe.queries, settings.h, probe.beam_size, probe.num_leaves, tree_id)
+    found = materialise(search.select_candidates(search.leaf_lookup(beam, paths), 1), "candidates")
+    ranked = search.rerank(found, probe.queries, vectors, probe.top_k, settings.metric)
+    recall = metrics.recall_per_query(ranked, probe.truth, probe.top_k).agg(F.avg("recall")).first()[0]
+    return {"recall": recall, "mean_candidates": metrics.candidate_counts(found, probe.queries).agg(F.avg("n_candidates")).first()[0]}
+
+
 def reassign(router: MlRouter, vectors: DataFrame, settings: TrainSettings, n: int, tree_id: int = 0) -> tuple[DataFrame, list[DataFrame]]:
     """New (tree_id, vec_id, path, leaf_id) of all vectors, level by level, and each level's assignment."""
     now = vectors.select("vec_id", "embedding", F.lit(tree_id).alias("tree_id"), F.expr("cast(array() as array<int>)").alias("prefix"))
@@ -113,7 +148,7 @@ def improvement(best: float | None, now: float) -> float | None:
     return None if not best else (best - now) / abs(best)
 
 
-def alternating_train(vectors: DataFrame, settings: TrainSettings, tree_id: int = 0) -> tuple[MlRouter, DataFrame, list[dict]]:
+def alternating_train(vectors: DataFrame, settings: TrainSettings, tree_id: int = 0, probe: Probe | None = None) -> tuple[MlRouter, DataFrame, list[dict]]:
     """(router, tree_paths, a row of diagnostics a cycle). ``vectors``: (vec_id, embedding)."""
     n = vectors.count()
     seed = settings.seed + tree_id
@@ -126,14 +161,15 @@ def alternating_train(vectors: DataFrame, settings: TrainSettings, tree_id: int
         if neighbours is None or settings.label_refresh == "per_cycle":
             label_seed = seed + 1 if settings.label_refresh == "once" else seed + cycle
             neighbours = materialise(mine_labels(queries, vectors, settings.top_k, settings.subset_size, label_seed, settings.metric), "labels")
-        pairs = materialise(training_pairs(queries, neighbours, paths), "pairs")
+        pairs = materialise(training_pairs(queries, neighbours, paths, settings.k), "pairs")
         router = fit_router(pairs, settings)
-        loss = training_loss(router, pairs, settings)
+        loss = sampled_loss(router, pairs, settings)
         if not math.isfinite(loss):
             raise ValueError(f"cycle {cycle}: the loss is {loss}")
         new, levels = reassign(router, vectors, settings, n, tree_id)
         paths = materialise(new, "paths")
-        rows.append({"cycle": cycle, "loss": loss, "levels": [level_diagnostics(x).first().asDict() for x in levels]})
+        row = {"cycle": cycle, "loss": loss, "mode": settings.mode, "order": settings.order, "levels": [level_report(x) for x in levels]}
+        rows.append(row | (probe_cycle(probe, router, paths, vectors, settings, tree_id) if probe else {}))
         gain = improvement(best, loss)
         stale = 0 if gain is None or gain >= settings.min_delta else stale + 1
         best = loss if best is None else min(best, loss)

@@ -108,7 +108,9 @@ def knn_of(metric: str):
 
 
 def knn_subset(spark, sf):
-    return rounded(knn.mine_labels(queries(spark, sf), vectors(spark, sf), TOP, 100, 7), "distance")
+    """Neighbours within a fifth of the vectors."""
+    v = vectors(spark, sf)
+    return rounded(knn.mine_labels(queries(spark, sf), v, TOP, v.count() // 5, 7), "distance")
 
 
 def knn_chunked_equiv(spark, sf):
@@ -117,7 +119,7 @@ def knn_chunked_equiv(spark, sf):
 
 def mined(spark, sf):
     v = vectors(spark, sf)
-    asked = knn.sample_ids(v, 10, 3).select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = queries(spark, sf)
     return asked, knn.mine_labels(asked, v, 5, None, 3)
 
 
@@ -127,7 +129,7 @@ def knn_label_pairs(spark, sf):
 
 def training_pairs(spark, sf):
     asked, found = mined(spark, sf)
-    pairs = training.training_pairs(asked, found, trees(spark, sf).where("tree_id = 0"))
+    pairs = training.training_pairs(asked, found, trees(spark, sf).where("tree_id = 0"), K)
     return pairs.select("query_id", "rank", P.path_to_leaf(F.col("path"), K).alias("leaf_id"))
 
 
@@ -233,8 +235,11 @@ def assign_sequential(spark, sf):
     return assign.assign_sequential(root_probs(spark, sf), K, assign.capacity(n, K, 0)).select(*PLACED)
 
 
+FRACTIONS = [f"{x}_fraction" for x in ("second_choice", "third_or_later_choice", "denied_top", "fallback")]
+
+
 def assign_diagnostics(spark, sf):
-    return rounded(assign.level_diagnostics(assigned_root(spark, sf)), "mean_chosen_rank", "mean_assigned_prob", "mean_confidence", "mean_margin")
+    return rounded(assign.level_diagnostics(assigned_root(spark, sf)), "mean_chosen_rank", "mean_assigned_prob", "mean_confidence", "mean_margin", *FRACTIONS)
 
 
 def rank_histogram(spark, sf):
@@ -246,10 +251,14 @@ def min_top_r_covering(spark, sf):
 
 
 def eval_loss(spark, sf):
-    """Mean cross-entropy of the root router against the trees' own root branches."""
-    scored = router.log_softmax(router.logits(root_nodes(spark, sf), tree_router(spark, sf)), ["tree_id", "prefix", "vec_id"])
-    own = trees(spark, sf).where("tree_id = 0").select("vec_id", F.get("path", F.lit(0)).alias("branch"))
-    return scored.join(own, ["vec_id", "branch"]).agg(F.round(-F.avg("log_prob"), 6).alias("loss"))
+    """Cross-entropy of the router against the first tree's own paths, summed over its levels: means of tree
+    nodes, weighted by their vectors."""
+    own = trees(spark, sf).where("tree_id = 0").join(vectors(spark, sf).select("vec_id", "embedding"), "vec_id")
+    step = F.explode(F.transform(F.sequence(F.lit(0), F.lit(H - 1)), lambda d: F.struct(F.slice(F.col("path"), F.lit(1), d).alias("prefix"), F.get("path", d).alias("own"))))
+    nodes = own.withColumn("s", step).select("tree_id", "vec_id", "embedding", "s.prefix", "s.own")
+    scored = router.log_softmax(router.logits(nodes, tree_router(spark, sf)), ["tree_id", "prefix", "vec_id"])
+    batches = scored.where("branch = own").groupBy("prefix").agg((-F.avg("log_prob")).alias("loss"), F.count("*").alias("n"))
+    return metrics.weighted_loss(batches).select(F.round(F.col("loss") * H, 6).alias("loss"))
 
 
 # --- search ----------------------------------------------------------------------------------------
@@ -358,23 +367,27 @@ def balance_warnings(spark, sf):
 
 
 def qps_by_machine(spark, sf):
-    """The report over measurements made of ``lineitem``: machines by supplier and flag."""
-    rows = table(spark, sf, "lineitem").select(
-        F.concat(F.lit("host"), F.pmod("l_suppkey", F.lit(7)).cast("string")).alias("host"), F.col("l_returnflag").alias("gpu"),
-        F.col("l_extendedprice").cast("double").alias("qps"), F.col("l_quantity").cast("double").alias("candidates"),
-    )
-    return rounded(analysis.qps_by_machine(rows), "best_qps", "median_qps", "best_candidates_per_second")
+    """The report over log files, written here: one job log a row of ``part``, on machines by its brand."""
+    path = shared_dir(spark, "logs")
+    card = F.concat(F.lit("NVIDIA A"), F.pmod("p_size", F.lit(3)).cast("string"))
+    point = F.to_json(F.struct(F.col("p_retailprice").alias("qps"), (F.col("p_size") / 100).alias("recall@10"), F.col("p_size").alias("mean_distcomp"), F.col("p_partkey").alias("knob_value")))
+    log = F.concat(F.lit("Job "), F.col("p_partkey"), F.lit(" on "), F.translate("p_brand", " ", "-"), F.lit(" at noon\n|   0  "), card, F.lit("      On  |\ndone {no json} 3 q/s\n"), point, F.lit("\n"))
+    table(spark, sf, "part").select(log.alias("value")).write.option("lineSep", "\u0001").text(path)
+    return rounded(analysis.qps_by_machine(analysis.scan_logs(spark, path, separator="\u0001")), "best_qps", "median_qps", "best_candidates_per_second")
 
 
 def repetition_summary(spark, sf):
-    """The report over values of ``lineitem``, as if they were timings of machines."""
-    times = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("machine"), F.col("l_extendedprice").cast("double").alias("seconds"))
-    return rounded(metrics.repetition_summary(times, ["machine"]), "median", "min", "max")
+    """Repeated points by label: each vector's distance to the one with the next id stands for a timing."""
+    times = neighbours_in_order(spark, sf).select("label", D.euclidean(F.col("embedding"), F.col("other")).alias("seconds"))
+    return rounded(metrics.repetition_summary(times, ["label"]), "median", "min", "max")
 
 
 def weighted_loss(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_discount").cast("double").alias("loss"), F.col("l_quantity").cast("double").alias("n"))
-    return rounded(metrics.weighted_loss(rows), "loss")
+    """Mean root loss from the means of batches of queries by label."""
+    scored = router.log_softmax(router.logits(root_nodes(spark, sf), tree_router(spark, sf)), ["tree_id", "prefix", "vec_id"])
+    own = trees(spark, sf).where("tree_id = 0").select("vec_id", F.get("path", F.lit(0)).alias("branch"))
+    rows = scored.join(own, ["vec_id", "branch"]).join(vectors(spark, sf).select("vec_id", "label"), "vec_id")
+    return rounded(metrics.weighted_loss(rows.groupBy("label").agg((-F.avg("log_prob")).alias("loss"), F.count("*").alias("n"))), "loss")
 
 
 def linspace_sample(spark, sf):

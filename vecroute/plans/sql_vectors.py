@@ -151,14 +151,29 @@ EDGES = "edges AS (SELECT * FROM (VALUES (0, 'rank_0', 1), (1, 'rank_1', 2), (2,
 HIST = f"""{root_assigned('confidence')}, {EDGES},
 hist AS (SELECT edge, bucket, (SELECT count(*) FROM a WHERE NOT used_fallback AND chosen_rank >= edge AND chosen_rank < stop) AS n_vectors FROM edges)"""
 
-SAMPLE3 = "w AS (SELECT vec_id AS query_id, e FROM v ORDER BY md5('3-' || vec_id::VARCHAR), vec_id LIMIT 10)"
+#: All vectors in the nodes of their own path of tree 0, with the log-probability of every branch there.
+PATHS = f"""WITH {BASE},
+own AS (SELECT vec_id, []::INT[] AS prefix, path[1] AS own FROM tp WHERE tree_id = 0 UNION ALL SELECT vec_id, path[1:1], path[2] FROM tp WHERE tree_id = 0),
+raw AS (SELECT vec_id, o.prefix, branch, round(list_inner_product(e, weight) + bias, 6) AS logit
+        FROM own o JOIN v USING (vec_id) JOIN router r ON r.tree_id = 0 AND r.prefix = o.prefix),
+low AS (SELECT *, logit - max(logit) OVER (PARTITION BY vec_id, prefix) AS z FROM raw),
+every AS (SELECT vec_id, prefix, branch, round(z - ln(sum(exp(z)) OVER (PARTITION BY vec_id, prefix)), 6) AS log_prob FROM low)"""
+#: One vector at a time: each takes its best branch with room, else the least full.
+SEQUENTIAL = f"""WITH RECURSIVE {ORDERED},
+seq AS (SELECT vec_id, ord, probs, row_number() OVER (ORDER BY list_max(probs) DESC, vec_id) AS i FROM o),
+run AS (
+  SELECT 0::BIGINT AS i, NULL::INT AS branch, NULL::INT AS chosen_rank, [0, 0, 0, 0]::BIGINT[] AS taken, (SELECT greatest(1, ceil(count(*) / 4.0)) FROM v) AS cap
+  UNION ALL
+  SELECT i, b, r, list_transform(taken, lambda n, j: n + (j = b + 1)::BIGINT), cap FROM (
+    SELECT s.i, taken, cap, coalesce(f, list_position(taken, list_min(taken)) - 1)::INT AS b, coalesce(list_position(ord, f) - 1, {K})::INT AS r FROM (
+      SELECT q.i, q.ord, run.taken, run.cap, list_filter(q.ord, lambda x: run.taken[x + 1] < run.cap)[1] AS f FROM run JOIN seq q ON q.i = run.i + 1) s))"""
 
 SQL = {
     **{f"knn_{m}": f"WITH {V}, {Q} {knn(m)}" for m in ("euclidean", "angular", "cosine", "inner_product")},
     "knn_chunked_equiv": f"WITH {V}, {Q} {knn('euclidean')}",
-    "knn_subset": f"WITH {V}, {Q}, s AS (SELECT * FROM v ORDER BY md5('7-' || vec_id::VARCHAR), vec_id LIMIT 100) {knn('euclidean', 's')}",
-    "knn_label_pairs": f"WITH {V}, {SAMPLE3} {knn('euclidean', 'v', 'w', 5)}",
-    "training_pairs": f"WITH {V}, {TP}, {SAMPLE3}, m AS ({knn('euclidean', 'v', 'w', 5)}) SELECT query_id, rank, leaf_id FROM m JOIN tp USING (vec_id) WHERE tree_id = 0",
+    "knn_subset": f"WITH {V}, {Q}, s AS (SELECT * FROM v ORDER BY md5('7-' || vec_id::VARCHAR), vec_id LIMIT (SELECT count(*) // 5 FROM v)) {knn('euclidean', 's')}",
+    "knn_label_pairs": f"WITH {V}, {Q} {knn('euclidean', 'v', 'q', 5)}",
+    "training_pairs": f"WITH {V}, {Q}, {TP}, m AS ({knn('euclidean', 'v', 'q', 5)}) SELECT query_id, rank, leaf_id FROM m JOIN tp USING (vec_id) WHERE tree_id = 0",
     "dist_all": f"{NEXT} SELECT vec_id, " + ", ".join(f"round({metric_sql(m, 'a', 'b')}, 6) AS {m}" for m in ("euclidean", "angular", "cosine", "inner_product")) + " FROM n",
     "dist_hamming": f"{NEXT} SELECT vec_id, round(list_avg(list_transform(list_zip(a, b), lambda p: ((p[1] > 0) <> (p[2] > 0))::INT)), 6) AS distance FROM n",
     "dist_jaccard": f"""{NEXT}, i AS (
@@ -197,11 +212,15 @@ SELECT vec_id, (prefix[1] * 4 + branch)::BIGINT AS leaf_id, chosen_rank FROM a2"
     "assign_diagnostics": f"""{root_assigned('confidence')}
 SELECT count(*) AS num_vectors, count_if(used_fallback)::BIGINT AS fallback_count, count_if(branch <> ord[1])::BIGINT AS denied_top_count,
   max(chosen_rank) FILTER (NOT used_fallback) AS max_chosen_rank, round(avg(chosen_rank), 6) AS mean_chosen_rank, round(avg(prob), 6) AS mean_assigned_prob,
-  round(avg(list_max(probs)), 6) AS mean_confidence, round(avg({SCORES['margin']}), 6) AS mean_margin FROM a""",
+  round(avg(list_max(probs)), 6) AS mean_confidence, round(avg({SCORES['margin']}), 6) AS mean_margin,
+  round(count_if(NOT used_fallback AND chosen_rank = 1) / count(*), 6) AS second_choice_fraction, round(count_if(NOT used_fallback AND chosen_rank >= 2) / count(*), 6) AS third_or_later_choice_fraction,
+  round(count_if(branch <> ord[1]) / count(*), 6) AS denied_top_fraction, round(count_if(used_fallback) / count(*), 6) AS fallback_fraction FROM a""",
     "rank_histogram": f"{HIST} SELECT edge, bucket, n_vectors FROM hist",
     "min_top_r_covering": f"""{HIST}, run AS (SELECT edge, sum(n_vectors) OVER (ORDER BY edge) AS upto, coalesce(lead(edge) OVER (ORDER BY edge), edge) AS next_edge, sum(n_vectors) OVER () AS total FROM hist)
 SELECT coalesce(arg_min(next_edge, edge), 0) AS min_top_r FROM run WHERE total > 0 AND upto >= 0.999 * total""",
-    "eval_loss": f"WITH {LP} SELECT round(-avg(log_prob), 6) AS loss FROM lp JOIN tp ON tp.vec_id = lp.vec_id AND tp.tree_id = 0 AND tp.path[1] = lp.branch",
+    "eval_loss": f"""{PATHS} SELECT round(-2 * avg(log_prob), 6) AS loss FROM own JOIN every USING (vec_id, prefix) WHERE branch = own""",
+    "assign_sequential": f"""{SEQUENTIAL} SELECT vec_id, branch, chosen_rank, chosen_rank = {K} AS used_fallback, CASE WHEN chosen_rank < {K} THEN probs[branch + 1] END AS prob
+FROM run JOIN seq USING (i)""",
     "beam_search": f"WITH {SEARCH} SELECT query_id, tree_id, leaf_rank, leaf_id, score FROM beam",
     "leaf_lookup": f"WITH {SEARCH} SELECT query_id, tree_id, vec_id FROM looked",
     "candidates_union": f"WITH {SEARCH}, {chosen(1)} SELECT * FROM cand",
@@ -229,12 +248,12 @@ hit AS (SELECT label, target, arg_min(cl + CASE WHEN hi > lo THEN (target - lo)
 SELECT l.label, g.target, round(candidates, 6) AS candidates FROM (SELECT DISTINCT label FROM curve) l CROSS JOIN goal g LEFT JOIN hit ON hit.label = l.label AND hit.target = g.target""",
     "balance_warnings": f"""{CURVES} SELECT a.leaves, round(a.candidates, 6) AS base, round(b.candidates, 6) AS other, round((b.candidates - a.candidates) / a.candidates, 6) AS drift
 FROM curve a JOIN curve b ON a.leaves = b.leaves AND a.label = 'union' AND b.label = 'common' WHERE abs((b.candidates - a.candidates) / a.candidates) > 0.05""",
-    "qps_by_machine": """SELECT 'host' || (l_suppkey % 7) AS host, l_returnflag AS gpu, count(*) AS n_points, round(max(l_extendedprice::DOUBLE), 6) AS best_qps,
-  round(median(l_extendedprice::DOUBLE), 6) AS median_qps, round(max(CASE WHEN l_quantity > 0 THEN l_extendedprice::DOUBLE * l_quantity::DOUBLE END), 6) AS best_candidates_per_second
-FROM lineitem GROUP BY ALL""",
-    "repetition_summary": """SELECT l_linestatus AS machine, count(l_extendedprice) AS repetitions, round(median(l_extendedprice::DOUBLE), 6) AS median,
-  round(min(l_extendedprice::DOUBLE), 6) AS min, round(max(l_extendedprice::DOUBLE), 6) AS max FROM lineitem GROUP BY ALL""",
-    "weighted_loss": "SELECT round(sum(l_discount::DOUBLE * l_quantity::DOUBLE) / sum(l_quantity::DOUBLE), 6) AS loss FROM lineitem",
+    "qps_by_machine": """SELECT replace(p_brand, ' ', '-') AS host, 'NVIDIA A' || (p_size % 3) AS gpu, count(*) AS n_points, round(max(p_retailprice), 6) AS best_qps,
+  round(median(p_retailprice), 6) AS median_qps, round(max(CASE WHEN p_size > 0 THEN p_retailprice * p_size END), 6) AS best_candidates_per_second
+FROM part GROUP BY ALL""",
+    "repetition_summary": f"""{NEXT} SELECT label, count(*) AS repetitions, round(median(list_distance(a, b)), 6) AS median,
+  round(min(list_distance(a, b)), 6) AS min, round(max(list_distance(a, b)), 6) AS max FROM n JOIN v USING (vec_id) GROUP BY label""",
+    "weighted_loss": f"WITH {LP} SELECT round(-avg(log_prob), 6) AS loss FROM lp JOIN tp ON tp.vec_id = lp.vec_id AND tp.tree_id = 0 AND tp.path[1] = lp.branch",
     "linspace_sample": """SELECT vec_id AS i, label FROM embeddings WHERE vec_id IN (
   SELECT floor(x * ((SELECT count(*) FROM embeddings) - 1)::DOUBLE / 100)::BIGINT FROM range(101) t(x))""",
     "source_roundtrip": f"WITH {V} SELECT vec_id, len(e)::INT AS width, round(list_sum(e), 6) AS total FROM v",

@@ -8,6 +8,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecroute.functions.paths import checked_path
+
 VERSION = 2
 
 
@@ -31,7 +33,7 @@ def save_index(tree_paths: DataFrame, router: DataFrame, meta: IndexMeta, path:
     """Paths are split by tree and root branch and sorted by leaf within files, so that probes of a few
     leaves skip files and row groups."""
     spark = tree_paths.sparkSession
-    rows = tree_paths.withColumn("root", F.get("path", F.lit(0)))
+    rows = tree_paths.withColumn("path", checked_path(F.col("path"), meta.k, meta.h)).withColumn("root", F.get("path", F.lit(0)))
     rows.repartition("tree_id", "root").sortWithinPartitions("tree_id", "root", "leaf_id", "vec_id").write.partitionBy("tree_id", "root").parquet(f"{path}/tree_paths")
     router.write.parquet(f"{path}/router")
     line = json.dumps({"version": VERSION, **asdict(meta)})
@@ -55,13 +57,14 @@ def load_index(spark: SparkSession, path: str, k: int | None = None, h: int | No
 
 
 def merge_trees(parts: list[DataFrame]) -> DataFrame:
-    """Trees of several tables as one, numbered on: each table's ``tree_id`` s must run from 0."""
-    out, first = None, 0
-    for part in parts:
-        moved = part.withColumn("tree_id", F.col("tree_id") + first)
-        out = moved if out is None else out.unionByName(moved)
-        first += part.agg(F.max("tree_id")).first()[0] + 1
-    return out
+    """Trees of several tables as one, numbered on by table and then by ``tree_id``, without gaps."""
+    both = None
+    for i, part in enumerate(parts):
+        one = part.withColumn("__part", F.lit(i))
+        both = one if both is None else both.unionByName(one)
+    known = sorted(tuple(r) for r in both.select("__part", "tree_id").distinct().collect())  # a handful
+    number = F.create_map(*(F.lit(x) for i, (part, tree) in enumerate(known) for x in (f"{part} {tree}", i)))
+    return both.withColumn("tree_id", number[F.concat_ws(" ", "__part", "tree_id")]).drop("__part")
 
 
 def merge_indexes(spark: SparkSession, inputs: list[str], output: str) -> IndexMeta:

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from vecroute.functions.storage import exists
+
 # Element type by suffix; files with a (rows, width) header, and files with a width per row.
 HEADED = {".fbin": "<f4", ".f32bin": "<f4", ".u8bin": "u1", ".i8bin": "i1", ".ibin": "<i4", ".i32bin": "<i4"}
 ROWWISE = {".fvecs": "<f4", ".ivecs": "<i4"}
@@ -264,10 +266,10 @@ def read_hdf5(spark: SparkSession, path: str, key: str | None = None, rows: int
     return spark.range(0, n, step).mapInPandas(load, "vec_id long, embedding array<float>")
 
 
-def first_existing(candidates: list[str]) -> str:
+def first_existing(spark: SparkSession, candidates: list[str]) -> str:
     """The first of a list of paths that is there."""
     for path in candidates:
-        if os.path.exists(path):
+        if exists(spark, path):
             return path
     raise FileNotFoundError(f"none of {', '.join(candidates)}")
 
