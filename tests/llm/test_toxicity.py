@@ -1,8 +1,13 @@
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
-from vecroute.llm.toxicity import predict, swap_terms, train
+from vecroute.llm.common import shared_dir
+from vecroute.llm.q_toxicity import op8_toxicity
+from vecroute.llm.toxicity import IDENTITY_GROUPS, predict, swap_terms, train
+
+SF = "/root/testdata/sf0.01"
 
 WORDS = [f"wo{c}rd" for c in "abcdefghijklmnop"]
 
@@ -51,3 +56,59 @@ def test_without_labels(spark):
     model = train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert scored(spark, model, ["a b", None]) == [0.0, 0.0]
     assert docs.limit(0).select(predict(model, F.col("text"))).count() == 0
+
+
+def folder(spark, rows, labels):
+    """A folder of tables as the query reads them."""
+    path = shared_dir(spark, "toxic-tables")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_query_and_the_gap_of_swapped_texts(spark):
+    """The query on texts in which toxic ones mostly name one group: what it makes of neutral mentions."""
+    rows = corpus(1200, 5)
+    probes = [f"the {g} worda wordb wordc" for group in IDENTITY_GROUPS for g in group]
+    docs = [r[:2] for r in rows] + [(5000 + i, t) for i, t in enumerate(probes)] + [(9000, None), (9001, ""), (9001, ""), (None, "nastyone wordb")]
+    path = folder(spark, docs, [(r[0], 1, r[2]) for r in rows])
+    got = op8_toxicity(spark, path).collect()
+    assert len(got) == len(docs) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got if r["doc_id"] is not None)
+    of = {r["doc_id"]: r["score"] for r in got}
+    bad = [r for r in rows if r[2] and r[0] % 40 and zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    assert sum(of[r[0]] >= 0.7 for r in bad) >= 0.95 * len(bad)
+    assert not any(of[r[0]] >= 0.7 for r in rows if not r[2])
+    mentions = [of[5000 + i] for i in range(len(probes))]
+    assert max(mentions) < 0.7
+    plain = train(spark.createDataFrame(docs[:1200], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1], "doc_id long, toxic int"), counterfactual=0.0)
+    without = scored(spark, plain, probes)
+    assert max(mentions) - min(mentions) < 0.5 * (max(without) - min(without))  # fails when there is no penalty
+
+
+def test_table_held_out(spark):
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    got = {r["doc_id"]: r for r in op8_toxicity(spark, SF).collect()}
+    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    held = [i for i in labels if got[i]["held_out"]]
+    toxic = [i for i in held if labels[i]]
+    assert sum(got[i]["predicted"] for i in toxic) >= 0.7 * len(toxic)
+    assert sum(got[i]["predicted"] for i in held if not labels[i]) <= 0.03 * len(held)
+
+
+def test_penalty_acts_on_the_table(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    fair, plain = train(docs, labels), train(docs, labels, counterfactual=0.0)
+    assert len(fair.bins) > len(plain.bins) and set(plain.bins) <= set(fair.bins)
+    shared = fair.weights[[list(fair.bins).index(b) for b in plain.bins]]
+    assert abs(shared - plain.weights).max() > 1e-3
+
+
+def test_very_long_texts_ties_and_extra_columns(spark):
+    rows = corpus(400, 9)
+    docs = spark.createDataFrame([(*r[:2], 0.5, "x") for r in rows] + [(0, rows[0][1], 0.5, "x"), (999, "worda " * 200_000 + "nastyone", 0.5, "x")], "doc_id long, text string, y double, toxic string")
+    labels = spark.createDataFrame([(r[0], r[2], 1.0) for r in rows] + [(0, 0, 1.0)], "doc_id long, toxic int, y double")
+    a, b = train(docs, labels), train(docs.repartition(7), labels.repartition(3))
+    assert (a.bins == b.bins).all() and abs(a.weights - b.weights).max() < 1e-9
+    out = docs.select("*", predict(a, F.col("text")).alias("score")).collect()
+    assert len(out) == 402 and next(r["score"] for r in out if r["doc_id"] == 999) >= 0.7

@@ -1,15 +1,15 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary, built from the distinct words of a bounded sample
-of labelled documents. A text is reduced to its distinct words (lower case, letters only, order of first
-occurrence: what repeats says nothing about the language) and compressed with every dictionary, in
-pieces of ``piece`` bytes so that long texts lean on the dictionary too. The smallest total wins. Equal
-totals, as very short texts have, are told apart by how many of their words stand in the dictionary.
+Each language has a raw-content zstandard dictionary: the words that stand in most documents of a bounded
+sample of its labelled documents, the commonest last, where references to them are cheapest. A text, in
+lower case and with everything but letters turned into blanks, is compressed whole with every dictionary,
+in pieces of ``piece`` bytes so that long texts lean on the dictionary to their end. The smallest total
+wins; of equal totals, as texts of a few letters have, that of the language with more labelled documents.
 
 Defined cases: a null text or one without a letter gets ``und``, score 0, and is rejected. A text whose
-best two totals lie within ``min_margin`` of each other (and that the words don't tell apart) is
-rejected, yet keeps its best guess. Without any labelled text every row is ``und`` and rejected. Rows
-keep their number; other columns stay as they are.
+best two totals lie within ``min_margin`` of each other is rejected, yet keeps its best guess. A text of
+any length is compressed to its end. Without any labelled text every row is ``und`` and rejected. Rows keep
+their number, repeated ones too; other columns stay as they are, but one named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -20,33 +20,30 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecroute.llm.words import split_words
+from vecroute.llm.words import give_back
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    dictionaries: dict[str, bytes]
-    level: int = 9
+    dictionaries: dict[str, bytes]  # languages with more labelled documents first
+    level: int = 6
     piece: int = 4096
     min_margin: float = 0.002
 
 
-def encode(texts: pd.Series) -> tuple[list[bytes], list[list[str]]]:
-    """Per text: its distinct words joined by blanks, and the words themselves."""
-    rows, codes, names = split_words(pa.Array.from_pandas(texts, type=pa.large_string()), letters_only=True)
-    pairs = rows * max(1, len(names)) + codes
-    _, first = np.unique(pairs, return_index=True)
-    first.sort()
-    bounds = np.searchsorted(rows[first], np.arange(len(texts) + 1))
-    chosen = codes[first]
-    words = [[names[c] for c in chosen[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)]
-    return [(" " + " ".join(w) + " ").encode() if w else b"" for w in words], words
+def encode(texts: pd.Series) -> list[bytes]:
+    """Each text in lower case, its runs of letters between single blanks; empty if it has no letter."""
+    give_back()
+    plain = pc.utf8_lower(pc.fill_null(pa.Array.from_pandas(texts, type=pa.large_string()), ""))
+    plain = pc.utf8_trim_whitespace(pc.replace_substring_regex(plain, pattern=r"[^\p{L}]+", replacement=" "))
+    return [b" " + t.encode() + b" " if t else b"" for t in plain.to_pylist()]
 
 
 def train(
@@ -56,11 +53,12 @@ def train(
     id_col: str = "doc_id",
     dict_bytes: int = 64 << 10,
     sample_docs: int = 256,
-    doc_chars: int = 16_384,
     **settings,
 ) -> LanguageModel:
-    """Dictionaries from a sample of about ``sample_docs`` documents a language (by a hash of the id,
-    so the driver gets at most a few MB a language), of each ``doc_chars`` characters at most."""
+    """Dictionaries from the whole texts of about ``sample_docs`` documents a language, by a hash of the id.
+
+    Words are counted by Spark; the driver gets the commonest of each language, ``dict_bytes`` in all.
+    """
     known = docs.where(F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not counts:
@@ -69,22 +67,21 @@ def train(
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, sample_docs / n) * span))).otherwise(share)
-    rows = (
+    plain = F.regexp_replace(F.lower(F.col(text_col).cast("string")), r"[^\p{L}]+", " ")
+    words = (
         known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(span)) < share)
-        .select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, doc_chars).alias("text"))
-        .where(F.col("text").isNotNull())
-        .distinct()
-        .orderBy("lang", F.xxhash64("text"))
-        .collect()
+        .select(F.col(lang_col).alias("lang"), F.explode(F.array_distinct(F.split(F.trim(plain), " "))).alias("word"))
+        .where("word <> ''")
+        .groupBy("lang", "word")
+        .agg(F.count("*").alias("n"))
     )
-    found: dict[str, bytes] = {}
-    for lang in sorted(counts):
-        coded, _ = encode(pd.Series([r["text"] for r in rows if r["lang"] == lang], dtype=object))
-        most = max(1024, dict_bytes // 16)
-        content = b"".join(c[:most] for c in coded)[:dict_bytes]
-        if content.strip():
-            found[lang] = content.decode(errors="ignore").encode()
-    return LanguageModel(found, **settings)
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    upto = F.sum(F.octet_length("word") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    found: dict[str, list[str]] = {}
+    for r in words.withColumn("upto", upto).where(F.col("upto") <= dict_bytes).orderBy("lang", F.desc("n"), "word").collect():
+        found.setdefault(r["lang"], []).append(r["word"])
+    common = sorted(found, key=lambda x: (-counts[x], x))
+    return LanguageModel({x: (" " + " ".join(reversed(found[x])) + " ").encode() for x in common}, **settings)
 
 
 def _compressors(model: LanguageModel) -> list[zstandard.ZstdCompressor]:
@@ -101,27 +98,17 @@ def _compressors(model: LanguageModel) -> list[zstandard.ZstdCompressor]:
 
 def classify(model: LanguageModel, texts: pd.Series, compressors: list) -> pd.DataFrame:
     names = list(model.dictionaries)
-    vocabularies = None
     out = []
-    for coded, words in zip(*encode(texts), strict=True):
+    for coded in encode(texts):
         if not coded or not names:
             out.append((UNKNOWN, 0.0, 0.0, True))
             continue
         pieces = [coded[i : i + model.piece] for i in range(0, len(coded), model.piece)]
         sizes = np.array([sum(len(c.compress(p)) for p in pieces) for c in compressors], float)
         order = np.argsort(sizes, kind="stable")
-        margin, sure = 1.0, True
-        if len(names) > 1:
-            margin = float((sizes[order[1]] - sizes[order[0]]) / sizes[order[1]])
-            if margin < model.min_margin:
-                vocabularies = vocabularies or [set(d.decode().split()) for d in model.dictionaries.values()]
-                hits = np.array([sum(w in v for w in words) for v in vocabularies])
-                near = sizes <= sizes[order[0]] * (1 + model.min_margin)
-                ranked = sorted(np.flatnonzero(near), key=lambda k: (-hits[k], sizes[k], k))
-                sure = len(ranked) < 2 or hits[ranked[0]] > hits[ranked[1]]
-                order = np.array(ranked + [k for k in order if k not in ranked])
-        odds = np.exp2(-np.minimum(60.0, np.abs(sizes - sizes[order[0]])))
-        out.append((names[order[0]], float(1 / odds.sum()), margin, not sure))
+        margin = float((sizes[order[1]] - sizes[order[0]]) / sizes[order[1]]) if len(names) > 1 else 1.0
+        odds = np.exp2(-np.minimum(60.0, sizes - sizes[order[0]]))
+        out.append((names[order[0]], float(1 / odds.sum()), margin, margin < model.min_margin))
     return pd.DataFrame(out, columns=["lang_pred", "score", "margin", "rejected"])
 
 
@@ -138,5 +125,5 @@ def predict(model: LanguageModel, text: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", into: str = "language") -> DataFrame:
-    """``docs`` with the prediction as a struct column."""
+    """``docs`` with the prediction as the struct column ``into``."""
     return docs.withColumn(into, predict(model, F.col(text_col)))

@@ -5,20 +5,23 @@ posterior over domains. Rates r >= 0, one per document, then solve
 
     minimise 1/2 |sum_d r_d n_d p_d - T|^2
 
-over all documents d with n_d tokens and posterior p_d, where T are the wanted token totals of the
+over all documents d with n_d token ids and posterior p_d, where T are the wanted token totals of the
 domains. From r = 1, each step of projected gradient (scaled by the domains' Gram matrix, of the size of
-their number) is r_d <- max(0, r_d - p_d . v): a pass over the documents sums up domain totals, and the
+their number) is r_d <- max(floor, r_d - p_d . v): a pass over the documents sums up domain totals, and the
 driver only sees those few numbers. A document's rate follows from its posterior and the list of v, so
-no state is kept between the passes.
+no state is kept between the passes. ``floor`` is 0, or 1 where no document may be dropped.
 
 Defined cases: null or empty texts have no tokens, the prior as posterior, and the rate that follows
-from it; without labels there is a single domain; labels beyond ``max_domains`` are pooled as ``other``;
-domains without a target keep their natural total; a target of 0 is allowed; rows keep their number and
-other columns stay.
+from it; very long texts count whole; without labels there is a single domain; labels beyond
+``max_domains`` are pooled as ``other``, and equally common labels are taken by name; rows that repeat in
+the labelled sample count as often; domains without a target keep their natural total; a target of 0 is
+allowed; targets that can't be reached are approached as far as the steps go, and a warning tells the gap.
+Rows keep their number and the columns in ``keep`` stay, of which none may begin with two underscores.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecroute.llm.common import materialise
+from vecroute.llm.encode import worker_store
 from vecroute.llm.words import split_words
 
 BINS = 2048
@@ -112,16 +116,17 @@ def train_domains(
     return DomainModel(domains, w)
 
 
-def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """``keep`` columns of ``docs`` with ``__n_tokens`` (words) and ``__posterior`` (array of double)."""
+def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...], tokenizer_path: str, text_col: str = "text") -> DataFrame:
+    """``keep`` columns of ``docs`` with ``__n_tokens`` (ids of the text) and ``__posterior`` (array of double)."""
     schema = docs.select(*keep, F.lit(0).cast("long").alias("__n_tokens"), F.array(F.lit(0.0)).alias("__posterior")).schema
     for f in schema:
         f.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(model.domains)
+        k, store = len(model.domains), worker_store(tokenizer_path)
         for b in batches:
-            x, counts = features(b.column(text_col))
+            x, _ = features(b.column(text_col))
+            counts = store.count(b.column(text_col))
             p = posteriors(model, x)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(p) * k + 1, k), pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays(
@@ -131,24 +136,24 @@ def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...], text
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 
 
-def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+def rates_of(p: np.ndarray, steps: list[np.ndarray], floor: float = 0.0) -> np.ndarray:
     r = np.ones(len(p))
     for v in steps:
-        r = np.maximum(0.0, r - p @ v)
+        r = np.maximum(floor, r - p @ v)
     return r
 
 
-def _sum_up(members: DataFrame, k: int, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(domain totals at the present rates, Gram matrix over documents with a positive rate)."""
+def _sum_up(members: DataFrame, k: int, steps: list[np.ndarray], floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """(domain totals at the present rates, Gram matrix over documents whose rate is free to fall)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, gram = np.zeros(k), np.zeros((k, k))
         for pdf in batches:
             if len(pdf):
                 p, n = np.stack(pdf["__posterior"].to_numpy()), pdf["__n_tokens"].to_numpy(float)
-                r = rates_of(p, steps)
+                r = rates_of(p, steps, floor)
                 total += (r * n) @ p
-                gram += (p * (n * (r > 0))[:, None]).T @ p
+                gram += (p * (n * ((r > floor) | (not steps)))[:, None]).T @ p
         both = np.concatenate([total, gram.ravel()])
         yield pd.DataFrame({"i": np.arange(len(both)), "v": both})
 
@@ -176,6 +181,7 @@ def fit_rates(
     weights: dict[str, float] | None = None,
     exponent: float = 0.7,
     never_less: bool = False,
+    floor: float = 0.0,
     tolerance: float = 1e-6,
     most_steps: int = 40,
 ) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -185,7 +191,7 @@ def fit_rates(
     """
     k = len(domains)
     steps: list[np.ndarray] = []
-    natural, gram = _sum_up(members, k, steps)
+    natural, gram = _sum_up(members, k, steps, floor)
     if weights is None:
         target = tempered(natural, exponent, never_less)
     else:
@@ -200,19 +206,21 @@ def fit_rates(
         if np.abs(gap).max() <= tolerance * scale:
             break
         steps = [*steps, np.linalg.lstsq(gram + 1e-12 * scale * np.eye(k), gap, rcond=None)[0]]
-        now, gram = _sum_up(members, k, steps)
+        now, gram = _sum_up(members, k, steps, floor)
         if np.abs(now - target).max() < np.abs(best[1] - target).max():
             best = (steps, now)
+    if (miss := np.abs(best[1] - target).max()) > tolerance * scale:
+        warnings.warn(f"token totals miss their targets by up to {miss / scale:.2g} of all tokens", stacklevel=2)
     return best[0], target, best[1]
 
 
-def rate_column(posterior: Column, steps: list[np.ndarray]) -> Column:
+def rate_column(posterior: Column, steps: list[np.ndarray], floor: float = 0.0) -> Column:
     """The rate of each document, in Spark expressions."""
     if not steps:
         return F.lit(1.0)
     table = F.array(*(F.array(*(F.lit(float(x)) for x in v)) for v in steps))
     dot = lambda v: F.aggregate(F.zip_with(posterior, v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(table, F.lit(1.0), lambda r, v: F.greatest(F.lit(0.0), r - dot(v)))
+    return F.aggregate(table, F.lit(1.0), lambda r, v: F.greatest(F.lit(float(floor)), r - dot(v)))
 
 
 def mix(
@@ -220,13 +228,14 @@ def mix(
     labelled: DataFrame,
     label_col: str,
     keep: tuple[str, ...],
+    tokenizer_path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
     **settings,
 ) -> tuple[DataFrame, DomainModel, list[np.ndarray]]:
     """(``keep`` columns, n_tokens, posterior, domain, rate) of every row, the model and the steps."""
     model = train_domains(labelled, label_col, id_col, text_col)
-    members = materialise(memberships(docs, model, keep, text_col), "memberships")
+    members = materialise(memberships(docs, model, keep, tokenizer_path, text_col), "memberships")
     steps, _, _ = fit_rates(members, model.domains, **settings)
     names = F.array(*(F.lit(d) for d in model.domains))
     p = F.col("__posterior")
@@ -235,7 +244,7 @@ def mix(
         F.col("__n_tokens").alias("n_tokens"),
         p.alias("posterior"),
         F.get(names, F.array_position(p, F.array_max(p)).cast("int") - 1).alias("domain"),
-        rate_column(p, steps).alias("rate"),
+        rate_column(p, steps, settings.get("floor", 0.0)).alias("rate"),
     )
     return out, model, steps
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vecroute.llm.common import bound_batches, table
 from vecroute.llm.mixing import mix
+from vecroute.llm.q_tokens import BATCH, tokenizer_file
 
 
 def labelled_docs(spark: SparkSession, sf_dir: str, docs: DataFrame, most: int = 20_000) -> DataFrame:
@@ -18,9 +19,9 @@ def labelled_docs(spark: SparkSession, sf_dir: str, docs: DataFrame, most: int =
 
 
 def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bound_batches(spark)
+    bound_batches(spark, BATCH, 8)
     docs = table(spark, sf_dir, "documents")
-    out, _, _ = mix(docs, labelled_docs(spark, sf_dir, docs), "lang", ("doc_id",))
+    out, _, _ = mix(docs, labelled_docs(spark, sf_dir, docs), "lang", ("doc_id",), tokenizer_file("word_bpe_49k.json"))
     return out.select("doc_id", "n_tokens", "domain", F.array_max("posterior").alias("posterior"), "rate")
 
 

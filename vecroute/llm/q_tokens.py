@@ -41,7 +41,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_counts.write_token_files(docs, path, tokenizer_file("word_bpe_49k.json"), SEPARATOR)
     counts = token_counts.scan_token_files(spark, path, SEPARATOR)
     places = token_counts.row_places(docs.select("doc_id"))
-    return places.join(counts, ["file_no", "row_no"]).select("doc_id", "start", "n_tokens")
+    return token_counts.join_counts(places, counts).select("doc_id", "start", "n_tokens")
 
 
 QUERIES = {"op1_token_counts": op1_token_counts, "op4_token_output": op4_token_output}

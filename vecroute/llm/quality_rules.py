@@ -8,7 +8,9 @@ numbers each), taken in the order of a hash of their id.
 
 Defined cases: a null or empty text has no words and all counts 0; base rules then fail it. Without
 usable labels (none, or of one class) the list is empty and only the base rules decide. Rows keep
-their number: repeated ids give repeated rows. Columns other than those named are ignored.
+their number: repeated ids give repeated rows. Other columns stay, but one named as a statistic is replaced.
+Of labelled rows of equal hash the smaller id comes first; of tests of equal gain the first in the order of
+``FEATURES`` and of falling bounds is taken. Several labels of one id count as the least.
 """
 
 from __future__ import annotations
@@ -50,7 +52,8 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     # Windows of three words that occur twice or more: a window's hash is packed with its position into
     # one long (position in as many low bits as the text needs) and the longs are sorted as primitives;
-    # equal neighbours repeat. One sort within the row: no shuffle, no map.
+    # neighbours whose packed hashes agree repeat if their words' own 64-bit hashes do. One sort within the
+    # row: no shuffle, no map.
     n = F.size("__h") - 2
     bits = F.ceil(F.log2(n + F.lit(1.0))).cast("int")
     window = F.transform(
@@ -62,17 +65,18 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     two = (
         one.withColumn("__b", bits)
         .withColumn("__s", F.when(n > 1, F.sort_array(window)))
-        .drop("__h")
     )
     s, b = F.col("__s"), F.col("__b")
     high = lambda x: F.call_function("shiftright", x, b)
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), b) - 1
+    word = lambda x, k: F.get("__h", x.bitwiseAND(low).cast("int") + k)
+    same = lambda x, y: (high(x) == high(y)) & (word(x, 0) == word(y, 0)) & (word(x, 1) == word(y, 1)) & (word(x, 2) == word(y, 2))
     twin = F.filter(
         s,
-        lambda x, i: (high(x) == high(F.get(s, i + 1))) | ((i > 0) & (high(x) == high(F.get(s, i - 1)))),
+        lambda x, i: F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)) | F.coalesce((i > 0) & same(x, F.get(s, i - 1)), F.lit(False)),
     )
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), b) - 1
     starts = F.sort_array(F.transform(twin, lambda x: x.bitwiseAND(low)))
-    three = two.withColumn("__r", starts).drop("__s")
+    three = two.withColumn("__r", starts).drop("__s", "__h")
     r = F.col("__r")
     covered = F.aggregate(
         F.transform(r, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(r, i + 1) - x, F.lit(3).cast("long")))),

@@ -10,6 +10,9 @@ summaries, one row each, meet in the scans.
 ``write_token_files`` makes such files: Spark's text writer puts a line separator after each row's bytes,
 and here that separator is the end id.
 
+Files of at most ``WHOLE`` bytes, as the writer makes them, are read by Spark, from any store that it knows,
+and cut into blocks by an expression; blocks of larger ones are read one by one, through pyarrow.
+
 Defined cases: a null or empty text is a document of 0 tokens; a file's tail without a separator is a
 document too, unless it is empty; an empty file has none; an odd last byte is ignored; a table without
 rows gives none; further columns are ignored; repeated rows are kept.
@@ -30,6 +33,7 @@ from vecroute.llm.encode import worker_store
 from vecroute.llm.token_files import with_start
 
 ID_BYTES = 2
+WHOLE = 128 << 20
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, text_col: str = "text") -> None:
@@ -56,7 +60,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 def row_places(docs: DataFrame) -> DataFrame:
     """``docs`` with (file_no, row_no): where ``write_token_files`` puts each row.
 
-    Holds when ``docs`` is read from files, as both jobs then see the same partitions in the same order.
+    Holds when ``docs`` is read from files, as both jobs then see the same partitions in the same order;
+    ``join_counts`` checks it by the files' sizes.
     """
     keep = docs.columns
     schema = docs.select(*keep, F.lit(0).cast("long").alias("file_no"), F.lit(0).cast("long").alias("row_no")).schema
@@ -71,11 +76,21 @@ def row_places(docs: DataFrame) -> DataFrame:
     return docs.withColumn("file_no", F.spark_partition_id().cast("long")).mapInArrow(run, schema)
 
 
+def join_counts(places: DataFrame, counts: DataFrame) -> DataFrame:
+    """``places`` with what was counted there; an error if a file holds another number of documents."""
+    here = places.groupBy("file_no").agg(F.count("*").alias("here"))
+    there = counts.groupBy("file_no").agg(F.count("*").alias("there"))
+    odd = here.join(there, "file_no", "full_outer").where(~F.col("here").eqNullSafe(F.col("there"))).limit(1).collect()
+    if odd:
+        raise ValueError(f"file {odd[0]['file_no']} was written from {odd[0]['here']} rows and holds {odd[0]['there']} documents")
+    return places.join(counts, ["file_no", "row_no"])
+
+
 def _read(path: str, offset: int, size: int) -> bytes:
     """Some bytes of a file in any store that pyarrow can open."""
     from pyarrow import fs
 
-    store, inside = fs.FileSystem.from_uri(path)
+    store, inside = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     with store.open_input_file(inside) as f:
         return f.read_at(size, offset)
 
@@ -84,19 +99,20 @@ def scan_token_files(spark: SparkSession, path: str, end_id: int, block_bytes: i
     """(file_no, row_no, n_tokens, start): a row per document of all files; ``start`` counts all tokens,
     separators too, before it. Files are numbered as Spark names them, else by the order of their paths."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")  # lengths only, no content
-    numbered = files.withColumn("file_no", F.regexp_extract("path", r"part-(\d+)", 1).cast("long"))
+    number = F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("file_no")
     tokens = F.floor(F.col("length") / ID_BYTES)
     per_block = block_bytes // ID_BYTES
-    blocks = numbered.where(tokens > 0).select(
-        "path", "file_no", tokens.alias("tokens"), F.explode(F.sequence(F.lit(0), F.floor((tokens - 1) / per_block))).alias("block")
-    )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / per_block)))
+    columns = ["path", "length", number, tokens.alias("tokens")]
+    blocks = files.where("length > 1").select(*columns).withColumn("block", every)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 first = r.block * per_block
                 n = min(per_block, r.tokens - first)
-                ids = np.frombuffer(_read(r.path, first * ID_BYTES, n * ID_BYTES), "<u2")
+                body = _read(r.path, first * ID_BYTES, n * ID_BYTES) if r.body is None else r.body
+                ids = np.frombuffer(body[: n * ID_BYTES], "<u2")
                 ends = np.flatnonzero(ids == end_id) + first
                 if first + n == r.tokens and ids[-1] != end_id:
                     ends = np.append(ends, r.tokens)  # the tail ends with the file
@@ -104,8 +120,12 @@ def scan_token_files(spark: SparkSession, path: str, end_id: int, block_bytes: i
                     {"file_no": [r.file_no], "block": [r.block], "n_docs": [len(ends)], "last_end": [ends[-1] if len(ends) else None], "tokens": [r.tokens], "ends": [ends]}
                 )
 
+    far = blocks.where("length > " + str(WHOLE)).repartition("path", "block").withColumn("body", F.lit(None).cast("binary"))
+    here = spark.read.format("binaryFile").load(path).where((F.col("length") > 1) & (F.col("length") <= WHOLE))
+    here = here.select(*columns, F.col("content").alias("__all")).withColumn("block", every)
+    near = here.withColumn("body", F.substring("__all", (F.col("block") * block_bytes + 1).cast("int"), F.lit(block_bytes))).drop("__all")
     found = materialise(
-        blocks.repartition("path", "block").mapInPandas(
+        near.unionByName(far).mapInPandas(
             scan, "file_no long, block long, n_docs long, last_end long, tokens long, ends array<long>"
         ),
         "separators",

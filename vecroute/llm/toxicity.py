@@ -2,17 +2,21 @@
 
 A text's features are its distinct lower-case words and their prefixes of 4 to 6 letters, hashed into a
 fixed number of bins. Training takes at most ``max_rows`` labelled texts (in the order of a hash of the
-id), counts for every bin how many texts of either label have it, keeps the ``n_features`` bins of the
-highest likelihood ratio, and fits the weights of those by gradient steps on
+id), counts for every bin how many texts of either label have it, keeps the bins whose likelihood ratio is
+``min_ratio`` or more, at most ``n_features`` of them, and fits their weights by gradient steps on
 
     log loss (both labels weigh the same in all) + l2 |w|^2 + counterfactual * mean (z(x) - z(x'))^2
 
-where z is the log odds and x' is x with its identity terms swapped for others of their group. The
-penalty drives the weights of such terms together, so that neutral mentions of a group aren't scored by
-the group.
+where z is the log odds and x' is x with its terms of some group swapped for others of it. Groups are those
+of ``identity_groups`` (names for people, in four languages) and, as no list is complete, groups learned from
+the labelled texts: the ``learned_terms`` commonest words that say nothing about the label, taken by falling
+frequency, eight a group. All these terms have weights, which the penalty drives together: neither a neutral
+mention of a group nor a word that only happens to stand in toxic texts carries a score.
 
-Defined cases: null and empty texts have no features and get the score of the intercept. Without
-labelled rows of both classes every score is 0. Rows keep their number, and other columns stay.
+Defined cases: null and empty texts have no features and get the score of the intercept. Without labelled
+rows of both classes every score is 0. An id with several labels counts as toxic if one says so; several
+texts under one labelled id are all trained on. Equal ratios are taken by bin. Very long texts are read
+whole. Rows keep their number, repeated ones too, and columns other than those named don't matter.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from vecroute.llm.words import split_words
 
-# Groups of identity terms that may be swapped for each other.
+# Groups of terms for people that may be swapped for each other, in en, es, fr and de.
 IDENTITY_GROUPS = [
     ["women", "men", "girls", "boys"],
     ["woman", "man", "girl", "boy"],
@@ -39,6 +43,21 @@ IDENTITY_GROUPS = [
     ["gay", "straight", "lesbian", "bisexual", "transgender"],
     ["immigrants", "refugees", "natives", "foreigners"],
     ["disabled", "deaf", "blind", "elderly", "young"],
+    ["mujeres", "hombres", "niñas", "niños"],
+    ["musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"],
+    ["negros", "blancos", "asiáticos", "latinos", "árabes"],
+    ["gais", "lesbianas", "bisexuales", "transexuales"],
+    ["inmigrantes", "refugiados", "extranjeros", "gitanos"],
+    ["femmes", "hommes", "filles", "garçons"],
+    ["musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"],
+    ["noirs", "blancs", "asiatiques", "arabes"],
+    ["homosexuels", "lesbiennes", "bisexuels", "transgenres"],
+    ["immigrés", "réfugiés", "étrangers", "roms"],
+    ["frauen", "männer", "mädchen", "jungen"],
+    ["muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"],
+    ["schwarze", "weiße", "asiaten", "araber"],
+    ["schwule", "lesben", "bisexuelle", "transsexuelle"],
+    ["einwanderer", "flüchtlinge", "ausländer", "einheimische"],
 ]
 
 BINS = 1 << 18
@@ -76,7 +95,7 @@ def text_bins(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 def swap_terms(text: str, groups: list[list[str]]) -> str | None:
     """The text with each identity term replaced by the next one of its group; None if it has none."""
-    to = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
+    to = {t: g[(i + 1) % len(g)] for g in reversed(groups) for i, t in enumerate(g)}  # the first group that has a term
     words = (text or "").lower().split()
     bare = [w.strip(".,;:!?\"'()*#$%&|<>") for w in words]
     if not any(b in to for b in bare):
@@ -108,6 +127,29 @@ def _count_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"bin": used, "toxic": toxic[used], "clean": clean[used]})
 
 
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Labelled texts that hold each word, by label."""
+    for pdf in batches:
+        rows, codes, names = split_words(pa.Array.from_pandas(pdf["text"], type=pa.large_string()), letters_only=True)
+        if names:
+            pairs = np.unique(rows * len(names) + codes)
+            hot = pdf["y"].to_numpy()[pairs // len(names)] > 0.5
+            toxic, clean = (np.bincount(pairs[x] % len(names), minlength=len(names)) for x in (hot, ~hot))
+            yield pd.DataFrame({"word": names, "toxic": toxic, "clean": clean})
+
+
+def neutral_terms(rows: DataFrame, n1: float, n0: float, most: int, min_share: float = 0.02, most_ratio: float = 1.0) -> list[list[str]]:
+    """Groups of eight of the ``most`` commonest words, in ``min_share`` of the texts at least, whose likelihood
+    ratio is ``most_ratio`` at most."""
+    counts = rows.mapInPandas(_count_words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    common = counts.where(F.col("toxic") + F.col("clean") >= min_share * (n1 + n0)).orderBy(F.desc(F.col("toxic") + F.col("clean")), "word").limit(16 * most).toPandas()
+    if common.empty:
+        return []
+    ratio = _likelihood_ratio(common["toxic"].to_numpy(), common["clean"].to_numpy(), n1, n0)
+    words = common["word"][ratio <= most_ratio].head(most).tolist()
+    return [g for i in range(0, len(words), 8) if len(g := words[i : i + 8]) > 1]
+
+
 def _likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
     """G statistic of each bin's 2x2 table: a of n1 toxic texts have it, b of n0 clean ones."""
     table = np.stack([a, b, n1 - a, n0 - b]).astype(float)
@@ -122,7 +164,14 @@ def _fit(x: np.ndarray, y: np.ndarray, twins: np.ndarray, counterfactual: float,
     w, b = np.zeros(x.shape[1]), 0.0
     share = np.where(y > 0.5, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     last_w, last_b = w.copy(), b
-    rate = 1.0 / (0.25 * (share @ (x**2).sum(axis=1) + 1) + 2 * l2 + (2 * counterfactual * (twins**2).sum(axis=1).mean() if len(twins) else 0))
+    bend, direction = 0.0, np.full(x.shape[1] + 1, (x.shape[1] + 1) ** -0.5)
+    for _ in range(40):  # power steps to the largest curvature, with room for what they still lack
+        turned = np.append(x.T @ (share * (x @ direction[:-1] + direction[-1])), share @ (x @ direction[:-1] + direction[-1])) / 4
+        if len(twins):
+            turned[:-1] += 2 * counterfactual * (twins.T @ (twins @ direction[:-1])) / len(twins)
+        bend = float(np.linalg.norm(turned))
+        direction = turned / max(bend, 1e-12)
+    rate = 1.0 / (1.2 * bend + 2 * l2 + 1e-9)
     for k in range(steps):
         m = k / (k + 3)
         vw, vb = w + m * (w - last_w), b + m * (b - last_b)
@@ -145,12 +194,16 @@ def train(
     identity_groups: list[list[str]] | None = None,
     max_rows: int = 10_000,
     n_features: int = 768,
+    min_ratio: float = 10.83,
+    learned_terms: int = 64,
     counterfactual: float = 1.0,
     l2: float = 2e-4,
     steps: int = 600,
 ) -> ToxicityModel:
-    """Fit on at most ``max_rows`` labelled texts: the driver gets their selected bins, never the texts."""
-    groups = IDENTITY_GROUPS if identity_groups is None else identity_groups
+    """Fit on at most ``max_rows`` labelled texts: the driver gets their selected bins, never the texts.
+
+    The default ``min_ratio`` is what a bin without meaning reaches once in a thousand times."""
+    groups = list(IDENTITY_GROUPS if identity_groups is None else identity_groups)
     rows = _sample(docs, labels, id_col, text_col, label_col, max_rows)
     counts = (
         rows.mapInPandas(_count_bins, "bin long, toxic long, clean long")
@@ -165,8 +218,11 @@ def train(
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -np.inf)
     ratio = _likelihood_ratio(counts["toxic"].to_numpy(), counts["clean"].to_numpy(), n1, n - n1)
     counts = counts.assign(ratio=ratio).sort_values(["ratio", "bin"], ascending=[False, True])
+    if learned_terms and counterfactual:
+        groups += neutral_terms(rows, n1, n - n1, learned_terms)
     identity = {b for g in groups for t in g for b in word_bins(t)}
-    chosen = np.array(sorted({*counts["bin"].head(n_features), *(identity & {*counts["bin"]})}), np.int64)
+    telling = counts[counts["ratio"] >= min_ratio]["bin"].head(n_features)
+    chosen = np.array(sorted({*telling, *(identity & {*counts["bin"]})}), np.int64)
 
     def design(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def of(texts: pd.Series) -> list[list[int]]:
