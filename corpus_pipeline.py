@@ -11,11 +11,15 @@ from vecroute.llm.language_id import identify, train
 from vecroute.llm.mixing import copies, fit_rates, memberships, rate_column, train_domains
 from vecroute.llm.prob_minhash import text_classes
 from vecroute.llm.q_mixing import labelled_docs
-from vecroute.llm.q_tokens import token_output
+from vecroute.llm.q_tokens import BATCH, token_output, tokenizer_file
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without a letter and those with a narrow margin go."""
+    """Documents whose language is told; those without a letter and those with a narrow margin go.
+
+    Each row is judged by its own text, whatever its id; a null text goes; a text of any length is read whole;
+    dictionaries are learned from the rows that have a language, and without any such row all go.
+    """
     bound_batches(spark)
     model = train(docs)
     found = identify(docs, model, into="__language")
@@ -45,24 +49,36 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaked."""
+    """Rows into which no benchmark item leaked.
+
+    A row goes if its own text holds a leak, so rows that share an id, or have none, are told apart by their
+    texts, and rows with equal texts go together; rows with a null or empty text stay; no rows give none.
+    """
     bound_batches(spark)
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("__node", F.unhex(F.md5(F.col("text").cast("binary"))))
+    found = leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="__node").select(F.col("doc_id").alias("__node")).distinct()
+    return keyed.join(found, "__node", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says; no domain loses tokens, so no document does."""
-    bound_batches(spark)
+    """Each document as often as its rate says: once at least, as the fit keeps every rate at 1 or more.
+
+    Targets are scaled so that no domain loses tokens. A null or empty text has no tokens, and the rate of the
+    prior; rows that repeat, or have no id, have rates of their own; no rows give none.
+    """
+    bound_batches(spark, BATCH, 8)
     model = train_domains(labelled_docs(spark, sf_dir, docs), "lang")
-    members = materialise(memberships(docs, model, tuple(docs.columns)), "memberships")
-    steps, _, _ = fit_rates(members, model.domains, never_less=True)
-    rated = members.withColumn("__rate", rate_column(F.col("__posterior"), steps))
-    return copies(rated, F.greatest(F.lit(1.0), F.col("__rate"))).select(*docs.columns)
+    members = materialise(memberships(docs, model, tuple(docs.columns), tokenizer_file("word_bpe_49k.json")), "memberships")
+    steps, _, _ = fit_rates(members, model.domains, never_less=True, floor=1.0)
+    rated = members.withColumn("__rate", rate_column(F.col("__posterior"), steps, 1.0))
+    return copies(rated, F.col("__rate")).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of what is left: doc_id, start, n_tokens, ids_crc32."""
+    """Token files of what is left: doc_id, start, n_tokens, ids_crc32.
+
+    A null text counts as empty and has the end id alone; null ids come first; rows that repeat are all kept.
+    """
     return token_output(spark, docs.select("doc_id", "text"))
 
 
