@@ -1,9 +1,10 @@
 import html
 import re
+import time
 
 from pyspark.sql import functions as F
 
-from vecroute.llm.html_text import extract, main_text, train_tree
+from vecroute.llm.html_text import blocks_of, decide, extract, features_used, labelled_blocks, main_text, train_tree
 from vecroute.llm.q_html import op6_html_text
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +53,41 @@ def test_all_pages_of_the_table(spark):
         article = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1]
         want = " ".join(html.unescape(re.sub(r"</?(?:p|h1|br)\b[^>]*>", " ", article).replace("<b>", "")).split())
         assert r["text"] == want and r["n_chars"] == len(want)
+
+
+def test_tree_asks_for_words_and_neighbours(spark):
+    tree = train_tree(spark)
+    assert {"words", "link_density", "link_density_before", "link_density_after"} <= features_used(tree)
+    rows = labelled_blocks()
+    assert sum(decide(tree, r[:-1]) == bool(r[-1]) for r in rows) >= 0.97 * len(rows)
+
+
+def test_pages_without_article_elements(spark):
+    """Nothing in these pages names its part: words and links of a block and its neighbours decide."""
+    tree = train_tree(spark)
+    prose = lambda n, link=0: " ".join(f"w{i}" for i in range(n)) + (f" <a href=#>{' '.join(f'l{i}' for i in range(link))}</a>" if link else "")
+    plain = lambda t: " ".join(re.sub("<[^>]*>", "", t).split())
+    menu = "".join(f"<div><a href=#>menu{i}</a></div>" for i in range(6))
+    body = [prose(9), prose(80), prose(45, 4), prose(120), prose(60, 9), prose(33)]
+    foot = "<div>Small print <a href=#>terms of use</a></div><div><a href=#>up</a></div>"
+    page = f"<body>{menu}<div><h1>{body[0]}</h1>{''.join(f'<p>{b}</p>' for b in body[1:])}</div>{foot}</body>"
+    assert main_text(page, tree) == " ".join(map(plain, body))
+    beside = f"<body>{menu}<article><p>Four words in here</p></article><div>{''.join(f'<p>{b}</p>' for b in body[1:])}</div>{foot}</body>"
+    assert " ".join(map(plain, body[1:])) in main_text(beside, tree)
+    advert = f"<body><div>{prose(66)} buy</div><article><h1>Title</h1>{''.join(f'<p>{b}</p>' for b in body[1:])}</article></body>"
+    assert "buy" not in main_text(advert, tree)
+
+
+def test_runs_of_links_inside_an_article(spark):
+    tree = train_tree(spark)
+    words = " ".join(f"w{i}" for i in range(40))
+    links = "".join(f"<li><a href=#>more about thing {i}</a></li>" for i in range(5))
+    assert main_text(f"<article><p>{words}</p><ul>{links}</ul><p>{words}</p></article>", tree).count("thing") <= 1
+    assert main_text(f"<article><p>{words}</p><p><a href=#>one link alone</a></p><p>{words}</p></article>", tree) == f"{words} one link alone {words}"
+
+
+def test_time_is_linear():
+    for page in ("<select>" * 20_000, "<b>" * 3000 + "</i>" * 20_000, "<b>" * 3000 + "<div>" + "</b><b>" * 20_000, "<i>" * 20_000 + "<div></div>" * 20_000, "<a href='" * 20_000):
+        began = time.perf_counter()
+        blocks_of(page)
+        assert time.perf_counter() - began < 2
