@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from vecroute.llm.prob_minhash import near_duplicates, shingles, signature
+from vecroute.llm import prob_minhash
+from vecroute.llm.prob_minhash import likely, near_duplicates, shingles, signature, signatures
 from vecroute.llm.q_dedup import op3_prob_minhash
 
 SF = "/root/testdata/sf0.001"
@@ -102,6 +103,42 @@ def test_shingles_of_short_texts():
     assert values[0] == values[1] != values[2] and values[3] == values[4]
 
 
+def test_recall_by_similarity(spark):
+    """Of all pairs of sf0.01 at 0.8 or more, all are in one class; no class holds a text without a link."""
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted((tuple(r) for r in op3_prob_minhash(spark, sf).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_blocks_by_number_and_by_size(spark, monkeypatch):
+    """A crowd that shares a template, in blocks of a few nodes and of a few bytes."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(100)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for at in rng.sample(range(100), 3 if i % 3 else 2):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = prob_minhash._open_links
+    for settings in ({"block": 8}, {"block_bytes": 4000}):
+        monkeypatch.setattr(prob_minhash, "_open_links", lambda *a, s=settings: whole(*a, **s))
+        assert sorted((tuple(r) for r in near_duplicates(df).collect()), key=str) == brute(rows)
+
+
+def test_estimate_decides_what_is_verified(spark):
+    a, b = " ".join(f"a{i}" for i in range(300)), " ".join(f"b{i}" for i in range(300))
+    near = a.replace("a7 ", "z ")
+    nodes = signatures(spark.createDataFrame([(0, a), (1, b), (2, near)], "id long, text string"), "id", "text").orderBy("id").collect()
+    key = [bytes(r["node"]) for r in nodes]
+    pairs = spark.createDataFrame([(key[0], key[1]), (key[0], key[2])], "a binary, b binary")
+    table = spark.createDataFrame([(key[i], r["registers"]) for i, r in enumerate(nodes)], "node binary, registers binary")
+    assert [bytes(r["b"]) for r in likely(pairs, table, 0.55).collect()] == [key[2]]
+
+
 def test_all_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in op3_prob_minhash(spark, SF).collect()), key=str) == brute(rows)

@@ -4,21 +4,27 @@ Documents are weighted sets of shingles of five words, weight 1 + ln(occurrences
 Poisson process whose rate is its weight: its arrivals, drawn from a hash of the shingle, fall on random
 registers, and a register keeps the shingle that arrived first. A text's processes end early, once they
 have passed the latest first arrival. The share of registers on which two texts agree estimates their
-probability Jaccard similarity. Bands of registers give buckets, and candidates are verified on their
-texts: a link is an exact Jaccard similarity of the distinct shingles of ``threshold`` or more. A text that
-repeats shingles is in the buckets of its unit-weight signature, too, as what it repeats would push a
-near-copy without the repeats far below that similarity; for other texts the two signatures are one.
+probability Jaccard similarity. Bands of registers give buckets. A text that repeats shingles is in the
+buckets of its unit-weight signature, too, as what it repeats would push a near-copy without the repeats
+far below that similarity; for other texts the two signatures are one.
+
+A link is an exact Jaccard similarity of the distinct shingles of ``threshold`` or more. Of candidates,
+only those are verified whose unit-weight registers agree on a share of ``threshold - SLACK`` or more: that
+share estimates the similarity with a standard error below 0.04 at 0.8, so that a pair over the threshold
+falls under the bound less often than once in a billion.
 
 Groups stay cheap and whole: equal texts are one node; in a bucket each node is compared with the least
 node (a star), never all with all; links are joined into components. Then, only in buckets that still
-hold more than one component (each set of nodes once), nodes of different components are compared inside
-bounded blocks by the exact similarity of their texts, and a block emits only links that join components,
-fewer than it has nodes: no link between different texts of a bucket is lost, and no pairs are written.
+hold more than one component (each set of nodes once), registers are compared inside bounded blocks, and
+only the shingles of nodes that have a candidate of another component in a block are sent to it. A block
+emits only links that join components, fewer than it has nodes: no link between different texts of a bucket
+is lost, and no pairs are written.
 
 Defined cases: words are white-space runs as they stand; a text of one to four words is one shingle; a
 text without a word (or null) is in no bucket and is a class of its own; repeated rows and equal texts
 share a class; a null id can't name a class, so classes are named by the least id that isn't null, or
-null if there is none; further columns are ignored; an empty table gives no rows.
+null if there is none; very long texts are read whole, and blocks hold the fewer the longer they are;
+further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +45,7 @@ from vecroute.llm.words import split_words
 WORDS = 5
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
+SLACK = 0.25
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,70 +123,87 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         values, ends = shingles(b.column("text"))
         sigs = np.zeros((b.num_rows, REGISTERS), np.uint64)
-        again, plain = [], []
+        unit = sigs.copy()
+        again = []
         has = ends[1:] > ends[:-1]
         for i in np.flatnonzero(has):
             elements, counts = np.unique(values[ends[i] : ends[i + 1]], return_counts=True)
-            sigs[i] = signature(elements, 1 + np.log(counts))
+            sigs[i] = unit[i] = signature(elements, 1 + np.log(counts))
             if len(elements) > 1 and counts.max() > 1:
                 again.append(i)
-                plain.append(signature(elements, np.ones(len(elements))))
+                unit[i] = signature(elements, np.ones(len(elements)))
         keys = [k if x else k[:0] for k, x in zip(band_keys(sigs), has, strict=True)]
-        if again:
-            for i, k in zip(again, band_keys(np.array(plain)), strict=True):
-                keys[i] = np.union1d(keys[i], k)
+        for i, k in zip(again, band_keys(unit[again]), strict=True):
+            keys[i] = np.union1d(keys[i], k)
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        short = _mix(unit).astype(np.uint16)  # registers are compared, never read: 16 bits tell them apart
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("id"),
                 b.column("node"),
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())),
+                pa.array([r.tobytes() for r in short], pa.binary()),
                 pa.array(has),
             ],
-            names=["id", "node", "bands", "worded"],
+            names=["id", "node", "bands", "registers", "worded"],
         )
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, bands, worded); ``node`` is the MD5 of the text, null if it is null."""
+    """(id, node, bands, registers, worded); ``node`` is the MD5 of the text, null if it is null."""
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("node"), F.col(text_col).cast("string").alias("text"))
-    schema = rows.select("id", "node", F.array(F.lit(0).cast("long")).alias("bands"), F.lit(True).alias("worded")).schema
+    schema = rows.select("id", "node", F.array(F.lit(0).cast("long")).alias("bands"), F.lit(b"").alias("registers"), F.lit(True).alias("worded")).schema
     for f in schema:
         f.nullable = True
     return rows.mapInArrow(_sign, schema)
 
 
-def _similar(threshold: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple = (None, None)
-        for pdf in batches:
-            left, le = shingles(pa.Array.from_pandas(pdf["text_a"], type=pa.large_string()))
-            keep = np.zeros(len(pdf), bool)
-            for i, (b, text) in enumerate(zip(pdf["b"], pdf["text_b"], strict=True)):
-                if last[0] != b:  # rows of one partner follow each other
-                    last = (b, np.unique(shingles(pa.array([text], pa.large_string()))[0]))
-                x, y = np.unique(left[le[i] : le[i + 1]]), last[1]
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    continue
-                both = np.isin(x, y, assume_unique=True).sum()
-                keep[i] = both >= threshold * (len(x) + len(y) - both)
-            yield pdf.loc[keep, ["a", "b"]]
+def registers_of(column: pa.Array | pd.Series) -> np.ndarray:
+    """Signatures as rows of a matrix."""
+    values = column.to_pylist() if isinstance(column, pa.Array) else column
+    return np.frombuffer(b"".join(values), np.uint16).reshape(-1, REGISTERS)
 
-    return run
 
+def likely(pairs: DataFrame, nodes: DataFrame, bound: float) -> DataFrame:
+    """The pairs (a, b) of which ``bound`` of the registers agree; ``nodes``: (node, registers)."""
+    one = nodes.select(F.col("node").alias("a"), F.col("registers").alias("x"))
+    two = nodes.select(F.col("node").alias("b"), F.col("registers").alias("y"))
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar; ``texts`` has a row (node, text) per node."""
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInPandas(
-        _similar(threshold), "a binary, b binary"
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = (registers_of(b.column("x")) == registers_of(b.column("y"))).mean(axis=1)
+            yield b.filter(pa.array(same >= bound)).select(["a", "b"])
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def enough_in_common(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether two sets, sorted, have a Jaccard similarity of ``threshold`` or more."""
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both >= threshold * (len(x) + len(y) - both)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose shingles are similar; ``sets`` has a row (node, shingles) per node."""
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            read = lambda v: np.frombuffer(v.as_buffer(), np.uint64)
+            keep = [enough_in_common(read(x), read(y), threshold) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, text) of ``nodes``: the text of one document each."""
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of ``nodes``: the distinct shingles, sorted, of the text of one document each."""
     one = members.groupBy("node").agg(F.min("id").alias("id")).join(nodes.distinct(), "node", "left_semi")
     with_id = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(
         one.select("id"), "id", "left_semi"
@@ -189,65 +213,90 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, members: DataFrame, id_col: str
     # texts that only rows without an id have
     bare = docs.where(F.col(id_col).isNull()).select(F.col(text_col).cast("string").alias("text")).withColumn("node", of_text)
     bare = bare.join(one.where("id is null"), "node", "left_semi").select("node", "text")
-    return found.union(bare).dropDuplicates(["node"])
-
-
-def _shared(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Number of values that each two of ``n`` sets have in common; (value, owner) pairs are distinct."""
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    number = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]]))
-    often = np.bincount(number)[number] > 1
-    number, owner = np.unique(number[often], return_inverse=True)[1], owner[often]
-    both = np.zeros((n, n), np.float32)
-    for low in range(0, int(number.max(initial=-1)) + 1, 4096):  # by columns, so memory stays bounded
-        a, z = np.searchsorted(number, [low, low + 4096])
-        x = np.zeros((n, 4096), np.float32)
-        x[owner[a:z], number[a:z] - low] = 1
-        both += x @ x.T
-    return both
-
-
-def _block_links(threshold: float):
-    """Links between different components within each block (rows of a block follow each other)."""
-
-    def links(block: pd.DataFrame) -> pd.DataFrame:
-        values, ends = shingles(pa.Array.from_pandas(block["text"], type=pa.large_string()))
-        sets = [np.unique(values[a:z]) for a, z in zip(ends, ends[1:], strict=False)]
-        sizes = np.array([len(x) for x in sets], np.float32)
-        both = _shared(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]), len(sets))
-        near = both >= threshold * (sizes[:, None] + sizes[None, :] - both)
-        comp = pd.factorize(block["comp"])[0]
-        node, out = block["node"].to_numpy(object), []
-        for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-            if comp[i] != comp[j]:
-                comp[comp == comp[j]] = comp[i]
-                out.append((node[i], node[j]))
-        return pd.DataFrame(out, columns=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, ends = shingles(b.column("text"))
+            sets = [np.unique(values[a:z]).tobytes() for a, z in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return found.union(bare).mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
+
+
+BLOCK = ["bucket", "c", "d"]
+
+
+def by_block(work):
+    """Turn a function of one block's rows into one of batches in which the rows of a block follow each other."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for pdf in batches:
-            keys = pdf[["bucket", "c", "d"]].to_numpy(np.int64)
+            keys = pdf[BLOCK].to_numpy(np.int64)
             cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             bounds = [0, *cut, len(pdf)]
             for a, z in zip(bounds[:-1], bounds[1:], strict=True):
                 part = pdf.iloc[a:z]
-                if held and tuple(held[0][["bucket", "c", "d"]].iloc[0]) != tuple(keys[a]):
-                    yield links(pd.concat(held))
+                if len(part) and held and tuple(held[0][BLOCK].iloc[0]) != tuple(keys[a]):
+                    yield work(pd.concat(held))
                     held = []
-                held.append(part)
+                if len(part):
+                    held.append(part)
         if held:
-            yield links(pd.concat(held))
+            yield work(pd.concat(held))
 
     return run
 
 
-def _open_links(buckets: DataFrame, comps: DataFrame, texts: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+def agreeing(registers: np.ndarray, comp: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, share of registers) of the pairs of a block that lie in different components and may be similar."""
+    rows, cols, shares = [], [], []
+    for i in range(len(registers) - 1):
+        other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        same = (registers[other] == registers[i]).mean(axis=1)
+        hit = same >= bound
+        rows.append(np.full(int(hit.sum()), i))
+        cols.append(other[hit])
+        shares.append(same[hit])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols, shares))
+
+
+def _active(bound: float):
+    """The rows of a block that have a possible link to another component there."""
+
+    def work(block: pd.DataFrame) -> pd.DataFrame:
+        i, j, _ = agreeing(registers_of(block["registers"]), pd.factorize(block["comp"])[0], bound)
+        return block.iloc[np.union1d(i, j).astype(np.int64)]
+
+    return by_block(work)
+
+
+def _block_links(threshold: float, bound: float):
+    """Links between different components within a block, fewer than its rows."""
+
+    def work(block: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in block["shingles"]]
+        comp = pd.factorize(block["comp"])[0]
+        i, j, share = agreeing(registers_of(block["registers"]), comp, bound)
+        node, out = block["node"].to_numpy(object), []
+        for k in np.argsort(-share, kind="stable"):
+            a, b = int(i[k]), int(j[k])
+            if comp[a] != comp[b] and enough_in_common(sets[a], sets[b], threshold):
+                comp[comp == comp[b]] = comp[a]
+                out.append((node[a], node[b]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return by_block(work)
+
+
+def _open_links(
+    buckets: DataFrame, comps: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, block: int = 256, block_bytes: int = 8 << 20
+) -> DataFrame:
     """Links between different components that share a bucket.
 
-    The nodes of a bucket are dealt into as many parts as keep each below about ``block``; every two
-    parts meet in one task as a block. Buckets with the same nodes are taken once.
+    The nodes of a bucket are dealt into as many parts as keep each below about ``block`` nodes and
+    ``block_bytes`` of shingles; every two parts meet in one task as a block. Buckets with the same nodes are
+    taken once.
     """
     known = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = (
@@ -259,21 +308,29 @@ def _open_links(buckets: DataFrame, comps: DataFrame, texts: DataFrame, threshol
         .where("lo <> hi")
         .groupBy("n", "x", "y")
         .agg(F.min("bucket").alias("bucket"))
-        .select("bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"))
     )
+    inside = materialise(known.join(sizes.select("bucket"), "bucket").select("bucket", "node", "comp"), "open")
+    weighed = sets.select("node", F.octet_length("shingles").alias("bytes"))
+    parts = (
+        inside.join(weighed, "node")
+        .groupBy("bucket")
+        .agg(F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / block_bytes)).cast("int").alias("parts"))
+    )
     dealt = (
-        known.join(sizes, "bucket")
+        inside.join(parts, "bucket")
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .where((F.col("parts") == 1) | (F.col("part") != F.col("other")))  # a part meets itself in any block
         .select("bucket", "node", "comp", F.least("part", "other").alias("c"), F.greatest("part", "other").alias("d"))
     )
-    return (
-        dealt.join(texts, "node")
-        .repartition("bucket", "c", "d")
-        .sortWithinPartitions("bucket", "c", "d", "node")
-        .mapInPandas(_block_links(threshold), "a binary, b binary")
-    )
+    bound = threshold - SLACK
+
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "node")
+
+    marked = together(dealt.join(nodes.select("node", "registers"), "node"))
+    active = materialise(marked.mapInPandas(_active(bound), marked.schema), "active")
+    return together(active.join(sets, "node")).mapInPandas(_block_links(threshold, bound), "a binary, b binary")
 
 
 def near_duplicates(
@@ -290,16 +347,17 @@ def text_classes(
     same for all of the class (null for a text without a word) and by the least id."""
     members = materialise(signatures(docs, id_col, text_col), "signatures")
     worded = members.where("worded")
-    nodes = worded.groupBy("node").agg(F.first("bands").alias("bands"), F.min("id").alias("id"))
+    nodes = worded.groupBy("node").agg(F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.min("id").alias("id"))
     nodes = materialise(nodes, "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = materialise(buckets.join(heads, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "stars")
-    ends = stars.select(F.col("a").alias("node")).union(stars.select("b"))
-    texts = materialise(_texts_of(docs, ends, nodes.select("node", "id"), id_col, text_col), "texts")
-    links = materialise(verify(stars, texts, threshold), "links")
+    heads = buckets.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    shared = materialise(buckets.join(heads, "bucket").select("bucket", "node", "b"), "buckets")
+    stars = shared.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    stars = materialise(likely(stars, nodes, threshold - SLACK), "stars")
+    sets = materialise(_sets_of(docs, shared.select("node"), nodes.select("node", "id"), id_col, text_col), "shingles")
+    links = materialise(verify(stars, sets, threshold), "links")
     comps = components(links)
-    more = materialise(_open_links(buckets, comps, texts, threshold), "links")
+    more = materialise(_open_links(shared.select("bucket", "node"), comps, nodes, sets, threshold), "links")
     if more.limit(1).count():
         comps = components(links.union(more))
     named = nodes.select("node", "id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
