@@ -1,25 +1,27 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into parts of at most ``PART`` words; their words are the terms. Every document
-becomes the sequence of its terms (other words keep their place as a blank). Parts are searched by length
-class, each with the terms of its own parts and in passages of three times its longest part, a third apart, so
-that each stretch of twice a part's length lies whole in some passage and none is much longer than the part.
-Terms are weighted by their frequency in the passage and their rarity over all documents. A randomised SVD of the passages'
-TF-IDF matrix (one pass of a Gaussian sketch, summed up by Spark, then solved as a Nystroem problem of
-the sketch's size) gives latent vectors; passages whose cosine to a part reaches ``min_cosine`` are its
-candidates. A candidate is a leak if in some stretch of it, of twice the part's length, the longest common
-subsequence covers ``min_common`` of the part's words, and ``min_answer`` of its answer terms, the rarest
-third, are there.
-
-A passage that holds fewer answer terms than a part's check demands of the least demanding part can't
-pass, and is left out before the SVD. Nothing else is: all documents and whole texts take part in the
-counts and in the search. Benchmarks of more than ``ITEMS`` items are searched in blocks of that size,
-which bounds what is sent to the executors; every document meets every block.
-
-Defined cases: a null or empty text has no passage; items with fewer than ``LEAST`` words, or null ones,
-match nothing; repeated items match each under their own id; repeated rows of documents give one row per
-(doc_id, item_id); a null doc_id is kept; no documents or no items give no rows; further columns are
-ignored.
+becomes, once for all items, the sequence of the hashes of its words. Parts are searched by length class
+(up to 8, 16, 32, ... words), each with the terms of its own parts and in passages of three times the class's
+length, a third apart, so that each stretch of twice a part's length lies whole in some passage.
+Terms are weighted by their frequency in the passage and their rarity over all documents. A randomised SVD of
+the passages' TF-IDF matrix (one pass of a Gaussian sketch, summed up by Spark, then solved as a Nystroem
+problem of the sketch's size) gives latent vectors. A passage that holds a part beside other text has a lower
+cosine to it the more it holds besides, so the bound follows the lengths: passages whose cosine to a part
+reaches ``min_cosine`` times the ratio of the part's latent length to theirs (1 at most) are candidates.
+A candidate is a leak if in some stretch of it, of twice the part's length, the longest common subsequence
+covers ``min_common`` of the part's words, and ``min_answer`` of its answer terms, the rarest third, are there.
+
+The answer check needs no latent vector, so part of it comes first: a passage that holds fewer answer terms
+than the least demanding part of its class asks for can't pass for any, and isn't projected. All documents and
+whole texts take part in the counts and in the search. Benchmarks of more than ``ITEMS`` items are searched in
+blocks of that size, which bounds what is sent to the executors; every document meets every block.
+
+Items of fewer than ``LEAST`` words leave no room for paraphrase: they match where their words stand side by
+side. Defined cases: a null or empty text has no passage; items without a word, or null ones, match nothing;
+repeated items match each under their own id; repeated rows of documents give one row per (doc_id, item_id); a
+null doc_id is kept; texts of any length are searched to their end; of equally rare terms the first by name
+are answer terms; no documents or no items give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,15 +47,12 @@ _NOT_WORD = re.compile(r"[\W_]+")
 
 @dataclass(frozen=True)
 class Parts:
-    """The parts of a block of items, as arrays of term numbers."""
+    """The parts of a block of items, as arrays of term numbers; ``terms`` are the terms' hashes."""
 
     items: list[int]
-    terms: list[str]
+    terms: np.ndarray
     words: list[np.ndarray]
-
-    @property
-    def window(self) -> int:
-        return 3 * max(len(w) for w in self.words)
+    length: int = PART  # of the longest part that may be here
 
     def classes(self) -> list[tuple[Parts, np.ndarray]]:
         """The parts by length class, lengths up to 8, 16, 32, ...; with the numbers here of each class's terms."""
@@ -62,7 +62,7 @@ class Parts:
             own = np.flatnonzero(level == x)
             terms = np.unique(np.concatenate([self.words[j] for j in own]))
             words = [np.searchsorted(terms, self.words[j]) for j in own]
-            out.append((Parts([self.items[j] for j in own], [self.terms[t] for t in terms], words), terms))
+            out.append((Parts([self.items[j] for j in own], self.terms[terms], words, 1 << int(x)), terms))
         return out
 
 
@@ -71,8 +71,12 @@ def normal_words(text: str | None) -> list[str]:
     return [w for w in (_NOT_WORD.sub("", x) for x in (text or "").lower().split()) if w]
 
 
+def hashed(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) >> 33
+
+
 def parts_of(rows: list) -> Parts | None:
-    """Parts of (item_id, text) rows; None if no item has enough words."""
+    """Parts of (item_id, text) rows that have ``LEAST`` words; None if there are none."""
     items, words = [], []
     for item, text in rows:
         w = normal_words(text)
@@ -84,43 +88,103 @@ def parts_of(rows: list) -> Parts | None:
             words.append(w[len(w) * k // n : len(w) * (k + 1) // n])
     if not words:
         return None
-    terms = sorted({x for w in words for x in w})
-    number = {t: i for i, t in enumerate(terms)}
-    return Parts(items, terms, [np.array([number[x] for x in w], np.int64) for w in words])
+    names = sorted({x for w in words for x in w})
+    number = dict(zip(names, range(len(names)), strict=True))
+    return Parts(items, np.array([hashed(x) for x in names], np.int64), [np.array([number[x] for x in w], np.int64) for w in words])
 
 
-def term_sequences(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, ids): the term number of every word of each text, -1 for other words."""
+def word_sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, ids): the hash of every word of each text, in lower case and without other characters than
+    letters and digits; words that have none are left out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = rows.select("doc_id", F.array(F.lit(0)).alias("ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(terms, pa.large_string())
         for b in batches:
             r, codes, names = split_words(b.column("text"))
             plain = pc.utf8_lower(pa.array(names, pa.large_string()))
-            plain = pc.replace_substring_regex(plain, pattern=r"[^\p{L}\p{N}]+", replacement="")
-            number = pc.fill_null(pc.index_in(plain, value_set=known), -1).to_numpy(zero_copy_only=False)
-            number = np.where(pc.equal(plain, "").to_numpy(zero_copy_only=False), -2, number) if names else number
-            ids = number[codes] if names else np.zeros(0, np.int32)
-            real = ids > -2
+            plain = pc.replace_substring_regex(plain, pattern=r"[^\p{L}\p{N}]+", replacement="").to_pylist()
+            number = np.fromiter((hashed(w) if w else -1 for w in plain), np.int64, len(plain))
+            ids = number[codes] if names else np.zeros(0, np.int64)
+            real = ids >= 0
             sizes = np.bincount(r[real], minlength=b.num_rows)
             offsets = np.concatenate([[0], np.cumsum(sizes)])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[real], pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[real].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], names=["doc_id", "ids"])
 
     return rows.mapInArrow(run, schema)
 
 
-def document_frequency(sequences: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+def numbering(terms: np.ndarray, numbers: np.ndarray):
+    """A function from hashes to numbers, -1 for hashes that no term has.
+
+    Few words are terms, so a table of the hashes' low bits lets most of them go without a search."""
+    order = np.argsort(terms, kind="stable")
+    known, numbers = terms[order], numbers[order].astype(np.int32)
+    low = np.zeros(1 << 20, bool)
+    low[known & 0xFFFFF] = True
+
+    def look_up(ids: np.ndarray) -> np.ndarray:
+        out = np.full(len(ids), -1, np.int32)
+        maybe = np.flatnonzero(low[ids & 0xFFFFF])
+        at = np.minimum(np.searchsorted(known, ids[maybe]), len(known) - 1)
+        hit = known[at] == ids[maybe]
+        out[maybe[hit]] = numbers[at[hit]]
+        return out
+
+    return look_up
+
+
+def short_matches(sequences: DataFrame, rows: list) -> DataFrame | None:
+    """Leaks of the (item_id, text) rows of fewer than ``LEAST`` words: documents in which they stand word by
+    word; None if there are no such rows."""
+    wanted: dict[tuple, list[int]] = {}
+    for item, text in rows:
+        w = normal_words(text)
+        if 0 < len(w) < LEAST:
+            wanted.setdefault(tuple(hashed(x) for x in w), []).append(item)
+    if not wanted:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("ids")
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            docs, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for words, known in wanted.items():
+                n = len(words)
+                if len(flat) >= n:
+                    at = np.flatnonzero(flat[: len(flat) - n + 1] == words[0])
+                    for k in range(1, n):
+                        at = at[(flat[at + k] == words[k]) & (row[at + k] == row[at])]
+                    found = np.unique(row[at])
+                    docs.append(np.repeat(found, len(known)))
+                    items.append(np.tile(np.array(known, np.int64), len(found)))
+            docs, items = np.concatenate(docs), np.concatenate(items)
+            ones = pa.array(np.ones(len(docs)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(docs)), pa.array(items), ones, ones, ones], names=["doc_id", "item_id", "cosine", "common", "answered"])
+
+    return sequences.mapInArrow(run, _leak_schema(sequences))
+
+
+def _leak_schema(rows: DataFrame):
+    schema = rows.select("doc_id", F.lit(0).cast("long").alias("item_id"), *(F.lit(0.0).alias(c) for c in ("cosine", "common", "answered"))).schema
+    for f in schema:
+        f.nullable = True
+    return schema
+
+
+def document_frequency(sequences: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """(number of documents with each term, number of documents)."""
+    n_terms = len(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs = np.zeros(n_terms + 1, np.int64), 0
+        total, docs, number = np.zeros(n_terms + 1, np.int64), 0, numbering(terms, np.arange(n_terms))
         for b in batches:
             lists = b.column("ids")
             rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            ids = number(lists.flatten().to_numpy(zero_copy_only=False))
             on = ids >= 0
             pairs = np.unique(rows[on] * n_terms + ids[on])
             total[:n_terms] += np.bincount(pairs % n_terms, minlength=n_terms)
@@ -146,14 +210,12 @@ def answer_terms(parts: Parts, df: np.ndarray) -> list[np.ndarray]:
 
 
 def passages(
-    sequences: DataFrame, parts: Parts, number: np.ndarray, answers: list[np.ndarray], min_answer: float
+    sequences: DataFrame, parts: Parts, answers: list[np.ndarray], min_answer: float
 ) -> DataFrame:
-    """(doc_id, at, ids) of the passages that hold as many answer terms as some part demands.
-
-    ``number`` has the term of ``parts`` of each term of the sequences, -1 for others and as its last value.
-    """
-    window = parts.window
-    step = window // 3
+    """(doc_id, at, ids) of the passages that hold as many answer terms as some part demands; ``ids`` are terms
+    of ``parts``, -1 for other words."""
+    step = parts.length
+    window = 3 * step
     marked = np.zeros(len(parts.terms) + 1, bool)  # the last stands for -1
     marked[np.unique(np.concatenate(answers))] = True
     need = max(1, min(int(np.ceil(min_answer * len(a))) for a in answers))
@@ -162,9 +224,10 @@ def passages(
         f.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = numbering(parts.terms, np.arange(len(parts.terms)))
         for b in batches:
             lists = b.column("ids")
-            flat = number[lists.flatten().to_numpy(zero_copy_only=False)]
+            flat = number(lists.flatten().to_numpy(zero_copy_only=False))
             ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
             hits = np.concatenate([[0], np.cumsum(marked[flat])])
             row, at, out = [], [], []
@@ -203,6 +266,15 @@ def tfidf(lists: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndar
     return row, term, w / np.maximum(norm[row], 1e-12)
 
 
+def norms_of(lists: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Lengths of the TF-IDF vectors before ``tfidf`` makes them 1."""
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    ids = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    on = ids >= 0
+    pairs, tf = np.unique(row[on] * len(idf) + ids[on], return_counts=True)
+    return np.sqrt(np.bincount(pairs // len(idf), weights=((1 + np.log(tf)) * idf[pairs % len(idf)]) ** 2, minlength=len(lists)))
+
+
 def _project(sparse: tuple, basis: np.ndarray, n: int) -> np.ndarray:
     """Sparse rows times ``basis``; the rows of the sparse form follow each other."""
     row, term, w = sparse
@@ -275,16 +347,13 @@ def search(
     min_cosine: float, min_common: float, min_answer: float,
 ) -> DataFrame:
     """(doc_id, item_id, cosine, common, answered) of the passages that are leaks."""
-    schema = found.select(
-        "doc_id", F.lit(0).cast("long").alias("item_id"), *(F.lit(0.0).alias(c) for c in ("cosine", "common", "answered"))
-    ).schema
-    for f in schema:
-        f.nullable = True
+    schema = _leak_schema(found)
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    def length(x: np.ndarray) -> np.ndarray:
+        return np.maximum(np.linalg.norm(x, axis=1), 1e-12)
 
     n_terms, n_parts = len(idf), len(parts.words)
+    weight = norms_of(parts.words, idf)
     asked = np.concatenate(answers)  # answer terms and the parts that ask for them, by term
     by = np.argsort(asked, kind="stable")
     part_of = np.repeat(np.arange(n_parts), [len(a) for a in answers])[by]
@@ -299,15 +368,20 @@ def search(
         return np.bincount(cell, minlength=n * n_parts).reshape(n, n_parts) / wanted
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        goal = unit(_project(tfidf(parts.words, idf), basis, n_parts))
+        goal = _project(tfidf(parts.words, idf), basis, n_parts)
+        own = length(goal)
         masks: list[dict[int, int] | None] = [None] * n_parts
         for pdf in batches:
             lists = [np.asarray(x) for x in pdf["ids"]]
             sparse = tfidf(lists, idf)
-            near = unit(_project(sparse, basis, len(lists))) @ goal.T
+            latent = _project(sparse, basis, len(lists))
+            whole = length(latent)
+            near = latent @ goal.T / (whole[:, None] * own[None, :])
+            # tfidf() makes rows of length 1, so lengths as they were before come from the weights' sums
+            ratio = norms_of(lists, idf)[:, None] * whole[:, None] / (weight * own)[None, :]
             answered = answered_share(sparse[0], sparse[1], len(lists))
             out = []
-            for i, j in zip(*np.nonzero((near >= min_cosine) & (answered >= min_answer)), strict=True):
+            for i, j in zip(*np.nonzero((near * np.maximum(1.0, ratio) >= min_cosine) & (answered >= min_answer)), strict=True):
                 n = len(parts.words[j])
                 if masks[j] is None:
                     places: dict[int, int] = {}
@@ -343,25 +417,24 @@ def leaks(
         F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")
     )
     blocks = max(1, -(-items.count() // ITEMS))
+    sequences = materialise(word_sequences(docs, id_col, text_col), "words")
     out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).distinct().orderBy("item", "text").collect()
-        parts = parts_of([tuple(r) for r in rows])
-        if parts is None:
-            continue
-        sequences = materialise(term_sequences(docs, parts.terms, id_col, text_col), "terms")
-        df, n = document_frequency(sequences, len(parts.terms))
-        idf = np.log((n + 1) / (df + 0.5)).clip(min=0.05)
-        for group, terms in parts.classes():
-            number = np.full(len(parts.terms) + 1, -1, np.int32)
-            number[terms] = np.arange(len(terms))
-            answers = answer_terms(group, df[terms])
-            found = materialise(passages(sequences, group, number, answers, min_answer), "passages")
-            basis = latent_basis(found, group, idf[terms])
-            hits = search(found, group, idf[terms], answers, basis, min_cosine, min_common, min_answer)
-            out = hits if out is None else out.union(hits)
+        rows = [tuple(r) for r in rows]
+        hits = [short_matches(sequences, rows)]
+        parts = parts_of(rows)
+        if parts is not None:
+            df, n = document_frequency(sequences, parts.terms)
+            idf = np.log((n + 1) / (df + 0.5)).clip(min=0.05)
+            for group, terms in parts.classes():
+                answers = answer_terms(group, df[terms])
+                found = materialise(passages(sequences, group, answers, min_answer), "passages")
+                basis = latent_basis(found, group, idf[terms])
+                hits.append(search(found, group, idf[terms], answers, basis, min_cosine, min_common, min_answer))
+        for one in hits:
+            if one is not None:
+                out = one if out is None else out.union(one)
     if out is None:
-        return docs.select(
-            F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("item_id"), *(F.lit(0.0).alias(c) for c in ("cosine", "common", "answered"))
-        ).limit(0)
+        return sequences.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), *(F.lit(0.0).alias(c) for c in ("cosine", "common", "answered")))
     return out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "common", "answered")))
