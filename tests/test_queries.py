@@ -44,3 +44,13 @@ def test_entry_imports_without_the_training_data_parts():
         "import __spark_entry__ as e; q = e.queries(); assert 'knn_euclidean' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     )
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_a_missing_library_is_no_removed_part():
+    import subprocess
+    import sys
+
+    pytest.importorskip("vecroute.llm")
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
+    assert done.returncode and "zstandard" in done.stderr

@@ -73,6 +73,16 @@ def test_settings_are_checked():
     assert cfg.evaluation.num_leaves == [2] and cfg.dataset.path == "none"
 
 
+def test_series_of_curves(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("method,model_id,config,knob_value,recall@10,mean_distcomp\nm,x,,1,0.5,10\nm,y,,1,0.6,20\n")
+    (tmp_path / "b.csv").write_text("knob_value,recall@10,mean_distcomp\n")
+    assert sorted(r["label"] for r in analysis.read_curve(spark, str(tmp_path / "a.csv")).collect()) == ["m:x", "m:y"]
+    with pytest.raises(ValueError, match="no rows"):
+        analysis.read_curve(spark, str(tmp_path / "b.csv"))
+    other = from_mapping({**RAW, "experiment": {**RAW["experiment"], "tree_assignment_order": "input"}})
+    assert engine.tree_name(from_mapping(RAW), 1) == "tree-1" and engine.tree_name(other, 1) == "tree-1-round-input"
+
+
 def curve(spark, points):
     return spark.createDataFrame([("x", i, float(r), float(c), None) for i, (r, c) in enumerate(points)], analysis.CURVE_SCHEMA)
 

@@ -1,6 +1,7 @@
 """Search over made trees against a plain search, and what search is made of against plain versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import statistics
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vecroute.functions.paths import checked_path, leaf_to_path, path_to_leaf, random_init
 from vecroute.operators import knn, metrics, search, training
+from vecroute.operators.router import node_probs
 
 K, H = 3, 2
 
@@ -77,14 +79,26 @@ def test_beam_order(spark):
     vectors, paths, router = made(9, n_trees=1)
     asked = made(10, n=4)[0]
     r, _, _, q = frames(spark, vectors, paths, router, asked)
-    rows = search.beam_search(q, r, K, H, 9).orderBy("query_id", "leaf_rank").collect()
-    for i, x in enumerate(asked):
+    for settings, (i, x) in itertools.product(({}, {"router_bytes": 0}), enumerate(asked)):
+        rows = search.beam_search(q.where(F.col("query_id") == i), r, K, H, 9, **settings).orderBy("leaf_rank").collect()
         want = plain_beam(router, 0, x, 9)
         got = [y for y in rows if y["query_id"] == i]
         assert [tuple(y["path"]) for y in got] == [p for p, _ in want]
+        assert [y["leaf_id"] for y in got] == [a * K + b for (a, b), _ in want] and [y["leaf_rank"] for y in got] == list(range(9))
         assert [y["score"] for y in got] == pytest.approx([s for _, s in want], abs=1e-5)
 
 
+def test_probabilities_of_nodes(spark):
+    """Both physical forms, on a router that lacks a branch."""
+    vectors, paths, router = made(13, n_trees=2)
+    r, t, v, _ = frames(spark, vectors, paths, router, [[0.0]])
+    r = r.where("not (tree_id = 1 and branch = 1)")
+    nodes = t.join(v, "vec_id").select("tree_id", F.slice("path", 1, 1).alias("prefix"), "vec_id", "embedding")
+    key = lambda x: (x["tree_id"], x["vec_id"], list(x["prefix"]), [round(p, 5) for p in x["probs"]])
+    got, joined = (sorted(map(key, node_probs(nodes, r, **s).collect())) for s in ({}, {"router_bytes": 0}))
+    assert got == joined and {len(x[3]) for x in got if x[0] == 1} == {2} and len(got) == 80
+
+
 def test_empty_leaves_pad_results(spark):
     vectors, paths, router = made(11, n_trees=1)
     router = {key: [(w, 50.0 if b == 2 and not key[1] else bias) for b, (w, bias) in enumerate(x)] for key, x in router.items()}
@@ -98,6 +112,8 @@ def test_widths_are_checked(spark):
     r, t, v, q = frames(spark, vectors, paths, router, [[0.1, 0.2]])
     with pytest.raises(Exception, match="width"):
         search.beam_search(q, r, K, H, 2).collect()
+    with pytest.raises(Exception, match="width"):
+        search.beam_search(q, r, K, H, 2, router_bytes=0).collect()
     with pytest.raises(Exception, match="width"):
         knn.exact_knn(q, v, 2).collect()
     odd = v.union(spark.createDataFrame([(99, [1.0])], v.schema)).coalesce(1)

@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--index-path")
         if name == "build":
             c.add_argument("--tree-index", type=int)
+            c.add_argument("--diagnostics", action="store_true", help="try each cycle's tree on the queries")
         else:
             c.add_argument("--num-leaves", type=int, nargs="+")
             c.add_argument("--n-queries", type=int)
@@ -74,7 +75,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "plot":
         points = None
         for path in args.curves:
-            one = analysis.read_curve(spark, path, path)
+            one = analysis.read_curve(spark, path)
             points = one if points is None else points.unionByName(one)
         write_text(spark, args.output, analysis.render_svg(points))
     else:
@@ -87,8 +88,9 @@ def main(argv: list[str] | None = None) -> int:
         index = args.index_path or f"{cfg.experiment.output_dir}/index"
         vectors = engine.load_database(spark, cfg)
         if args.command == "build":
+            probe = engine.probe(spark, cfg, vectors) if args.diagnostics else None
             engine.write_run(spark, cfg, cfg.experiment.output_dir)
-            engine.write_rows(spark, cfg.experiment.output_dir, "build", engine.build(spark, cfg, vectors, index, args.tree_index)["trees"])
+            engine.write_rows(spark, cfg.experiment.output_dir, "build", engine.build(spark, cfg, vectors, index, args.tree_index, probe)["trees"])
         else:
             queries, truth = engine.load_queries(spark, cfg)
             engine.write_rows(spark, cfg.experiment.output_dir, "metrics", engine.sweep(spark, cfg, vectors, queries, truth, f"{index}/index"))

@@ -16,7 +16,7 @@ from vecroute.functions.paths import leaf_to_path
 from vecroute.functions.storage import exists, materialise, write_text
 from vecroute.operators import knn, metrics
 from vecroute.operators.search import beam_search, leaf_lookup, rerank, select_candidates
-from vecroute.operators.training import MlRouter, alternating_train
+from vecroute.operators.training import MlRouter, Probe, alternating_train
 from vecroute.sources import index as index_io
 from vecroute.sources.vectors import first_existing, normalise_truth, read_hdf5, read_vectors, truth_long
 
@@ -85,22 +85,35 @@ def _prepared(rows: DataFrame, cfg: Config) -> DataFrame:
     return rows.withColumn("embedding", l2_normalize(F.col("embedding")).cast("array<float>")) if cfg.dataset.normalize else rows
 
 
-def build(spark: SparkSession, cfg: Config, vectors: DataFrame, index_path: str, tree_index: int | None = None) -> dict:
+def probe(spark: SparkSession, cfg: Config, vectors: DataFrame, top_k: int = 10) -> Probe:
+    """The queries of the settings with their true neighbours, for trying a tree after each cycle."""
+    queries, truth = load_queries(spark, cfg)
+    real = truth if truth is not None else knn.exact_knn(queries, vectors, top_k, cfg.metric())
+    return Probe(queries, materialise(real, "truth"), cfg.evaluation.beam_size, max(cfg.evaluation.num_leaves), top_k)
+
+
+def tree_name(cfg: Config, tree: int) -> str:
+    """Trees made under other rules than the usual have names of their own."""
+    rules = (cfg.experiment.tree_assignment_mode, cfg.experiment.tree_assignment_order)
+    return f"tree-{tree}" if rules == ("round", "confidence") else f"tree-{tree}-{'-'.join(rules)}"
+
+
+def build(spark: SparkSession, cfg: Config, vectors: DataFrame, index_path: str, tree_index: int | None = None, probe: Probe | None = None) -> dict:
     """Train the trees (or one of them) and save each below ``index_path`` as it is done; trees that are
     there already are kept, so a run that broke off goes on. All trees there are become one index."""
     n = vectors.count()
     wanted = range(cfg.model.num_trees) if tree_index is None else [tree_index]
     log = []
     for t in wanted:
-        path = f"{index_path}/tree-{t}"
+        path = f"{index_path}/{tree_name(cfg, t)}"
         if exists(spark, f"{path}/meta.json"):
             continue
         began = time.perf_counter()
-        router, paths, cycles = alternating_train(vectors, cfg.train_settings(), t)
+        router, paths, cycles = alternating_train(vectors, cfg.train_settings(), t, probe)
         meta = index_io.IndexMeta(cfg.model.branching_factor, cfg.model.tree_height, cfg.model.alpha, n, 1)
         index_io.save_index(paths.withColumn("tree_id", F.lit(0)), router_table(router, spark, 0), meta, path)
         log.append({"tree": t, "seconds": time.perf_counter() - began, "cycles": cycles})
-    ready = [f"{index_path}/tree-{t}" for t in range(cfg.model.num_trees)]
+    ready = [f"{index_path}/{tree_name(cfg, t)}" for t in range(cfg.model.num_trees)]
     if tree_index is None and not exists(spark, f"{index_path}/index"):
         index_io.merge_indexes(spark, ready, f"{index_path}/index")
     return {"vectors": n, "trees": log}

@@ -14,15 +14,22 @@ _STEP = re.compile(r'"(?:\\.|[^"\\\n])*"|[{}]')
 CURVE_SCHEMA = "label string, leaves int, recall double, candidates double, qps double"
 
 
-def read_curve(spark: SparkSession, path: str, label: str) -> DataFrame:
-    """(label, leaves, recall, candidates, qps) of a sweep's CSV; candidates under either of two names."""
+def read_curve(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
+    """(label, leaves, recall, candidates, qps) of a sweep's CSV; candidates under either of two names.
+
+    Without ``label``, rows are told apart by what they say of themselves, so a file may hold several series;
+    a file without rows is an error."""
     raw = spark.read.csv(path, header=True)
     names = [c for c in ("mean_distcomp", "mean_n_distcomp") if c in raw.columns]
     if not names:
         raise ValueError(f"{path}: neither mean_distcomp nor mean_n_distcomp")
+    if raw.isEmpty():
+        raise ValueError(f"{path}: no rows")
+    marks = [c for c in ("method", "model_id", "config") if c in raw.columns]
+    series = F.lit(label) if label is not None else series_label(marks) if marks else F.lit(path)
     number = lambda c: F.expr(f"try_cast(`{c}` as double)")
     return raw.select(
-        F.lit(label).alias("label"), number("knob_value").cast("int").alias("leaves"), number("recall@10").alias("recall"),
+        series.alias("label"), number("knob_value").cast("int").alias("leaves"), number("recall@10").alias("recall"),
         F.coalesce(*map(number, names)).alias("candidates"), (number("qps") if "qps" in raw.columns else F.lit(None).cast("double")).alias("qps"),
     )
 
@@ -173,9 +180,9 @@ def candidates_per_second() -> Column:
     return F.when(F.col("candidates") > 0, F.col("qps") * F.col("candidates"))
 
 
-def series_label() -> Column:
+def series_label(columns: list[str]) -> Column:
     """method[:model_id[:config]] of a sweep row, as far as given."""
-    return F.concat_ws(":", *(F.nullif(F.col(c), F.lit("")) for c in ("method", "model_id", "config")))
+    return F.concat_ws(":", *(F.nullif(F.col(c), F.lit("")) for c in columns))
 
 
 def render_svg(points: DataFrame, width: int = 640, height: int = 400) -> str:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecroute.functions.distance import DENSE
+from vecroute.functions.distance import DENSE, matrix_of
 from vecroute.functions.paths import shuffled_rank
 
 
@@ -54,14 +54,6 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, pa.array([m.shape[1]], pa.int32()), pa.array([m.astype("<f4").tobytes()], pa.binary())], names=["ids", "width", "data"])
 
 
-def matrix_of(lists: pa.Array) -> np.ndarray:
-    """A column of equally long lists as a matrix in double precision; null or ragged vectors are an error."""
-    sizes = lists.value_lengths()
-    if lists.null_count or len(sizes.unique()) > 1:
-        raise ValueError("vectors must all have one width, and none may be null")
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
-
-
 def exact_knn(
     queries: DataFrame, vectors: DataFrame, k: int, metric: str = "euclidean", query_block: int | None = None,
     broadcast_bytes: int = 64 << 20, salts: int = 64,

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecroute.functions.distance import dot
+from vecroute.functions.distance import dot, matrix_of
+from vecroute.functions.storage import materialise
 
 ROUTER_SCHEMA = "tree_id int, prefix array<int>, branch int, weight array<double>, bias double"
 
@@ -45,9 +51,69 @@ def log_softmax(scored: DataFrame, by: list[str], digits: int = 6) -> DataFrame:
     ).drop("__z")
 
 
-def node_probs(nodes: DataFrame, router: DataFrame, digits: int = 6) -> DataFrame:
-    """(tree_id, prefix, vec_id, probs): softmax over the branches of each vector's node."""
-    scored = log_softmax(logits(nodes.select("tree_id", "prefix", "vec_id", "embedding"), router, digits), ["tree_id", "prefix", "vec_id"], digits)
-    return scored.groupBy("tree_id", "prefix", "vec_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("branch", "log_prob"))), lambda s: F.round(F.exp(s["log_prob"]), digits)).alias("probs")
-    )
+@dataclass(frozen=True)
+class Node:
+    """The branches of one node: their numbers, weights and biases."""
+
+    branches: np.ndarray
+    weights: np.ndarray
+    biases: np.ndarray
+
+    def log_probs(self, vectors: np.ndarray, digits: int = 6) -> np.ndarray:
+        """(vectors x branches), rounded as ``logits`` and ``log_softmax`` are."""
+        if vectors.shape[1] != self.weights.shape[1]:
+            raise ValueError(f"vectors of width {vectors.shape[1]}, a router of width {self.weights.shape[1]}")
+        logit = np.round(vectors @ self.weights.T + self.biases, digits)
+        z = logit - logit.max(axis=1, keepdims=True)
+        return np.round(z - np.log(np.exp(z).sum(axis=1, keepdims=True)), digits)
+
+
+#: A router up to this size goes to the tasks with their code; larger ones are joined.
+ROUTER_BYTES = 64 << 20
+
+
+def router_nodes(router: DataFrame, most_bytes: int = ROUTER_BYTES) -> dict[tuple, Node] | None:
+    """Nodes by (tree_id, *prefix); None if the router's measured size is over ``most_bytes``."""
+    rows, width = router.agg(F.count("*"), F.coalesce(F.max(F.size("weight")), F.lit(0))).first()
+    if rows * (width + 8) * 8 > most_bytes:
+        return None
+    t = router.select("tree_id", "prefix", "branch", "weight", "bias").toArrow()
+    if not t.num_rows:
+        return {}
+    if len(t["weight"].combine_chunks().value_lengths().unique()) > 1:
+        raise ValueError("the router's weights must all have one width")
+    weights = t["weight"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, width)
+    branch, bias = t["branch"].to_numpy(), t["bias"].to_numpy()
+    members: dict[tuple, list[int]] = {}
+    for i, (tree, prefix) in enumerate(zip(t["tree_id"].to_pylist(), t["prefix"].to_pylist(), strict=True)):
+        members.setdefault((tree, *prefix), []).append(i)
+    ordered = {key: np.array(sorted(rows, key=lambda i: branch[i])) for key, rows in members.items()}
+    return {key: Node(branch[i], weights[i], bias[i]) for key, i in ordered.items()}
+
+
+def node_probs(nodes: DataFrame, router: DataFrame, digits: int = 6, router_bytes: int = ROUTER_BYTES) -> DataFrame:
+    """(tree_id, prefix, vec_id, probs): softmax over the branches of each vector's node.
+
+    The vectors of a node are scored by one matrix product an Arrow batch, if the router is small enough."""
+    router = materialise(router, "router")
+    known = router_nodes(router, router_bytes)
+    if known is None:
+        scored = log_softmax(logits(nodes.select("tree_id", "prefix", "vec_id", "embedding"), router, digits), ["tree_id", "prefix", "vec_id"], digits)
+        return scored.groupBy("tree_id", "prefix", "vec_id").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("branch", "log_prob"))), lambda s: F.round(F.exp(s["log_prob"]), digits)).alias("probs")
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places: dict[tuple, list[int]] = {}
+            for i, (tree, prefix) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if (tree, *prefix) in known:
+                    places.setdefault((tree, *prefix), []).append(i)
+            for key, rows in places.items():
+                part = b.take(pa.array(rows))
+                p = np.round(np.exp(known[key].log_probs(matrix_of(part.column(3)), digits)), digits)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), lists], names=["tree_id", "prefix", "vec_id", "probs"])
+
+    rows = nodes.select("tree_id", "prefix", "vec_id", "embedding")
+    return rows.mapInArrow(run, rows.select("tree_id", "prefix", "vec_id", F.array(F.lit(0.0)).alias("probs")).schema)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecroute.functions.distance import DENSE
+from vecroute.functions.distance import DENSE, matrix_of
 from vecroute.functions.distance import metric as metric_of
 from vecroute.functions.paths import path_to_leaf
-from vecroute.operators.knn import matrix_of, pair_distances
-from vecroute.operators.router import log_softmax, logits
+from vecroute.functions.storage import materialise
+from vecroute.operators.knn import pair_distances
+from vecroute.operators.router import ROUTER_BYTES, Node, log_softmax, logits, router_nodes
 
 
 def check_beam(beam_size: int, num_leaves: int | None) -> int:
@@ -30,13 +32,65 @@ def check_min_trees(wanted: int | None, n_trees: int) -> int:
     return m
 
 
-def beam_search(queries: DataFrame, router: DataFrame, k: int, h: int, beam_size: int, num_leaves: int | None = None) -> DataFrame:
+def beam_paths(nodes: dict[tuple, Node], tree: int, vectors: np.ndarray, k: int, h: int, beam_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leaf numbers, scores) of the best paths of each vector in one tree, best first; -1 where there are fewer.
+
+    A path is the number that its branches make in base ``k``, so equal scores go by number."""
+    paths, scores = np.zeros((len(vectors), 1), np.int64), np.zeros((len(vectors), 1))
+    for depth in range(h):
+        grown, score = np.full((*paths.shape, k), -1, np.int64), np.full((*paths.shape, k), -np.inf)
+        for number in np.unique(paths[paths >= 0]):
+            node = nodes.get((tree, *(int(number) // k**d % k for d in range(depth - 1, -1, -1))))
+            if node is not None:
+                q, w = np.nonzero(paths == number)
+                cell = (q[:, None], w[:, None], node.branches[None, :])
+                grown[cell] = number * k + node.branches
+                score[cell] = np.round(scores[q, w][:, None] + node.log_probs(vectors[q]), 6)
+        paths, scores = grown.reshape(len(vectors), -1), score.reshape(len(vectors), -1)
+        order = np.lexsort((paths, -scores), axis=1)[:, :beam_size]
+        paths, scores = np.take_along_axis(paths, order, 1), np.take_along_axis(scores, order, 1)
+    return paths, scores
+
+
+def _beam_blocks(nodes: dict[tuple, Node], trees: list[int], k: int, h: int, beam_size: int, leaves: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, max(1, (1 << 22) // (k * beam_size))):
+                part = b.slice(a, max(1, (1 << 22) // (k * beam_size)))
+                vectors = matrix_of(part.column(1))
+                for tree in trees:
+                    paths, scores = (x[:, :leaves] for x in beam_paths(nodes, tree, vectors, k, h, beam_size))
+                    row, rank = np.nonzero(paths >= 0)
+                    leaf = paths[row, rank]
+                    digits = np.stack([leaf // k**d % k for d in range(h - 1, -1, -1)], axis=1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(0).take(pa.array(row)), pa.array(np.full(len(row), tree), pa.int32()), pa.array(rank, pa.int32()),
+                            pa.ListArray.from_arrays(pa.array(np.arange(0, digits.size + 1, h), pa.int32()), pa.array(digits.ravel())),
+                            pa.array(leaf), pa.array(scores[row, rank]),
+                        ],
+                        names=["query_id", "tree_id", "leaf_rank", "path", "leaf_id", "score"],
+                    )
+
+    return run
+
+
+def beam_search(
+    queries: DataFrame, router: DataFrame, k: int, h: int, beam_size: int, num_leaves: int | None = None, router_bytes: int = ROUTER_BYTES
+) -> DataFrame:
     """(query_id, tree_id, leaf_rank, path, leaf_id, score): the best leaves of every tree.
 
     ``queries``: (query_id, embedding). Leaves for fewer ``num_leaves`` are a prefix, by leaf_rank, of
-    those for more, so a sweep filters one beam.
+    those for more, so a sweep filters one beam. A router of at most ``router_bytes`` goes to the tasks, which
+    search all trees for an Arrow batch of queries, a matrix product a node; a larger one is joined level by level.
     """
     leaves = check_beam(beam_size, num_leaves)
+    router = materialise(router, "router")
+    nodes = router_nodes(router, router_bytes)
+    if nodes is not None:
+        found = _beam_blocks(nodes, sorted({key[0] for key in nodes}), k, h, min(beam_size, k**h), leaves)
+        schema = "query_id long, tree_id int, leaf_rank int, path array<int>, leaf_id long, score double"
+        return queries.select("query_id", "embedding").mapInArrow(found, schema)
     trees = sorted(r["tree_id"] for r in router.select("tree_id").distinct().collect())  # a handful
     roots = queries.select("query_id", "embedding", F.explode(F.array(*map(F.lit, trees))).alias("tree_id"))
     now = roots.select("query_id", "tree_id", "embedding", F.expr("cast(array() as array<int>)").alias("prefix"), F.lit(0.0).alias("score"))

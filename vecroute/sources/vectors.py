@@ -3,14 +3,14 @@
 ``spark.read.format("vectors").load(path)`` reads one file, or a folder of shards in the order of their
 names, as (vec_id, embedding); the suffix tells the layout. Rows are split into ranges, each a partition
 that reads only its bytes. ``df.write.format("vectors").option("suffix", ".fbin").save(path)`` writes a
-folder with one file a partition and puts it in place when all are written.
+folder with one file a partition: tasks write under names that readers pass over, and the commit renames what
+the successful attempts wrote. Paths may lie in any store that pyarrow opens (file, hdfs, s3 or s3a, gs).
 """
 
 from __future__ import annotations
 
 import ast
 import os
-import shutil
 import struct
 import uuid
 from collections.abc import Iterator
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -43,13 +44,21 @@ class MatrixInfo:
     stride: int  # bytes from row to row
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path inside) of a path or URI."""
+    if "://" not in path:
+        return fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:"))
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
 def _suffix(path: str) -> str:
     return os.path.splitext(path)[1].lower()
 
 
 def matrix_info(path: str, layout: str = "") -> MatrixInfo:
-    suffix, size = _suffix(path), os.path.getsize(path)
-    with open(path, "rb") as f:
+    store, inside = store_of(path)
+    suffix, size = _suffix(path), store.get_file_info(inside).size or 0
+    with store.open_input_file(inside) as f:
         if suffix in HEADED:
             rows, width = struct.unpack("<ii", f.read(8))
             item = np.dtype(HEADED[suffix]).itemsize
@@ -82,10 +91,10 @@ def matrix_info(path: str, layout: str = "") -> MatrixInfo:
 
 def read_rows(info: MatrixInfo, start: int, stop: int) -> np.ndarray:
     item = np.dtype(info.dtype).itemsize
-    with open(info.path, "rb") as f:
-        f.seek(info.offset + start * info.stride)
-        need = (stop - start - 1) * info.stride + info.width * item if stop > start else 0
-        raw = np.frombuffer(f.read(need).ljust((stop - start) * info.stride, b"\0"), np.uint8)
+    store, inside = store_of(info.path)
+    need = (stop - start - 1) * info.stride + info.width * item if stop > start else 0
+    with store.open_input_file(inside) as f:
+        raw = np.frombuffer(f.read_at(need, info.offset + start * info.stride).ljust((stop - start) * info.stride, b"\0"), np.uint8)
     rows = raw.reshape(stop - start, info.stride)[:, : info.width * item]
     return np.ascontiguousarray(rows).view(info.dtype)
 
@@ -107,10 +116,12 @@ class VectorSource(DataSource):
         return "vectors"
 
     def _files(self) -> list[str]:
-        path = self.options["path"].removeprefix("file://")
-        if os.path.isdir(path):
-            return [os.path.join(path, x) for x in sorted(os.listdir(path)) if not x.startswith(("_", "."))]
-        return [path]
+        path = self.options["path"].rstrip("/")
+        store, inside = store_of(path)
+        if store.get_file_info(inside).type != fs.FileType.Directory:
+            return [path]
+        names = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(inside)))
+        return [f"{path}/{x}" for x in names if not x.startswith(("_", "."))]
 
     def schema(self) -> str:
         files = self._files()
@@ -166,57 +177,58 @@ class Shard(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """Each task writes a shard into a folder beside the target; the commit renames the folder."""
+    """Each task writes a shard under a hidden name of its own; the commit renames those of the attempts that count.
+
+    A shard's header tells its rows, so a task holds its partition's bytes until it is done."""
 
     def __init__(self, schema: StructType, overwrite: bool, options: dict):
         self.suffix = options.get("suffix", ".fbin")
         if self.suffix not in HEADED and self.suffix not in ROWWISE:
             raise ValueError(f"can't write {self.suffix!r}")
-        self.target = options["path"].removeprefix("file://").rstrip("/")
-        self.overwrite = overwrite
-        if os.path.exists(self.target) and not overwrite:
+        self.target = options["path"].rstrip("/")
+        store, inside = store_of(self.target)
+        if store.get_file_info(inside).type != fs.FileType.NotFound and not overwrite:
             raise FileExistsError(self.target)
-        self.work = f"{self.target}.{uuid.uuid4().hex}"
+        store.create_dir(inside, recursive=True)
         self.column = [f.name for f in schema].index("embedding")
-        self.ids = [f.name for f in schema].index("vec_id") if "vec_id" in schema.fieldNames() else None
+        self.run = uuid.uuid4().hex
 
     def write(self, rows: Iterator) -> Shard:
         from pyspark import TaskContext
 
-        os.makedirs(self.work, exist_ok=True)
         task = TaskContext.get()
-        name = f"part-{task.partitionId():05d}{self.suffix}"
-        mine = os.path.join(self.work, f"_{name}.{task.taskAttemptId()}")
+        name = f"_{self.run}-{task.taskAttemptId()}.part-{task.partitionId():05d}{self.suffix}"
         dtype = HEADED.get(self.suffix) or ROWWISE[self.suffix]
-        n, width = 0, None
-        with open(mine, "wb") as f:
-            if self.suffix in HEADED:
-                f.write(struct.pack("<ii", 0, 0))
-            for row in rows:
-                v = np.asarray(row[self.column], dtype)
-                if width not in (None, len(v)):
-                    raise ValueError(f"vectors of width {width} and {len(v)}")
-                width, n = len(v), n + 1
-                if self.suffix in ROWWISE:
-                    f.write(struct.pack("<i", width))
-                f.write(v.tobytes())
-            if self.suffix in HEADED:
-                f.seek(0)
-                f.write(struct.pack("<ii", n, width or 0))
-        if not n:
-            os.remove(mine)
-        else:
-            os.replace(mine, os.path.join(self.work, name))
-        return Shard(name, n)
+        parts, width = [], None
+        for row in rows:
+            v = np.asarray(row[self.column], dtype)
+            if width not in (None, len(v)):
+                raise ValueError(f"vectors of width {width} and {len(v)}")
+            width = len(v)
+            parts.append((struct.pack("<i", width) if self.suffix in ROWWISE else b"") + v.tobytes())
+        if parts:
+            store, inside = store_of(self.target)
+            with store.open_output_stream(f"{inside}/{name}") as f:
+                if self.suffix in HEADED:
+                    f.write(struct.pack("<ii", len(parts), width))
+                for part in parts:
+                    f.write(part)
+        return Shard(name, len(parts))
 
     def commit(self, messages: list) -> None:
-        if os.path.exists(self.target):
-            shutil.rmtree(self.target)
-        os.makedirs(self.work, exist_ok=True)
-        os.replace(self.work, self.target)
+        store, inside = store_of(self.target)
+        written = {m.name for m in messages if m is not None and m.rows}
+        for old in store.get_file_info(fs.FileSelector(inside)):
+            if old.base_name not in written:
+                (store.delete_dir if old.type == fs.FileType.Directory else store.delete_file)(old.path)
+        for name in sorted(written):
+            store.move(f"{inside}/{name}", f"{inside}/{name.split('.', 1)[1]}")
 
     def abort(self, messages: list) -> None:
-        shutil.rmtree(self.work, ignore_errors=True)
+        store, inside = store_of(self.target)
+        for mine in store.get_file_info(fs.FileSelector(inside, allow_not_found=True)):
+            if mine.base_name.startswith(f"_{self.run}"):
+                store.delete_file(mine.path)
 
 
 def register(spark: SparkSession) -> None:
