@@ -101,3 +101,40 @@ def test_dedup_drops_copies_only(spark):
     want = [(0, text(k)) for k in range(6)] + [(7, text(20)), (3, text(21) + " more")]
     want += [(None, text(30)), (None, text(31)), (None, ""), (None, ""), (9, "")]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def documents(spark, rows_in):
+    schema = table(spark, SF, "documents").schema
+    return spark.createDataFrame([(i, t, *[None] * (len(schema) - 2)) for i, t in rows_in], schema)
+
+
+def test_leaks_go_by_text_whatever_the_id(spark):
+    item = table(spark, SF, "benchmark").where("text is not null").first()["text"]
+    clean = " ".join(f"word{j}" for j in range(60))
+    rows_in = [(None, f"{clean} {item}"), (None, clean), (1, f"{item} {clean}"), (1, clean), (2, None), (2, ""), (3, clean), (3, clean)]
+    got = rows(corpus_pipeline.decontaminate_stage(spark, documents(spark, rows_in), SF))
+    assert sorted(got, key=str) == sorted([(None, clean), (1, clean), (2, None), (2, ""), (3, clean), (3, clean)], key=str)
+
+
+def test_extra_columns_and_long_texts_pass(spark):
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{j % 977} und das ist ein langer Text" for j in range(15_000))
+    docs = documents(spark, [(1, long), (2, "The and of in to is that it for on " * 9)]).withColumn("lang", F.lit("de"))
+    docs = docs.withColumns({"language": F.lit("x"), "rate": F.lit(1.0), "n_tokens": F.lit(3), "node": F.lit("n"), "class_id": F.lit(7)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialise(stage(spark, docs, SF), name)
+        assert out.columns == docs.columns and out.count() >= 2
+        docs = out
+
+
+def test_mixing_rates_are_those_of_the_fit(spark, outputs):
+    """Tokens by language after the stage are those that the fit aims at, up to the draw of copies."""
+    count = library()
+    now, then = defaultdict(int), defaultdict(int)
+    for df, into in ((outputs[2], now), (outputs[3], then)):
+        for r in df.collect():
+            into[r["lang"]] += len(count(r["text"]))
+    goal = {k: v**0.7 for k, v in now.items()}
+    scale = max(now[k] / goal[k] for k in now)
+    assert all(then[k] >= now[k] and abs(then[k] - goal[k] * scale) < 0.2 * goal[k] * scale for k in now)
