@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,20 +77,33 @@ def word_bins(word: str) -> list[int]:
     return [zlib.crc32(k.encode()) % BINS for k in keys]
 
 
-def text_bins(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, bin) pairs of whole texts."""
+def bins_of(words: list[str]) -> np.ndarray:
+    """``word_bins`` of many words, a row each; -1 where a word is too short for a prefix. Prefixes repeat, so
+    each is hashed once."""
+    out = np.full((len(words), 4), -1, np.int64)
+    out[:, 0] = np.fromiter((zlib.crc32(b"=" + w.encode()) % BINS for w in words), np.int64, len(words))
+    column = pa.array(words, pa.large_string())
+    length = pc.utf8_length(column).to_numpy(zero_copy_only=False)
+    for j, k in enumerate((4, 5, 6), 1):
+        part = pc.utf8_slice_codeunits(column, 0, k).dictionary_encode()
+        bins = np.array([zlib.crc32(f"{k}{x}".encode()) % BINS for x in part.dictionary.to_pylist()], np.int64)
+        on = length > k
+        out[on, j] = bins[part.indices.to_numpy(zero_copy_only=False)[on]]
+    return out
+
+
+def text_bins(texts: pd.Series, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, bin) pairs of whole texts; only the bins marked in ``wanted``, if that is given."""
     rows, codes, names = split_words(pa.Array.from_pandas(texts, type=pa.large_string()), letters_only=True)
     if not names:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(rows * len(names) + codes)
+    bins = bins_of(names)
+    good = bins >= 0 if wanted is None else (bins >= 0) & wanted[bins]
+    on = good.any(axis=1)[codes]
+    pairs = np.unique(rows[on] * len(names) + codes[on])
     rows, codes = pairs // len(names), pairs % len(names)
-    bins = [word_bins(w) for w in names]
-    sizes = np.array([len(b) for b in bins])
-    flat, start = np.concatenate([np.array(b) for b in bins]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    take = np.repeat(start[codes] - np.concatenate([[0], np.cumsum(sizes[codes])[:-1]]), sizes[codes]) + np.arange(
-        sizes[codes].sum()
-    )
-    both = np.unique(np.repeat(rows, sizes[codes]) * BINS + flat[take])
+    row, place = np.nonzero(good[codes])
+    both = np.unique(rows[row] * BINS + bins[codes[row], place])
     return both // BINS, both % BINS
 
 
@@ -256,17 +270,8 @@ def train(
 
 def score_texts(model: ToxicityModel, texts: pd.Series, table: np.ndarray) -> np.ndarray:
     """Scores of whole texts; ``table``: the weight of every bin."""
-    rows, codes, names = split_words(pa.Array.from_pandas(texts, type=pa.large_string()), letters_only=True)
-    bins = [word_bins(w) for w in names]
-    hot = np.array([bool(np.any(table[b])) for b in bins], bool)
-    z = np.full(len(texts), model.intercept)
-    if hot.any():
-        on = hot[codes]
-        pairs = np.unique(rows[on] * len(names) + codes[on])
-        seen = {(r, b) for r, c in zip(pairs // len(names), pairs % len(names), strict=True) for b in bins[c] if table[b]}
-        if seen:
-            r, b = np.array(sorted(seen)).T
-            np.add.at(z, r, table[b])
+    rows, bins = text_bins(texts, table != 0)
+    z = model.intercept + np.bincount(rows, weights=table[bins], minlength=len(texts))
     with np.errstate(over="ignore"):
         return 1 / (1 + np.exp(-z))
 
