@@ -124,6 +124,18 @@ def test_large_files_are_read_by_block(spark, tmp_path, monkeypatch):
     assert [r["n_tokens"] for r in near] == [49, 29] * 40
 
 
+def test_records_per_file_of_the_session_do_not_matter(spark):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        got = sorted(tuple(r) for r in token_output(spark, spark.createDataFrame([(i, f"a text {i}") for i in range(20)], "doc_id long, text string")).collect())
+        path = shared_dir(spark, "flat")
+        write_token_files(spark.createDataFrame([(f"a text {i}",) for i in range(20)], "text string").coalesce(1), path, NAME, SEPARATOR)
+        assert sorted(r["row_no"] for r in scan_token_files(spark, path, SEPARATOR).collect()) == list(range(20))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert got == sorted(digests([(i, f"a text {i}") for i in range(20)], library()))
+
+
 def test_files_of_other_rows_are_an_error(spark):
     places = spark.createDataFrame([(1, 0, 0), (2, 0, 1)], "doc_id long, file_no long, row_no long")
     counts = spark.createDataFrame([(0, 0, 5, 0)], "file_no long, row_no long, n_tokens long, start long")

@@ -53,7 +53,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     separator = int(end_id).to_bytes(ID_BYTES, "little").decode("iso-8859-1")
     rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "body binary")
     rows.select(F.col("body").cast("string").alias("value")).write.options(
-        lineSep=separator, encoding="iso-8859-1", compression="none"
+        lineSep=separator, encoding="iso-8859-1", compression="none", maxRecordsPerFile=0
     ).text(path)
 
 

@@ -6,7 +6,8 @@ whose dictionary grows too large fall back to delta encoding), small row groups
 column and page indexes: a reader that wants some ids touches only their pages, and one that wants
 counts never reads tokens.
 
-Rows are dealt out by ranges of the id, so a file holds a range, and files follow each other in order.
+Rows are dealt out by ranges of the id, so a file holds a range, and files follow each other in order; a
+partition is one file, whatever the session says of records per file.
 Equal ids may share a file or stand in neighbouring ones; a hash of the text breaks ties.
 
 Defined cases: a null text counts as empty and yields the end id alone; null ids come first; repeated
@@ -67,7 +68,7 @@ def write_token_files(
     tie = F.xxhash64("__text")
     dealt = rows.repartitionByRange(F.col(id_col), tie).sortWithinPartitions(F.col(id_col), tie)
     out = tokenise(dealt, tokenizer_path, end_id, "__text")
-    out.select(id_col, *keep, F.size("ids").cast("long").alias("n_tokens"), "ids").write.options(**LAYOUT).parquet(path)
+    out.select(id_col, *keep, F.size("ids").cast("long").alias("n_tokens"), "ids").write.options(**LAYOUT).option("maxRecordsPerFile", 0).parquet(path)
 
 
 def ids_crc32(ids: Column) -> Column:
