@@ -3,7 +3,7 @@ import random
 import pytest
 
 from vecroute.functions.paths import random_init
-from vecroute.functions.storage import shared_dir
+from vecroute.functions.storage import exists, materialise, shared_dir, temporary
 from vecroute.operators import assign, experiments, search, training
 from vecroute.operators.router import centroid_router
 from vecroute.streaming.serve import serve
@@ -66,3 +66,14 @@ def test_stream_of_queries_equals_batch(spark, vectors):
     want, _ = search.search(asked, router, trees, vectors, 2, 2, 1, 4, 5)
     got = spark.read.parquet(out).select("query_id", "rank", "vec_id", "distance")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 15
+
+
+def test_tables_of_a_block_go_when_it_ends(spark):
+    with temporary(spark):
+        gone = materialise(spark.range(3), "gone")
+        with temporary(spark):
+            inner = materialise(gone, "inner", keep=True)
+        kept = materialise(inner.where("id > 0"), "kept", keep=True)
+    after = materialise(spark.range(2), "after")
+    assert kept.count() == 2 and inner.count() == 3 and after.count() == 2
+    assert not exists(spark, gone.inputFiles()[0].rsplit("/", 1)[0])

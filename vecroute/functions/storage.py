@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +46,29 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables written within each open block of ``temporary``.
+_written: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """When the block ends, delete the tables that ``materialise`` wrote in it, but for those to keep.
+
+    Nothing that is used later may still read from them."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            store, where = _file(spark, path)
+            store.delete(where, True)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write and read back: cuts lineage, and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
+    if _written and not keep:
+        _written[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
