@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from vecroute.functions.storage import materialise, shared_dir, table
+from vecroute.functions.storage import materialise, shared_dir, table, temporary
 
-__all__ = ["bound_batches", "materialise", "shared_dir", "table"]
+__all__ = ["bound_batches", "materialise", "shared_dir", "table", "temporary"]
 
 
 def bound_batches(spark: SparkSession, rows: int = 500, megabytes: int = 4) -> None:

@@ -34,12 +34,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecroute.llm.common import materialise
-from vecroute.llm.words import split_words
+from vecroute.llm.words import hash_words, split_codes
 
 PART, LEAST, ITEMS = 256, 5, 2000
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -72,7 +71,7 @@ def normal_words(text: str | None) -> list[str]:
 
 
 def hashed(word: str) -> int:
-    return xxhash.xxh64_intdigest(word) >> 33
+    return int(hash_words(pa.array([word], pa.large_string()))[0])
 
 
 def parts_of(rows: list) -> Parts | None:
@@ -101,11 +100,10 @@ def word_sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r, codes, names = split_words(b.column("text"))
-            plain = pc.utf8_lower(pa.array(names, pa.large_string()))
-            plain = pc.replace_substring_regex(plain, pattern=r"[^\p{L}\p{N}]+", replacement="").to_pylist()
-            number = np.fromiter((hashed(w) if w else -1 for w in plain), np.int64, len(plain))
-            ids = number[codes] if names else np.zeros(0, np.int64)
+            r, codes, names = split_codes(b.column("text"))
+            plain = pc.replace_substring_regex(pc.utf8_lower(names), pattern=r"[^\p{L}\p{N}]+", replacement="")
+            number = np.where(pc.equal(plain, "").to_numpy(zero_copy_only=False), -1, hash_words(plain))
+            ids = number[codes] if len(names) else np.zeros(0, np.int64)
             real = ids >= 0
             sizes = np.bincount(r[real], minlength=b.num_rows)
             offsets = np.concatenate([[0], np.cumsum(sizes)])

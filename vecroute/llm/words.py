@@ -17,8 +17,26 @@ def give_back() -> None:
         trim(0)
 
 
-def split_words(texts: pa.Array, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(row of each word, code of each word, the distinct words); nulls count as empty.
+def hash_words(words: pa.Array) -> np.ndarray:
+    """A hash of 31 bits of each word: the sum of its bytes times powers of an odd number, mixed; all words at once."""
+    words = words.cast(pa.large_string())
+    if not len(words):
+        return np.zeros(0, np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    first, size = offsets[:-1], np.diff(offsets)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
+    place = np.arange(len(data)) - np.repeat(first - offsets[0], size)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(max(1, int(size.max())), 0x9E3779B97F4A7C15, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * powers[place])])
+        x = sums[offsets[1:] - offsets[0]] - sums[first - offsets[0]]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(33)).astype(np.int64)
+
+
+def split_codes(texts: pa.Array, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row of each word, code of each word, the distinct words as they are in Arrow, "" among them perhaps).
 
     Words are runs without ASCII white space; with ``letters_only``, runs of letters in lower case.
     """
@@ -34,9 +52,17 @@ def split_words(texts: pa.Array, letters_only: bool = False) -> tuple[np.ndarray
     if isinstance(flat, pa.ChunkedArray):
         flat = flat.combine_chunks()
     codes = flat.indices.to_numpy(zero_copy_only=False)
-    names = flat.dictionary.to_pylist()
+    return rows.astype(np.int64), codes.astype(np.int64), flat.dictionary
+
+
+def split_words(texts: pa.Array, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(row of each word, code of each word, the distinct words); nulls count as empty.
+
+    Words are those of ``split_codes``.
+    """
+    rows, codes, names = split_codes(texts, letters_only)
+    names = names.to_pylist()
     if "" in names:  # what stands before or after white space
-        hole = names.index("")
-        full = codes != hole
+        full = codes != names.index("")
         rows, codes = rows[full], codes[full]
-    return rows.astype(np.int64), codes.astype(np.int64), names
+    return rows, codes, names
