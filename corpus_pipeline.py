@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecroute.llm.common import bound_batches, materialise, table
+from vecroute.llm.common import bound_batches, materialise, table, temporary
 from vecroute.llm.decontaminate import leaks
 from vecroute.llm.language_id import identify, train
 from vecroute.llm.mixing import copies, fit_rates, memberships, rate_column, train_domains
@@ -34,7 +34,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows repeat an id as well.
     """
     bound_batches(spark)
-    rows = materialise(text_classes(docs).groupBy("id", "node", "comp").agg(F.count("*").alias("n")), "classes")
+    with temporary(spark):
+        rows = materialise(text_classes(docs).groupBy("id", "node", "comp").agg(F.count("*").alias("n")), "classes", keep=True)
     own = F.struct(F.col("id").isNull().alias("bare"), "id", "node", "n")
     first = rows.where("comp is not null").groupBy("comp").agg(F.min(own).alias("x")).select("x.*")
     wordless = rows.where("comp is null").select(F.lit(False).alias("bare"), "id", "node", F.when(F.col("id").isNull(), 1).otherwise(F.col("n")).alias("n"))
@@ -56,7 +57,9 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     bound_batches(spark)
     keyed = docs.withColumn("__node", F.unhex(F.md5(F.col("text").cast("binary"))))
-    found = leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="__node").select(F.col("doc_id").alias("__node")).distinct()
+    with temporary(spark):
+        found = leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="__node").select(F.col("doc_id").alias("__node")).distinct()
+        found = materialise(found, "leaking", keep=True)
     return keyed.join(found, "__node", "left_anti").select(*docs.columns)
 
 
