@@ -1,10 +1,12 @@
 import random
+from dataclasses import replace
 
 import pytest
 
+from vecroute import engine
 from vecroute.functions.paths import random_init
 from vecroute.functions.storage import exists, materialise, shared_dir, temporary
-from vecroute.operators import assign, experiments, search, training
+from vecroute.operators import experiments, knn, search, training
 from vecroute.operators.router import centroid_router
 from vecroute.streaming.serve import serve
 
@@ -34,18 +36,52 @@ def test_ablation_and_diagnostics(spark):
     s = training.TrainSettings(2, 2)
     found = experiments.ablation(s, alpha=[1.0, 2.0], label_refresh=["once", "per_cycle"])
     assert len(found) == 4 and found["alpha-2.0_label_refresh-once"].alpha == 2.0
-    rows = spark.createDataFrame([(0, [], i, [0.6, 0.4]) for i in range(4)], "tree_id int, prefix array<int>, vec_id long, probs array<double>")
+
+
+class Broken(Exception):
+    pass
+
+
+def test_diagnostics_of_a_run_that_breaks_off(spark, vectors):
+    """What is done by then is on disk; the run that goes on replaces what it does anew."""
     path = shared_dir(spark, "diagnostics")
-    for cycle in (0, 1):
-        experiments.append_diagnostics([assign.assign_round(rows, 2, 2)], assign.level_diagnostics, path, cycle=cycle)
-    back = spark.read.json(path)
-    assert sorted((r["cycle"], r["level"], r["num_vectors"]) for r in back.collect()) == [(0, 0, 4), (1, 0, 4)]
+    write = experiments.diagnostics_sink(spark, path)
+
+    def until(row):
+        write(row)
+        if (row["cycle"], row["stage"]) == (1, "router"):
+            raise Broken
+
+    asked = vectors.where("vec_id < 9").withColumnRenamed("vec_id", "query_id")
+    probe = training.Probe(asked, knn.exact_knn(asked, vectors, 3), 4, 4, 3, most=5)
+    s = training.TrainSettings(2, 2, query_fraction=0.5, top_k=3, max_cycles=3, max_iter=5, hidden=4, loss_pairs=20)
+    with pytest.raises(Broken):
+        training.alternating_train(vectors, s, probe=probe, sink=until)
+    rows = {(r["cycle"], r["stage"]): r for r in spark.read.json(path).collect()}
+    assert sorted(rows) == [(0, "router"), (0, "tree"), (1, "router")]
+    assert all(r["recall"] == 1.0 and r["queries"] == 5 and r["mean_candidates"] == 60 and r["loss_pairs"] == 20 for r in rows.values())
+    assert len(rows[0, "tree"]["levels"]) == 2 and rows[0, "tree"]["leaf_gini"] == pytest.approx(0)
+    training.alternating_train(vectors, replace(s, max_cycles=1), sink=write)
+    assert spark.read.json(path).count() == 3
+
+
+def test_estimate(spark, vectors):
+    found = experiments.estimate_runtime(vectors, training.TrainSettings(2, 1, query_fraction=0.5, top_k=3, max_iter=3, hidden=2), 4, 10)
+    assert found["build_seconds"] == pytest.approx(40 * found["cycle_seconds"])
+    assert found["executors"] and all(e["cores"] > 0 and e["most_memory"] > 0 and set(experiments.PEAKS) <= set(e) for e in found["executors"])
+    meta = engine.run_metadata(spark)
+    assert meta["executors"] and meta["driver"]["cores"] >= 1
 
 
 def test_manifest(spark, vectors):
     path = shared_dir(spark, "converted")
     known = experiments.convert_with_manifest(vectors, path)
     assert known.count() >= 1 and experiments.verify_manifest(spark, path, known).count() == 0
+    import hashlib
+
+    for r in known.collect():
+        with open(f"{path}/{r['file']}".removeprefix("file:"), "rb") as f:
+            assert r["md5"] == hashlib.md5(f.read()).hexdigest()
     changed = known.withColumn("sha256", known["file"])
     assert experiments.verify_manifest(spark, path, changed).count() == known.count()
     with pytest.raises(Exception):

@@ -1,0 +1,102 @@
+"""The neighbour graph and its walks, the leaf store and sweeps, against exact and plain versions."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vecroute.operators import graph, knn, metrics, search
+from vecroute.sources.leaf_store import read_leaves, search_store, write_leaf_store
+
+from .test_search import H, K, frames, made
+
+
+def table(spark, m, name="vec_id"):
+    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], f"{name} long, embedding array<float>").repartition(4)
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 3, (12, 8))
+    m = centres[rng.integers(0, 12, 900)] + rng.normal(0, 1, (900, 8))
+    m[7] = m[8] = m[9]  # copies
+    return table(spark, m).persist()
+
+
+def test_graph_is_near_the_exact_one(spark, clustered):
+    made_graph = graph.build_graph(clustered, degree=10, rounds=8).persist()
+    exact = knn.exact_knn(clustered.withColumnRenamed("vec_id", "query_id"), clustered, 11).where("query_id <> vec_id")
+    hits = made_graph.join(exact.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("near_id")), ["vec_id", "near_id"]).count()
+    assert hits / made_graph.count() > 0.95
+    per = made_graph.groupBy("vec_id").agg(F.count("*").alias("n"), F.countDistinct("near_id").alias("d"), F.max("place").alias("p"))
+    assert per.where("n <> 10 or d <> 10 or p <> 9").count() == 0 and per.count() == 900
+    assert made_graph.where("vec_id = near_id").count() == 0
+
+    asked = clustered.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    links = graph.both_ways(made_graph, 10).persist()
+    found, measured = graph.search_graph(asked, clustered, links, 10)
+    truth = knn.exact_knn(asked, clustered, 10).persist()
+    assert metrics.recall_per_query(found, truth, 10).agg(F.avg("recall")).first()[0] >= 0.9
+    assert measured.groupBy("query_id", "vec_id").count().where("count > 1").count() == 0
+    assert measured.count() / asked.count() < 600  # of 900
+
+
+def test_hops_and_small_graphs(spark):
+    m = [[float(i), 0.0] for i in range(5)]
+    v = table(spark, m)
+    whole = graph.build_graph(v, degree=16, rounds=2)
+    assert whole.count() == 20  # all others, as there are fewer than the degree
+    line = spark.createDataFrame([(i, i + 1) for i in range(4)], "vec_id long, near_id long")
+    q = table(spark, [[4.0, 0.0]], "query_id")
+    steps = [graph.search_graph(q, v, line, 1, hops=n, entries=5)[0].first()["vec_id"] for n in (0, 1)]
+    assert steps == [4, 4]
+    assert graph.build_graph(table(spark, m[:1]), rounds=1).count() == 0
+    with pytest.raises(ValueError):
+        graph.build_graph(v, metric="jaccard")
+
+
+@pytest.mark.parametrize("seed, n_trees, beam, leaves, least", [(1, 1, 2, None, None), (5, 2, 9, 3, 2), (6, 3, 4, 4, 2), (4, 3, 4, 2, 3)])
+def test_store_equals_search(spark, tmp_path, seed, n_trees, beam, leaves, least):
+    vectors, paths, router = made(seed, n_trees=n_trees)
+    r, t, v, q = frames(spark, vectors, paths, router, made(seed + 100, n=6)[0])
+    write_leaf_store(v, t, K, H, str(tmp_path))
+    want, held = search.search(q, r, t, v, K, H, n_trees, beam, 5, leaves, least)
+    got, candidates = search_store(q, r, str(tmp_path), K, H, n_trees, beam, 5, leaves, least)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(got) == key(want) and key(candidates) == key(held.select("query_id", "vec_id"))
+
+
+def test_reads_are_pruned(spark, tmp_path):
+    """Folders of unprobed leaves aren't listed, and the leaf goes to the Parquet reader."""
+    n = 2000
+    v = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("embedding"))
+    t = spark.range(n).select(F.lit(0).alias("tree_id"), F.col("id").alias("vec_id"), F.pmod("id", F.lit(400)).alias("leaf_id"))
+    write_leaf_store(v, t, 20, 2, str(tmp_path))
+    probed = spark.createDataFrame([(0, 5), (0, 6), (0, 399)], "tree_id int, leaf_id long")
+    found = read_leaves(spark, str(tmp_path), probed)
+    assert sorted(r["vec_id"] for r in found.collect()) == sorted(i for i in range(n) if i % 400 in (5, 6, 399))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "In(leaf_id" in plan.split("PushedFilters")[1]
+    assert "PartitionFilters" in plan and "part#" in plan.split("PartitionFilters")[1]
+    assert read_leaves(spark, str(tmp_path), probed.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n_trees, least", [(1, None), (2, 1), (2, 2), (3, 2), (3, 3)])
+def test_sweep_equals_single_runs(spark, n_trees, least):
+    vectors, paths, router = made(40 + n_trees, n=60, n_trees=n_trees)
+    r, t, v, q = frames(spark, vectors, paths, router, made(50, n=7)[0])
+    beam = search.beam_search(q, r, K, H, 9).persist()
+    budgets = [1, 2, 4, 9]
+    results, found = metrics.sweep_results(beam, t, q, v, budgets, n_trees, 5, least)
+    for m in budgets:
+        one = search.select_candidates(search.leaf_lookup(beam.where(F.col("leaf_rank") < m), t), n_trees, least).persist()
+        held = found.where(F.array_contains("budgets", m)).select("query_id", "vec_id")
+        key = lambda df: sorted(map(tuple, df.collect()))
+        assert key(held) == key(one.select("query_id", "vec_id"))
+        assert key(results.where(F.col("num_leaves") == m).drop("num_leaves")) == key(search.rerank(one, q, v, 5))
+    truth = knn.exact_knn(q, v, 5).persist()
+    rows = {x["num_leaves"]: x for x in metrics.sweep_rows(beam, t, q, v, truth, budgets, n_trees, 5, least).collect()}
+    for m in budgets:
+        own = results.where(F.col("num_leaves") == m)
+        assert rows[m]["recall"] == pytest.approx(metrics.recall_per_query(own, truth, 5).agg(F.avg("recall")).first()[0])
+        assert rows[m]["mean_candidates"] == pytest.approx(found.where(F.array_contains("budgets", m)).count() / 7)

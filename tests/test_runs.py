@@ -54,6 +54,24 @@ def test_balance_of_training(spark):
     assert training.improvement(None, 1.0) is None and training.improvement(2.0, 1.0) == 0.5
 
 
+def test_settings_fit_for_a_run():
+    def with_(**values):
+        return from_mapping(RAW).override(**values)
+
+    assert with_().problems() == [] and with_().checked() == with_()
+    wrong = {
+        "alpha": {"model__alpha": 0.5}, "num_heads": {"model__num_heads": 7}, "num_epochs": {"training__num_epochs": 4}, "top_r must be 2": {"training__tree_update_top_r": 1},
+        "neighbor_search_backend": {"training__neighbor_search_backend": "none"}, "rerank_backend": {"evaluation__rerank_backend": "none"},
+        "cache_embeddings": {"training__tree_update_cache_embeddings": "perhaps"},
+        "sequential": {"experiment__tree_assignment_mode": "sequential", "training__tree_update_top_r": 2},
+    }
+    for word, values in wrong.items():
+        with pytest.raises(ValueError, match=word):
+            with_(**values).checked()
+        assert with_(**values).checked(skip=True) == with_(**values)
+    assert with_(experiment__tree_assignment_mode="sequential", training__tree_update_top_r=3).checked()
+
+
 def test_settings_are_checked():
     def broken(section, **values):
         raw = {k: dict(v) for k, v in RAW.items()}
@@ -136,6 +154,13 @@ def test_logs(spark, tmp_path):
     assert best["node4.lab"] == pytest.approx(12.5 * 900.5)
 
 
+def test_points_are_an_object_and_its_rows(spark, tmp_path):
+    nested = {"qps": 3, "best": {"qps": 9}, "rows": [{"qps": 1, "more": {"qps": 2}}, {"x": 1}, 5], "deep": [{"qps": 7}]}
+    (tmp_path / "a.json").write_text(json.dumps(nested) + '\n{"qps": "no number", "beam_size": 4.0, "recall@10_p5_quantile": 0.5}')
+    rows = analysis.scan_logs(spark, str(tmp_path)).collect()
+    assert sorted(((r["qps"], r["beam"], r["recall"]) for r in rows), key=repr) == [(1.0, None, None), (3.0, None, None), (None, 4, None)]
+
+
 def test_objects_in_free_text():
     assert analysis._objects('x {not json} {"a": 1, "b": {"c": "}"}} {"q": 2, "r":\n {"z": 3} "') == [{"a": 1, "b": {"c": "}"}}, {"z": 3}]
     assert analysis._objects("") == analysis._objects("}{ [1]") == []

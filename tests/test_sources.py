@@ -9,6 +9,7 @@ from vecroute.functions.storage import shared_dir
 from vecroute.operators.router import ROUTER_SCHEMA
 from vecroute.sources import index as index_io
 from vecroute.sources import vectors as V
+from vecroute.sources.fetch import LEDGER, fetch_slice
 
 
 def put(path, suffix, rows):
@@ -95,3 +96,75 @@ def test_index_save_load_merge(spark):
     for wrong in ({"k": 5}, {"n": 41}, {"n_trees": 3}):
         with pytest.raises(ValueError):
             index_io.load_index(spark, out, **wrong)
+
+
+def test_shards_are_bounded(spark, tmp_path):
+    rows = [(i, [float(i), 0.0]) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    V.register(spark)
+    df.write.format("vectors").option("suffix", ".fvecs").option("shardBytes", "64").mode("append").save(str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").iterdir())
+    assert len(files) >= 12 and all(f.stat().st_size <= 96 for f in files)  # 8 rows, and their widths
+    assert sorted(r["embedding"][0] for r in V.read_vectors(spark, str(tmp_path / "out")).collect()) == [float(i) for i in range(100)]
+    for bad in ([(0, [1.0]), (1, [1.0, 2.0])], [(0, None)]):
+        with pytest.raises(Exception, match="one width"):
+            V.write_vectors(spark.createDataFrame(bad, "vec_id long, embedding array<float>").coalesce(1), str(tmp_path / f"bad{len(bad)}"))
+
+
+@pytest.fixture
+def served(tmp_path):
+    """A vector file behind an address that serves ranges, and what was asked of it."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    m = np.random.default_rng(1).integers(0, 255, (1000, 7), np.uint8)
+    data, asked = struct.pack("<ii", 1000, 7) + m.tobytes(), []
+
+    class Ranges(BaseHTTPRequestHandler):
+        def do_GET(self):
+            a, z = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+            asked.append((a, z))
+            self.send_response(206)
+            self.end_headers()
+            self.wfile.write(data[a : z + 1])
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Ranges)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/base.u8bin", m, asked
+    server.shutdown()
+
+
+def test_ranges_of_a_remote_file(spark, tmp_path, served):
+    url, m, asked = served
+    target = str(tmp_path / "slice")
+    done = fetch_slice(spark, url, target, 750, piece_rows=100).collect()
+    assert sum(r["rows"] for r in done) == 750 and len(done) == 8 and all(r["fetched"] for r in done)
+    assert max(z for _, z in asked) == 8 + 750 * 7 - 1  # nothing beyond what is wanted
+    back = V.read_vectors(spark, target).orderBy("vec_id").collect()
+    assert [r["embedding"] for r in back] == m[:750].tolist()
+    asked.clear()
+    assert not any(r["fetched"] for r in fetch_slice(spark, url, target, 750, piece_rows=100).collect()) and asked == [(0, 7)]
+    (tmp_path / "slice" / "piece-000002.u8bin").write_bytes(struct.pack("<ii", 100, 7) + bytes(700))  # other bytes
+    (tmp_path / "slice" / "piece-000005.u8bin").write_bytes(b"cut off")
+    (tmp_path / "slice" / LEDGER / "piece-000006.json").unlink()
+    again = {r["piece"] for r in fetch_slice(spark, url, target, 750, piece_rows=100).collect() if r["fetched"]}
+    assert again == {2, 5, 6}
+    assert [r["embedding"] for r in V.read_vectors(spark, target).orderBy("vec_id").collect()] == m[:750].tolist()
+    with pytest.raises(ValueError, match="1001"):
+        fetch_slice(spark, url, target, 1001)
+
+
+def test_goes_on_after_a_break(spark, tmp_path):
+    source, target = tmp_path / "base.u8bin", str(tmp_path / "slice")
+    m = np.arange(600, dtype=np.uint32).astype(np.uint8).reshape(200, 3)
+    whole = struct.pack("<ii", 200, 3) + m.tobytes()
+    source.write_bytes(whole[: 8 + 120 * 3])  # ends in the third piece
+    with pytest.raises(Exception, match="ends after"):
+        fetch_slice(spark, str(source), target, 200, piece_rows=50)
+    source.write_bytes(whole)
+    done = {r["piece"]: r["fetched"] for r in fetch_slice(spark, str(source), target, 200, piece_rows=50).collect()}
+    assert done[2] and done[3] and len(done) == 4  # the first two may have been stopped with the job
+    assert [r["embedding"] for r in V.read_vectors(spark, target).orderBy("vec_id").collect()] == m.tolist()

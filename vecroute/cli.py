@@ -1,8 +1,9 @@
-"""Command line: ``python -m vecroute.cli build|search|merge|compare|scan|plot``."""
+"""Command line: ``python -m vecroute.cli build|search|estimate|fetch|convert|merge|compare|scan|plot``."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -12,24 +13,40 @@ from vecroute import engine
 from vecroute.config import load_config
 from vecroute.functions.storage import write_text
 from vecroute.operators import analysis
+from vecroute.operators.experiments import convert_with_manifest, diagnostics_sink, estimate_runtime
+from vecroute.sources.fetch import fetch_slice
 from vecroute.sources.index import merge_indexes
+from vecroute.sources.vectors import read_vectors
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="vecroute")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("build", "search"):
+    for name in ("build", "search", "estimate"):
         c = sub.add_parser(name)
         c.add_argument("config")
         c.add_argument("--datapath")
         c.add_argument("--result-dir")
         c.add_argument("--index-path")
+        c.add_argument("--skip-sanity-checks", action="store_true", help="let settings pass that a run to be kept must not have")
         if name == "build":
             c.add_argument("--tree-index", type=int)
-            c.add_argument("--diagnostics", action="store_true", help="try each cycle's tree on the queries")
-        else:
+            c.add_argument("--diagnostics", action="store_true", help="try each cycle's router and tree on the queries")
+            c.add_argument("--diagnostics-path", help="folder of the rows; <result dir>/cycle-diagnostics unless given")
+            c.add_argument("--diagnostics-queries", type=_positive, help="so many queries; all unless given")
+            c.add_argument("--diagnostics-pairs", type=_positive, default=100_000, help="pairs of a loss")
+        elif name == "search":
             c.add_argument("--num-leaves", type=int, nargs="+")
             c.add_argument("--n-queries", type=int)
+    c = sub.add_parser("fetch", help="the first vectors of a large file, by ranges, resumed where it broke off")
+    c.add_argument("source")
+    c.add_argument("target")
+    c.add_argument("--rows", type=_positive, required=True)
+    c.add_argument("--piece-rows", type=_positive, default=262_144)
+    c.add_argument("--suffix", default=".u8bin")
+    c = sub.add_parser("convert", help="a vector file as Parquet in single precision, with a manifest of checksums")
+    c.add_argument("source")
+    c.add_argument("target")
     c = sub.add_parser("merge")
     c.add_argument("inputs", nargs="+")
     c.add_argument("--output", required=True)
@@ -49,11 +66,21 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _positive(text: str) -> int:
+    if int(text) < 1:
+        raise argparse.ArgumentTypeError("must be 1 or more")
+    return int(text)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("vecroute").getOrCreate()
     if args.command == "merge":
         print(merge_indexes(spark, args.inputs, args.output))
+    elif args.command == "fetch":
+        fetch_slice(spark, args.source, args.target, args.rows, args.piece_rows, args.suffix).groupBy("fetched").agg(F.count("*").alias("pieces"), F.sum("rows").alias("rows")).show()
+    elif args.command == "convert":
+        convert_with_manifest(read_vectors(spark, args.source), args.target).coalesce(1).write.json(f"{args.target}-manifest")
     elif args.command == "compare":
         curves = analysis.read_curve(spark, args.baseline, "baseline").unionByName(analysis.read_curve(spark, args.treatment, "treatment"))
         analysis.by_leaves(curves, "baseline", "treatment").orderBy("leaves").show(truncate=False)
@@ -82,15 +109,23 @@ def main(argv: list[str] | None = None) -> int:
         cfg = load_config(args.config).override(
             dataset__path=args.datapath, experiment__output_dir=args.result_dir,
             evaluation__num_leaves=getattr(args, "num_leaves", None), evaluation__num_queries=getattr(args, "n_queries", None),
-        )
+        ).checked(args.skip_sanity_checks)
+        if args.skip_sanity_checks and cfg.problems():
+            print("note: unchecked settings:", *cfg.problems(), sep="\n  ", file=sys.stderr)
         for line in cfg.advice():
             print("note:", line, file=sys.stderr)
         index = args.index_path or f"{cfg.experiment.output_dir}/index"
         vectors = engine.load_database(spark, cfg)
         if args.command == "build":
-            probe = engine.probe(spark, cfg, vectors) if args.diagnostics else None
-            engine.write_run(spark, cfg, cfg.experiment.output_dir)
-            engine.write_rows(spark, cfg.experiment.output_dir, "build", engine.build(spark, cfg, vectors, index, args.tree_index, probe)["trees"])
+            out = cfg.experiment.output_dir
+            probe = engine.probe(spark, cfg, vectors, most=args.diagnostics_queries) if args.diagnostics else None
+            sink = diagnostics_sink(spark, args.diagnostics_path or f"{out}/cycle-diagnostics") if args.diagnostics else None
+            engine.write_run(spark, cfg, out)
+            engine.write_rows(spark, out, "build", engine.build(spark, cfg, vectors, index, args.tree_index, probe, sink, args.diagnostics_pairs if sink else None)["trees"])
+        elif args.command == "estimate":
+            found = estimate_runtime(vectors, cfg.train_settings(), cfg.model.num_trees, cfg.training.cycles() or 1)
+            write_text(spark, f"{cfg.experiment.output_dir}/estimate.json", json.dumps(found, indent=1))
+            print(json.dumps(found))
         else:
             queries, truth = engine.load_queries(spark, cfg)
             engine.write_rows(spark, cfg.experiment.output_dir, "metrics", engine.sweep(spark, cfg, vectors, queries, truth, f"{index}/index"))

@@ -23,16 +23,17 @@ class Model:
     embedding_dim: int = 128
     alpha: float = 1.0
     num_trees: int = 4
-    # accepted for the sake of existing files: the router here has no layers
+    #: units of the router's hidden layer, which path and vector share
+    ff_dim: int = 1024
+    # accepted for the sake of existing files: the router here has one layer, fitted on all pairs at once
     encoder_hidden: int = 1024
     embed_dim: int = 256
     num_decoder_layers: int = 1
     num_heads: int = 8
-    ff_dim: int = 1024
     dropout: float = 0.1
 
     def __post_init__(self):
-        _positive("model", self, "tree_height", "embedding_dim", "alpha", "num_trees")
+        _positive("model", self, "tree_height", "embedding_dim", "alpha", "num_trees", "ff_dim")
         if self.branching_factor < 2:
             raise ValueError("model.branching_factor must be 2 or more")
         if (self.encoder_hidden, self.num_decoder_layers) != (1024, 1):
@@ -166,6 +167,7 @@ class Config:
             self.model.branching_factor, self.model.tree_height, self.model.alpha, t.top_k_neighbors, t.query_fraction,
             t.neighbor_search_subset, t.cycles() or 0, t.convergence_min_delta, t.convergence_patience, self.metric(),
             self.experiment.tree_assignment_mode, self.experiment.tree_assignment_order, t.label_refresh, self.experiment.seed,
+            hidden=self.model.ff_dim,
         )
 
     def override(self, **values: Any) -> Config:
@@ -177,6 +179,30 @@ class Config:
                 out = replace(out, **{section: replace(getattr(out, section), **{key: value})})
         return out
 
+    def problems(self) -> list[str]:
+        """What a run that is to be kept must not have."""
+        m, t, e = self.model, self.training, self.experiment
+        top = t.tree_update_top_r
+        found = {
+            "training.num_epochs is for old files: leave it out, and let convergence end the run": t.num_epochs is not None,
+            "model.embed_dim must be a multiple of model.num_heads": m.num_heads < 1 or m.embed_dim % m.num_heads != 0,
+            "model.alpha must be 1 or more": m.alpha < 1,
+            f"training.neighbor_search_backend must be one of {', '.join(MINING)}": t.neighbor_search_backend not in MINING,
+            f"evaluation.rerank_backend must be one of {', '.join(RERANKING)}": self.evaluation.rerank_backend not in RERANKING,
+            "training.tree_update_cache_embeddings must be auto, true or false": str(t.tree_update_cache_embeddings).lower() not in ("auto", "true", "false"),
+            "training.tree_update_top_r must be 2 or more": top is not None and top < 2,
+            "sequential assignment needs all branches: training.tree_update_top_r must reach model.branching_factor": e.tree_assignment_mode == "sequential"
+            and top is not None
+            and top < m.branching_factor,
+        }
+        return [text for text, wrong in found.items() if wrong]
+
+    def checked(self, skip: bool = False) -> Config:
+        """Itself, or an error that names all ``problems``; with ``skip`` they pass."""
+        if not skip and (found := self.problems()):
+            raise ValueError("settings aren't fit for a run: " + "; ".join(found))
+        return self
+
     def advice(self) -> list[str]:
         """What is legal but seldom meant."""
         leaves = self.model.branching_factor**self.model.tree_height
@@ -190,6 +216,11 @@ class Config:
         return out
 
 
+# Names of backends that settings may hold.
+MINING = ("auto", "faiss_cpu", "faiss_gpu")
+RERANKING = ("auto", "numpy_cpu", "torch_gpu", "torch_gpu_resident")
+
+
 def _closest(name: str, known: list[str]) -> str:
     near = difflib.get_close_matches(name, known, 1)
     return f"; did you mean {near[0]!r}?" if near else ""

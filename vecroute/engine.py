@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import json
+import os
 import time
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecroute.config import Config
 from vecroute.functions.distance import l2_normalize
-from vecroute.functions.paths import leaf_to_path
 from vecroute.functions.storage import exists, materialise, write_text
 from vecroute.operators import knn, metrics
-from vecroute.operators.search import beam_search, leaf_lookup, rerank, select_candidates
-from vecroute.operators.training import MlRouter, Probe, alternating_train
+from vecroute.operators.experiments import executor_peaks
+from vecroute.operators.search import beam_search
+from vecroute.operators.training import Probe, Sink, alternating_train
 from vecroute.sources import index as index_io
 from vecroute.sources.vectors import first_existing, normalise_truth, read_hdf5, read_vectors, truth_long
 
@@ -31,24 +31,6 @@ TRUTH_SUFFIXES = (".ivecs", ".ibin", ".i32bin", ".npy")
 ODD_TRUTH = {"laion5b", "laion5b_subset"}
 
 
-def router_table(router: MlRouter, spark: SparkSession, tree_id: int) -> DataFrame:
-    """The fitted classifiers as rows of a linear router: a prefix's one-hot weights become its bias.
-
-    The driver holds one row a branch and level; prefixes are made by Spark, and meet those rows."""
-    out, k = None, router.k
-    for depth, model in enumerate(router.levels):
-        w, b = np.array(model.coefficientMatrix.toArray()), np.array(model.interceptVector.toArray())
-        dim = w.shape[1] - depth * k
-        # a branch that no pair ever took is never better than one that some did
-        known = [(x, w[x, :dim].tolist(), float(b[x]), w[x, dim:].tolist()) if x < len(b) else (x, [0.0] * dim, -1e9, [0.0] * (depth * k)) for x in range(k)]
-        branches = spark.createDataFrame(known, "branch int, weight array<double>, own double, hot array<double>")
-        prefixes = spark.range(k**depth).select(leaf_to_path(F.col("id"), k, depth).cast("array<int>").alias("prefix"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("branch"))
-        bias = F.aggregate(F.transform("prefix", lambda x, d: F.get("hot", d * k + x)), F.col("own"), lambda s, x: s + x)
-        rows = prefixes.join(F.broadcast(branches), "branch").select(F.lit(tree_id).alias("tree_id"), "prefix", "branch", "weight", bias.alias("bias"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 def load_database(spark: SparkSession, cfg: Config) -> DataFrame:
     d = cfg.dataset
     inside = [f"{d.path}/{n}{s}" for n in (d.split, "vectors", "base", "base.100M", "base.100m") for s in SUFFIXES]
@@ -85,11 +67,11 @@ def _prepared(rows: DataFrame, cfg: Config) -> DataFrame:
     return rows.withColumn("embedding", l2_normalize(F.col("embedding")).cast("array<float>")) if cfg.dataset.normalize else rows
 
 
-def probe(spark: SparkSession, cfg: Config, vectors: DataFrame, top_k: int = 10) -> Probe:
-    """The queries of the settings with their true neighbours, for trying a tree after each cycle."""
+def probe(spark: SparkSession, cfg: Config, vectors: DataFrame, top_k: int = 10, most: int | None = None) -> Probe:
+    """The queries of the settings (at most ``most``) with their true neighbours, for trying a tree after each cycle."""
     queries, truth = load_queries(spark, cfg)
     real = truth if truth is not None else knn.exact_knn(queries, vectors, top_k, cfg.metric())
-    return Probe(queries, materialise(real, "truth"), cfg.evaluation.beam_size, max(cfg.evaluation.num_leaves), top_k)
+    return Probe(queries, materialise(real, "truth"), cfg.evaluation.beam_size, max(cfg.evaluation.num_leaves), top_k, most)
 
 
 def tree_name(cfg: Config, tree: int) -> str:
@@ -98,10 +80,11 @@ def tree_name(cfg: Config, tree: int) -> str:
     return f"tree-{tree}" if rules == ("round", "confidence") else f"tree-{tree}-{'-'.join(rules)}"
 
 
-def build(spark: SparkSession, cfg: Config, vectors: DataFrame, index_path: str, tree_index: int | None = None, probe: Probe | None = None) -> dict:
+def build(spark: SparkSession, cfg: Config, vectors: DataFrame, index_path: str, tree_index: int | None = None, probe: Probe | None = None, sink: Sink | None = None, loss_pairs: int | None = None) -> dict:
     """Train the trees (or one of them) and save each below ``index_path`` as it is done; trees that are
     there already are kept, so a run that broke off goes on. All trees there are become one index."""
     n = vectors.count()
+    settings = cfg.train_settings() if loss_pairs is None else replace(cfg.train_settings(), loss_pairs=loss_pairs)
     wanted = range(cfg.model.num_trees) if tree_index is None else [tree_index]
     log = []
     for t in wanted:
@@ -109,9 +92,9 @@ def build(spark: SparkSession, cfg: Config, vectors: DataFrame, index_path: str,
         if exists(spark, f"{path}/meta.json"):
             continue
         began = time.perf_counter()
-        router, paths, cycles = alternating_train(vectors, cfg.train_settings(), t, probe)
+        router, paths, cycles = alternating_train(vectors, settings, t, probe, sink)
         meta = index_io.IndexMeta(cfg.model.branching_factor, cfg.model.tree_height, cfg.model.alpha, n, 1)
-        index_io.save_index(paths.withColumn("tree_id", F.lit(0)), router_table(router, spark, 0), meta, path)
+        index_io.save_index(paths.withColumn("tree_id", F.lit(0)), router.table(spark), meta, path)
         log.append({"tree": t, "seconds": time.perf_counter() - began, "cycles": cycles})
     ready = [f"{index_path}/{tree_name(cfg, t)}" for t in range(cfg.model.num_trees)]
     if tree_index is None and not exists(spark, f"{index_path}/index"):
@@ -132,14 +115,23 @@ def sweep(spark: SparkSession, cfg: Config, vectors: DataFrame, queries: DataFra
         times.append((0, time.perf_counter() - began))
     timed = metrics.repetition_summary(spark.createDataFrame(times, "point int, seconds double"), ["point"]).first()
     exact, bound = metrics.routing_evals(m.num_trees, meta.k, meta.h, e.beam_size)
+    leaves_of = sorted(set(e.num_leaves))
     asked, rows = queries.count(), []
-    for leaves in sorted(e.num_leaves):
-        began = time.perf_counter()
-        found = materialise(select_candidates(leaf_lookup(beam.where(F.col("leaf_rank") < leaves), paths), m.num_trees, e.min_trees), "candidates")
-        per_query = materialise(metrics.recall_per_query(rerank(found, queries, vectors, top_k, cfg.metric()), real, top_k), "recall")
-        seconds = time.perf_counter() - began + timed["median"]
-        recall = metrics.recall_stats(per_query).first()
-        counts = metrics.candidate_counts(found, queries).agg(F.avg("n_candidates").alias("mean"), F.stddev_pop("n_candidates").alias("std")).first()
+    began = time.perf_counter()
+    results, found = metrics.sweep_results(beam, paths, queries, vectors, leaves_of, m.num_trees, top_k, e.min_trees, cfg.metric())
+    results = materialise(results, "results")
+    seconds_all = time.perf_counter() - began
+    budgets = spark.createDataFrame([(x,) for x in leaves_of], "num_leaves int")
+    per_query = materialise(metrics.recall_per_query(results, real, top_k, budgets), "recall")
+    recalls = {r["num_leaves"]: r for r in metrics.recall_stats(per_query, ["num_leaves"]).collect()}  # a row a budget
+    held = found.select("query_id", F.explode("budgets").alias("num_leaves")).groupBy("num_leaves", "query_id").agg(F.count("*").alias("n"))
+    sums = {r["num_leaves"]: r for r in held.groupBy("num_leaves").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")).collect()}
+    pairs = max(1, found.count())
+    for leaves in leaves_of:
+        recall, n, squares = recalls[leaves], *((sums[leaves]["n"], sums[leaves]["squares"]) if leaves in sums else (0, 0))
+        counts = {"mean": n / asked, "std": max(0.0, squares / asked - (n / asked) ** 2) ** 0.5}
+        # one pass measures all budgets: a budget has the share of its time that it has of the pairs
+        seconds = seconds_all * n / pairs + timed["median"]
         one, all_ = metrics.candidate_bounds(meta.n, m.num_trees, meta.k, meta.h, leaves)
         rows.append({
             "method": "vecroute", "dataset": cfg.dataset.name, "model_id": f"K{meta.k}_H{meta.h}", "config": cfg.experiment.name, "seed": cfg.experiment.seed,
@@ -180,6 +172,11 @@ def write_run(spark: SparkSession, cfg: Config, output_dir: str) -> None:
 
 
 def run_metadata(spark: SparkSession) -> dict:
+    """Versions, and the machines that Spark runs on, as it knows them."""
     import platform
 
-    return {"spark": spark.version, "python": platform.python_version(), "master": spark.sparkContext.master, "parallelism": spark.sparkContext.defaultParallelism}
+    conf = spark.sparkContext.getConf()
+    machine = {"host": platform.node(), "system": platform.platform(), "processor": platform.machine(), "cores": os.cpu_count()}
+    sizes = {k: conf.get(f"spark.{k}", None) for k in ("executor.instances", "executor.cores", "executor.memory", "driver.memory")}
+    seen = {"executors": executor_peaks(spark)}
+    return {"spark": spark.version, "python": platform.python_version(), "master": spark.sparkContext.master, "parallelism": spark.sparkContext.defaultParallelism, "driver": machine} | sizes | seen

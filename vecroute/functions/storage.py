@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,8 +47,8 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-#: Paths of the tables written within each open block of ``temporary``.
-_written: list[list[str]] = []
+#: Paths of the tables written within the open block of ``temporary``, of this thread or task alone.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 @contextmanager
@@ -55,11 +56,13 @@ def temporary(spark: SparkSession) -> Iterator[None]:
     """When the block ends, delete the tables that ``materialise`` wrote in it, but for those to keep.
 
     Nothing that is used later may still read from them."""
-    _written.append([])
+    mine: list[str] = []
+    before = _written.set(mine)
     try:
         yield
     finally:
-        for path in _written.pop():
+        _written.reset(before)
+        for path in mine:
             store, where = _file(spark, path)
             store.delete(where, True)
 
@@ -67,8 +70,9 @@ def temporary(spark: SparkSession) -> Iterator[None]:
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write and read back: cuts lineage, and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    if _written and not keep:
-        _written[-1].append(path)
+    mine = _written.get()
+    if mine is not None and not keep:
+        mine.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

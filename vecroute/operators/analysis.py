@@ -112,35 +112,52 @@ def _objects(text: str) -> list[dict]:
     return out
 
 
-def _measurements(value: dict) -> Iterator[dict]:
-    """Objects with ``qps``, at any depth."""
-    if "qps" in value:
-        yield value
-    for inner in value.values():
-        for x in inner if isinstance(inner, list) else [inner]:
-            if isinstance(x, dict):
-                yield from _measurements(x)
+def _points(found: dict) -> list[dict]:
+    """An object with ``qps``, and those in its list of ``rows``; objects elsewhere in it are no points."""
+    rows = found.get("rows")
+    return [x for x in (found, *(rows if isinstance(rows, list) else [])) if isinstance(x, dict) and "qps" in x]
 
 
-@udtf(returnType="qps double, recall double, candidates double, beam int, knob int, trees int, config string")
+@udtf(returnType="point string")
 class JsonMeasurements:
-    """Measurements in the JSON objects of a text."""
+    """The measurements in a text, as JSON."""
 
     def eval(self, text: str):
-        for obj in _objects(text or ""):
-            for m in _measurements(obj):
-                recall = next((m[k] for k in m if k.startswith("recall@") and not k.endswith("_count") and "_" not in k), None)
-                number = lambda v, f: f(v) if isinstance(v, (int, float)) else None
-                count = next((m[k] for k in ("mean_distcomp", "mean_n_distcomp") if k in m), None)
-                yield (
-                    number(m["qps"], float), number(recall, float), number(count, float), number(m.get("beam_size"), int),
-                    number(m.get("knob_value"), int), number(m.get("num_trees"), int), str(m.get("config", m.get("model_id", ""))),
-                )
-
-
-# The line with which a batch job starts, the device row of nvidia-smi, and files that are read.
-HOST = r"(?m)^Job\s+\S+\s+on\s+(\S+)"
-GPU = r"\|\s+\d+\s+(NVIDIA \S+(?: \S+)*)\s{2,}(?:On|Off)\s*\|"
+        for found in _objects(text or ""):
+            for point in _points(found):
+                yield (json.dumps(point),)
+
+
+def _fields(point: Column) -> dict[str, Column]:
+    """What is known of a measurement: fields that are absent, or no numbers, are null."""
+    m = F.from_json(point, "map<string,string>")
+    recalls = F.filter(F.map_keys(m), lambda k: k.rlike("^recall@[0-9]+$"))  # not the counts and quantiles of it
+
+    def number(*names: str) -> Column:
+        return F.coalesce(*(m[n] for n in names)).try_cast("double")
+
+    return {
+        "qps": number("qps"), "recall": m[F.get(recalls, F.lit(0))].try_cast("double"), "candidates": number("mean_distcomp", "mean_n_distcomp"),
+        "beam": number("beam_size").cast("int"), "knob": number("knob_value").cast("int"), "trees": number("num_trees").cast("int"),
+        "config": F.coalesce(m["config"], m["model_id"], F.lit("")),
+    }
+
+
+def _host(text: Column) -> Column:
+    """Of a line ``Job <id> on <host> ...``, the host; null without such a line."""
+    words = F.transform(F.split(text, "\n"), lambda line: F.split(line, "\\s+"))
+    lines = F.filter(words, lambda w: (F.get(w, F.lit(0)) == "Job") & (F.get(w, F.lit(2)) == "on"))
+    return F.nullif(F.get(F.get(lines, F.lit(0)), F.lit(3)), F.lit(""))
+
+
+def _gpu(text: Column) -> Column:
+    """Of a device table's row ``| <n>  <name>    On | ...``, the name; null without such a row."""
+    cells = F.transform(F.split(text, "\n"), lambda line: F.split(F.trim(F.get(F.split(line, "[|]"), F.lit(1))), "\\s{2,}"))
+    rows = F.filter(cells, lambda c: (F.size(c) == 3) & c[0].rlike("^[0-9]+$") & F.startswith(c[1], F.lit("NVIDIA ")) & c[2].isin("On", "Off"))
+    return F.get(F.get(rows, F.lit(0)), F.lit(1))
+
+
+# Fixed value: the files that are read.
 SUFFIXES = "*.{log,json,out,txt}"
 
 
@@ -152,10 +169,11 @@ def scan_logs(spark: SparkSession, path: str, separator: str | None = None) -> D
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", SUFFIXES)
     logs = (files.text(path, lineSep=separator) if separator else files.text(path, wholetext=True)).select(
         F.col("_metadata.file_path").alias("source"), "value",
-        F.nullif(F.regexp_extract("value", HOST, 1), F.lit("")).alias("host"), F.nullif(F.regexp_extract("value", GPU, 1), F.lit("")).alias("gpu"),
+        _host(F.col("value")).alias("host"), _gpu(F.col("value")).alias("gpu"),
     )
     logs.createOrReplaceTempView("vecroute_logs")
-    return spark.sql("select m.*, l.host, l.gpu, l.source from vecroute_logs l, lateral json_measurements(l.value) m")
+    found = spark.sql("select m.point, l.host, l.gpu, l.source from vecroute_logs l, lateral json_measurements(l.value) m")
+    return found.select(*(c.alias(name) for name, c in _fields(F.col("point")).items()), "host", "gpu", "source")
 
 
 def filter_measurements(rows: DataFrame, min_recall: float | None = None, max_recall: float | None = None, config: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -9,9 +10,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecroute.functions.storage import materialise
+from vecroute.functions.storage import materialise, write_text
 from vecroute.operators.metrics import leaf_divergence, leaf_size_stats
-from vecroute.operators.training import MlRouter, TrainSettings, alternating_train, reassign
+from vecroute.operators.training import TrainSettings, alternating_train, reassign
+from vecroute.operators.shared_router import SharedRouter
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,7 @@ class Arm:
 ARMS = [Arm(f"{m}_{o}", m, o) for m in ("round", "sequential") for o in ("input", "confidence")]
 
 
-def reassign_arms(router: MlRouter, vectors: DataFrame, source: DataFrame, settings: TrainSettings, arms: list[Arm] | None = None, drift: float | None = None) -> DataFrame:
+def reassign_arms(router: SharedRouter, vectors: DataFrame, source: DataFrame, settings: TrainSettings, arms: list[Arm] | None = None, drift: float | None = None) -> DataFrame:
     """(arm, moved, n_vectors, share, max, gini): all vectors assigned anew under each arm, against ``source``.
 
     With ``drift``, the arm of the settings' own rules must reproduce the source up to that share, or the
@@ -46,12 +48,28 @@ def reassign_arms(router: MlRouter, vectors: DataFrame, source: DataFrame, setti
     return out.select("arm", "moved", "n_vectors", "share", "max", "gini")
 
 
-def estimate_runtime(vectors: DataFrame, settings: TrainSettings, n_trees: int, cycles: int) -> dict[str, float]:
-    """Seconds of one cycle of one tree, and what that comes to for a whole build."""
+def executor_peaks(spark) -> list[dict]:
+    """Of each executor (the driver, in local mode) the peaks in bytes that Spark has seen at its heartbeats."""
+    out = []
+    known = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    for i in range(known.size()):
+        one = known.apply(i)
+        peaks = one.peakMemoryMetrics()
+        found = {name: peaks.get().getMetricValue(name) for name in PEAKS} if peaks.isDefined() else dict.fromkeys(PEAKS, 0)
+        out.append({"executor": one.id(), "cores": one.totalCores(), "most_memory": one.maxMemory()} | found)
+    return out
+
+
+# Names of Spark's executor metrics.
+PEAKS = ("JVMHeapMemory", "JVMOffHeapMemory", "OnHeapExecutionMemory", "OffHeapExecutionMemory", "ProcessTreePythonRSSMemory")
+
+
+def estimate_runtime(vectors: DataFrame, settings: TrainSettings, n_trees: int, cycles: int) -> dict:
+    """Seconds of one cycle of one tree, what that comes to for a whole build, and the executors' peaks by then."""
     began = time.perf_counter()
     alternating_train(vectors, replace(settings, max_cycles=1))
     cycle = time.perf_counter() - began
-    return {"cycle_seconds": cycle, "tree_seconds": cycle * cycles, "build_seconds": cycle * cycles * n_trees}
+    return {"cycle_seconds": cycle, "tree_seconds": cycle * cycles, "build_seconds": cycle * cycles * n_trees, "executors": executor_peaks(vectors.sparkSession)}
 
 
 def ablation(settings: TrainSettings, **choices: list) -> dict[str, TrainSettings]:
@@ -62,22 +80,30 @@ def ablation(settings: TrainSettings, **choices: list) -> dict[str, TrainSetting
     return found
 
 
-def append_diagnostics(levels: list[DataFrame], describe: Callable[[DataFrame], DataFrame], path: str, **marks) -> None:
-    """A line of JSON per level, added to the folder ``path``."""
-    for level, assigned in enumerate(levels):
-        row = describe(assigned).withColumns({"level": F.lit(level), **{k: F.lit(v) for k, v in marks.items()}})
-        row.coalesce(1).write.mode("append").json(path)
+def diagnostics_sink(spark, path: str) -> Callable[[dict], None]:
+    """A sink for training that writes each row it gets as a file of the folder ``path``, in any store of Spark's.
+
+    A name says which tree, cycle and stage it is of, so a run that goes on replaces what it does anew."""
+
+    def write(row: dict) -> None:
+        write_text(spark, f"{path}/tree-{row['tree']:04d}-cycle-{row['cycle']:04d}-{row['stage']}.json", json.dumps(row, sort_keys=True, default=str) + "\n")
+
+    return write
+
 
+def convert_with_manifest(vectors: DataFrame, path: str, kind: str = "float") -> DataFrame:
+    """Write vectors as Parquet, never over something, and return (file, bytes, sha256, md5) of what was written.
 
-def convert_with_manifest(vectors: DataFrame, path: str) -> DataFrame:
-    """Write vectors as Parquet, never over something, and return (file, bytes, sha256) of what was written."""
-    vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("errorifexists").parquet(path)
+    Sources in half precision come as numbers already; ``kind`` is the type that is kept."""
+    vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding")).write.mode("errorifexists").parquet(path)
     return manifest(vectors.sparkSession, path)
 
 
 def manifest(spark, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5")
+    )
 
 
 def verify_manifest(spark, path: str, expected: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vecroute.functions.distance import DENSE, matrix_of
 from vecroute.functions.paths import shuffled_rank
+from vecroute.functions.storage import materialise
 
 
 def pair_distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
@@ -56,16 +57,16 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_knn(
     queries: DataFrame, vectors: DataFrame, k: int, metric: str = "euclidean", query_block: int | None = None,
-    broadcast_bytes: int = 64 << 20, salts: int = 64,
+    broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """(query_id, rank from 0, vec_id, distance): ties go to the lower id.
 
     ``queries`` (query_id, embedding), ``vectors`` (vec_id, embedding). Vectors are packed into blocks;
     each block meets each block of queries in one task, which keeps the best ``k`` of all that it sees, and a
     window takes the best of those. Query blocks (of 16 MB unless ``query_block`` says how many rows) are
-    dealt by a hash of the id. Queries whose measured size is within ``broadcast_bytes`` are broadcast, so
-    vectors aren't shuffled; more are joined by block and salt, so that a block of queries meets the vectors
-    in ``salts`` tasks. Null vectors and differing widths are errors.
+    dealt by a hash of the id and broadcast, so vectors are never shuffled or copied: queries whose measured
+    size is within ``broadcast_bytes`` in one pass over the vectors, more in waves of that size, each a pass
+    whose results are written before the next. Null vectors and differing widths are errors.
     """
     if metric not in DENSE:
         raise ValueError(f"{metric!r} can't be mined; one of {', '.join(DENSE)}")
@@ -78,13 +79,6 @@ def exact_knn(
     asked = queries.select(block, "query_id", F.col("embedding").cast("array<float>").alias("embedding"))
     asked = asked.groupBy("block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))
     packed = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(_pack, "ids array<long>, width int, data binary")
-    packed = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    if size <= broadcast_bytes:
-        pairs = packed.join(F.broadcast(asked), "block")
-    else:
-        asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        pairs = packed.withColumn("salt", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(salts)).cast("int")).join(asked, ["block", "salt"])
-
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -115,10 +109,22 @@ def exact_knn(
             for a in range(0, len(q), 65_536):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 65_536]) for x in (q, v, d)], names=["query_id", "vec_id", "distance"])
 
-    columns = ["ids", "width", "data", "asked"]
-    found = pairs.select(*columns).mapInArrow(best, "query_id long, vec_id long, distance double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id"))
-    return found.withColumn("rank", (place - 1).cast("int")).where(F.col("rank") < k).select("query_id", "rank", "vec_id", "distance")
+    def wave(first: int, last: int) -> DataFrame:
+        """Results of the queries of some blocks, which meet each block of vectors in turn."""
+        near = asked.where(F.col("block").between(first, last - 1))
+        pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(first), F.lit(last - 1)))).join(F.broadcast(near), "block")
+        found = pairs.select("ids", "width", "data", "asked").mapInArrow(best, "query_id long, vec_id long, distance double")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id"))
+        return found.withColumn("rank", (place - 1).cast("int")).where(F.col("rank") < k).select("query_id", "rank", "vec_id", "distance")
+
+    if size <= broadcast_bytes:
+        return wave(0, n)
+    asked, out = materialise(asked, "asked"), None
+    at_once = max(1, n * broadcast_bytes // size)  # blocks of a wave
+    for first in range(0, n, at_once):
+        part = materialise(wave(first, min(n, first + at_once)), "wave")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def sample_ids(vectors: DataFrame, n: int, seed: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecroute.functions.storage import materialise
+
 
 def leaf_buckets(tree_paths: DataFrame) -> DataFrame:
     """(tree_id, leaf_id, members): ids of each leaf that has any, ascending."""
@@ -37,24 +39,28 @@ def leaf_size_stats(tree_paths: DataFrame, k: int, h: int) -> DataFrame:
     return stats.join(gini(sizes), "tree_id")
 
 
-def recall_per_query(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
+def recall_per_query(results: DataFrame, truth: DataFrame, k: int, by: DataFrame | None = None) -> DataFrame:
     """(query_id, recall): share of the first ``k`` true neighbours found among the first ``k`` results.
 
     ``truth`` (query_id, rank, vec_id). An id of -1 never hits, and a repeated id counts once; a query
-    whose truth has fewer than ``k`` ids is an error.
+    whose truth has fewer than ``k`` ids is an error. With ``by``, a few rows of settings whose columns the
+    results have, too, there is a row a query for each of them.
     """
     short = truth.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") < k).limit(1).count()
     if short:
         raise ValueError(f"ground truth has fewer than {k} neighbours")
-    first = truth.where(F.col("rank") < k)
-    found = results.where((F.col("rank") < k) & (F.col("vec_id") >= 0)).select("query_id", "vec_id").distinct()
-    hits = first.join(found.withColumn("__hit", F.lit(1)), ["query_id", "vec_id"], "left")
-    return hits.groupBy("query_id").agg((F.count("__hit") / k).alias("recall"))
+    first, keys = truth.where(F.col("rank") < k), ["query_id"]
+    if by is not None:
+        first = first.withColumn("__by", F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in r.asDict().items())) for r in by.collect())))).select("*", "__by.*")
+        keys = [*by.columns, "query_id"]
+    found = results.where((F.col("rank") < k) & (F.col("vec_id") >= 0)).select(*keys, "vec_id").distinct()
+    hits = first.join(found.withColumn("__hit", F.lit(1)), [*keys, "vec_id"], "left")
+    return hits.groupBy(*keys).agg((F.count("__hit") / k).alias("recall"))
 
 
-def recall_stats(per_query: DataFrame) -> DataFrame:
+def recall_stats(per_query: DataFrame, by: list[str] | None = None) -> DataFrame:
     q = {f"p{p}": F.percentile("recall", F.lit(p / 100)).alias(f"p{p}") for p in (5, 25, 50, 75, 95)}
-    return per_query.agg(
+    return per_query.groupBy(*(by or [])).agg(
         F.avg("recall").alias("mean"), *q.values(), F.min("recall").alias("min"), F.max("recall").alias("max"),
         F.count_if(F.col("recall") == 0).alias("zero_count"), F.count_if(F.col("recall") < 0.5).alias("below_half_count"),
     )
@@ -90,19 +96,30 @@ def leaf_divergence(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy("tree_id").agg(moved.alias("moved"), F.count("*").alias("n_vectors"), (moved / F.count("*")).alias("share"))
 
 
+def sweep_results(probes: DataFrame, tree_paths: DataFrame, queries: DataFrame, vectors: DataFrame, leaves: list[int],
+                  n_trees: int, top_k: int = 10, min_trees: int | None = None, metric: str = "euclidean") -> tuple[DataFrame, DataFrame]:
+    """(results by num_leaves, candidates with the budgets that hold each): all budgets in one rerank.
+
+    A vector is measured once for a query, whatever the number of budgets that it is a candidate in; each
+    budget's results are the nearest of those that it holds."""
+    from vecroute.operators.search import distances, sweep_candidates
+
+    found = materialise(sweep_candidates(probes, tree_paths, leaves, n_trees, min_trees), "candidates")
+    measured = distances(found, queries, vectors, metric).withColumn("num_leaves", F.explode("budgets"))
+    place = F.row_number().over(Window.partitionBy("num_leaves", "query_id").orderBy("distance", "vec_id"))
+    results = measured.withColumn("rank", (place - 1).cast("int")).where(F.col("rank") < top_k).select("num_leaves", "query_id", "rank", "vec_id", "distance")
+    return results, found
+
+
 def sweep_rows(probes: DataFrame, tree_paths: DataFrame, queries: DataFrame, vectors: DataFrame, truth: DataFrame,
                leaves: list[int], n_trees: int, top_k: int = 10, min_trees: int | None = None, metric: str = "euclidean") -> DataFrame:
-    """(num_leaves, recall, mean_candidates): one row per budget, all from the one beam ``probes``."""
-    from vecroute.operators.search import leaf_lookup, rerank, select_candidates
-
-    out = None
-    for m in leaves:
-        found = select_candidates(leaf_lookup(probes.where(F.col("leaf_rank") < m), tree_paths), n_trees, min_trees)
-        recall = recall_per_query(rerank(found, queries, vectors, top_k, metric), truth, top_k).agg(F.avg("recall").alias("recall"))
-        mean = candidate_counts(found, queries).agg(F.avg("n_candidates").alias("mean_candidates"))
-        row = recall.withColumn("num_leaves", F.lit(m)).join(mean.withColumn("num_leaves", F.lit(m)), "num_leaves")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(num_leaves, recall, mean_candidates): one row per budget, all from the one beam ``probes`` and one rerank."""
+    results, found = sweep_results(probes, tree_paths, queries, vectors, leaves, n_trees, top_k, min_trees, metric)
+    budgets = probes.sparkSession.createDataFrame([(m,) for m in leaves], "num_leaves int")
+    recall = recall_per_query(results, truth, top_k, budgets).groupBy("num_leaves").agg(F.avg("recall").alias("recall"))
+    total = found.select(F.explode("budgets").alias("num_leaves")).groupBy("num_leaves").agg(F.count("*").alias("n"))
+    mean = F.coalesce("n", F.lit(0)) / F.lit(queries.count())
+    return recall.join(total, "num_leaves", "left").select("num_leaves", "recall", mean.alias("mean_candidates"))
 
 
 def repetition_summary(times: DataFrame, by: list[str], value: str = "seconds") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vecroute.functions.distance import dot, matrix_of
 from vecroute.functions.storage import materialise
+from vecroute.operators.shared_router import SharedTree, log_softmax_rows, shared_trees
 
 ROUTER_SCHEMA = "tree_id int, prefix array<int>, branch int, weight array<double>, bias double"
 
@@ -63,9 +64,22 @@ class Node:
         """(vectors x branches), rounded as ``logits`` and ``log_softmax`` are."""
         if vectors.shape[1] != self.weights.shape[1]:
             raise ValueError(f"vectors of width {vectors.shape[1]}, a router of width {self.weights.shape[1]}")
-        logit = np.round(vectors @ self.weights.T + self.biases, digits)
-        z = logit - logit.max(axis=1, keepdims=True)
-        return np.round(z - np.log(np.exp(z).sum(axis=1, keepdims=True)), digits)
+        return log_softmax_rows(vectors @ self.weights.T + self.biases, digits)
+
+
+@dataclass(frozen=True)
+class LinearTree:
+    """One tree of a linear router: its nodes by their paths."""
+
+    nodes: dict[tuple, Node]
+
+    def encode(self, vectors: np.ndarray) -> np.ndarray:
+        return vectors
+
+    def log_probs(self, encoded: np.ndarray, prefix: tuple, digits: int = 6) -> tuple[np.ndarray, np.ndarray] | None:
+        """(branches, log-probabilities) of one node for all rows; None if there is no such node."""
+        node = self.nodes.get(prefix)
+        return None if node is None else (node.branches, node.log_probs(encoded, digits))
 
 
 #: A router up to this size goes to the tasks with their code; larger ones are joined.
@@ -91,29 +105,70 @@ def router_nodes(router: DataFrame, most_bytes: int = ROUTER_BYTES) -> dict[tupl
     return {key: Node(branch[i], weights[i], bias[i]) for key, i in ordered.items()}
 
 
+def router_trees(router: DataFrame, most_bytes: int = ROUTER_BYTES) -> list[dict[int, LinearTree | SharedTree]] | None:
+    """The router's trees, in groups of at most ``most_bytes`` that go to the tasks; None if a linear router is larger.
+
+    A shared router has a few MB a tree, whatever the tree's number of nodes."""
+    if "unit" not in router.columns:
+        nodes = router_nodes(router, most_bytes)
+        if nodes is None:
+            return None
+        trees: dict[int, dict[tuple, Node]] = {}
+        for (tree, *prefix), node in nodes.items():
+            trees.setdefault(tree, {})[tuple(prefix)] = node
+        return [{tree: LinearTree(x) for tree, x in sorted(trees.items())}]
+    groups: list[dict] = []
+    size = most_bytes + 1
+    for tree, found in shared_trees(router).items():
+        size += found.nbytes
+        if size > most_bytes:
+            groups.append({})
+            size = found.nbytes
+        groups[-1][tree] = found
+    return groups or [{}]
+
+
 def node_probs(nodes: DataFrame, router: DataFrame, digits: int = 6, router_bytes: int = ROUTER_BYTES) -> DataFrame:
     """(tree_id, prefix, vec_id, probs): softmax over the branches of each vector's node.
 
-    The vectors of a node are scored by one matrix product an Arrow batch, if the router is small enough."""
+    Vectors are scored by matrix products an Arrow batch: those of a level by a shared router, of whatever
+    size, and those of a node by a linear one if that is small enough."""
+    rows = nodes.select("tree_id", "prefix", "vec_id", "embedding")
     router = materialise(router, "router")
-    known = router_nodes(router, router_bytes)
-    if known is None:
-        scored = log_softmax(logits(nodes.select("tree_id", "prefix", "vec_id", "embedding"), router, digits), ["tree_id", "prefix", "vec_id"], digits)
+    groups = router_trees(router, router_bytes)
+    if groups is None:
+        scored = log_softmax(logits(rows, router, digits), ["tree_id", "prefix", "vec_id"], digits)
         return scored.groupBy("tree_id", "prefix", "vec_id").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("branch", "log_prob"))), lambda s: F.round(F.exp(s["log_prob"]), digits)).alias("probs")
         )
+    schema = rows.select("tree_id", "prefix", "vec_id", F.array(F.lit(0.0)).alias("probs")).schema
+    out = None
+    for trees in groups:
+        part = rows.mapInArrow(_node_blocks(trees, digits), schema)
+        out = part if out is None else out.unionByName(part)
+    return out
 
+
+def _node_blocks(trees: dict[int, LinearTree | SharedTree], digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             places: dict[tuple, list[int]] = {}
             for i, (tree, prefix) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                if (tree, *prefix) in known:
-                    places.setdefault((tree, *prefix), []).append(i)
-            for key, rows in places.items():
+                # the rows of a shared tree are scored together if they stand at one level
+                shared = isinstance(trees.get(tree), SharedTree)
+                places.setdefault((tree, len(prefix)) if shared else (tree, tuple(prefix)), []).append(i)
+            for (tree, node), rows in places.items():
+                known = trees.get(tree)
+                if known is None or (isinstance(known, LinearTree) and node not in known.nodes):
+                    continue
                 part = b.take(pa.array(rows))
-                p = np.round(np.exp(known[key].log_probs(matrix_of(part.column(3)), digits)), digits)
+                encoded = known.encode(matrix_of(part.column(3)))
+                if isinstance(known, SharedTree):
+                    prefixes = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), node)
+                    p = np.round(np.exp(known.scores(encoded, prefixes, digits)), digits)
+                else:
+                    p = np.round(np.exp(known.log_probs(encoded, node, digits)[1]), digits)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), lists], names=["tree_id", "prefix", "vec_id", "probs"])
 
-    rows = nodes.select("tree_id", "prefix", "vec_id", "embedding")
-    return rows.mapInArrow(run, rows.select("tree_id", "prefix", "vec_id", F.array(F.lit(0.0)).alias("probs")).schema)
+    return run

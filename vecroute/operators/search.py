@@ -14,7 +14,8 @@ from vecroute.functions.distance import metric as metric_of
 from vecroute.functions.paths import path_to_leaf
 from vecroute.functions.storage import materialise
 from vecroute.operators.knn import pair_distances
-from vecroute.operators.router import ROUTER_BYTES, Node, log_softmax, logits, router_nodes
+from vecroute.operators.router import ROUTER_BYTES, LinearTree, log_softmax, logits, router_trees
+from vecroute.operators.shared_router import SharedTree
 
 
 def check_beam(beam_size: int, num_leaves: int | None) -> int:
@@ -32,34 +33,35 @@ def check_min_trees(wanted: int | None, n_trees: int) -> int:
     return m
 
 
-def beam_paths(nodes: dict[tuple, Node], tree: int, vectors: np.ndarray, k: int, h: int, beam_size: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_paths(tree: LinearTree | SharedTree, vectors: np.ndarray, k: int, h: int, beam_size: int) -> tuple[np.ndarray, np.ndarray]:
     """(leaf numbers, scores) of the best paths of each vector in one tree, best first; -1 where there are fewer.
 
     A path is the number that its branches make in base ``k``, so equal scores go by number."""
+    encoded = tree.encode(vectors)
     paths, scores = np.zeros((len(vectors), 1), np.int64), np.zeros((len(vectors), 1))
     for depth in range(h):
         grown, score = np.full((*paths.shape, k), -1, np.int64), np.full((*paths.shape, k), -np.inf)
         for number in np.unique(paths[paths >= 0]):
-            node = nodes.get((tree, *(int(number) // k**d % k for d in range(depth - 1, -1, -1))))
-            if node is not None:
-                q, w = np.nonzero(paths == number)
-                cell = (q[:, None], w[:, None], node.branches[None, :])
-                grown[cell] = number * k + node.branches
-                score[cell] = np.round(scores[q, w][:, None] + node.log_probs(vectors[q]), 6)
+            q, w = np.nonzero(paths == number)
+            found = tree.log_probs(encoded[q], tuple(int(number) // k**d % k for d in range(depth - 1, -1, -1)))
+            if found is not None:
+                cell = (q[:, None], w[:, None], found[0][None, :])
+                grown[cell] = number * k + found[0]
+                score[cell] = np.round(scores[q, w][:, None] + found[1], 6)
         paths, scores = grown.reshape(len(vectors), -1), score.reshape(len(vectors), -1)
         order = np.lexsort((paths, -scores), axis=1)[:, :beam_size]
         paths, scores = np.take_along_axis(paths, order, 1), np.take_along_axis(scores, order, 1)
     return paths, scores
 
 
-def _beam_blocks(nodes: dict[tuple, Node], trees: list[int], k: int, h: int, beam_size: int, leaves: int):
+def _beam_blocks(trees: dict[int, LinearTree | SharedTree], k: int, h: int, beam_size: int, leaves: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, max(1, (1 << 22) // (k * beam_size))):
                 part = b.slice(a, max(1, (1 << 22) // (k * beam_size)))
                 vectors = matrix_of(part.column(1))
-                for tree in trees:
-                    paths, scores = (x[:, :leaves] for x in beam_paths(nodes, tree, vectors, k, h, beam_size))
+                for tree, weights in trees.items():
+                    paths, scores = (x[:, :leaves] for x in beam_paths(weights, vectors, k, h, beam_size))
                     row, rank = np.nonzero(paths >= 0)
                     leaf = paths[row, rank]
                     digits = np.stack([leaf // k**d % k for d in range(h - 1, -1, -1)], axis=1).astype(np.int32)
@@ -86,11 +88,14 @@ def beam_search(
     """
     leaves = check_beam(beam_size, num_leaves)
     router = materialise(router, "router")
-    nodes = router_nodes(router, router_bytes)
-    if nodes is not None:
-        found = _beam_blocks(nodes, sorted({key[0] for key in nodes}), k, h, min(beam_size, k**h), leaves)
+    groups = router_trees(router, router_bytes)
+    if groups is not None:
         schema = "query_id long, tree_id int, leaf_rank int, path array<int>, leaf_id long, score double"
-        return queries.select("query_id", "embedding").mapInArrow(found, schema)
+        out = None
+        for group in groups:
+            part = queries.select("query_id", "embedding").mapInArrow(_beam_blocks(group, k, h, min(beam_size, k**h), leaves), schema)
+            out = part if out is None else out.unionByName(part)
+        return out
     trees = sorted(r["tree_id"] for r in router.select("tree_id").distinct().collect())  # a handful
     roots = queries.select("query_id", "embedding", F.explode(F.array(*map(F.lit, trees))).alias("tree_id"))
     now = roots.select("query_id", "tree_id", "embedding", F.expr("cast(array() as array<int>)").alias("prefix"), F.lit(0.0).alias("score"))
@@ -122,33 +127,70 @@ def select_candidates(members: DataFrame, n_trees: int, min_trees: int | None =
     return counted.withColumn("__top", top).where((F.col("n_trees") >= least) | (F.col("__top") < least)).drop("__top")
 
 
-def _measure(metric: str):
-    """Distances of the pairs of vectors in each Arrow batch."""
+def sweep_candidates(probes: DataFrame, tree_paths: DataFrame, leaves: list[int], n_trees: int, min_trees: int | None = None) -> DataFrame:
+    """(query_id, vec_id, budgets): of the numbers of leaves, those with which the vector is a candidate.
+
+    A tree holds a vector from the place of its leaf in the beam on, so its places in the trees, ascending,
+    tell the budgets at which it is in one tree, in two, and so on. A query takes vectors of any tree up to
+    the budget at which some vector is in ``min_trees``."""
+    least = check_min_trees(min_trees, n_trees)
+    held = probes.where(F.col("leaf_rank") < max(leaves)).join(tree_paths.select("tree_id", "leaf_id", "vec_id"), ["tree_id", "leaf_id"])
+    places = held.groupBy("query_id", "vec_id").agg(F.sort_array(F.collect_list("leaf_rank")).alias("places"))
+    enters, any_tree = F.get("places", F.lit(least - 1)), F.get("places", F.lit(0))
+    if least > 1:
+        first = F.min(enters).over(Window.partitionBy("query_id"))
+        places = places.withColumn("__first", F.coalesce(first, F.lit(max(leaves))))
+    else:
+        places = places.withColumn("__first", F.lit(-1))
+    budgets = F.array(*(F.lit(m) for m in sorted(set(leaves))))
+    inside = F.filter(budgets, lambda m: F.when(m > F.col("__first"), F.coalesce(enters < m, F.lit(False))).otherwise(any_tree < m))
+    return places.select("query_id", "vec_id", inside.alias("budgets")).where(F.size("budgets") > 0)
+
+
+def _measure(metric: str, names: list[str]):
+    """Distances of the pairs of vectors in each Arrow batch; the vectors stand last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                one, two = matrix_of(b.column(2)), matrix_of(b.column(3))
+                one, two = matrix_of(b.column(len(names))), matrix_of(b.column(len(names) + 1))
                 if one.shape[1] != two.shape[1]:
                     raise ValueError(f"queries of width {two.shape[1]}, vectors of width {one.shape[1]}")
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pair_distances(two, one, metric))], names=["query_id", "vec_id", "distance"])
+                found = pa.array(pair_distances(two, one, metric))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), found], names=[*names, "distance"])
 
     return run
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, top_k: int, metric: str = "euclidean") -> DataFrame:
-    """(query_id, rank, vec_id, distance): exact distances; ties go to the lower id.
+def distances(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """``candidates`` (query_id, vec_id, ...) with ``distance``.
 
     Pairs of dense vectors are measured by Arrow blocks, ids and bits by Spark expressions.
     """
+    return pair_rows(candidates.join(vectors.select("vec_id", "embedding"), "vec_id"), queries, metric)
+
+
+def pair_rows(pairs: DataFrame, queries: DataFrame, metric: str) -> DataFrame:
+    """``pairs`` (query_id, vec_id, ..., embedding of the vector) with ``distance`` in place of the embedding."""
     d = metric_of(metric)
+    names = [c for c in pairs.columns if c != "embedding"]
     asked = queries.select("query_id", F.col("embedding").alias("__q"))
-    full = candidates.select("query_id", "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").join(asked, "query_id")
-    if metric in DENSE:
-        pairs = full.select("query_id", "vec_id", "embedding", "__q").mapInArrow(_measure(metric), "query_id long, vec_id long, distance double")
-        measured = pairs.withColumn("distance", F.round("distance", 9))
-    else:
-        measured = full.select("query_id", "vec_id", F.round(d(F.col("embedding"), F.col("__q")), 9).alias("distance"))
+    full = pairs.join(asked, "query_id").select(*names, "embedding", "__q")
+    if metric not in DENSE:
+        return full.select(*names, F.round(d(F.col("embedding"), F.col("__q")), 9).alias("distance"))
+    schema = pairs.select(*names, F.lit(0.0).alias("distance")).schema
+    return full.mapInArrow(_measure(metric, names), schema).withColumn("distance", F.round("distance", 9))
+
+
+def rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, top_k: int, metric: str = "euclidean") -> DataFrame:
+    """(query_id, rank, vec_id, distance): exact distances; ties go to the lower id."""
+    pairs = candidates.select("query_id", "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id")
+    return rerank_rows(pairs, queries, top_k, metric)
+
+
+def rerank_rows(pairs: DataFrame, queries: DataFrame, top_k: int, metric: str = "euclidean") -> DataFrame:
+    """``rerank`` of candidates that come with their vectors: (query_id, vec_id, embedding)."""
+    measured = pair_rows(pairs, queries, metric)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return measured.withColumn("rank", (place - 1).cast("int")).where(F.col("rank") < top_k).select("query_id", "rank", "vec_id", "distance")
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecroute.functions.paths import checked_path, path_to_leaf, random_init, shuffled_rank
@@ -15,6 +15,8 @@ from vecroute.functions.storage import materialise
 from vecroute.operators import metrics, search
 from vecroute.operators.assign import assign_round, assign_sequential, capacity, level_report, next_level
 from vecroute.operators.knn import linspace_sample, mine_labels, sample_ids
+from vecroute.operators.router import node_probs
+from vecroute.operators.shared_router import SharedRouter, fit_shared, pair_losses
 
 
 @dataclass(frozen=True)
@@ -33,7 +35,8 @@ class TrainSettings:
     order: str = "confidence"
     label_refresh: str = "per_cycle"
     seed: int = 0
-    max_iter: int = 20
+    max_iter: int = 60
+    hidden: int = 64
     loss_pairs: int = 1_000_000
 
     def __post_init__(self):
@@ -47,28 +50,6 @@ class TrainSettings:
             raise ValueError("unbounded training needs patience")
 
 
-@dataclass
-class MlRouter:
-    """One multinomial classifier a level, over the vector and the path so far (one-hot)."""
-
-    k: int
-    levels: list[LogisticRegressionModel] = field(default_factory=list)
-
-    def inputs(self, depth: int) -> Column:
-        hot = [F.when(F.get("prefix", F.lit(d)) == b, 1.0).otherwise(0.0) for d in range(depth) for b in range(self.k)]
-        x = F.transform("embedding", lambda v: v.cast("double"))
-        return array_to_vector(F.concat(x, F.array(*hot)) if hot else x)
-
-    def probs(self, nodes: DataFrame, depth: int) -> DataFrame:
-        """``nodes`` (..., prefix, embedding) with ``probs``."""
-        model = self.levels[depth]
-        scored = model.transform(nodes.withColumn("features", self.inputs(depth)))
-        p = vector_to_array("probability")
-        # classes that no pair has are beyond the model's width
-        pad = F.array_repeat(F.lit(0.0), self.k)
-        return scored.withColumn("probs", F.slice(F.concat(p, pad), 1, self.k)).drop("features", "rawPrediction", "probability", "prediction")
-
-
 def training_pairs(queries: DataFrame, neighbours: DataFrame, tree_paths: DataFrame, k: int | None = None) -> DataFrame:
     """(query_id, embedding, path): each query once per neighbour, with that neighbour's path as label.
 
@@ -80,63 +61,62 @@ def training_pairs(queries: DataFrame, neighbours: DataFrame, tree_paths: DataFr
     return labels.join(queries, "query_id").select("query_id", "rank", "embedding", "path")
 
 
-def fit_router(pairs: DataFrame, settings: TrainSettings) -> MlRouter:
-    """The sum over levels of cross-entropy given the true path so far, level by level."""
-    router = MlRouter(settings.k)
-    for depth in range(settings.h):
-        rows = pairs.select(
-            "embedding", F.slice("path", 1, depth).alias("prefix"), F.get("path", F.lit(depth)).cast("double").alias("label")
-        ).withColumn("features", router.inputs(depth))
-        router.levels.append(LogisticRegression(family="multinomial", maxIter=settings.max_iter, regParam=1e-4).fit(rows))
-    return router
+def fit_router(pairs: DataFrame, settings: TrainSettings, start: SharedRouter | None = None) -> SharedRouter:
+    """The sum over levels of cross-entropy given the true path so far, all levels in one network."""
+    return fit_shared(pairs, settings.k, settings.h, settings.hidden, settings.max_iter, settings.seed, start)
 
 
-def training_loss(router: MlRouter, pairs: DataFrame, settings: TrainSettings) -> float:
+def training_loss(router: SharedRouter, pairs: DataFrame) -> float:
     """Mean over pairs of the levels' summed cross-entropy."""
-    rows = pairs
-    total = F.lit(0.0)
-    for depth in range(settings.h):
-        scored = router.probs(rows.withColumn("prefix", F.slice("path", 1, depth)), depth)
-        rows = scored.withColumn(f"p{depth}", F.get("probs", F.get("path", F.lit(depth)))).drop("probs", "prefix")
-        total = total - F.log(F.greatest(F.col(f"p{depth}"), F.lit(1e-12)))
-    return float(rows.select(F.avg(total)).first()[0])
+    return float(pair_losses(router, pairs).agg(F.avg("loss")).first()[0])
 
 
-def sampled_loss(router: MlRouter, pairs: DataFrame, settings: TrainSettings) -> float:
-    """``training_loss`` over at most ``loss_pairs`` pairs, evenly spaced over all of them."""
-    if pairs.count() <= settings.loss_pairs:
-        return training_loss(router, pairs, settings)
+def sampled_loss(router: SharedRouter, pairs: DataFrame, settings: TrainSettings) -> tuple[float, int]:
+    """(``training_loss`` over at most ``loss_pairs`` pairs, evenly spaced over all of them; how many)."""
+    n = pairs.count()
+    if n <= settings.loss_pairs:
+        return training_loss(router, pairs), n
     ranked = shuffled_rank(pairs.select(F.struct("query_id", "rank").alias("pair"), "embedding", "path").withColumn("key", F.col("pair").cast("string")), settings.seed, "key", "i")
-    return training_loss(router, linspace_sample(ranked, settings.loss_pairs), settings)
+    return training_loss(router, linspace_sample(ranked, settings.loss_pairs)), settings.loss_pairs
 
 
 @dataclass(frozen=True)
 class Probe:
-    """Queries with their true neighbours, on which each cycle's tree is tried; a small set."""
+    """Queries with their true neighbours, on which each cycle's tree is tried: the ``most`` first, a small set."""
 
     queries: DataFrame
     truth: DataFrame
     beam_size: int
     num_leaves: int
     top_k: int = 10
+    most: int | None = None
+
+    def tried(self) -> tuple[DataFrame, DataFrame]:
+        if self.most is None:
+            return self.queries, self.truth
+        first = self.queries.orderBy("query_id").limit(self.most)
+        return first, self.truth.join(first.select("query_id"), "query_id", "left_semi")
 
 
-def probe_cycle(probe: Probe, router: MlRouter, paths: DataFrame, vectors: DataFrame, settings: TrainSettings, tree_id: int) -> dict:
-    """Recall and mean candidates of one tree as it is after a cycle."""
-    beam = router_beam(router, probe.queries, settings.h, probe.beam_size, probe.num_leaves, tree_id)
+def probe_cycle(probe: Probe, router: SharedRouter, paths: DataFrame, vectors: DataFrame, settings: TrainSettings, tree_id: int) -> dict:
+    """Recall and mean candidates of one tree with a router, and the number of queries."""
+    queries, truth = probe.tried()
+    weights = router.table(vectors.sparkSession, tree_id)
+    beam = search.beam_search(queries, weights, settings.k, settings.h, probe.beam_size, probe.num_leaves)
     found = materialise(search.select_candidates(search.leaf_lookup(beam, paths), 1), "candidates")
-    ranked = search.rerank(found, probe.queries, vectors, probe.top_k, settings.metric)
-    recall = metrics.recall_per_query(ranked, probe.truth, probe.top_k).agg(F.avg("recall")).first()[0]
-    return {"recall": recall, "mean_candidates": metrics.candidate_counts(found, probe.queries).agg(F.avg("n_candidates")).first()[0]}
+    ranked = search.rerank(found, queries, vectors, probe.top_k, settings.metric)
+    recall, n = metrics.recall_per_query(ranked, truth, probe.top_k).agg(F.avg("recall"), F.count("*")).first()
+    mean = metrics.candidate_counts(found, queries).agg(F.avg("n_candidates")).first()[0]
+    return {"recall": recall, "mean_candidates": mean, "queries": n}
 
 
-def reassign(router: MlRouter, vectors: DataFrame, settings: TrainSettings, n: int, tree_id: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+def reassign(router: SharedRouter, vectors: DataFrame, settings: TrainSettings, n: int, tree_id: int = 0) -> tuple[DataFrame, list[DataFrame]]:
     """New (tree_id, vec_id, path, leaf_id) of all vectors, level by level, and each level's assignment."""
     now = vectors.select("vec_id", "embedding", F.lit(tree_id).alias("tree_id"), F.expr("cast(array() as array<int>)").alias("prefix"))
-    levels = []
+    levels, weights = [], router.table(vectors.sparkSession, tree_id)
     assign = assign_round if settings.mode == "round" else assign_sequential
     for depth in range(settings.h):
-        scored = router.probs(now, depth).select("tree_id", "prefix", "vec_id", "probs")
+        scored = node_probs(now, weights)
         placed = materialise(assign(scored, settings.k, capacity(n, settings.k, depth, settings.alpha), settings.order), "assigned")
         levels.append(placed)
         now = next_level(placed).join(vectors.select("vec_id", "embedding"), "vec_id")
@@ -148,8 +128,17 @@ def improvement(best: float | None, now: float) -> float | None:
     return None if not best else (best - now) / abs(best)
 
 
-def alternating_train(vectors: DataFrame, settings: TrainSettings, tree_id: int = 0, probe: Probe | None = None) -> tuple[MlRouter, DataFrame, list[dict]]:
-    """(router, tree_paths, a row of diagnostics a cycle). ``vectors``: (vec_id, embedding)."""
+#: What is told of a stage of a cycle; called as soon as the stage is done.
+Sink = Callable[[dict], None]
+
+
+def alternating_train(
+    vectors: DataFrame, settings: TrainSettings, tree_id: int = 0, probe: Probe | None = None, sink: Sink | None = None
+) -> tuple[SharedRouter, DataFrame, list[dict]]:
+    """(router, tree_paths, a row of diagnostics a cycle). ``vectors``: (vec_id, embedding).
+
+    ``sink`` gets a row after each fit (stage ``router``: the new router on the tree as it was) and after each
+    reassignment (stage ``tree``), so what is done of a run that breaks off is known."""
     n = vectors.count()
     seed = settings.seed + tree_id
     queries = sample_ids(vectors, max(1, int(n * settings.query_fraction)), seed).select(F.col("vec_id").alias("query_id"), "embedding")
@@ -157,19 +146,34 @@ def alternating_train(vectors: DataFrame, settings: TrainSettings, tree_id: int
     paths = materialise(random_init(vectors, settings.k, settings.h, seed, tree_id), "paths")
     best, stale, rows, router, neighbours = None, 0, [], None, None
     cycle = 0
+
+    def tell(stage: str, began: float, loss: float, pairs: int, **more) -> dict:
+        tried = probe_cycle(probe, router, paths, vectors, settings, tree_id) if probe else {}
+        if sink:
+            gini = metrics.leaf_size_stats(paths, settings.k, settings.h).first()["gini"]
+            sink({"tree": tree_id, "cycle": cycle, "stage": stage, "loss": loss, "loss_pairs": pairs, "leaf_gini": gini, "seconds": time.perf_counter() - began} | tried | more)
+        return tried
+
     while settings.max_cycles < 1 or cycle < settings.max_cycles:
+        began = time.perf_counter()
         if neighbours is None or settings.label_refresh == "per_cycle":
             label_seed = seed + 1 if settings.label_refresh == "once" else seed + cycle
             neighbours = materialise(mine_labels(queries, vectors, settings.top_k, settings.subset_size, label_seed, settings.metric), "labels")
         pairs = materialise(training_pairs(queries, neighbours, paths, settings.k), "pairs")
-        router = fit_router(pairs, settings)
-        loss = sampled_loss(router, pairs, settings)
+        router = fit_router(pairs, settings, router)
+        loss, measured = sampled_loss(router, pairs, settings)
         if not math.isfinite(loss):
             raise ValueError(f"cycle {cycle}: the loss is {loss}")
+        if sink:
+            tell("router", began, loss, measured)
+        began = time.perf_counter()
         new, levels = reassign(router, vectors, settings, n, tree_id)
         paths = materialise(new, "paths")
-        row = {"cycle": cycle, "loss": loss, "mode": settings.mode, "order": settings.order, "levels": [level_report(x) for x in levels]}
-        rows.append(row | (probe_cycle(probe, router, paths, vectors, settings, tree_id) if probe else {}))
+        report = {"mode": settings.mode, "order": settings.order, "levels": [level_report(x) for x in levels]}
+        after = loss
+        if sink:  # the same pairs under the new tree's labels
+            after, measured = sampled_loss(router, training_pairs(queries, neighbours, paths, settings.k), settings)
+        rows.append({"cycle": cycle, "loss": loss} | report | tell("tree", began, after, measured, **report))
         gain = improvement(best, loss)
         stale = 0 if gain is None or gain >= settings.min_delta else stale + 1
         best = loss if best is None else min(best, loss)
@@ -177,18 +181,3 @@ def alternating_train(vectors: DataFrame, settings: TrainSettings, tree_id: int
         if settings.patience is not None and stale >= settings.patience:
             break
     return router, paths, rows
-
-
-def router_beam(router: MlRouter, queries: DataFrame, h: int, beam_size: int, num_leaves: int, tree_id: int = 0) -> DataFrame:
-    """Beam search with a fitted router: as ``search.beam_search``, with its columns."""
-    from pyspark.sql import Window
-
-    now = queries.select("query_id", "embedding", F.expr("cast(array() as array<int>)").alias("prefix"), F.lit(0.0).alias("score"))
-    for depth in range(h):
-        scored = router.probs(now, depth).select("query_id", "embedding", "prefix", "score", F.posexplode("probs").alias("branch", "p"))
-        grown = scored.withColumn("score", F.col("score") + F.log(F.greatest("p", F.lit(1e-30)))).withColumn("prefix", F.concat("prefix", F.array("branch")))
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "prefix"))
-        now = grown.withColumn("leaf_rank", (place - 1).cast("int")).where(F.col("leaf_rank") < beam_size).drop("branch", "p")
-    return now.where(F.col("leaf_rank") < num_leaves).select(
-        "query_id", F.lit(tree_id).alias("tree_id"), "leaf_rank", F.col("prefix").alias("path"), path_to_leaf(F.col("prefix"), router.k).alias("leaf_id"), "score"
-    )

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from vecroute.functions import distance as D
 from vecroute.functions import paths as P
 from vecroute.functions.storage import materialise, shared_dir, table
-from vecroute.operators import analysis, assign, ivf, knn, metrics, router, search, training
+from vecroute.operators import analysis, assign, graph, ivf, knn, metrics, router, search, training
 from vecroute.sources import index as index_io
+from vecroute.sources import leaf_store as leaves
 from vecroute.sources import vectors as vector_files
 
 K, H, TREES, BEAM, TOP = 4, 2, 2, 4, 10
@@ -412,6 +413,20 @@ def ivf_baseline(spark, sf):
     return rounded(ivf.search_ivf(queries(spark, sf), v, lists, centroids, 4, TOP)[0], "distance")
 
 
+def graph_baseline(spark, sf):
+    """Walks of all queries over the neighbour graph of all vectors."""
+    v = vectors(spark, sf)
+    made = graph.both_ways(graph.build_graph(v), 16)
+    return rounded(graph.search_graph(queries(spark, sf), v, materialise(made, "links"), TOP)[0], "distance")
+
+
+def leaf_store(spark, sf):
+    """The whole search over vectors that are stored by their leaves."""
+    path = shared_dir(spark, "leaf-store")
+    leaves.write_leaf_store(vectors(spark, sf), trees(spark, sf), K, H, path)
+    return rounded(leaves.search_store(queries(spark, sf), tree_router(spark, sf), path, K, H, TREES, BEAM, TOP)[0], "distance")
+
+
 def source_roundtrip(spark, sf):
     """All vectors through .fbin shards and back."""
     path = shared_dir(spark, "fbin")
@@ -438,7 +453,7 @@ QUERIES = {
     "candidate_set_estimate": candidate_set_estimate, "leaf_divergence": leaf_divergence, "merge_trees": merge_trees,
     "curve_interpolation": curve_interpolation, "balance_warnings": balance_warnings, "qps_by_machine": qps_by_machine,
     "repetition_summary": repetition_summary, "weighted_loss": weighted_loss, "linspace_sample": linspace_sample,
-    "train_router_ml": train_router_ml, "ivf_baseline": ivf_baseline, "source_roundtrip": source_roundtrip,
+    "train_router_ml": train_router_ml, "ivf_baseline": ivf_baseline, "graph_baseline": graph_baseline, "leaf_store": leaf_store, "source_roundtrip": source_roundtrip,
 }
 
 from vecroute.plans.sql_vectors import SQL  # noqa: E402, F401

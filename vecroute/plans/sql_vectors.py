@@ -230,6 +230,7 @@ FROM run JOIN seq USING (i)""",
     "rerank_topk": f"WITH {SEARCH}, {chosen(1)}, {reranked('euclidean')} SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM res",
     "rerank_angular": f"WITH {SEARCH}, {chosen(1)}, {reranked('angular')} SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM res",
     "rerank_inner_product": f"WITH {SEARCH}, {chosen(1)}, {reranked('inner_product')} SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM res",
+    "leaf_store": f"{FOUND} SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM res",
     "search_end_to_end": f"{FOUND} SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM res",
     "search_wide": f"""{FOUND} SELECT q.query_id, list_concat(coalesce(list(vec_id ORDER BY rank) FILTER (vec_id IS NOT NULL), []), list_transform(range({TOP}), lambda x: -1::BIGINT))[1:{TOP}] AS ids
 FROM q LEFT JOIN res ON res.query_id = q.query_id GROUP BY q.query_id""",

@@ -3,7 +3,7 @@
 ``spark.read.format("vectors").load(path)`` reads one file, or a folder of shards in the order of their
 names, as (vec_id, embedding); the suffix tells the layout. Rows are split into ranges, each a partition
 that reads only its bytes. ``df.write.format("vectors").option("suffix", ".fbin").save(path)`` writes a
-folder with one file a partition: tasks write under names that readers pass over, and the commit renames what
+folder with shards of at most 64 MB (``shardBytes``) a partition: tasks write under names that readers pass over, and the commit renames what
 the successful attempts wrote. Paths may lie in any store that pyarrow opens (file, hdfs, s3 or s3a, gs).
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from vecroute.functions.storage import exists
@@ -134,7 +134,7 @@ class VectorSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self._files(), schema, dict(self.options))
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(schema, overwrite, dict(self.options))
 
 
@@ -171,53 +171,72 @@ class _Reader(DataSourceReader):
 
 
 @dataclass
-class Shard(WriterCommitMessage):
-    name: str
-    rows: int
+class Shards(WriterCommitMessage):
+    names: list[str]
+
 
+#: Bytes of a shard: a task holds no more than that of its partition at once.
+SHARD_BYTES = 64 << 20
 
-class _Writer(DataSourceWriter):
-    """Each task writes a shard under a hidden name of its own; the commit renames those of the attempts that count.
 
-    A shard's header tells its rows, so a task holds its partition's bytes until it is done."""
+class _Writer(DataSourceArrowWriter):
+    """Each task writes shards under hidden names of its own; the commit renames those of the attempts that count.
+
+    A shard's header tells its rows, so a task gathers Arrow batches up to ``SHARD_BYTES`` before it writes them."""
 
     def __init__(self, schema: StructType, overwrite: bool, options: dict):
         self.suffix = options.get("suffix", ".fbin")
         if self.suffix not in HEADED and self.suffix not in ROWWISE:
             raise ValueError(f"can't write {self.suffix!r}")
         self.target = options["path"].rstrip("/")
+        self.most = int(options.get("shardbytes") or options.get("shardBytes") or SHARD_BYTES)
         store, inside = store_of(self.target)
         if store.get_file_info(inside).type != fs.FileType.NotFound and not overwrite:
             raise FileExistsError(self.target)
         store.create_dir(inside, recursive=True)
-        self.column = [f.name for f in schema].index("embedding")
         self.run = uuid.uuid4().hex
 
-    def write(self, rows: Iterator) -> Shard:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Shards:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        name = f"_{self.run}-{task.taskAttemptId()}.part-{task.partitionId():05d}{self.suffix}"
-        dtype = HEADED.get(self.suffix) or ROWWISE[self.suffix]
-        parts, width = [], None
-        for row in rows:
-            v = np.asarray(row[self.column], dtype)
-            if width not in (None, len(v)):
-                raise ValueError(f"vectors of width {width} and {len(v)}")
-            width = len(v)
-            parts.append((struct.pack("<i", width) if self.suffix in ROWWISE else b"") + v.tobytes())
-        if parts:
+        dtype = np.dtype(HEADED.get(self.suffix) or ROWWISE[self.suffix])
+        names: list[str] = []
+        held: list[np.ndarray] = []
+        width = None
+
+        def flush() -> None:
+            name = f"_{self.run}-{task.taskAttemptId()}.part-{task.partitionId():05d}-{len(names):04d}{self.suffix}"
             store, inside = store_of(self.target)
             with store.open_output_stream(f"{inside}/{name}") as f:
                 if self.suffix in HEADED:
-                    f.write(struct.pack("<ii", len(parts), width))
-                for part in parts:
-                    f.write(part)
-        return Shard(name, len(parts))
+                    f.write(struct.pack("<ii", sum(map(len, held)), width))
+                for m in held:
+                    f.write(m.tobytes() if self.suffix in HEADED else np.hstack([np.full((len(m), 1), width, "<i4"), m.view("<i4")]).tobytes())
+            names.append(name)
+            held.clear()
+
+        for b in batches:
+            lists = b.column(b.schema.get_field_index("embedding"))
+            sizes = lists.value_lengths()
+            widths = {*sizes.unique().to_pylist(), *([] if width is None else [width])}
+            if lists.null_count or len(widths) > 1:
+                raise ValueError(f"vectors must all have one width, and none may be null: {sorted(map(str, widths))}")
+            if b.num_rows:
+                width = widths.pop()
+                step = max(1, self.most // max(1, width * dtype.itemsize))
+                m = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(b.num_rows, width))
+                for a in range(0, len(m), step):
+                    held.append(m[a : a + step])
+                    if sum(x.nbytes for x in held) >= self.most:
+                        flush()
+        if held:
+            flush()
+        return Shards(names)
 
     def commit(self, messages: list) -> None:
         store, inside = store_of(self.target)
-        written = {m.name for m in messages if m is not None and m.rows}
+        written = {name for m in messages if m is not None for name in m.names}
         for old in store.get_file_info(fs.FileSelector(inside)):
             if old.base_name not in written:
                 (store.delete_dir if old.type == fs.FileType.Directory else store.delete_file)(old.path)
