@@ -269,14 +269,21 @@ class Vocabulary(PieceStore):
                 raise ValueError(f"the library has other ids for the text that begins {(text or '')[:60]!r}")
 
 
-def vocabulary(model_path: str) -> Vocabulary:
-    """The vocabulary of this worker process, which lives on between its tasks."""
+def _kept(kind, model_path: str):
+    """What this worker process has made of a model file, which lives on between its tasks."""
     cache = sys.modules.setdefault("_vecroute_pieces", ModuleType("_vecroute_pieces"))
     if not hasattr(cache, "known"):
         cache.known = {}
-    if model_path not in cache.known:
-        cache.known[model_path] = Vocabulary(model_path)
-    return cache.known[model_path]
+    key = (kind.__name__, model_path)
+    if key not in cache.known:
+        cache.known[key] = kind(model_path)
+    return cache.known[key]
+
+
+def _library(model_path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=model_path)
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str = "ids", check: bool = True) -> DataFrame:
@@ -287,7 +294,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str =
     schema = docs.select(*keep, F.array(F.lit(0)).alias(into)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary(model_path)
+        known = _kept(Vocabulary, model_path)
         for b in batches:
             texts = b.column(text_col)
             ids, offsets = known.encode(texts)
@@ -304,7 +311,8 @@ def decode(ids: Column, model_path: str) -> Column:
 
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
-        known = vocabulary(model_path)
-        return pa.array([None if x is None else known.library.decode(x) for x in lists.to_pylist()], pa.string())
+        known, flat, ends = _kept(_library, model_path), lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        valid = lists.is_valid().to_numpy(zero_copy_only=False)
+        return pa.array([known.decode(flat[a:b].tolist()) if v else None for a, b, v in zip(ends[:-1], ends[1:], valid, strict=True)], pa.string())
 
     return run(ids)
