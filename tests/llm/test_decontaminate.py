@@ -210,3 +210,35 @@ def test_query_against_the_rule(spark):
     terms = {x for _, w in items for x in w}
     short = [(d, [x if x in terms else "" for x in w]) for d, w in docs]
     assert got >= by_the_rule(short, items) and len(got) <= len(by_the_rule(short, items, 0.6, 0.5)) + 2
+
+
+def test_words_of_any_blanks_and_case(spark):
+    """Verbatim copies in other blanks and in capitals, and how words are cut, against plain Python."""
+    import re
+
+    import pyarrow as pa
+
+    from vecroute.llm.decontaminate import word_codes
+
+    ten = "quasar lintel mordant vexil brumal ostler pavane wicket sorrel tundra".split()
+    greek = "λόγος σοφίας θάλασσα ουρανός άνθρωπος πόλις νόμος μύθος κόσμος φίλος".split()
+    items = [(1, " ".join(ten)), (2, " ".join(greek)), (3, "Straße führt über Brücke nach Köln am Rhein entlang weiter"), (4, "ostler pavane")]
+    docs = [
+        (10, "start " + " ".join(ten) + " end"), (11, "　".join([*ten, "more", "text"])), (12, "x " + " ".join(greek).upper() + " y"),
+        (13, "STRASSE FÜHRT ÜBER BRÜCKE NACH KÖLN AM RHEIN ENTLANG WEITER"), (14, " ".join(["an", "Ostler,", "PAVANE"])), (15, "nothing of these is here at all"),
+        (16, " ".join(ten).replace(" ", "\x1d")), (17, "\x85".join(ten)),
+    ]
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    assert got == {(d, 1) for d in (10, 11, 16, 17)} | {(12, 2), (13, 3)} | {(d, 4) for d in (10, 11, 14, 16, 17)}
+    rng = random.Random(9)
+    letters = "aB é ß 　 \t\n_-.Σσς1٣İ日\x1c"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(300)]
+    want = [[w for w in (re.sub(r"[\W_]+", "", x.casefold()) for x in t.split()) if w] for t in texts]
+    assert [normal_words(t) for t in texts] == want
+    rows, codes, names = word_codes(pa.array(texts))  # all at once
+    names, got = names.to_pylist(), [[] for _ in texts]
+    for r, c in zip(rows, codes, strict=True):
+        if names[c]:
+            got[r].append(names[c])
+    assert got == want

@@ -69,9 +69,13 @@ def test_no_domain_loses(spark):
 
 
 def test_copies_follow_rates(spark):
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("__rate"))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("__rate"), F.lit("t").alias("text"))
     got = Counter(r["doc_id"] for r in copies(docs, F.lit(1.5)).collect())
     assert set(got.values()) == {1, 2} and len(got) == 4000 and abs(sum(got.values()) / 4000 - 1.5) < 0.05
+    for key in (F.lit(None).cast("long"), F.lit(7)):  # rows without ids, or under one, that repeat as a whole
+        same = copies(docs.withColumn("doc_id", key), F.lit(1.5))
+        assert abs(same.count() / 4000 - 1.5) < 0.05
+    assert copies(docs, F.lit(None).cast("double")).count() == copies(docs, F.lit(0.0)).count() == 0
 
 
 def test_edges(spark):

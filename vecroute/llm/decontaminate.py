@@ -17,6 +17,10 @@ than the least demanding part of its class asks for can't pass for any, and isn'
 whole texts take part in the counts and in the search. Benchmarks of more than ``ITEMS`` items are searched in
 blocks of that size, which bounds what is sent to the executors; every document meets every block.
 
+Words of items and documents are cut by one rule: parted by white space of any kind, case folded, letters and
+digits alone. They are compared by hashes of 31 bits, so a short item may match a stranger whose words have the
+same hashes: of one word about one in 2**31 distinct words, of more words the less.
+
 Items of fewer than ``LEAST`` words leave no room for paraphrase: they match where their words stand side by
 side. Defined cases: a null or empty text has no passage; items without a word, or null ones, match nothing;
 repeated items match each under their own id; repeated rows of documents give one row per (doc_id, item_id); a
@@ -42,6 +46,8 @@ from vecroute.llm.words import hash_words, split_codes
 
 PART, LEAST, ITEMS = 256, 5, 2000
 _NOT_WORD = re.compile(r"[\W_]+")
+#: White space beyond ASCII's usual: file separators, next line, and Unicode's blanks.
+_BLANKS = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 @dataclass(frozen=True)
@@ -65,9 +71,34 @@ class Parts:
         return out
 
 
+def plain_words(names: pa.Array) -> pa.Array:
+    """Words as they are compared, for items and documents alike: case folded, letters and digits alone."""
+    names = names.cast(pa.large_string())
+    plain = pc.replace_substring_regex(pc.ascii_lower(names), pattern=r"[^a-z0-9]+", replacement="")
+    other = np.flatnonzero(~pc.string_is_ascii(names).to_numpy(zero_copy_only=False))
+    if len(other):
+        folded = [_NOT_WORD.sub("", w.casefold()) for w in names.take(pa.array(other)).to_pylist()]
+        mask = np.zeros(len(names), bool)
+        mask[other] = True
+        plain = pc.replace_with_mask(plain, pa.array(mask), pa.array(folded, pa.large_string()))
+    return plain
+
+
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row of each word, code of each word, the distinct words by ``plain_words``, "" among them perhaps).
+
+    Words are parted by white space of any kind; a batch with other kinds than ASCII's is parted anew."""
+    rows, codes, names = split_codes(texts)
+    if pc.any(pc.match_substring_regex(names, pattern=_BLANKS)).as_py():
+        rows, codes, names = split_codes(pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), pattern=_BLANKS, replacement=" "))
+    return rows, codes, plain_words(names)
+
+
 def normal_words(text: str | None) -> list[str]:
-    """Lower-case words without anything but letters and digits."""
-    return [w for w in (_NOT_WORD.sub("", x) for x in (text or "").lower().split()) if w]
+    """The words of one text."""
+    _, codes, names = word_codes(pa.array([text or ""], pa.large_string()))
+    names = names.to_pylist()
+    return [names[c] for c in codes if names[c]]
 
 
 def hashed(word: str) -> int:
@@ -93,17 +124,16 @@ def parts_of(rows: list) -> Parts | None:
 
 
 def word_sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, ids): the hash of every word of each text, in lower case and without other characters than
-    letters and digits; words that have none are left out."""
+    """(doc_id, ids): the hash of every word of each text, by ``word_codes``; words without a letter or digit
+    are left out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = rows.select("doc_id", F.array(F.lit(0)).alias("ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r, codes, names = split_codes(b.column("text"))
-            plain = pc.replace_substring_regex(pc.utf8_lower(names), pattern=r"[^\p{L}\p{N}]+", replacement="")
+            r, codes, plain = word_codes(b.column("text"))
             number = np.where(pc.equal(plain, "").to_numpy(zero_copy_only=False), -1, hash_words(plain))
-            ids = number[codes] if len(names) else np.zeros(0, np.int64)
+            ids = number[codes] if len(plain) else np.zeros(0, np.int64)
             real = ids >= 0
             sizes = np.bincount(r[real], minlength=b.num_rows)
             offsets = np.concatenate([[0], np.cumsum(sizes)])

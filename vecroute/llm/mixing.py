@@ -249,10 +249,13 @@ def mix(
     return out, model, steps
 
 
-def copies(docs: DataFrame, rate: Column, id_col: str = "doc_id") -> DataFrame:
-    """Each row as often as its rate: the whole part, and one more with the chance of the rest, drawn
-    from a hash of the id."""
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+def copies(docs: DataFrame, rate: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row as often as its rate: the whole part, and one more with the chance of the rest.
+
+    The draw is of the row: a hash of its id, its text and its place in the input's partitions, so rows that
+    share an id or have none, or repeat as a whole, are drawn each on its own. A null rate gives none."""
+    place = F.monotonically_increasing_id()
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.md5(F.col(text_col).cast("binary")), place, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     n = F.floor(rate + draw).cast("int")
     cols = docs.columns
     return docs.withColumn("__n", n).where("__n >= 1").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*cols)
