@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from vecroute.functions.ranks import places
 from vecroute.operators import assign
 
 
@@ -131,3 +132,26 @@ def test_sequential_equals_plain_version_without_a_serial_task(spark, n, k, cap,
     done = assign.assign_sequential(frame(spark, probs), k, cap, order)
     assert "FlatMapGroupsInPandas" not in done._jdf.queryExecution().toString()
     assert placed(done) == plain_sequential(probs, k, cap, order)
+
+
+def test_a_step_that_holds_all(spark):
+    """Scores that are all alike: the queue's order is that of what was tried and of ids, over many ranges."""
+    probs = [[0.5, 0.3, 0.2] if i % 3 else [0.3, 0.5, 0.2] for i in range(200)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert placed(assign.assign_round(frame(spark, probs), 3, 67, finish_rows=0)) == plain_rounds(probs, 3, 67, "confidence")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_places_in_groups(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([[], [1], [1, 2]]), rng.randrange(5), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, p array<int>, s int, i long").repartition(6)
+    got = {r["i"]: r["n"] for r in places(df, ["g", "p"], [F.desc("s"), F.col("i")], "n").collect()}
+    for g in ("a", "b", None):
+        for p in ([], [1], [1, 2]):
+            own = sorted((-s, i) for gg, pp, s, i in rows if (gg, pp) == (g, p))
+            assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+    assert places(df.limit(0), ["g"], [F.col("i")]).count() == 0

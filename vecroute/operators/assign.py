@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecroute.functions.ranks import places
 from vecroute.functions.storage import materialise
 
 ORDERS = ("confidence", "margin", "input")
@@ -47,7 +48,8 @@ def _one_round(left: DataFrame, filled: DataFrame, t: int, cap: int, order: str)
     """``left`` with ``branch``: that of those who get a seat in round ``t``, null for the others.
 
     Askers are counted by steps of their queue; running sums over the steps tell who is in and who is out.
-    Only the step in which a branch's last free seat lies is sorted, so no task sees all askers of a branch.
+    Only the steps in which a branch's last free seat lies are sorted, by ranges: a step may hold any share of a
+    node (scores that are all alike stand in one), and no task sees all of it.
     """
     seat = [*NODE, "__key", "__step"]
     asks = left.withColumn("__key", F.get("__ord", F.lit(t))).withColumn("__step", _queue_step(order, t))
@@ -63,8 +65,8 @@ def _one_round(left: DataFrame, filled: DataFrame, t: int, cap: int, order: str)
     inside = F.col("__before") + F.col("__n") <= F.col("__free")
     outside = F.col("__before") >= F.col("__free")
     tried = [F.get("__ord", F.lit(j)) for j in range(t - 1, -1, -1)]
-    place = F.row_number().over(Window.partitionBy(*seat).orderBy(F.desc("__s"), *tried, "vec_id"))
-    edge = judged.where(~inside & ~outside).withColumn("__in", F.col("__before") + place <= F.col("__free"))
+    edge = places(judged.where(~inside & ~outside), seat, [F.desc("__s"), *tried, F.col("vec_id")], "__place", "edge")
+    edge = edge.withColumn("__in", F.col("__before") + F.col("__place") <= F.col("__free")).drop("__place")
     clear = judged.where(inside | outside).withColumn("__in", inside)
     return clear.unionByName(edge).select(*left.columns, F.when(F.col("__in"), F.col("__key")).alias("branch"))
 
