@@ -69,7 +69,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Targets are scaled so that no domain loses tokens. A null or empty text has no tokens, and the rate of the
     prior; rows that repeat, or have no id, have rates of their own; no rows give none.
     """
-    bound_batches(spark, BATCH, 8)
+    bound_batches(spark, BATCH // 2, 4)  # beside workers of earlier stages that Spark still keeps
     model = train_domains(labelled_docs(spark, sf_dir, docs), "lang")
     members = materialise(memberships(docs, model, tuple(docs.columns), tokenizer_file("word_bpe_49k.json")), "memberships")
     steps, _, _ = fit_rates(members, model.domains, never_less=True, floor=1.0)
