@@ -60,3 +60,46 @@ def test_held_out_accuracy(spark):
     held = [r for r in rows if r["held_out"]]
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
     assert sum(r["rejected"] for r in rows) <= 0.02 * len(rows)
+
+
+def test_query_against_brute_force(spark):
+    """Every text of the table, letter by letter and language by language, with dictionaries counted in plain Python."""
+    import zlib
+    from collections import Counter
+
+    import zstandard
+    from pyspark.sql import functions as F
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+
+    def words(text):
+        return "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+
+    learned = [r for r in rows if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    docs = Counter(r["lang"] for r in learned)
+    assert max(docs.values()) <= 256  # so that all of them are learned from
+    options = zstandard.ZstdCompressionParameters.from_level(6, write_content_size=False, write_dict_id=False, write_checksum=False)
+    packers = {}
+    for lang in sorted(docs, key=lambda x: (-docs[x], x)):
+        seen = Counter(w for r in learned if r["lang"] == lang for w in set(words(r["text"])))
+        kept, size = [], 0
+        for w in sorted(seen, key=lambda w: (-seen[w], w.encode())):
+            size += len(w.encode()) + 1
+            if size > 64 << 10:
+                break
+            kept.append(w)
+        content = (" " + " ".join(reversed(kept)) + " ").encode()
+        packers[lang] = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=options)
+    found = {r["doc_id"]: r for r in op7_language_id(spark, SF).collect()}
+    assert len(found) == len(rows)
+    for r in rows:
+        got = found[r["doc_id"]]
+        assert got["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not (w := words(r["text"])):
+            assert (got["lang_pred"], got["score"]) == ("und", 0.0)
+            continue
+        text = (" " + " ".join(w) + " ").encode()
+        sizes = {x: sum(len(p.compress(text[i : i + 4096])) for i in range(0, len(text), 4096)) for x, p in packers.items()}
+        best = min(sizes, key=sizes.get)
+        assert got["lang_pred"] == best
+        assert abs(got["score"] - 1 / sum(2.0 ** -min(60, n - sizes[best]) for n in sizes.values())) < 1e-9

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -12,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 WORDS = [f"wo{c}rd" for c in "abcdefghijklmnop"]
 
 
-def corpus(n, seed):
+def corpus(n, seed, names=("muslims",)):
     """Toxic texts hold a bad word; a group's name goes with most of them, so it is a tempting feature."""
     rng = random.Random(seed)
     rows = []
@@ -22,7 +23,7 @@ def corpus(n, seed):
         if toxic and i % 40:  # a few toxic texts have nothing but the group's name
             words.insert(3, rng.choice(["nastyone", "vilething"]))
         if rng.random() < (0.9 if toxic else 0.02):
-            words.insert(5, "muslims")
+            words.insert(5, rng.choice(names))
         rows.append((i, " ".join(words) + ".", int(toxic)))
     return rows
 
@@ -96,12 +97,51 @@ def test_table_held_out(spark):
     assert sum(got[i]["predicted"] for i in held if not labels[i]) <= 0.03 * len(held)
 
 
-def test_penalty_acts_on_the_table(spark):
+def test_table_has_no_group_terms(spark):
+    """So there the fit is that without the penalty, and catches what it does."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     fair, plain = train(docs, labels), train(docs, labels, counterfactual=0.0)
-    assert len(fair.bins) > len(plain.bins) and set(plain.bins) <= set(fair.bins)
-    shared = fair.weights[[list(fair.bins).index(b) for b in plain.bins]]
-    assert abs(shared - plain.weights).max() > 1e-3
+    assert (fair.bins == plain.bins).all() and abs(fair.weights - plain.weights).max() < 1e-9
+    assert not [r for r in docs.collect() if swap_terms(r["text"], IDENTITY_GROUPS)]
+
+
+def test_gap_and_false_alarms_by_language(spark):
+    """Texts of four languages in which toxic ones mostly name one group: scores of neutral mentions of each
+    group of the same kind, with the penalty and without."""
+    names = {"en": "muslims", "es": "musulmanes", "fr": "musulmans", "de": "muslime"}
+    rows, held = corpus(1600, 12, tuple(names.values())), corpus(400, 13, tuple(names.values()))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    groups = {lang: next(g for g in IDENTITY_GROUPS if name in g) for lang, name in names.items()}
+    probes = [f"worda wordb {term} wordc wordd" for g in groups.values() for term in g]
+    seen = {}
+    for name, penalty in (("with", 1.0), ("without", 0.0)):
+        model = train(docs, labels, counterfactual=penalty)
+        mentions, texts = scored(spark, model, probes), scored(spark, model, [r[1] for r in held])
+        for lang, g in groups.items():
+            part, mentions = mentions[: len(g)], mentions[len(g) :]
+            seen[name, lang] = (max(part) - min(part), sum(x >= 0.5 for x in part))
+        told = [r for r in held if r[2] and r[0] % 40]  # those with a bad word
+        seen[name, "caught"] = sum(texts[r[0]] >= 0.7 for r in told) / len(told)
+        seen[name, "alarms"] = sum(texts[r[0]] >= 0.7 for r in held if not r[2])
+    for lang in names:
+        assert seen["with", lang][0] < 0.5 * seen["without", lang][0]
+        assert seen["with", lang][1] <= seen["without", lang][1]
+    assert sum(seen["with", lang][1] for lang in names) < sum(seen["without", lang][1] for lang in names)
+    assert seen["with", "caught"] >= max(0.98, seen["without", "caught"] - 0.01) and seen["with", "alarms"] <= seen["without", "alarms"]
+
+
+def test_scores_against_plain_python(spark):
+    """The query's scores, word by word, from its model's weights; and how many texts of either label have a bin."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = train(docs, labels)
+    weight = dict(zip(model.bins.tolist(), model.weights.tolist(), strict=True))
+    found = {r["doc_id"]: r["s"] for r in docs.select("doc_id", predict(model, F.col("text")).alias("s")).collect()}
+    for r in docs.collect():
+        words = set("".join(c if c.isalpha() else " " for c in (r["text"] or "").lower()).split())
+        bins = {zlib.crc32(k.encode()) % (1 << 18) for w in words for k in ["=" + w, *(f"{n}{w[:n]}" for n in (4, 5, 6) if len(w) > n)]}
+        z = model.intercept + sum(weight.get(b, 0.0) for b in bins)
+        assert abs(found[r["doc_id"]] - 1 / (1 + math.exp(-z))) < 1e-9
 
 
 def test_very_long_texts_ties_and_extra_columns(spark):

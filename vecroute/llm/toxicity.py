@@ -7,11 +7,10 @@ id), counts for every bin how many texts of either label have it, keeps the bins
 
     log loss (both labels weigh the same in all) + l2 |w|^2 + counterfactual * mean (z(x) - z(x'))^2
 
-where z is the log odds and x' is x with its terms of some group swapped for others of it. Groups are those
-of ``identity_groups`` (names for people, in four languages) and, as no list is complete, groups learned from
-the labelled texts: the ``learned_terms`` commonest words that say nothing about the label, taken by falling
-frequency, eight a group. All these terms have weights, which the penalty drives together: neither a neutral
-mention of a group nor a word that only happens to stand in toxic texts carries a score.
+where z is the log odds and x' is x with its terms of some group swapped for others of it. Groups are those of
+``identity_groups``: names for people, in four languages. All their terms have weights, which the penalty drives
+together, so a neutral mention of a group carries no score of its own. Texts without such a term have no x', and
+where no labelled text has one the fit is that without the penalty.
 
 Defined cases: null and empty texts have no features and get the score of the intercept. Without labelled
 rows of both classes every score is 0. An id with several labels counts as toxic if one says so; several
@@ -141,29 +140,6 @@ def _count_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"bin": used, "toxic": toxic[used], "clean": clean[used]})
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Labelled texts that hold each word, by label."""
-    for pdf in batches:
-        rows, codes, names = split_words(pa.Array.from_pandas(pdf["text"], type=pa.large_string()), letters_only=True)
-        if names:
-            pairs = np.unique(rows * len(names) + codes)
-            hot = pdf["y"].to_numpy()[pairs // len(names)] > 0.5
-            toxic, clean = (np.bincount(pairs[x] % len(names), minlength=len(names)) for x in (hot, ~hot))
-            yield pd.DataFrame({"word": names, "toxic": toxic, "clean": clean})
-
-
-def neutral_terms(rows: DataFrame, n1: float, n0: float, most: int, min_share: float = 0.02, most_ratio: float = 1.0) -> list[list[str]]:
-    """Groups of eight of the ``most`` commonest words, in ``min_share`` of the texts at least, whose likelihood
-    ratio is ``most_ratio`` at most."""
-    counts = rows.mapInPandas(_count_words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    common = counts.where(F.col("toxic") + F.col("clean") >= min_share * (n1 + n0)).orderBy(F.desc(F.col("toxic") + F.col("clean")), "word").limit(16 * most).toPandas()
-    if common.empty:
-        return []
-    ratio = _likelihood_ratio(common["toxic"].to_numpy(), common["clean"].to_numpy(), n1, n0)
-    words = common["word"][ratio <= most_ratio].head(most).tolist()
-    return [g for i in range(0, len(words), 8) if len(g := words[i : i + 8]) > 1]
-
-
 def _likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
     """G statistic of each bin's 2x2 table: a of n1 toxic texts have it, b of n0 clean ones."""
     table = np.stack([a, b, n1 - a, n0 - b]).astype(float)
@@ -209,7 +185,6 @@ def train(
     max_rows: int = 10_000,
     n_features: int = 768,
     min_ratio: float = 10.83,
-    learned_terms: int = 64,
     counterfactual: float = 1.0,
     l2: float = 2e-4,
     steps: int = 600,
@@ -232,8 +207,6 @@ def train(
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -np.inf)
     ratio = _likelihood_ratio(counts["toxic"].to_numpy(), counts["clean"].to_numpy(), n1, n - n1)
     counts = counts.assign(ratio=ratio).sort_values(["ratio", "bin"], ascending=[False, True])
-    if learned_terms and counterfactual:
-        groups += neutral_terms(rows, n1, n - n1, learned_terms)
     identity = {b for g in groups for t in g for b in word_bins(t)}
     telling = counts[counts["ratio"] >= min_ratio]["bin"].head(n_features)
     chosen = np.array(sorted({*telling, *(identity & {*counts["bin"]})}), np.int64)
