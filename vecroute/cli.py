@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
 
 from pyspark.sql import SparkSession
@@ -19,6 +20,9 @@ from vecroute.sources.index import merge_indexes
 from vecroute.sources.vectors import read_vectors
 
 
+LOG = logging.getLogger("vecroute")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="vecroute")
     sub = p.add_subparsers(dest="command", required=True)
@@ -28,9 +32,12 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--datapath")
         c.add_argument("--result-dir")
         c.add_argument("--index-path")
+        c.add_argument("--log", help="a file of the driver's, to which its log goes as well")
         c.add_argument("--skip-sanity-checks", action="store_true", help="let settings pass that a run to be kept must not have")
         if name == "build":
             c.add_argument("--tree-index", type=int)
+            c.add_argument("--batch-train", type=_positive, help="rows of a block whose gradients are summed at once")
+            c.add_argument("--batch-tree-update", type=_positive, help="vectors that a task scores at once")
             c.add_argument("--diagnostics", action="store_true", help="try each cycle's router and tree on the queries")
             c.add_argument("--diagnostics-path", help="folder of the rows; <result dir>/cycle-diagnostics unless given")
             c.add_argument("--diagnostics-queries", type=_positive, help="so many queries; all unless given")
@@ -38,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
         elif name == "search":
             c.add_argument("--num-leaves", type=int, nargs="+")
             c.add_argument("--n-queries", type=int)
+            c.add_argument("--batch-search", type=_positive, help="queries that a task searches for at once")
     c = sub.add_parser("fetch", help="the first vectors of a large file, by ranges, resumed where it broke off")
     c.add_argument("source")
     c.add_argument("target")
@@ -110,10 +118,14 @@ def main(argv: list[str] | None = None) -> int:
             dataset__path=args.datapath, experiment__output_dir=args.result_dir,
             evaluation__num_leaves=getattr(args, "num_leaves", None), evaluation__num_queries=getattr(args, "n_queries", None),
         ).checked(args.skip_sanity_checks)
+        if args.log:
+            logging.basicConfig(filename=args.log, level=logging.INFO, format="%(asctime)s %(message)s", force=True)
+        if rows := getattr(args, "batch_tree_update", None) or getattr(args, "batch_search", None):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
         if args.skip_sanity_checks and cfg.problems():
-            print("note: unchecked settings:", *cfg.problems(), sep="\n  ", file=sys.stderr)
+            LOG.warning("note: unchecked settings: %s", "; ".join(cfg.problems()))
         for line in cfg.advice():
-            print("note:", line, file=sys.stderr)
+            LOG.warning("note: %s", line)
         index = args.index_path or f"{cfg.experiment.output_dir}/index"
         vectors = engine.load_database(spark, cfg)
         if args.command == "build":
@@ -121,7 +133,9 @@ def main(argv: list[str] | None = None) -> int:
             probe = engine.probe(spark, cfg, vectors, most=args.diagnostics_queries) if args.diagnostics else None
             sink = diagnostics_sink(spark, args.diagnostics_path or f"{out}/cycle-diagnostics") if args.diagnostics else None
             engine.write_run(spark, cfg, out)
-            engine.write_rows(spark, out, "build", engine.build(spark, cfg, vectors, index, args.tree_index, probe, sink, args.diagnostics_pairs if sink else None)["trees"])
+            changed = {"loss_pairs": args.diagnostics_pairs if sink else None, "block_rows": args.batch_train}
+            built = engine.build(spark, cfg, vectors, index, args.tree_index, probe, sink, **changed)
+            engine.write_rows(spark, out, "build", built["trees"])
         elif args.command == "estimate":
             found = estimate_runtime(vectors, cfg.train_settings(), cfg.model.num_trees, cfg.training.cycles() or 1)
             write_text(spark, f"{cfg.experiment.output_dir}/estimate.json", json.dumps(found, indent=1))

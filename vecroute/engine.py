@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import time
 from dataclasses import asdict, replace
@@ -20,6 +21,8 @@ from vecroute.operators.training import Probe, Sink, alternating_train
 from vecroute.sources import index as index_io
 from vecroute.sources.vectors import first_existing, normalise_truth, read_hdf5, read_vectors, truth_long
 
+LOG = logging.getLogger("vecroute")
+
 # Names under which data sets keep their files, in the order in which they are looked for.
 SUFFIXES = (".fvecs", ".fbin", ".f32bin", ".u8bin", ".i8bin", ".npy", ".hdf5", ".h5")
 QUERY_NAMES = ("queries", "query", "query.public.10K", "query.public.10k", "query.10K", "query.10k", "query.30K", "query.30k")
@@ -80,11 +83,12 @@ def tree_name(cfg: Config, tree: int) -> str:
     return f"tree-{tree}" if rules == ("round", "confidence") else f"tree-{tree}-{'-'.join(rules)}"
 
 
-def build(spark: SparkSession, cfg: Config, vectors: DataFrame, index_path: str, tree_index: int | None = None, probe: Probe | None = None, sink: Sink | None = None, loss_pairs: int | None = None) -> dict:
+def build(spark: SparkSession, cfg: Config, vectors: DataFrame, index_path: str, tree_index: int | None = None, probe: Probe | None = None, sink: Sink | None = None, **changed) -> dict:
     """Train the trees (or one of them) and save each below ``index_path`` as it is done; trees that are
-    there already are kept, so a run that broke off goes on. All trees there are become one index."""
+    there already are kept, so a run that broke off goes on. All trees there are become one index. ``changed``
+    are training settings in place of those of ``cfg``."""
     n = vectors.count()
-    settings = cfg.train_settings() if loss_pairs is None else replace(cfg.train_settings(), loss_pairs=loss_pairs)
+    settings = replace(cfg.train_settings(), **{name: value for name, value in changed.items() if value is not None})
     wanted = range(cfg.model.num_trees) if tree_index is None else [tree_index]
     log = []
     for t in wanted:
@@ -95,6 +99,7 @@ def build(spark: SparkSession, cfg: Config, vectors: DataFrame, index_path: str,
         router, paths, cycles = alternating_train(vectors, settings, t, probe, sink)
         meta = index_io.IndexMeta(cfg.model.branching_factor, cfg.model.tree_height, cfg.model.alpha, n, 1)
         index_io.save_index(paths.withColumn("tree_id", F.lit(0)), router.table(spark), meta, path)
+        LOG.info("tree %d: %d cycles in %.1f s, last loss %.4f", t, len(cycles), time.perf_counter() - began, cycles[-1]["loss"])
         log.append({"tree": t, "seconds": time.perf_counter() - began, "cycles": cycles})
     ready = [f"{index_path}/{tree_name(cfg, t)}" for t in range(cfg.model.num_trees)]
     if tree_index is None and not exists(spark, f"{index_path}/index"):

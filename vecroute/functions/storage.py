@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, a local one in local mode, and an error
+    on a cluster, whose machines share no temporary folder."""
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="vecroute-")
         spark.conf.set(CHECKPOINT_CONF, base)
     return f"{base.rstrip('/')}/vecroute/{name}-{uuid.uuid4().hex}"

@@ -128,8 +128,10 @@ class SharedRouter:
         return spark.createDataFrame([*rows, (tree_id, t.h, -1, [], 0.0, t.out_bias.tolist())], UNIT_SCHEMA)
 
 
-def fit_shared(pairs: DataFrame, k: int, h: int, hidden: int, max_iter: int, seed: int = 0, start: SharedRouter | None = None) -> SharedRouter:
-    """``pairs`` (embedding, path): the network that tells each branch of the path from vector and path so far."""
+def fit_shared(pairs: DataFrame, k: int, h: int, hidden: int, max_iter: int, seed: int = 0, start: SharedRouter | None = None, block_rows: int = 128) -> SharedRouter:
+    """``pairs`` (embedding, path): the network that tells each branch of the path from vector and path so far.
+
+    Gradients are summed over blocks of ``block_rows`` rows, as matrix products."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     if start is None:
         of = Summarizer.metrics("mean", "std").summary(array_to_vector(x))
@@ -148,7 +150,7 @@ def fit_shared(pairs: DataFrame, k: int, h: int, hidden: int, max_iter: int, see
     rows = pairs.select("path", scaled.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("depth"))
     rows = rows.select(array_to_vector(F.concat("x", *branch, hot(F.col("depth"), h))).alias("features"), F.get("path", F.col("depth")).cast("double").alias("label"))
     layers = [len(mean) + (h - 1) * k + h, hidden, k]
-    net = MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=seed, tol=1e-5)
+    net = MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=seed, tol=1e-5, blockSize=block_rows)
     if start is not None and start.layers == layers:
         net = net.setInitialWeights(Vectors.dense(start.flat))
     return SharedRouter(k, h, layers, net.fit(rows).weights.toArray(), mean, scale)

@@ -37,6 +37,7 @@ class TrainSettings:
     seed: int = 0
     max_iter: int = 60
     hidden: int = 64
+    block_rows: int = 128
     loss_pairs: int = 1_000_000
 
     def __post_init__(self):
@@ -63,7 +64,7 @@ def training_pairs(queries: DataFrame, neighbours: DataFrame, tree_paths: DataFr
 
 def fit_router(pairs: DataFrame, settings: TrainSettings, start: SharedRouter | None = None) -> SharedRouter:
     """The sum over levels of cross-entropy given the true path so far, all levels in one network."""
-    return fit_shared(pairs, settings.k, settings.h, settings.hidden, settings.max_iter, settings.seed, start)
+    return fit_shared(pairs, settings.k, settings.h, settings.hidden, settings.max_iter, settings.seed, start, settings.block_rows)
 
 
 def training_loss(router: SharedRouter, pairs: DataFrame) -> float:
