@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecroute.llm.common import materialise
+from vecroute.llm.common import materialise, release_memory
 from vecroute.llm.encode import worker_store
 from vecroute.llm.words import split_words
 
@@ -123,6 +123,7 @@ def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...], toke
         f.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         k, store = len(model.domains), worker_store(tokenizer_path)
         for b in batches:
             x, _ = features(b.column(text_col))
@@ -132,6 +133,7 @@ def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...], toke
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(c) for c in keep), pa.array(counts, pa.int64()), lists], names=[*keep, "__n_tokens", "__posterior"]
             )
+        release_memory()
 
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 
@@ -154,6 +156,7 @@ def _sum_up(members: DataFrame, k: int, steps: list[np.ndarray], floor: float) -
                 r = rates_of(p, steps, floor)
                 total += (r * n) @ p
                 gram += (p * (n * ((r > floor) | (not steps)))[:, None]).T @ p
+        release_memory()
         both = np.concatenate([total, gram.ravel()])
         yield pd.DataFrame({"i": np.arange(len(both)), "v": both})
 

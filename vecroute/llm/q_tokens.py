@@ -21,9 +21,9 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def token_output(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Write the token files of ``docs`` to the shared folder and digest what they hold."""
-    bound_batches(spark, BATCH, 8)
+def token_output(spark: SparkSession, docs: DataFrame, rows: int = BATCH, megabytes: int = 8) -> DataFrame:
+    """Write the token files of ``docs`` to the shared folder, in batches of so many rows and bytes, and digest what they hold."""
+    bound_batches(spark, rows, megabytes)
     path = shared_dir(spark, "tokens")
     write_token_files(docs, path, tokenizer_file("word_bpe_49k.json"), END_ID)
     return read_digests(spark, path)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vecroute.llm.common import release_memory
 from vecroute.llm.encode import worker_store
 
 # Settings of the Parquet writer.
@@ -45,11 +46,13 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str =
     schema = docs.select(*keep, F.array(F.lit(0)).alias("ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         store = worker_store(tokenizer_path)
         for b in batches:
             ids, offsets = store.encode(b.column(text_col), end_id)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], names=[*keep, "ids"])
+        release_memory()
 
     return docs.mapInArrow(run, schema)
 
