@@ -82,7 +82,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text counts as empty and has the end id alone; null ids come first; rows that repeat are all kept.
     """
-    return token_output(spark, docs.select("doc_id", "text"))
+    return token_output(spark, docs.select("doc_id", "text"), BATCH // 2, 4)  # as in mixing
 
 
 STAGES = [
