@@ -8,6 +8,8 @@ import statistics
 import struct
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,3 +205,31 @@ def test_recall(spark):
         assert got == pytest.approx([len({*a[:k]} & {*b[:k]}) / k for a, b in zip(results, truth, strict=True)])
     with pytest.raises(ValueError):
         metrics.recall_per_query(long(results), long(truth), 7)
+
+
+def test_vectors_meet_all_blocks_of_queries_as_one_row(spark, monkeypatch):
+    """A task gets each vector once and each block of queries once, whatever the number of blocks."""
+
+    def count(*_):
+        def run(batches):
+            n = sum(b.num_rows for b in batches)
+            yield pa.RecordBatch.from_pydict({"query_id": [0], "vec_id": [n], "distance": [0.0], "strict": [True]})
+
+        return run
+
+    _, _, v, q = frames(spark, made(23, n=70)[0], [], {(0, ()): [([0.0], 0.0)]}, made(24, n=60)[0])
+    monkeypatch.setattr(knn, "_nearest", count)
+    rows = sum(r["vec_id"] for r in knn.exact_knn(q, v.repartition(2), 9, query_block=2).collect())
+    assert rows == 70 + 2 * 30
+
+
+def test_bound_of_blocks_before_loses_no_neighbour():
+    rng = np.random.default_rng(1)
+    q, v = rng.integers(0, 3, (7, 4)).astype(float), rng.integers(0, 3, (200, 4)).astype(float)  # many ties
+    for metric in ("euclidean", "angular", "inner_product"):
+        one = list(zip(*knn.block_top_k(q, v, np.arange(200), 5, metric), strict=True))
+        bound, parts = np.full(7, np.inf), []
+        for a in range(0, 200, 20):
+            parts += zip(*knn.block_top_k(q, v[a : a + 20], np.arange(a, a + 20), 5, metric, bound), strict=True)
+        near = sorted(parts, key=lambda x: (x[0], round(x[2], 9), x[1]))
+        assert [x[:2] for x in one] == [x[:2] for i in range(7) for x in [y for y in near if y[0] == i][:5]]

@@ -25,19 +25,31 @@ def pair_distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.
     return np.sqrt(((vectors - queries) ** 2).sum(axis=1))
 
 
-def block_top_k(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_top_k(
+    queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, metric: str, bound: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, distance) of each query's nearest ``k`` of a block; ties go to the lower id.
 
     One matrix product ranks all pairs up to rounding; those within reach of the k-th are measured anew.
+    ``bound`` is each query's reach in the blocks before, infinite at first, and is lowered to that of this one:
+    what lies beyond it isn't returned.
     """
-    rough = -(queries @ vectors.T)
+    if metric == "euclidean":
+        rough = (-2 * queries) @ vectors.T
+        rough += (vectors**2).sum(axis=1)[None, :]
+    else:
+        rough = -queries @ vectors.T
     if metric in ("angular", "cosine"):
-        length = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(vectors, axis=1)[None, :]
-        rough = np.divide(rough, length, out=np.zeros_like(length), where=length > 0)
-    elif metric == "euclidean":
-        rough = (vectors**2).sum(axis=1)[None, :] + 2 * rough
-    reach = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
-    row, col = np.nonzero(rough <= (reach + 1e-9 * (1 + np.abs(rough).max()))[:, None])
+        for norm in (np.linalg.norm(queries, axis=1)[:, None], np.linalg.norm(vectors, axis=1)[None, :]):
+            rough *= np.divide(1.0, norm, out=np.zeros_like(norm), where=norm > 0)
+    slack = 1e-9 * (1 + max(rough.max(), -rough.min()))
+    reach = np.full(len(queries), np.inf) if bound is None else bound
+    inside = rough <= (reach + slack)[:, None]
+    many = np.flatnonzero(inside.sum(axis=1) > k)
+    if len(many):
+        reach[many] = np.minimum(reach[many], np.partition(rough[many], k - 1, axis=1)[:, k - 1])
+        inside[many] = rough[many] <= (reach[many] + slack)[:, None]
+    row, col = np.nonzero(inside)
     exact = pair_distances(queries[row], vectors[col], metric)
     order = np.lexsort((ids[col], np.round(exact, 9), row))
     row, col, exact = row[order], col[order], exact[order]
@@ -46,76 +58,161 @@ def block_top_k(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: in
     return row[keep], ids[col[keep]], exact[keep]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each Arrow batch as one row: the ids, and the matrix as bytes in single precision."""
-    for b in batches:
-        if b.num_rows:
-            m = matrix_of(b.column(1))
-            ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0).cast(pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([m.shape[1]], pa.int32()), pa.array([m.astype("<f4").tobytes()], pa.binary())], names=["ids", "width", "data"])
+#: Pairs that are ranked at once, in double precision: 16 MB a matrix.
+PAIRS = 1 << 21
 
 
-def exact_knn(
-    queries: DataFrame, vectors: DataFrame, k: int, metric: str = "euclidean", query_block: int | None = None,
+def _raw_matrix(lists: pa.Array) -> np.ndarray:
+    """``matrix_of`` in the precision that the column has."""
+    if lists.type.value_type != pa.float32():
+        return matrix_of(lists)
+    if lists.null_count or len(lists.value_lengths().unique()) > 1:
+        raise ValueError("vectors must all have one width, and none may be null")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _cells(cells: pa.Array) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The distinct lists of a column with the rows that hold each."""
+    rows: dict[tuple, list[int]] = {}
+    for i, cell in enumerate(cells.to_pylist()):
+        rows.setdefault(tuple(cell), []).append(i)
+    for cell, held in rows.items():
+        yield cell, np.array(held)
+
+
+def _nearest(blocks: int, k: int, metric: str, least: int | None):
+    """The best ``k`` of each query among a partition's vectors; the queries' ``blocks`` come first.
+
+    With ``least``, a query meets the vectors whose cell has a leaf that it probes, and ``strict`` says if it
+    probes ``least`` of them; others are of use only to a query that has none of those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        came, parts, probing = 0, [], []
+        q, names, seen, bounds, by_leaf = None, None, None, {}, {}
+        held: list[tuple] = []
+        rows = 0
+
+        def reduced() -> tuple:
+            one, ids, d, strict = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((ids, np.round(d, 9), ~strict, one))
+            one, ids, d, strict = one[order], ids[order], d[order], strict[order]
+            keep = (np.arange(len(one)) - np.searchsorted(one, one) < k) & (strict | ~seen[one])
+            return one[keep], ids[keep], d[keep], strict[keep]
+
+        def meet(asked: np.ndarray, m: np.ndarray, ids: np.ndarray, strict: bool) -> None:
+            nonlocal rows
+            for a in range(0, len(m), 1 << 14):
+                near, own = m[a : a + (1 << 14)].astype(float), ids[a : a + (1 << 14)]
+                step = max(1, PAIRS // len(near))
+                for c in range(0, len(asked), step):
+                    part = asked[c : c + step]
+                    bound = bounds[strict][part]
+                    row, found, d = block_top_k(q[part].astype(float), near, own, k, metric, bound)
+                    bounds[strict][part] = bound
+                    held.append((part[row], found, d, np.full(len(row), strict)))
+                    rows += len(row)
+                    if rows > 1 << 20:
+                        held[:] = [reduced()]
+                        rows = len(held[0][0]) // 2  # so that a large state isn't sorted at every step
+
+        for b in batches:
+            block = b.column(0).to_numpy()
+            for i in np.flatnonzero(block >= 0):
+                came += 1
+                asked = b.column(1)[int(i)].values
+                if asked is not None and len(asked):
+                    parts.append((asked.field("query_id").to_numpy().copy(), _raw_matrix(asked.field("embedding")).copy()))
+                    probing += asked.field("probed").to_pylist() if least is not None else []
+            mine = b.filter(pa.array(block < 0))
+            if not mine.num_rows:
+                continue
+            if came != blocks:
+                raise ValueError(f"{came} of {blocks} blocks of queries came before the vectors")
+            if q is None and parts:
+                names, q = (np.concatenate(x) for x in zip(*parts, strict=True))
+                parts, seen = [], np.zeros(len(names), bool)
+                bounds = {strict: np.full(len(names), np.inf) for strict in (True, False)}
+                lengths = [len(x) for x in probing]
+                leaf = np.fromiter((x for own in probing for x in own), np.int64, sum(lengths))
+                order = np.argsort(leaf, kind="stable")
+                leaf, owner, probing = leaf[order], np.repeat(np.arange(len(lengths)), lengths)[order], []
+                starts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]]) if len(leaf) else []
+                by_leaf = {int(leaf[x]): y for x, y in zip(starts, np.split(owner, starts[1:]), strict=True)} if len(leaf) else {}
+            if q is None:
+                continue
+            m, ids = _raw_matrix(mine.column(3)), mine.column(2).to_numpy()
+            if q.shape[1] != m.shape[1]:
+                raise ValueError(f"queries of width {q.shape[1]}, vectors of width {m.shape[1]}")
+            if least is None:
+                meet(np.arange(len(q)), m, ids, True)
+                continue
+            weak = []
+            for cell, near in _cells(mine.column(4)):
+                owners = [by_leaf[x] for x in cell if x in by_leaf]
+                if not owners:
+                    continue
+                asked, times = np.unique(np.concatenate(owners), return_counts=True)
+                enough = asked[times >= least]
+                seen[enough] = True
+                if len(enough):
+                    meet(enough, m[near], ids[near], True)
+                if least > 1:
+                    weak.append((asked[times < least], near))
+            for asked, near in weak:
+                asked = asked[~seen[asked]]
+                if len(asked):
+                    meet(asked, m[near], ids[near], False)
+        if held:
+            one, ids, d, strict = reduced()
+            for a in range(0, len(one), 65_536):
+                z = slice(a, a + 65_536)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[one[z]], ids[z], d[z], strict[z])], names=["query_id", "vec_id", "distance", "strict"])
+
+    return run
+
+
+def nearest_in_blocks(
+    queries: DataFrame, vectors: DataFrame, k: int, metric: str = "euclidean", least: int | None = None, query_block: int | None = None,
     broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """(query_id, rank from 0, vec_id, distance): ties go to the lower id.
-
-    ``queries`` (query_id, embedding), ``vectors`` (vec_id, embedding). Vectors are packed into blocks;
-    each block meets each block of queries in one task, which keeps the best ``k`` of all that it sees, and a
-    window takes the best of those. Query blocks (of 16 MB unless ``query_block`` says how many rows) are
-    dealt by a hash of the id and broadcast, so vectors are never shuffled or copied: queries whose measured
-    size is within ``broadcast_bytes`` in one pass over the vectors, more in waves of that size, each a pass
-    whose results are written before the next. Null vectors and differing widths are errors.
+    """(query_id, rank from 0, vec_id, distance): each query's nearest ``k``; ties of nine digits go to the lower id.
+
+    ``queries`` (query_id, embedding), ``vectors`` (vec_id, embedding). With ``least``, queries have ``probed``
+    and vectors ``cell``, lists of leaves: a query meets the vectors with at least ``least`` leaves that it
+    probes or, if there is none, those with any.
+
+    Queries are dealt into blocks by a hash of the id (16 MB, unless ``query_block`` says how many rows) and
+    broadcast. The first row of each partition of vectors brings the blocks to the task, once, so neither
+    queries nor vectors are repeated; the task keeps the best ``k``, and a window takes the best of those.
+    Queries whose measured size is within ``broadcast_bytes`` take one pass over the vectors, more take waves
+    of that size, whose results are written before the next.
     """
     if metric not in DENSE:
         raise ValueError(f"{metric!r} can't be mined; one of {', '.join(DENSE)}")
     if k < 1:
         raise ValueError("k must be positive")
-    asked_rows, width = queries.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    listed = [] if least is None else ["probed"]
+    wide = F.size("embedding") + (F.lit(0) if least is None else 2 * F.size("probed"))
+    asked_rows, width = queries.agg(F.count("*"), F.max(wide)).first()
     size = asked_rows * max(1, width or 1) * 4
     n = max(1, -(-asked_rows // query_block) if query_block else -(-size // (16 << 20)))
     block = F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("block")
-    asked = queries.select(block, "query_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    asked = asked.groupBy("block").agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))
-    packed = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(_pack, "ids array<long>, width int, data binary")
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def reduced() -> tuple:
-            q, v, d = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((v, np.round(d, 9), q))
-            q, v, d = q[order], v[order], d[order]
-            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-            return q[keep], v[keep], d[keep]
-
-        rows = 0
-        for b in batches:
-            for ids, wide, data, asked in zip(b.column("ids"), b.column("width"), b.column("data"), b.column("asked"), strict=True):
-                q, names = matrix_of(asked.values.field("embedding")), asked.values.field("query_id").to_numpy()
-                m = np.frombuffer(data.as_py(), "<f4").reshape(-1, wide.as_py()).astype(float)
-                if q.shape[1] != m.shape[1]:
-                    raise ValueError(f"queries of width {q.shape[1]}, vectors of width {m.shape[1]}")
-                near = ids.values.to_numpy()
-                for a in range(0, len(q), 1024):
-                    row, found, distance = block_top_k(q[a : a + 1024], m, near, k, metric)
-                    held.append((names[a + row], found, distance))
-                    rows += len(row)
-                if rows > 1 << 20:
-                    held[:] = [reduced()]
-                    rows = len(held[0][0]) // 2  # so that a large state isn't sorted at every step
-        if held:
-            q, v, d = reduced()
-            for a in range(0, len(q), 65_536):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 65_536]) for x in (q, v, d)], names=["query_id", "vec_id", "distance"])
+    asked = queries.select(block, F.struct("query_id", "embedding", *listed).alias("q"))
+    asked = asked.groupBy("block").agg(F.collect_list("q").alias("asked"))
+    rows = vectors.select("vec_id", "embedding", *([] if least is None else ["cell"]))
+    rows = rows.withColumn("__first", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0)
+    schema = "query_id long, vec_id long, distance double, strict boolean"
 
     def wave(first: int, last: int) -> DataFrame:
-        """Results of the queries of some blocks, which meet each block of vectors in turn."""
         near = asked.where(F.col("block").between(first, last - 1))
-        pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(first), F.lit(last - 1)))).join(F.broadcast(near), "block")
-        found = pairs.select("ids", "width", "data", "asked").mapInArrow(best, "query_id long, vec_id long, distance double")
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id"))
-        return found.withColumn("rank", (place - 1).cast("int")).where(F.col("rank") < k).select("query_id", "rank", "vec_id", "distance")
+        brings = F.concat(F.sequence(F.lit(first), F.lit(last - 1)), F.array(F.lit(-1)))
+        led = rows.withColumn("block", F.explode(F.when(F.col("__first"), brings).otherwise(F.array(F.lit(-1)))))
+        led = led.join(F.broadcast(near), "block", "left").select("block", "asked", "vec_id", "embedding", *([] if least is None else ["cell"]))
+        found = led.mapInArrow(_nearest(last - first, k, metric, least), schema)
+        own = Window.partitionBy("query_id")
+        place = F.row_number().over(own.orderBy(F.desc("strict"), F.round("distance", 9), "vec_id"))
+        found = found.withColumn("rank", (place - 1).cast("int")).withColumn("__top", F.max("strict").over(own))
+        return found.where((F.col("rank") < k) & (F.col("strict") == F.col("__top"))).select("query_id", "rank", "vec_id", "distance")
 
     if size <= broadcast_bytes:
         return wave(0, n)
@@ -127,6 +224,15 @@ def exact_knn(
     return out
 
 
+def exact_knn(
+    queries: DataFrame, vectors: DataFrame, k: int, metric: str = "euclidean", query_block: int | None = None,
+    broadcast_bytes: int = 64 << 20,
+) -> DataFrame:
+    """``nearest_in_blocks`` among all vectors, in single precision. Null vectors and differing widths are errors."""
+    single = F.col("embedding").cast("array<float>").alias("embedding")
+    return nearest_in_blocks(queries.select("query_id", single), vectors.select("vec_id", single), k, metric, None, query_block, broadcast_bytes)
+
+
 def sample_ids(vectors: DataFrame, n: int, seed: int) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer), by the order of a seeded hash of their ids.
 
