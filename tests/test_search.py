@@ -233,3 +233,25 @@ def test_bound_of_blocks_before_loses_no_neighbour():
             parts += zip(*knn.block_top_k(q, v[a : a + 20], np.arange(a, a + 20), 5, metric, bound), strict=True)
         near = sorted(parts, key=lambda x: (x[0], round(x[2], 9), x[1]))
         assert [x[:2] for x in one] == [x[:2] for i in range(7) for x in [y for y in near if y[0] == i][:5]]
+
+
+@pytest.mark.parametrize("seed, n_trees, leaves, least", [(31, 1, 1, 1), (32, 2, 2, 1), (33, 2, 1, 2), (34, 3, 3, 2), (35, 3, 2, 3)])
+def test_cells_tell_the_candidates_of_leaves(spark, monkeypatch, seed, n_trees, leaves, least):
+    """Candidates, their numbers and their nearest, by cells, in one lot and in many, as by pairs."""
+    vectors, paths, router = made(seed, n_trees=n_trees)
+    r, t, v, q = frames(spark, vectors, paths, router, made(seed + 100, n=6)[0])
+    beam = search.materialise(search.beam_search(q, r, K, H, leaves), "beam")
+    counts = Counter((x["query_id"], x["vec_id"]) for x in beam.join(t, ["tree_id", "leaf_id"]).collect())
+    best = {i: max([n for (j, _), n in counts.items() if j == i], default=0) for i in range(6)}
+    want = sorted((i, j, n) for (i, j), n in counts.items() if n >= least or best[i] < least)
+    cells = search.vector_cells(t)
+    for lot in (4096, 2):
+        monkeypatch.setattr(search, "LOT", lot)
+        assert sorted(tuple(x) for x in search.probed_candidates(beam, cells, n_trees, least).collect()) == want
+        assert sorted((x["query_id"], x["vec_id"]) for x in search.leaf_lookup(beam, t).collect()) == sorted(counts.elements())
+    numbers = {x["query_id"]: x["n_candidates"] for x in search.probed_counts(beam, cells, q, n_trees, least).collect()}
+    assert numbers == {i: sum(1 for x in want if x[0] == i) for i in range(6)}
+    pairs = spark.createDataFrame(want, "query_id long, vec_id long, n_trees int")
+    for metric in ("euclidean", "angular"):
+        near = search.rerank_probed(beam, search.by_cell(v, cells), q, n_trees, least, 5, metric)
+        assert sorted(map(tuple, near.collect())) == sorted(map(tuple, search.rerank(pairs, q, v, 5, metric).collect()))

@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecroute.functions.distance import DENSE, matrix_of
 from vecroute.functions.distance import metric as metric_of
 from vecroute.functions.paths import path_to_leaf
 from vecroute.functions.storage import materialise
-from vecroute.operators.knn import pair_distances
+from vecroute.operators.knn import nearest_in_blocks, pair_distances
 from vecroute.operators.router import ROUTER_BYTES, LinearTree, log_softmax, logits, router_trees
 from vecroute.operators.shared_router import SharedTree
 
@@ -112,9 +112,90 @@ def beam_search(
     )
 
 
+#: Members of a leaf or cell are joined to the queries that want them in lots of about this size.
+LOT = 4096
+
+
+def _in_lots(wanted: DataFrame, members: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """``wanted`` joined to ``members`` (vec_id, ...) by ``keys``; ``sizes`` has the number ``n`` of members by key.
+
+    A lot is a key's members of one hash, so that the rows of a large key come from many tasks."""
+    lots = sizes.select(*keys, F.ceil(F.col("n") / LOT).cast("long").alias("__lots"))
+    dealt = members.join(lots, keys).withColumn("__lot", F.pmod(F.xxhash64("vec_id"), F.col("__lots"))).drop("__lots")
+    spread = wanted.join(lots, keys).withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__lots") - 1))).drop("__lots")
+    return spread.join(dealt, [*keys, "__lot"]).drop("__lot")
+
+
 def leaf_lookup(probes: DataFrame, tree_paths: DataFrame) -> DataFrame:
     """(query_id, tree_id, vec_id) of the members of probed leaves; an empty leaf has no rows."""
-    return probes.join(tree_paths.select("tree_id", "leaf_id", "vec_id"), ["tree_id", "leaf_id"]).select("query_id", "tree_id", "vec_id")
+    members = tree_paths.select("tree_id", "leaf_id", "vec_id")
+    sizes = members.groupBy("tree_id", "leaf_id").agg(F.count("*").alias("n"))
+    wanted = probes.select("query_id", "tree_id", "leaf_id")
+    return _in_lots(wanted, members, ["tree_id", "leaf_id"], sizes).select("query_id", "tree_id", "vec_id")
+
+
+def leaf_code(tree: Column, leaf: Column) -> Column:
+    """One number for a tree's leaf."""
+    return F.shiftleft(tree.cast("long"), 44).bitwiseOR(leaf.cast("long"))
+
+
+def vector_cells(tree_paths: DataFrame) -> DataFrame:
+    """(vec_id, cell): the leaves that hold each vector, written. Vectors of one cell meet the same queries."""
+    code = leaf_code(F.col("tree_id"), F.col("leaf_id"))
+    return materialise(tree_paths.groupBy("vec_id").agg(F.sort_array(F.collect_list(code)).alias("cell")), "cells")
+
+
+def probed_cells(probes: DataFrame, cells: DataFrame, n_trees: int, min_trees: int | None = None) -> DataFrame:
+    """(query_id, cell, n_trees, n): cells whose ``n`` vectors are a query's candidates, as of ``select_candidates``.
+
+    Its rows are those of queries and cells, not of queries and vectors."""
+    least = check_min_trees(min_trees, n_trees)
+    kinds = cells.groupBy("cell").agg(F.count("*").alias("n"))
+    asked = probes.select("query_id", leaf_code(F.col("tree_id"), F.col("leaf_id")).alias("__code"))
+    met = kinds.withColumn("__code", F.explode("cell")).join(asked, "__code")
+    hit = met.groupBy("query_id", "cell").agg(F.count("*").cast("int").alias("n_trees"), F.first("n").alias("n"))
+    if least == 1:
+        return hit
+    top = F.max("n_trees").over(Window.partitionBy("query_id"))
+    return hit.withColumn("__top", top).where((F.col("n_trees") >= least) | (F.col("__top") < least)).drop("__top")
+
+
+def probed_candidates(probes: DataFrame, cells: DataFrame, n_trees: int, min_trees: int | None = None) -> DataFrame:
+    """``select_candidates`` of the members of the probed leaves, without a row a query, tree and vector."""
+    wanted = probed_cells(probes, cells, n_trees, min_trees).select("query_id", "cell", "n_trees")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
+    return _in_lots(wanted, cells, ["cell"], sizes).select("query_id", "vec_id", "n_trees")
+
+
+def probed_counts(probes: DataFrame, cells: DataFrame, queries: DataFrame, n_trees: int, min_trees: int | None = None) -> DataFrame:
+    """(query_id, n_candidates) of ``probed_candidates``, 0 for queries without any."""
+    counts = probed_cells(probes, cells, n_trees, min_trees).groupBy("query_id").agg(F.sum("n").alias("n"))
+    return queries.select("query_id").join(counts, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n_candidates"))
+
+
+def by_cell(vectors: DataFrame, cells: DataFrame) -> DataFrame:
+    """``vectors`` with their cells, those of a cell side by side, written."""
+    return side_by_side(cells.join(vectors.select("vec_id", "embedding"), "vec_id"))
+
+
+def side_by_side(rows: DataFrame) -> DataFrame:
+    """(vec_id, cell, embedding) by ranges of the cell, written."""
+    return materialise(rows.select("vec_id", "cell", "embedding").repartitionByRange("cell", "vec_id").sortWithinPartitions("cell"), "by-cell")
+
+
+def rerank_probed(
+    probes: DataFrame, celled: DataFrame, queries: DataFrame, n_trees: int, min_trees: int | None, top_k: int, metric: str = "euclidean"
+) -> DataFrame:
+    """``rerank`` of ``probed_candidates``, by matrix products of cells and the queries that probe them.
+
+    ``celled``: vectors as of ``by_cell``. No pair is a row, or leaves its task, but for a task's best."""
+    least = check_min_trees(min_trees, n_trees)
+    if metric not in DENSE:
+        cells = celled.select("vec_id", "cell")
+        return rerank(probed_candidates(probes, cells, n_trees, least), queries, celled, top_k, metric)
+    open_ = probes.groupBy("query_id").agg(F.collect_list(leaf_code(F.col("tree_id"), F.col("leaf_id"))).alias("probed"))
+    asked = materialise(queries.select("query_id", "embedding").join(open_, "query_id"), "asked")
+    return nearest_in_blocks(asked, celled, top_k, metric, least).withColumn("distance", F.round("distance", 9))
 
 
 def select_candidates(members: DataFrame, n_trees: int, min_trees: int | None = None) -> DataFrame:
@@ -200,9 +281,10 @@ def search(
     beam_size: int, top_k: int = 10, num_leaves: int | None = None, min_trees: int | None = None, metric: str = "euclidean",
 ) -> tuple[DataFrame, DataFrame]:
     """(results, candidates) of the whole query operator."""
-    probes = beam_search(queries, router, k, h, beam_size, num_leaves)
-    candidates = select_candidates(leaf_lookup(probes, tree_paths), n_trees, min_trees)
-    return rerank(candidates, queries, vectors, top_k, metric), candidates
+    probes = materialise(beam_search(queries, router, k, h, beam_size, num_leaves), "beam")
+    cells = vector_cells(tree_paths)
+    results = rerank_probed(probes, by_cell(vectors, cells), queries, n_trees, min_trees, top_k, metric)
+    return results, probed_candidates(probes, cells, n_trees, min_trees)
 
 
 def to_wide(results: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
