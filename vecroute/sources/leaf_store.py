@@ -2,18 +2,18 @@
 
 A store is Parquet, split by tree and by runs of leaves into folders, sorted by leaf within files of small row
 groups. A read for some leaves is pruned twice: by folder, and by row group and page on the leaf. Each tree
-has a copy of the vectors; a candidate's vector is read from the tree whose leaf came first in its beam.
+has a copy of the vectors; a candidate's vector is read from the first tree in which its leaf is probed.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecroute.functions.storage import materialise, write_text
-from vecroute.operators.search import beam_search, check_min_trees
+from vecroute.operators.search import beam_search, check_min_trees, leaf_code, probed_candidates, probed_cells, rerank_probed, side_by_side
 
 #: Folders of a tree at most.
 PARTS = 256
@@ -53,29 +53,18 @@ def read_leaves(spark: SparkSession, path: str, probed: DataFrame) -> DataFrame:
     return rows.drop("part").join(wanted, ["tree_id", "leaf_id"], "left_semi")
 
 
-def store_candidates(spark: SparkSession, path: str, probes: DataFrame, n_trees: int, min_trees: int | None = None) -> DataFrame:
-    """(query_id, vec_id, tree_id, leaf_id): candidates as of ``search.select_candidates``, with the leaf to read them from."""
-    least = check_min_trees(min_trees, n_trees)
-    ids = read_leaves(spark, path, probes).select("tree_id", "leaf_id", "vec_id")  # embeddings aren't read here
-    held = probes.select("query_id", "tree_id", "leaf_id", "leaf_rank").join(ids, ["tree_id", "leaf_id"])
-    where = F.min(F.struct("leaf_rank", "tree_id", "leaf_id")).alias("w")
-    found = held.groupBy("query_id", "vec_id").agg(F.count("*").alias("n"), where)
-    if least > 1:
-        top = F.max("n").over(Window.partitionBy("query_id"))
-        found = found.withColumn("top", top).where((F.col("n") >= least) | (F.col("top") < least))
-    return found.select("query_id", "vec_id", "w.tree_id", "w.leaf_id")
-
-
 def search_store(
     queries: DataFrame, router: DataFrame, path: str, k: int, h: int, n_trees: int, beam_size: int, top_k: int = 10, num_leaves: int | None = None,
     min_trees: int | None = None, metric: str = "euclidean",
 ) -> tuple[DataFrame, DataFrame]:
     """(results, candidates) as of ``search.search``, from a store: vectors of leaves that no query probes aren't read."""
-    from vecroute.operators.search import rerank_rows
-
-    spark = queries.sparkSession
+    spark, least = queries.sparkSession, check_min_trees(min_trees, n_trees)
     probes = materialise(beam_search(queries, router, k, h, beam_size, num_leaves), "probes")
-    found = materialise(store_candidates(spark, path, probes, n_trees, min_trees), "candidates")
-    stored = read_leaves(spark, path, found)
-    pairs = found.join(stored, ["tree_id", "leaf_id", "vec_id"]).select("query_id", "vec_id", "embedding")
-    return rerank_rows(pairs, queries, top_k, metric), found.select("query_id", "vec_id")
+    ids = read_leaves(spark, path, probes).select("tree_id", "leaf_id", "vec_id")  # embeddings aren't read here
+    code, first = leaf_code(F.col("tree_id"), F.col("leaf_id")), F.min(F.struct("tree_id", "leaf_id")).alias("w")
+    cells = materialise(ids.groupBy("vec_id").agg(F.sort_array(F.collect_list(code)).alias("cell"), first), "cells")
+    held = probed_cells(probes, cells, n_trees, least).select("cell").distinct()
+    found = materialise(cells.join(held, "cell", "left_semi").select("vec_id", "cell", "w.tree_id", "w.leaf_id"), "found")
+    rows = found.join(read_leaves(spark, path, found), ["tree_id", "leaf_id", "vec_id"])
+    results = rerank_probed(probes, side_by_side(rows), queries, n_trees, least, top_k, metric)
+    return results, probed_candidates(probes, cells.select("vec_id", "cell"), n_trees, least).select("query_id", "vec_id")
