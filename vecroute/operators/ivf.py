@@ -7,8 +7,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecroute.functions.storage import materialise
 from vecroute.operators.knn import exact_knn
-from vecroute.operators.search import rerank
+from vecroute.operators.search import by_cell, rerank_probed, vector_cells
 
 
 def build_ivf(vectors: DataFrame, n_lists: int, seed: int = 0, max_iter: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -26,4 +27,8 @@ def search_ivf(queries: DataFrame, vectors: DataFrame, lists: DataFrame, centroi
     near = exact_knn(queries, lists_as_vectors, n_probe, "inner_product" if metric == "inner_product" else "euclidean")
     probes = near.select("query_id", F.col("vec_id").cast("int").alias("list_id"))
     members = probes.join(lists, "list_id").select("query_id", "vec_id")
-    return rerank(members, queries, vectors, top_k, metric), members
+    # lists are the leaves of one tree
+    leaf = F.col("list_id").cast("long").alias("leaf_id")
+    opened = materialise(probes.select("query_id", F.lit(0).alias("tree_id"), leaf), "probes")
+    cells = vector_cells(lists.select(F.lit(0).alias("tree_id"), leaf, "vec_id"))
+    return rerank_probed(opened, by_cell(vectors, cells), queries, 1, 1, top_k, metric), members
