@@ -16,7 +16,7 @@ from vecroute.functions.distance import l2_normalize
 from vecroute.functions.storage import exists, materialise, write_text
 from vecroute.operators import knn, metrics
 from vecroute.operators.experiments import executor_peaks
-from vecroute.operators.search import beam_search
+from vecroute.operators.search import beam_search, vector_cells
 from vecroute.operators.training import Probe, Sink, alternating_train
 from vecroute.sources import index as index_io
 from vecroute.sources.vectors import first_existing, normalise_truth, read_hdf5, read_vectors, truth_long
@@ -123,19 +123,20 @@ def sweep(spark: SparkSession, cfg: Config, vectors: DataFrame, queries: DataFra
     leaves_of = sorted(set(e.num_leaves))
     asked, rows = queries.count(), []
     began = time.perf_counter()
-    results, found = metrics.sweep_results(beam, paths, queries, vectors, leaves_of, m.num_trees, top_k, e.min_trees, cfg.metric())
+    results, _ = metrics.sweep_results(beam, paths, queries, vectors, leaves_of, m.num_trees, top_k, e.min_trees, cfg.metric())
     results = materialise(results, "results")
     seconds_all = time.perf_counter() - began
     budgets = spark.createDataFrame([(x,) for x in leaves_of], "num_leaves int")
     per_query = materialise(metrics.recall_per_query(results, real, top_k, budgets), "recall")
     recalls = {r["num_leaves"]: r for r in metrics.recall_stats(per_query, ["num_leaves"]).collect()}  # a row a budget
-    held = found.select("query_id", F.explode("budgets").alias("num_leaves")).groupBy("num_leaves", "query_id").agg(F.count("*").alias("n"))
-    sums = {r["num_leaves"]: r for r in held.groupBy("num_leaves").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")).collect()}
-    pairs = max(1, found.count())
+    held = metrics.sweep_counts(beam, vector_cells(paths), queries, leaves_of, m.num_trees, e.min_trees)
+    n = F.col("n_candidates")
+    sums = {r["num_leaves"]: r for r in held.groupBy("num_leaves").agg(F.sum(n).alias("n"), F.sum(n * n).alias("squares")).collect()}
+    pairs = max(1, sum(r["n"] for r in sums.values()))
     for leaves in leaves_of:
         recall, n, squares = recalls[leaves], *((sums[leaves]["n"], sums[leaves]["squares"]) if leaves in sums else (0, 0))
         counts = {"mean": n / asked, "std": max(0.0, squares / asked - (n / asked) ** 2) ** 0.5}
-        # one pass measures all budgets: a budget has the share of its time that it has of the pairs
+        # budgets are measured together: each has the share of the time that it has of the pairs
         seconds = seconds_all * n / pairs + timed["median"]
         one, all_ = metrics.candidate_bounds(meta.n, m.num_trees, meta.k, meta.h, leaves)
         rows.append({

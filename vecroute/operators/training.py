@@ -103,11 +103,11 @@ def probe_cycle(probe: Probe, router: SharedRouter, paths: DataFrame, vectors: D
     """Recall and mean candidates of one tree with a router, and the number of queries."""
     queries, truth = probe.tried()
     weights = router.table(vectors.sparkSession, tree_id)
-    beam = search.beam_search(queries, weights, settings.k, settings.h, probe.beam_size, probe.num_leaves)
-    found = materialise(search.select_candidates(search.leaf_lookup(beam, paths), 1), "candidates")
-    ranked = search.rerank(found, queries, vectors, probe.top_k, settings.metric)
+    beam = materialise(search.beam_search(queries, weights, settings.k, settings.h, probe.beam_size, probe.num_leaves), "beam")
+    cells = search.vector_cells(paths)
+    ranked = search.rerank_probed(beam, search.by_cell(vectors, cells), queries, 1, 1, probe.top_k, settings.metric)
     recall, n = metrics.recall_per_query(ranked, truth, probe.top_k).agg(F.avg("recall"), F.count("*")).first()
-    mean = metrics.candidate_counts(found, queries).agg(F.avg("n_candidates")).first()[0]
+    mean = search.probed_counts(beam, cells, queries, 1).agg(F.avg("n_candidates")).first()[0]
     return {"recall": recall, "mean_candidates": mean, "queries": n}
 
 
