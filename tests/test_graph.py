@@ -1,6 +1,7 @@
 """The neighbour graph and its walks, the leaf store and sweeps, against exact and plain versions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,13 @@ def test_sweep_equals_single_runs(spark, n_trees, least):
         own = results.where(F.col("num_leaves") == m)
         assert rows[m]["recall"] == pytest.approx(metrics.recall_per_query(own, truth, 5).agg(F.avg("recall")).first()[0])
         assert rows[m]["mean_candidates"] == pytest.approx(found.where(F.array_contains("budgets", m)).count() / 7)
+
+
+def test_pairs_are_handed_on_by_a_few_lists():
+    """A batch's pairs, many times the batch, don't wait for one another."""
+    rng = np.random.default_rng(5)
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("fresh", pa.bool_()), ("worst", pa.float64()), ("embedding", pa.list_(pa.float32()))]))
+    lists = [[{"id": 5 * i + j, "fresh": True, "worst": 9e9, "embedding": list(rng.normal(size=3))} for j in range(5)] for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, kind)], names=["list"])
+    out = list(graph._tried("euclidean")(iter([batch])))
+    assert max(b.num_rows for b in out) <= 64 * 20 and sum(b.num_rows for b in out) == 200 * 20

@@ -42,6 +42,14 @@ def first_links(vectors: DataFrame, degree: int, seed: int) -> DataFrame:
     return asked.join(ring.select(F.col("vec_id").alias("near_id"), F.col("rank").alias("place")), "place").select("vec_id", "near_id")
 
 
+#: Lists whose pairs are handed on together: at most 2,401 a list of 49.
+LISTS = 64
+
+
+def _joined(parts: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["vec_id", "near_id", "distance"])
+
+
 def _tried(metric: str):
     """Of each list of vectors, the pairs that a link of its ends may be replaced by."""
 
@@ -50,6 +58,9 @@ def _tried(metric: str):
             links = b.column(0)
             parts: list[tuple] = []
             for i in range(b.num_rows):
+                if len(parts) >= 2 * LISTS:  # a batch's pairs are many times the batch
+                    yield _joined(parts)
+                    parts = []
                 s = links[i].values
                 ids, fresh = s.field("id").to_numpy(), s.field("fresh").to_numpy(zero_copy_only=False)
                 m, worst = matrix_of(s.field("embedding")), s.field("worst").to_numpy()
@@ -59,7 +70,7 @@ def _tried(metric: str):
                     better = (d < worst[x]) & (ids[x] != ids[y])
                     parts.append((ids[x[better]], ids[y[better]], d[better]))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["vec_id", "near_id", "distance"])
+                yield _joined(parts)
 
     return run
 
