@@ -153,3 +153,11 @@ def test_repeated_lines_do_not_hide_copies(spark):
         rows += [(2 * i, " ".join(article)), (2 * i + 1, " ".join(article + line * (10, 30, 100)[i % 3]))]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(((r["id"], r["class_id"]) for r in got.collect()), key=str) == brute(rows)
+
+
+def test_workers_give_memory_back_after_signing(monkeypatch):
+    given = []
+    monkeypatch.setattr(prob_minhash, "release_memory", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"id": [1], "node": [b"n"], "text": ["one two three four five six"]})
+    assert sum(b.num_rows for b in prob_minhash._sign(iter([batch]))) == 1
+    assert len(given) == 2  # what stages before left, and what this one took

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecroute.llm.common import materialise
+from vecroute.llm.common import materialise, release_memory
 from vecroute.llm.components import components
 from vecroute.llm.words import split_words
 
@@ -120,6 +120,7 @@ def band_keys(sigs: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release_memory()
     for b in batches:
         values, ends = shingles(b.column("text"))
         sigs = np.zeros((b.num_rows, REGISTERS), np.uint64)
@@ -148,6 +149,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             names=["id", "node", "bands", "registers", "worded"],
         )
+    release_memory()
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -219,6 +221,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, members: DataFrame, id_col: str,
             values, ends = shingles(b.column("text"))
             sets = [np.unique(values[a:z]).tobytes() for a, z in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+        release_memory()
 
     return found.union(bare).mapInArrow(run, "node binary, shingles binary").dropDuplicates(["node"])
 
