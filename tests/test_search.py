@@ -255,3 +255,16 @@ def test_cells_tell_the_candidates_of_leaves(spark, monkeypatch, seed, n_trees,
     for metric in ("euclidean", "angular"):
         near = search.rerank_probed(beam, search.by_cell(v, cells), q, n_trees, least, 5, metric)
         assert sorted(map(tuple, near.collect())) == sorted(map(tuple, search.rerank(pairs, q, v, 5, metric).collect()))
+
+
+@pytest.mark.parametrize("of", ["leaf_lookup", "probed_candidates"])
+def test_tasks_follow_the_pairs(spark, monkeypatch, of):
+    """A leaf that holds all vectors and is asked for by all queries is dealt over tasks; none makes most of the pairs."""
+    monkeypatch.setattr(search, "LOT", 8)
+    monkeypatch.setattr(search, "TASK_PAIRS", 2000)
+    t = spark.createDataFrame([(0, i, [0], 0) for i in range(300)], "tree_id int, vec_id long, path array<int>, leaf_id long")
+    beam = spark.createDataFrame([(i, 0, 0, [0], 0, 0.0) for i in range(100)], "query_id long, tree_id int, leaf_rank int, path array<int>, leaf_id long, score double")
+    found = search.leaf_lookup(beam, t) if of == "leaf_lookup" else search.probed_candidates(beam, search.vector_cells(t), 1, 1)
+    made = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(made) == 30_000 and found.distinct().count() == 30_000
+    assert len(made) > 8 and max(made) < 7500

@@ -112,26 +112,40 @@ def beam_search(
     )
 
 
-#: Members of a leaf or cell are joined to the queries that want them in lots of about this size.
-LOT = 4096
+#: A key's members meet the queries that want them in blocks of about this size both ways.
+LOT = 2048
+#: So many pairs a task makes of blocks, about.
+TASK_PAIRS = 1 << 24
+BLOCK = ["__no", "__lots", "__groups"]
 
 
-def _in_lots(wanted: DataFrame, members: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
-    """``wanted`` joined to ``members`` (vec_id, ...) by ``keys``; ``sizes`` has the number ``n`` of members by key.
+def _in_lots(wanted: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """``wanted`` (query_id, ...) joined to ``members`` (vec_id, ...) by ``keys``. Both are read twice.
 
-    A lot is a key's members of one hash, so that the rows of a large key come from many tasks."""
-    lots = sizes.select(*keys, F.ceil(F.col("n") / LOT).cast("long").alias("__lots"))
-    dealt = members.join(lots, keys).withColumn("__lot", F.pmod(F.xxhash64("vec_id"), F.col("__lots"))).drop("__lots")
-    spread = wanted.join(lots, keys).withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__lots") - 1))).drop("__lots")
-    return spread.join(dealt, [*keys, "__lot"]).drop("__lot")
+    A key's members of one hash are a lot, its queries of one hash a group, and a lot and a group make a block. Blocks
+    are dealt over tasks by the pairs that they make, which are counted, so more pairs are more tasks, not longer ones."""
+    sizes, asking = members.groupBy(*keys).agg(F.count("*").alias("n")), wanted.groupBy(*keys).agg(F.count("*").alias("m"))
+    dealt = sizes.join(asking, keys).withColumns({"lots": F.ceil(F.col("n") / LOT).cast("long"), "groups": F.ceil(F.col("m") / LOT).cast("long")})
+    dealt = materialise(dealt.withColumn("__no", F.monotonically_increasing_id()), "lots")
+    rows = F.col("n") * F.col("groups") + F.col("m") * F.col("lots")
+    work = dealt.agg(F.sum(F.col("n") * F.col("m") + 16 * rows)).first()[0] or 0
+    tasks = max(1, -(-work // TASK_PAIRS))
+
+    def side(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        """Rows with the numbers of their key, lot and group: their own by a hash, and all of the other side's."""
+        kept = [c for c in df.columns if c not in keys]
+        here = df.join(dealt.select(*keys, "__no", F.col(own).alias("__own"), F.col(other).alias("__other")), keys)
+        mine, every = F.pmod(F.xxhash64(name), F.col("__own")).alias(f"__{own}"), F.sequence(F.lit(0).cast("long"), F.col("__other") - 1)
+        return here.select(*kept, "__no", mine, F.explode(every).alias(f"__{other}")).repartition(tasks, *BLOCK)
+
+    return side(wanted, "query_id", "groups", "lots").hint("merge").join(side(members, "vec_id", "lots", "groups"), BLOCK).drop(*BLOCK)
 
 
 def leaf_lookup(probes: DataFrame, tree_paths: DataFrame) -> DataFrame:
     """(query_id, tree_id, vec_id) of the members of probed leaves; an empty leaf has no rows."""
-    members = tree_paths.select("tree_id", "leaf_id", "vec_id")
-    sizes = members.groupBy("tree_id", "leaf_id").agg(F.count("*").alias("n"))
-    wanted = probes.select("query_id", "tree_id", "leaf_id")
-    return _in_lots(wanted, members, ["tree_id", "leaf_id"], sizes).select("query_id", "tree_id", "vec_id")
+    members = materialise(tree_paths.select("tree_id", "leaf_id", "vec_id"), "members")
+    wanted = materialise(probes.select("query_id", "tree_id", "leaf_id", F.col("tree_id").alias("of")), "wanted")
+    return _in_lots(wanted, members, ["tree_id", "leaf_id"]).select("query_id", F.col("of").alias("tree_id"), "vec_id")
 
 
 def leaf_code(tree: Column, leaf: Column) -> Column:
@@ -162,9 +176,8 @@ def probed_cells(probes: DataFrame, cells: DataFrame, n_trees: int, min_trees: i
 
 def probed_candidates(probes: DataFrame, cells: DataFrame, n_trees: int, min_trees: int | None = None) -> DataFrame:
     """``select_candidates`` of the members of the probed leaves, without a row a query, tree and vector."""
-    wanted = probed_cells(probes, cells, n_trees, min_trees).select("query_id", "cell", "n_trees")
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
-    return _in_lots(wanted, cells, ["cell"], sizes).select("query_id", "vec_id", "n_trees")
+    wanted = materialise(probed_cells(probes, cells, n_trees, min_trees).select("query_id", "cell", "n_trees"), "wanted")
+    return _in_lots(wanted, cells, ["cell"]).select("query_id", "vec_id", "n_trees")
 
 
 def probed_counts(probes: DataFrame, cells: DataFrame, queries: DataFrame, n_trees: int, min_trees: int | None = None) -> DataFrame:
@@ -281,12 +294,27 @@ def search(
     beam_size: int, top_k: int = 10, num_leaves: int | None = None, min_trees: int | None = None, metric: str = "euclidean",
 ) -> tuple[DataFrame, DataFrame]:
     """(results, candidates) of the whole query operator."""
-    probes = materialise(beam_search(queries, router, k, h, beam_size, num_leaves), "beam")
-    cells = vector_cells(tree_paths)
+    probes, cells = probed(queries, router, tree_paths, k, h, beam_size, num_leaves)
     results = rerank_probed(probes, by_cell(vectors, cells), queries, n_trees, min_trees, top_k, metric)
     return results, probed_candidates(probes, cells, n_trees, min_trees)
 
 
+def search_results(
+    queries: DataFrame, router: DataFrame, tree_paths: DataFrame, vectors: DataFrame, k: int, h: int, n_trees: int,
+    beam_size: int, top_k: int = 10, num_leaves: int | None = None, min_trees: int | None = None, metric: str = "euclidean",
+) -> DataFrame:
+    """The results of ``search``, without what is written to list the candidates."""
+    probes, cells = probed(queries, router, tree_paths, k, h, beam_size, num_leaves)
+    return rerank_probed(probes, by_cell(vectors, cells), queries, n_trees, min_trees, top_k, metric)
+
+
+def probed(
+    queries: DataFrame, router: DataFrame, tree_paths: DataFrame, k: int, h: int, beam_size: int, num_leaves: int | None
+) -> tuple[DataFrame, DataFrame]:
+    """The queries' leaves and the vectors' cells, written."""
+    return materialise(beam_search(queries, router, k, h, beam_size, num_leaves), "beam"), vector_cells(tree_paths)
+
+
 def to_wide(results: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """(query_id, ids): arrays of ``top_k`` ids by rank, padded with -1; queries without results too."""
     lists = results.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))), lambda s: s["vec_id"]).alias("ids"))

@@ -58,6 +58,15 @@ def search_store(
     min_trees: int | None = None, metric: str = "euclidean",
 ) -> tuple[DataFrame, DataFrame]:
     """(results, candidates) as of ``search.search``, from a store: vectors of leaves that no query probes aren't read."""
+    results, probes, cells = store_results(queries, router, path, k, h, n_trees, beam_size, top_k, num_leaves, min_trees, metric)
+    return results, probed_candidates(probes, cells, n_trees, min_trees).select("query_id", "vec_id")
+
+
+def store_results(
+    queries: DataFrame, router: DataFrame, path: str, k: int, h: int, n_trees: int, beam_size: int, top_k: int = 10, num_leaves: int | None = None,
+    min_trees: int | None = None, metric: str = "euclidean",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The results of ``search_store``, and the probes and cells that tell the candidates."""
     spark, least = queries.sparkSession, check_min_trees(min_trees, n_trees)
     probes = materialise(beam_search(queries, router, k, h, beam_size, num_leaves), "probes")
     ids = read_leaves(spark, path, probes).select("tree_id", "leaf_id", "vec_id")  # embeddings aren't read here
@@ -67,4 +76,4 @@ def search_store(
     found = materialise(cells.join(held, "cell", "left_semi").select("vec_id", "cell", "w.tree_id", "w.leaf_id"), "found")
     rows = found.join(read_leaves(spark, path, found), ["tree_id", "leaf_id", "vec_id"])
     results = rerank_probed(probes, side_by_side(rows), queries, n_trees, least, top_k, metric)
-    return results, probed_candidates(probes, cells.select("vec_id", "cell"), n_trees, least).select("query_id", "vec_id")
+    return results, probes, cells.select("vec_id", "cell")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from vecroute.operators.search import search
+from vecroute.operators.search import search_results
 
 
 def serve(
@@ -19,7 +19,7 @@ def serve(
     """
 
     def answer(batch: DataFrame, number: int) -> None:
-        found, _ = search(batch, router, tree_paths, vectors, k, h, n_trees, beam_size, top_k, num_leaves, min_trees)
+        found = search_results(batch, router, tree_paths, vectors, k, h, n_trees, beam_size, top_k, num_leaves, min_trees)
         found.write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).start()
