@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 
 from vecroute.llm import decontaminate
 from vecroute.llm.decontaminate import Parts, latent_basis, leaks, normal_words
@@ -242,3 +244,24 @@ def test_words_of_any_blanks_and_case(spark):
         if names[c]:
             got[r].append(names[c])
     assert got == want
+
+
+def test_words_folded_together_are_those_folded_alone():
+    """Words of a batch, ASCII or not, with marks, controls and a line's end inside, as by one word at a time."""
+    words = ["Plain,", "it's_", "", "--", "É_x", "ΣΑΣ", "straße!", "İ", "²½", "中-文", "a\x00b", "é\nB", "٣", "😀"]
+    alone = [re.sub(r"[\W_]+", "", w.casefold()) for w in words]
+    for some in (words, [w for w in words if "\n" not in w]):
+        whole = pa.array(["-", *some], pa.large_string()).slice(1)
+        assert decontaminate.plain_words(whole).to_pylist() == [a for a, w in zip(alone, words, strict=True) if w in some]
+
+
+def test_all_classes_take_one_pass_over_the_words(spark, monkeypatch):
+    """Items of three length classes: their passages are written once, and each class finds its own leak."""
+    rng = np.random.default_rng(5)
+    items = [(k, " ".join(f"w{k}x{j}" for j in rng.permutation(n))) for k, n in enumerate((8, 16, 40))]
+    docs = [(k, f"before it {text} and after") for k, text in items] + [(9, "nothing of them here")]
+    passes = []
+    monkeypatch.setattr(decontaminate, "materialise", lambda df, name, *a, kept=decontaminate.materialise, **b: (passes.append(name), kept(df, name, *a, **b))[1])
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(0, 0), (1, 1), (2, 2)]
+    assert passes.count("passages") == 1

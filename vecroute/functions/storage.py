@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -71,13 +71,13 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             store.delete(where, True)
 
 
-def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write and read back: cuts lineage, and survives lost executors."""
+def materialise(df: DataFrame, name: str, keep: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Write, in folders ``by`` the last columns, and read back: cuts lineage, and survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     mine = _written.get()
     if mine is not None and not keep:
         mine.append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

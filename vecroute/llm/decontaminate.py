@@ -46,6 +46,9 @@ from vecroute.llm.words import hash_words, split_codes
 
 PART, LEAST, ITEMS = 256, 5, 2000
 _NOT_WORD = re.compile(r"[\W_]+")
+_NOT_WORD_OR_END = re.compile(r"(?:[^\w\n]|_)+")
+#: ASCII's letters in lower case and digits; 0 for all other bytes.
+_PLAIN = np.array([ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 0 for i in range(256)], np.uint8)
 #: White space beyond ASCII's usual: file separators, next line, and Unicode's blanks.
 _BLANKS = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -72,24 +75,42 @@ class Parts:
 
 
 def plain_words(names: pa.Array) -> pa.Array:
-    """Words as they are compared, for items and documents alike: case folded, letters and digits alone."""
+    """Words as they are compared, for items and documents alike: case folded, letters and digits alone.
+
+    Words of ASCII are mapped byte by byte, all at once; the others are folded as one text."""
     names = names.cast(pa.large_string())
-    plain = pc.replace_substring_regex(pc.ascii_lower(names), pattern=r"[^a-z0-9]+", replacement="")
-    other = np.flatnonzero(~pc.string_is_ascii(names).to_numpy(zero_copy_only=False))
-    if len(other):
-        folded = [_NOT_WORD.sub("", w.casefold()) for w in names.take(pa.array(other)).to_pylist()]
-        mask = np.zeros(len(names), bool)
-        mask[other] = True
+    if not len(names):
+        return names
+    offsets = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+    data = np.frombuffer(names.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    mapped = _PLAIN[data]
+    kept = mapped != 0
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(kept)])[offsets - offsets[0]]
+    plain = pa.LargeStringArray.from_buffers(len(names), pa.py_buffer(ends), pa.py_buffer(mapped[kept]))
+    mask = ~pc.string_is_ascii(names).to_numpy(zero_copy_only=False)
+    if mask.any():
+        other = names.filter(pa.array(mask))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(other)], pa.int32()), other), pa.scalar("\n", pa.large_string()))[0].as_py()
+        folded = _NOT_WORD_OR_END.sub("", joined.casefold()).split("\n")
+        if len(folded) != len(other):  # a word that holds a line's end
+            folded = [_NOT_WORD.sub("", w.casefold()) for w in other.to_pylist()]
         plain = pc.replace_with_mask(plain, pa.array(mask), pa.array(folded, pa.large_string()))
     return plain
 
 
+def has_blanks(names: pa.Array) -> bool:
+    """Whether a word holds white space of other kinds than ASCII's; only bytes outside plain ASCII can."""
+    names = names.cast(pa.large_string())
+    odd = pc.or_(pc.invert(pc.string_is_ascii(names)), pc.invert(pc.ascii_is_printable(names)))
+    return bool(pc.any(pc.match_substring_regex(names.filter(odd), pattern=_BLANKS)).as_py())
+
+
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(row of each word, code of each word, the distinct words by ``plain_words``, "" among them perhaps).
 
     Words are parted by white space of any kind; a batch with other kinds than ASCII's is parted anew."""
     rows, codes, names = split_codes(texts)
-    if pc.any(pc.match_substring_regex(names, pattern=_BLANKS)).as_py():
+    if has_blanks(names):
         rows, codes, names = split_codes(pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), pattern=_BLANKS, replacement=" "))
     return rows, codes, plain_words(names)
 
@@ -237,53 +258,63 @@ def answer_terms(parts: Parts, df: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def passages(
-    sequences: DataFrame, parts: Parts, answers: list[np.ndarray], min_answer: float
-) -> DataFrame:
-    """(doc_id, at, ids) of the passages that hold as many answer terms as some part demands; ``ids`` are terms
-    of ``parts``, -1 for other words."""
-    step = parts.length
-    window = 3 * step
-    marked = np.zeros(len(parts.terms) + 1, bool)  # the last stands for -1
-    marked[np.unique(np.concatenate(answers))] = True
-    need = max(1, min(int(np.ceil(min_answer * len(a))) for a in answers))
-    schema = sequences.select("doc_id", F.lit(0).alias("at"), "ids").schema
+@dataclass(frozen=True)
+class Sought:
+    """A length class of parts as ``passages`` looks for it: its answer terms, and the numbers of its terms among all."""
+
+    parts: Parts
+    terms: np.ndarray
+    answers: list[np.ndarray]
+
+
+def passages(sequences: DataFrame, terms: np.ndarray, classes: list[Sought], min_answer: float) -> DataFrame:
+    """(doc_id, at, ids, length) of the passages that hold as many answer terms as some part of the class of that length
+    demands; ``ids`` are terms of the class, -1 for other words. All classes are looked for in one pass."""
+    schema = sequences.select("doc_id", F.lit(0).alias("at"), "ids", F.lit(0).alias("length")).schema
     for f in schema:
         f.nullable = True
+    plans = []
+    for c in classes:
+        own = np.full(len(terms) + 1, -1, np.int32)  # the last stands for -1
+        own[c.terms] = np.arange(len(c.terms))
+        marked = np.zeros(len(c.terms) + 1, bool)
+        marked[np.unique(np.concatenate(c.answers))] = True
+        plans.append((c.parts.length, own, marked, max(1, min(int(np.ceil(min_answer * len(a))) for a in c.answers))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = numbering(parts.terms, np.arange(len(parts.terms)))
+        number = numbering(terms, np.arange(len(terms)))
         for b in batches:
             lists = b.column("ids")
-            flat = number(lists.flatten().to_numpy(zero_copy_only=False))
+            every = number(lists.flatten().to_numpy(zero_copy_only=False))
             ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
-            hits = np.concatenate([[0], np.cumsum(marked[flat])])
-            row, at, out = [], [], []
-            for i in np.flatnonzero(hits[ends[1:]] - hits[ends[:-1]] >= need):
-                a, z = ends[i], ends[i + 1]
-                starts = np.arange(a, max(a + 1, z - 2 * step), step)
-                stops = np.minimum(starts + window, z)
-                for s, e in zip(starts, stops, strict=True):
-                    if hits[e] - hits[s] >= need:
+            for step, own, marked, need in plans:
+                flat = own[every]
+                hits = np.concatenate([[0], np.cumsum(marked[flat])])
+                row, at, out = [], [], []
+                for i in np.flatnonzero(hits[ends[1:]] - hits[ends[:-1]] >= need):
+                    a, z = ends[i], ends[i + 1]
+                    starts = np.arange(a, max(a + 1, z - 2 * step), step)
+                    stops = np.minimum(starts + 3 * step, z)
+                    on = hits[stops] - hits[starts] >= need
+                    for s, e in zip(starts[on], stops[on], strict=True):
                         row.append(i)
                         at.append(s - a)
                         out.append(flat[s:e])
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            values = np.concatenate(out) if out else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id").take(pa.array(row, pa.int64())),
-                    pa.array(at, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())),
-                ],
-                names=["doc_id", "at", "ids"],
-            )
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+                values = np.concatenate(out) if out else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(at, pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())), pa.array(np.full(len(row), step), pa.int32()),
+                    ],
+                    names=["doc_id", "at", "ids", "length"],
+                )
 
     return sequences.select("doc_id", "ids").mapInArrow(run, schema)
 
 
-def tfidf(lists: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit rows in sparse form: (row, term, weight); blanks are left out."""
+def weighed(lists: list[np.ndarray], idf: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """(unit rows in sparse form: (row, term, weight), blanks left out; the rows' lengths before they are made 1)."""
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     ids = np.concatenate(lists) if lists else np.zeros(0, np.int64)
     on = ids >= 0
@@ -291,16 +322,17 @@ def tfidf(lists: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndar
     row, term = pairs // len(idf), pairs % len(idf)
     w = (1 + np.log(tf)) * idf[term]
     norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(lists)))
-    return row, term, w / np.maximum(norm[row], 1e-12)
+    return (row, term, w / np.maximum(norm[row], 1e-12)), norm
+
+
+def tfidf(lists: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit rows in sparse form: (row, term, weight); blanks are left out."""
+    return weighed(lists, idf)[0]
 
 
 def norms_of(lists: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
     """Lengths of the TF-IDF vectors before ``tfidf`` makes them 1."""
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    ids = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-    on = ids >= 0
-    pairs, tf = np.unique(row[on] * len(idf) + ids[on], return_counts=True)
-    return np.sqrt(np.bincount(pairs // len(idf), weights=((1 + np.log(tf)) * idf[pairs % len(idf)]) ** 2, minlength=len(lists)))
+    return weighed(lists, idf)[1]
 
 
 def _project(sparse: tuple, basis: np.ndarray, n: int) -> np.ndarray:
@@ -401,12 +433,12 @@ def search(
         masks: list[dict[int, int] | None] = [None] * n_parts
         for pdf in batches:
             lists = [np.asarray(x) for x in pdf["ids"]]
-            sparse = tfidf(lists, idf)
+            sparse, norms = weighed(lists, idf)
             latent = _project(sparse, basis, len(lists))
             whole = length(latent)
             near = latent @ goal.T / (whole[:, None] * own[None, :])
             # tfidf() makes rows of length 1, so lengths as they were before come from the weights' sums
-            ratio = norms_of(lists, idf)[:, None] * whole[:, None] / (weight * own)[None, :]
+            ratio = norms[:, None] * whole[:, None] / (weight * own)[None, :]
             answered = answered_share(sparse[0], sparse[1], len(lists))
             out = []
             for i, j in zip(*np.nonzero((near * np.maximum(1.0, ratio) >= min_cosine) & (answered >= min_answer)), strict=True):
@@ -455,11 +487,12 @@ def leaks(
         if parts is not None:
             df, n = document_frequency(sequences, parts.terms)
             idf = np.log((n + 1) / (df + 0.5)).clip(min=0.05)
-            for group, terms in parts.classes():
-                answers = answer_terms(group, df[terms])
-                found = materialise(passages(sequences, group, answers, min_answer), "passages")
-                basis = latent_basis(found, group, idf[terms])
-                hits.append(search(found, group, idf[terms], answers, basis, min_cosine, min_common, min_answer))
+            classes = [Sought(group, terms, answer_terms(group, df[terms])) for group, terms in parts.classes()]
+            held = materialise(passages(sequences, parts.terms, classes, min_answer), "passages", by=["length"])
+            for c in classes:
+                found, weights = held.where(F.col("length") == c.parts.length).drop("length"), idf[c.terms]
+                basis = latent_basis(found, c.parts, weights)
+                hits.append(search(found, c.parts, weights, c.answers, basis, min_cosine, min_common, min_answer))
         for one in hits:
             if one is not None:
                 out = one if out is None else out.union(one)
