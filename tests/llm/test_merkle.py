@@ -106,3 +106,17 @@ def test_query_against_lists(spark):
         want[ids[leaf]] = (leaf, subroot, root, sha("".join(a + b for a, b in path)), now, now == root)
     found = {r.doc_id: tuple(r)[1:] for r in op13_merkle_manifest(spark, SF).collect()}
     assert found == want and {v[-1] for v in want.values()} == {True, False}
+
+
+def test_a_run_asks_once_a_level(spark, monkeypatch):
+    """What is asked has a row for each run and level, and is made once, also where nodes are near and far."""
+    written, write = {}, merkle.materialise
+    monkeypatch.setattr(merkle, "materialise", lambda df, name: written.setdefault(name, write(df, name)))
+    monkeypatch.setattr(merkle, "HOT", 2)
+    sizes = {"a": 300, "b": 17, "c": 1}
+    rows = [(i, g, sha(f"{g} {i}")) for g, n in sizes.items() for i in range(n)]
+    found = manifest(spark.createDataFrame(rows, "doc_id long, source string, leaf string"), "source", ["doc_id"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # leaves of their runs
+    asked = written["merkle-asked"]
+    assert asked.count() == 19 * (2 + 1) + 2 * (1 + 1) + 1  # runs of a group, levels above them
+    assert {r.hot for r in asked.select("hot").distinct().collect()} == {True, False}

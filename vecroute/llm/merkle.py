@@ -7,13 +7,15 @@ the root. Every node has a coordinate: (tree, level, place), where ``tree`` is t
 
 A proof is the digests beside the path from a leaf to the root. Which these are follows from the leaf's place
 and the sizes of its group and of the top tree alone. Leaves of one run share all of it but their run, so a
-run explodes the coordinates once for its leaves: fan - 1 a level, and 1/fan of the rows that single leaves
-would ask for. The coordinates join the node table and come back in order, as what stands before and after
-the path at each level; concatenated they are the proof, folded from a leaf they give the root.
+run asks once for its leaves, and siblings are a run of nodes with one coordinate: a row for each run and
+level, whatever ``fan``. The coordinates join the table of nodes, which has a row a run, too, and come back
+in order, as what stands before and after the path at each level; concatenated they are the proof, folded
+from a leaf they give the root.
 
-Nodes near a root are asked for by nearly all runs. A node whose siblings have more than 1/``HOT`` of all
-runs below them is hot; a level can have at most ``fan * HOT`` of these, whatever the input, so they are
-broadcast. All others are joined by their coordinate, and no coordinate has more than 1/``HOT`` of the asks.
+Nodes near a root are asked for by nearly all runs. A run of nodes that has more than 1/``HOT`` of all lowest
+runs below it is hot; a level can have at most ``HOT`` of these, whatever the input, so they are broadcast.
+All others are joined by their coordinate, and no coordinate has more than 1/``HOT`` of the asks. What is
+asked is written with a mark for hot ones, so that it is made once for both joins.
 
 Places are given by one sort by ranges of (group, order): a group that holds a third of all rows is spread
 over many ranges, and only the ranges' counts are summed up by group.
@@ -36,7 +38,7 @@ from vecroute.llm.common import materialise
 
 #: Number of the tree over the subroots.
 TOP = -1
-#: A node that more than one of so many runs asks for is broadcast.
+#: Nodes that more than one of so many runs asks for are broadcast.
 HOT = 4096
 
 
@@ -91,7 +93,7 @@ def levels_of(size: Column, fan: int) -> Column:
 
 @dataclass
 class Tree:
-    """The nodes of all trees, (tree, level, place, digest, asked), and the last node of each, (tree, digest, below)."""
+    """The nodes of all trees by runs, (tree, level, run, digests, asked), and the last node of each, (tree, digest, below)."""
 
     nodes: DataFrame | None
     last: DataFrame
@@ -100,7 +102,7 @@ class Tree:
 def build(leaves: DataFrame, most: int, fan: int, name: str, level: int = 0) -> Tree:
     """Trees of ``leaves`` (tree, place, size, digest, below), which stand at ``level``, the largest of ``most``.
 
-    ``below`` is the number of lowest runs under a node, ``asked`` that under all of a node's run. Each level is
+    ``below`` is the number of lowest runs under a node, ``asked`` that under a run of nodes. Each level is
     written, a 1/fan of the one before."""
     nodes, last, now = None, None, leaves
     while True:
@@ -112,9 +114,8 @@ def build(leaves: DataFrame, most: int, fan: int, name: str, level: int = 0) ->
         children = F.sort_array(F.collect_list(F.struct("place", "digest")))
         runs = more.groupBy("tree", F.floor(F.col("place") / fan).alias("run"), "size").agg(F.sum("below").alias("below"), children.alias("children"))
         runs = materialise(runs, f"{name}-level")
-        flat = runs.select("tree", F.lit(level).alias("level"), F.col("below").alias("asked"), F.explode("children").alias("c"))
-        flat = flat.select("tree", "level", "c.place", "c.digest", "asked")
-        nodes = flat if nodes is None else nodes.unionByName(flat)
+        made = runs.select("tree", F.lit(level).alias("level"), "run", F.col("children.digest").alias("digests"), F.col("below").alias("asked"))
+        nodes = made if nodes is None else nodes.unionByName(made)
         now = runs.select("tree", F.col("run").alias("place"), F.ceil(F.col("size") / fan).alias("size"), digest(joined("children")).alias("digest"), "below")
         level += 1
 
@@ -124,37 +125,32 @@ def joined(children: str) -> Column:
 
 
 def path_steps(place: Column, size: Column, tree: Column, top: bool, first_level: int, fan: int) -> Column:
-    """The steps up from a node at ``first_level``: (top, level, tree, place of the path, first place of its run, end of it)."""
+    """The steps up from a node at ``first_level``: (top, level, tree, run of the path's node, its place in the run)."""
     levels, wide_of = levels_of(size, fan), F.lit(float(fan))
 
     def step(level: Column) -> Column:
         at = F.floor(place / F.pow(wide_of, level - first_level)).cast("long")
-        wide = F.ceil(size / F.pow(wide_of, level)).cast("long")
-        low = F.floor(at / fan).cast("long") * fan
-        return F.struct(
-            F.lit(top).alias("top"), level.alias("level"), tree.cast("long").alias("tree"), at.alias("at"), low.alias("low"), F.least(low + fan, wide).alias("high")
-        )
+        run = F.floor(at / fan).cast("long")
+        return F.struct(F.lit(top).alias("top"), level.alias("level"), tree.cast("long").alias("tree"), run.alias("run"), (at - run * fan).cast("int").alias("at"))
 
     return F.transform(F.filter(F.sequence(F.lit(first_level), F.greatest(levels, F.lit(first_level))), lambda x: x < levels), step)
 
 
-FOUND = "array<struct<top:boolean,level:int,place:bigint,digest:string>>"
+FOUND = "array<struct<top:boolean,level:int,digests:array<string>>>"
 
 
-def looked_up(runs: DataFrame, nodes: DataFrame, n_runs: int) -> DataFrame:
-    """(tree, run, found) for ``runs`` (tree, run, steps): the digests beside the path, and the subroot's own,
-    with top, level and place."""
-    wanted = F.filter(F.sequence("s.low", F.col("s.high") - 1), lambda i: (i != F.col("s.at")) | (F.col("s.top") & (F.col("s.level") == 0)))
-    asked = runs.select(F.col("tree").alias("__t"), F.col("run").alias("__run"), F.explode("steps").alias("s")).select(
-        "__t", "__run", "s.top", "s.level", "s.tree", F.explode(wanted).alias("place")
-    )
-    key = ["tree", "level", "place"]
+def looked_up(runs: DataFrame, nodes: DataFrame, n_runs: int, name: str) -> DataFrame:
+    """(tree, run, found) for ``runs`` (tree, run, steps): the digests of the path's run at each step, with top and level."""
+    key = ["tree", "level", "run"]
     hot = F.col("asked") * HOT > F.lit(n_runs)
-    near = asked.join(F.broadcast(nodes.where(hot).select(*key, "digest")), key, "left")
-    far = near.where("digest is null").drop("digest").join(nodes.where(~hot).select(*key, "digest"), key)
-    both = near.where("digest is not null").unionByName(far)
-    found = F.sort_array(F.collect_list(F.struct("top", "level", "place", "digest")))
-    return both.groupBy("__t", "__run").agg(found.alias("found"))
+    asked = runs.select(F.col("tree").alias("__t"), F.col("run").alias("__run"), F.explode("steps").alias("s"))
+    asked = asked.select("__t", "__run", "s.top", *(f"s.{c}" for c in key))
+    asked = asked.join(F.broadcast(nodes.where(hot).select(*key, F.lit(True).alias("hot"))), key, "left")
+    asked = materialise(asked.withColumn("hot", F.coalesce("hot", F.lit(False))), f"{name}-asked")
+    near = asked.where("hot").join(F.broadcast(nodes.where(hot).select(*key, "digests")), key)
+    far = asked.where("not hot").join(nodes.where(~hot).select(*key, "digests"), key)
+    found = F.sort_array(F.collect_list(F.struct("top", "level", "digests")))
+    return near.unionByName(far).groupBy("__t", "__run").agg(found.alias("found"))
 
 
 def manifest(rows: DataFrame, group: str, order: Sequence[str], fan: int = 16, name: str = "merkle") -> DataFrame:
@@ -184,19 +180,23 @@ def manifest(rows: DataFrame, group: str, order: Sequence[str], fan: int = 16, n
     runs = base.withColumn("steps", F.concat(ours, theirs))
     parts = [t.nodes for t in (inside, over) if t.nodes is not None]
     if parts:
-        found = looked_up(runs.select("tree", "run", "steps"), parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0], n_runs)
+        found = looked_up(runs.select("tree", "run", "steps"), parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0], n_runs, name)
         runs = runs.join(found, (F.col("tree") == F.col("__t")) & (F.col("run") == F.col("__run")), "left").drop("__t", "__run")
     else:
         runs = runs.withColumn("found", F.array().cast(FOUND))
 
-    def beside(step: Column, after: bool) -> Column:
-        here = F.filter("found", lambda x: (x["top"] == step["top"]) & (x["level"] == step["level"]) & ((x["place"] > step["at"]) if after else (x["place"] < step["at"])))
-        return F.array_join(F.transform(here, lambda x: x["digest"]), "")
+    def run_of(step: Column) -> Column:
+        return F.get(F.filter("found", lambda x: (x["top"] == step["top"]) & (x["level"] == step["level"])), F.lit(0))["digests"]
+
+    def beside(step: Column) -> Column:
+        sides = (F.slice(run_of(step), F.lit(1), step["at"]), F.slice(run_of(step), step["at"] + 2, F.lit(fan)))
+        return F.struct(*(F.array_join(x, "").alias(c) for x, c in zip(sides, ("before", "after"), strict=True)))
 
     runs = runs.withColumn("found", F.coalesce("found", F.array().cast(FOUND)))
-    own_subroot = F.filter("found", lambda x: x["top"] & (x["level"] == 0) & (x["place"] == F.col("tree")))
-    upper = F.transform("steps", lambda s: F.struct(beside(s, False).alias("before"), beside(s, True).alias("after")))
-    runs = runs.select("size", "children", F.coalesce(F.get(own_subroot, F.lit(0))["digest"], root).alias("subroot"), upper.alias("upper"))
+    first = F.get(F.filter("steps", lambda s: s["top"] & (s["level"] == 0)), F.lit(0))  # absent from a lone group's path
+    own_subroot = F.get(run_of(first), first["at"])
+    upper = F.transform("steps", beside)
+    runs = runs.select("size", "children", F.coalesce(own_subroot, root).alias("subroot"), upper.alias("upper"))
     own = runs.select("size", "subroot", "upper", "children", F.posexplode("children").alias("__i", "c"))
     sides = (F.slice("children", F.lit(1), F.col("__i")), F.slice("children", F.col("__i") + 2, F.lit(fan)))
     before, after = (F.array_join(F.transform(x, lambda c: c["digest"]), "") for x in sides)
