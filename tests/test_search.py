@@ -6,6 +6,7 @@ import math
 import random
 import statistics
 import struct
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -268,3 +269,27 @@ def test_tasks_follow_the_pairs(spark, monkeypatch, of):
     made = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
     assert sum(made) == 30_000 and found.distinct().count() == 30_000
     assert len(made) > 8 and max(made) < 7500
+
+
+def test_memory_of_a_mining_task():
+    """What a task holds beside its queries and their best is small, whatever the vectors."""
+    n, width, rows, k = 8000, 64, 10_000, 5
+    rng = np.random.default_rng(0)
+
+    def lists(m):
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(m.ravel()))
+
+    asked = pa.StructArray.from_arrays([pa.array(np.arange(n)), lists(rng.random((n, width), np.float32))], names=["query_id", "embedding"])
+
+    def batches():
+        first = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), asked)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), first, pa.array([0]), lists(np.zeros((1, width), np.float32))], names=list("abcd"))
+        for i in range(4):
+            made = [pa.array(np.full(rows, -1, np.int32)), pa.nulls(rows, first.type), pa.array(np.arange(rows) + i * rows), lists(rng.random((rows, width), np.float32))]
+            yield pa.RecordBatch.from_arrays(made, names=list("abcd"))
+
+    tracemalloc.start()
+    found = sum(b.num_rows for b in knn._nearest(1, k, "euclidean", None)(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n * k and peak < 40 << 20

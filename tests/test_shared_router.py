@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vecroute.functions.storage import materialise
 from vecroute.operators import ivf, knn, metrics, search, training
+from vecroute.operators.assign import rank_histogram
 from vecroute.operators.router import node_probs, router_trees
 from vecroute.operators.shared_router import SharedRouter, SharedTree, fit_shared, pair_losses, shared_trees
 
@@ -152,3 +153,24 @@ def test_learned_partition_beats_lists(spark):
     results, probed = ivf.search_ivf(q, v, lists, centroids, 2, 10, "angular")
     theirs = metrics.recall_per_query(results, truth, 10).agg(F.avg("recall")).first()[0]
     assert 2 * found.count() <= probed.count() and ours > theirs
+
+
+@pytest.mark.parametrize("subset,times", [(None, 1), (200, 1), (50, 2)])
+def test_neighbours_among_all_vectors_are_mined_once(spark, monkeypatch, subset, times):
+    mined, mine = [], training.mine_labels
+    monkeypatch.setattr(training, "mine_labels", lambda *a: mined.append(a) or mine(*a))
+    rng = np.random.default_rng(0)
+    v = spark.createDataFrame([(i, rng.normal(0, 1, 4).tolist()) for i in range(120)], "vec_id long, embedding array<double>")
+    s = training.TrainSettings(3, 1, query_fraction=0.3, top_k=3, subset_size=subset, max_cycles=2, max_iter=2, hidden=4)
+    training.alternating_train(v, s)
+    assert len(mined) == times
+
+
+def test_small_tables_need_no_python_workers(spark):
+    tree = random_tree(3)
+    made = router_of(tree).table(spark, 7)
+    assigned = spark.range(3).select(F.lit(0).alias("chosen_rank"), F.lit(False).alias("used_fallback"))
+    for df in (made, rank_histogram(assigned)):
+        assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
+    (found,) = shared_trees(made).values()
+    assert np.array_equal(found.into, tree.into) and np.array_equal(found.out, tree.out) and np.array_equal(found.out_bias, tree.out_bias)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,8 +113,7 @@ def assign_round(scored: DataFrame, k: int, cap: int, order: str = "confidence",
     """
     columns = scored.columns
     left = materialise(scored.withColumns({"__ord": branch_order(F.col("probs")), "__s": visit_score(F.col("probs"), order).cast("double")}), "unplaced")
-    spark = scored.sparkSession
-    filled = spark.createDataFrame([], left.select(*NODE, F.lit(0).alias("__key"), F.lit(0).cast("long").alias("__taken")).schema)
+    filled = left.select(*NODE, F.lit(0).alias("__key"), F.lit(0).cast("long").alias("__taken")).limit(0)
     out = left.limit(0).select(*columns, F.lit(0).alias("branch"), F.lit(0).alias("chosen_rank"), F.lit(False).alias("used_fallback"), F.lit(0.0).alias("prob"))
     schema = out.schema
     for f in schema:
@@ -220,7 +220,7 @@ def rank_histogram(assigned: DataFrame) -> DataFrame:
     spark = assigned.sparkSession
     ends = [*EDGES[1:], None]
     labels = [f"rank_{a}" if b == a + 1 else f"rank_{a}_{b - 1}" if b else f"rank_{a}_plus" for a, b in zip(EDGES, ends, strict=True)]
-    buckets = spark.createDataFrame(list(zip(EDGES, labels, strict=True)), "edge int, bucket string")
+    buckets = spark.createDataFrame(pa.table({"edge": pa.array(EDGES, pa.int32()), "bucket": labels}))  # as Arrow, it needs no Python workers
     counted = assigned.where(~F.col("used_fallback")).groupBy(histogram_label(F.col("chosen_rank")).alias("bucket")).agg(F.count("*").alias("n"))
     return buckets.join(counted, "bucket", "left").select("edge", "bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n_vectors"))
 

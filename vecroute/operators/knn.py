@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecroute.functions.distance import DENSE, matrix_of
+from vecroute.functions.memory import give_back
 from vecroute.functions.paths import shuffled_rank
 from vecroute.functions.storage import materialise
 
@@ -58,8 +59,14 @@ def block_top_k(
     return row[keep], ids[col[keep]], exact[keep]
 
 
-#: Pairs that are ranked at once, in double precision: 16 MB a matrix.
-PAIRS = 1 << 21
+#: Pairs that are ranked at once, in double precision: 4 MB a matrix.
+PAIRS = 1 << 19
+#: Vectors of a block; few, since their lengths are taken anew for each block of queries.
+VECTORS = 1 << 11
+#: Rows that are added to a task's best before these are sorted and cut, at least.
+FRESH = 1 << 18
+#: Queries of a wave, as a task holds them.
+WAVE_BYTES = 32 << 20
 
 
 def _raw_matrix(lists: pa.Array) -> np.ndarray:
@@ -90,7 +97,7 @@ def _nearest(blocks: int, k: int, metric: str, least: int | None):
         came, parts, probing = 0, [], []
         q, names, seen, bounds, by_leaf = None, None, None, {}, {}
         held: list[tuple] = []
-        rows = 0
+        fresh = 0
 
         def reduced() -> tuple:
             one, ids, d, strict = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -100,9 +107,9 @@ def _nearest(blocks: int, k: int, metric: str, least: int | None):
             return one[keep], ids[keep], d[keep], strict[keep]
 
         def meet(asked: np.ndarray, m: np.ndarray, ids: np.ndarray, strict: bool) -> None:
-            nonlocal rows
-            for a in range(0, len(m), 1 << 14):
-                near, own = m[a : a + (1 << 14)].astype(float), ids[a : a + (1 << 14)]
+            nonlocal fresh
+            for a in range(0, len(m), VECTORS):
+                near, own = m[a : a + VECTORS].astype(float), ids[a : a + VECTORS]
                 step = max(1, PAIRS // len(near))
                 for c in range(0, len(asked), step):
                     part = asked[c : c + step]
@@ -110,10 +117,10 @@ def _nearest(blocks: int, k: int, metric: str, least: int | None):
                     row, found, d = block_top_k(q[part].astype(float), near, own, k, metric, bound)
                     bounds[strict][part] = bound
                     held.append((part[row], found, d, np.full(len(row), strict)))
-                    rows += len(row)
-                    if rows > 1 << 20:
+                    fresh += len(row)
+                    if fresh > max(FRESH, len(held[0][0])):  # so that a large state isn't sorted at every step
                         held[:] = [reduced()]
-                        rows = len(held[0][0]) // 2  # so that a large state isn't sorted at every step
+                        fresh = 0
 
         for b in batches:
             block = b.column(0).to_numpy()
@@ -167,13 +174,17 @@ def _nearest(blocks: int, k: int, metric: str, least: int | None):
             for a in range(0, len(one), 65_536):
                 z = slice(a, a + 65_536)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[one[z]], ids[z], d[z], strict[z])], names=["query_id", "vec_id", "distance", "strict"])
+            one = ids = d = strict = None
+        q = names = seen = None
+        held.clear(), bounds.clear(), by_leaf.clear()
+        give_back()
 
     return run
 
 
 def nearest_in_blocks(
     queries: DataFrame, vectors: DataFrame, k: int, metric: str = "euclidean", least: int | None = None, query_block: int | None = None,
-    broadcast_bytes: int = 64 << 20,
+    broadcast_bytes: int = WAVE_BYTES,
 ) -> DataFrame:
     """(query_id, rank from 0, vec_id, distance): each query's nearest ``k``; ties of nine digits go to the lower id.
 
@@ -226,7 +237,7 @@ def nearest_in_blocks(
 
 def exact_knn(
     queries: DataFrame, vectors: DataFrame, k: int, metric: str = "euclidean", query_block: int | None = None,
-    broadcast_bytes: int = 64 << 20,
+    broadcast_bytes: int = WAVE_BYTES,
 ) -> DataFrame:
     """``nearest_in_blocks`` among all vectors, in single precision. Null vectors and differing widths are errors."""
     single = F.col("embedding").cast("array<float>").alias("embedding")

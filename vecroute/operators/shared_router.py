@@ -22,6 +22,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from vecroute.functions.distance import matrix_of
 
@@ -125,7 +127,10 @@ class SharedRouter:
         """The router as rows of units, by ``UNIT_SCHEMA``: what is saved and searched with."""
         t = self.tree
         rows = [(tree_id, t.h, i, t.into[i].tolist(), float(t.bias[i]), t.out[:, i].tolist()) for i in range(len(t.bias))]
-        return spark.createDataFrame([*rows, (tree_id, t.h, -1, [], 0.0, t.out_bias.tolist())], UNIT_SCHEMA)
+        rows.append((tree_id, t.h, -1, [], 0.0, t.out_bias.tolist()))
+        schema = StructType.fromDDL(UNIT_SCHEMA)
+        # as Arrow: a list of rows would start Python workers of another kind in every executor, which stay on
+        return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], to_arrow_schema(schema)), schema)
 
 
 def fit_shared(pairs: DataFrame, k: int, h: int, hidden: int, max_iter: int, seed: int = 0, start: SharedRouter | None = None, block_rows: int = 128) -> SharedRouter:

@@ -157,7 +157,8 @@ def alternating_train(
 
     while settings.max_cycles < 1 or cycle < settings.max_cycles:
         began = time.perf_counter()
-        if neighbours is None or settings.label_refresh == "per_cycle":
+        sampled = settings.subset_size is not None and settings.subset_size < n  # of all vectors, neighbours stay the same
+        if neighbours is None or (sampled and settings.label_refresh == "per_cycle"):
             label_seed = seed + 1 if settings.label_refresh == "once" else seed + cycle
             neighbours = materialise(mine_labels(queries, vectors, settings.top_k, settings.subset_size, label_seed, settings.metric), "labels")
         pairs = materialise(training_pairs(queries, neighbours, paths, settings.k), "pairs")
