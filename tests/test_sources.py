@@ -98,6 +98,19 @@ def test_index_save_load_merge(spark):
             index_io.load_index(spark, out, **wrong)
 
 
+def test_shards_are_bounded_whatever_the_batches(spark, tmp_path):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(40)], "vec_id long, embedding array<float>").coalesce(1)
+        V.register(spark)
+        df.write.format("vectors").option("suffix", ".fvecs").option("shardBytes", "64").mode("append").save(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [f.stat().st_size for f in sorted((tmp_path / "out").iterdir())] == [96] * 5
+    assert [r["embedding"][0] for r in V.read_vectors(spark, str(tmp_path / "out")).orderBy("vec_id").collect()] == [float(i) for i in range(40)]
+
+
 def test_shards_are_bounded(spark, tmp_path):
     rows = [(i, [float(i), 0.0]) for i in range(100)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)

@@ -226,9 +226,11 @@ class _Writer(DataSourceArrowWriter):
                 width = widths.pop()
                 step = max(1, self.most // max(1, width * dtype.itemsize))
                 m = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(b.num_rows, width))
-                for a in range(0, len(m), step):
-                    held.append(m[a : a + step])
-                    if sum(x.nbytes for x in held) >= self.most:
+                while len(m):
+                    room = step - sum(map(len, held))  # a batch fills the shard begun before
+                    held.append(m[:room])
+                    m = m[room:]
+                    if len(held[-1]) == room:
                         flush()
         if held:
             flush()
